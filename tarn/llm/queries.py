@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from .audio import op7_audio
 from .bpe import op5_bpe
 from .langid import op3_language_id
 from .mixing import OP2_SQL, op2_mixing
 from .sharding import OP9_SQL, op9_sharding
+from .simhash import op8_simhash
 
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_language_id": op3_language_id,
     "op5_bpe": op5_bpe,
+    "op7_audio": op7_audio,
+    "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
 }
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .audio import op7_audio
 from .bpe import op5_bpe
 from .langid import op3_language_id
+from .lattice import op10_embeddings
 from .mixing import OP2_SQL, op2_mixing
 from .sharding import OP9_SQL, op9_sharding
 from .simhash import op8_simhash
@@ -16,6 +17,7 @@ QUERIES = {
     "op7_audio": op7_audio,
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
+    "op10_embeddings": op10_embeddings,
 }
 
 ORACLE_SQL = {"op2_mixing": OP2_SQL, "op9_sharding": OP9_SQL}

@@ -7,12 +7,14 @@ from .bpe import op5_bpe
 from .langid import op3_language_id
 from .lattice import op10_embeddings
 from .mixing import OP2_SQL, op2_mixing
+from .pii import op4_pii
 from .sharding import OP9_SQL, op9_sharding
 from .simhash import op8_simhash
 
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_language_id": op3_language_id,
+    "op4_pii": op4_pii,
     "op5_bpe": op5_bpe,
     "op7_audio": op7_audio,
     "op8_simhash": op8_simhash,

@@ -147,7 +147,6 @@ def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
     """The learned language and its share (0 to 1); `und` and 0 for texts that are null or have no letter."""
     out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
     which = [i for i, t in enumerate(texts) if has_letter(t)] if model.langs else []
-    # blanks that follow one another count as one, as in training, without changing any letter n-gram
     x = presence([texts[i] for i in which], model.table, model.ids, model.width)
     margins = kernel(x, model.landmarks) @ model.weights + model.bias
     shares = np.exp(SHARPNESS * (margins - margins.max(1, keepdims=True))) if len(which) else margins
@@ -199,6 +198,23 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {OUT}")
 
 
+def keep_identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs, all columns with them, whose text has a language with at least this share; a null lang becomes it."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                got = predict(shared.value, part["text"].to_pylist())
+                langs = [own if own is not None else lang for own, (lang, _) in zip(part["lang"].to_pylist(), got)]
+                part = pa.RecordBatch.from_arrays([pa.array(langs, pa.string()) if i == at else c for i, c in enumerate(part.columns)], part.schema.names)
+                yield part.filter(pa.array([lang != UNKNOWN and share >= least for lang, share in got]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, fit_documents(docs)).select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "lang_pred", "score")

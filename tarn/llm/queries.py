@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .audio import op7_audio
 from .bpe import op5_bpe
+from .html import op1_html
 from .langid import op3_language_id
 from .lattice import op10_embeddings
 from .mixing import OP2_SQL, op2_mixing
@@ -12,6 +13,7 @@ from .sharding import OP9_SQL, op9_sharding
 from .simhash import op8_simhash
 
 QUERIES = {
+    "op1_html": op1_html,
     "op2_mixing": op2_mixing,
     "op3_language_id": op3_language_id,
     "op4_pii": op4_pii,

@@ -11,6 +11,7 @@ from .mixing import OP2_SQL, op2_mixing
 from .pii import op4_pii
 from .sharding import OP9_SQL, op9_sharding
 from .simhash import op8_simhash
+from .suffixes import op6_suffix_dedup
 
 QUERIES = {
     "op1_html": op1_html,
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_pii": op4_pii,
     "op5_bpe": op5_bpe,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_audio": op7_audio,
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,

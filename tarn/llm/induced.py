@@ -142,52 +142,55 @@ def common(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(out, CAP).astype(np.uint8)
 
 
+def groups(*keys: np.ndarray) -> np.ndarray:
+    """For sorted keys, the last being the major one: the place at which each element's group of equal keys begins."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    at = np.flatnonzero(new)
+    return np.repeat(at, np.diff(np.concatenate([at, [len(new)]])))
+
+
+def refined(rank: np.ndarray, on: np.ndarray, key: np.ndarray) -> None:
+    """Ranks are places in the order. Those of the elements `on` (whole groups of equal ranks) are refined by the key."""
+    order = np.lexsort((key, rank[on]))
+    own, r, k = on[order], rank[on][order], key[order]
+    rank[own] = r + groups(k, r) - groups(r)
+
+
+def padded_words(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: int) -> np.ndarray:
+    """Eight bytes of each piece from `at` on; what lies beyond its end is the largest byte."""
+    over = np.clip(lengths - at, 0, 8).astype(np.uint64)
+    pad = np.where(over == 0, ~np.uint64(0), (np.uint64(1) << (np.uint64(8) * (np.uint64(8) - np.maximum(over, 1)))) - np.uint64(1))
+    return words(text, starts + at) | pad
+
+
 def named(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Ranks of the pieces from each start to the next one, both ends included; of two pieces of which one begins the other, the shorter is larger."""
+    """Places of the pieces from each start to the next one, both ends included, in their order; equal pieces have one place.
+    Of two pieces of which one begins the other, the shorter is larger."""
     lengths = np.diff(np.concatenate([starts, [len(text) - 1]])) + 1
     lengths[-1] = 1  # the sentinel
-    rank, on, at = np.zeros(len(starts), np.int64), np.arange(len(starts)), 0
+    w = padded_words(text, starts, lengths, 0)
+    order = np.argsort(w)
+    rank = np.empty(len(starts), np.int64)
+    rank[order] = groups(w[order])
+    at, on = 8, np.flatnonzero(lengths >= 8)  # one that ends here is padded once more, against longer ones
     while len(on):
-        w = words(text, starts[on] + at)
-        over = np.minimum(8, np.maximum(0, lengths[on] - at))
-        pad = np.where(over == 8, np.uint64(0), (np.uint64(1) << (np.uint64(64) - np.uint64(8) * np.minimum(over, 7).astype(np.uint64))) - np.uint64(1))
-        pad = np.where(over == 0, ~np.uint64(0), pad)
-        w |= pad
-        # ranks refine those before; pieces that ended earlier keep theirs, as the padding set them apart
-        order = np.lexsort((w, rank[on]))
-        r, ww = rank[on][order], w[order]
-        new = np.concatenate([[True], (r[1:] != r[:-1]) | (ww[1:] != ww[:-1])])
-        group = np.cumsum(new) - 1
-        first = np.searchsorted(r, r, side="left")
-        inner = np.empty(len(on), np.int64)
-        inner[order] = group - group[first]
-        # room for the finer ranks below each old one: ranks are places in the sorted order
-        finer = np.zeros(len(starts), np.int64)
-        finer[on] = inner
-        pairs = np.lexsort((finer, rank))
-        change = np.concatenate([[False], (rank[pairs][1:] != rank[pairs][:-1]) | (finer[pairs][1:] != finer[pairs][:-1])])
-        rank[pairs] = np.cumsum(change)
+        refined(rank, on, padded_words(text, starts[on], lengths[on], at))
         at += 8
-        on = np.flatnonzero(lengths >= at)  # one that ends here is padded once more, against longer ones
+        on = np.flatnonzero(lengths >= at)
     return rank
 
 
-def by_doubling(names: np.ndarray, depth: int | None) -> np.ndarray:
-    """Order of the suffixes of a string of names, of which at least `depth` count (all if None)."""
-    rank, step = names.astype(np.uint64), 1
-    order = np.argsort(rank, kind="stable")
+def by_doubling(rank: np.ndarray, depth: int | None) -> np.ndarray:
+    """Order of the suffixes of a string of places, of which at least `depth` count (all if None). Only ties are sorted again."""
+    rank, step, n = rank.copy(), 1, len(rank)
     while depth is None or step < depth:
-        after = np.zeros(len(rank), np.uint64)
-        after[:-step] = rank[step:] + np.uint64(1)
-        key = rank * np.uint64(len(rank) + 2) + after
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], (key[order][1:] != key[order][:-1]).astype(np.uint64)])
-        rank = np.empty(len(rank), np.uint64)
-        rank[order] = np.cumsum(new).astype(np.uint64)
-        step *= 2
-        if int(rank.max(initial=0)) == len(rank) - 1 or step >= len(rank):
+        on = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
+        if not len(on):
             break
-    return order
+        refined(rank, on, np.where(on + step < n, rank[np.minimum(on + step, n - 1)] + 1, 0))
+        step *= 2
+    return np.argsort(rank, kind="stable")
 
 
 class Inducer:
@@ -202,18 +205,21 @@ class Inducer:
     def lms(self) -> np.ndarray:
         """Positions of the LMS suffixes in their order."""
         starts = np.flatnonzero(self.up[1:] & ~self.up[:-1]) + 1
-        names = named(self.text, starts)
-        count = int(names.max(initial=0)) + 1
+        places = named(self.text, starts)
+        seen = np.zeros(len(starts), np.int64)
+        seen[places] = 1
+        count = int(seen.sum())
         if count == len(starts):
-            return starts[np.argsort(names, kind="stable")]
+            return starts[np.argsort(places)]
         if count < min(SYMBOLS, 253) and len(starts) > 64:
             # the string of names is a text of the same kind: the sentinel's name is 0 and the least
             sub = self.folder / "names"
             sub.mkdir()
-            order = np.concatenate([c["pos"] for c in Inducer(names.astype(np.uint8), sub, self.depth is None, self.in_memory).falling()])[::-1]
+            names = (np.cumsum(seen) - 1)[places].astype(np.uint8)
+            order = np.concatenate([c["pos"] for c in Inducer(names, sub, self.depth is None, self.in_memory).falling()])[::-1]
             sub.rmdir()
             return starts[order]
-        return starts[by_doubling(names, self.depth)]
+        return starts[by_doubling(places, self.depth)]
 
     def run_length(self, pos: int) -> int:
         part = self.text[pos : pos + CAP]

@@ -16,6 +16,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,13 @@ GRAM = 16
 RUN = 64
 #: Bytes of text whose keys one bucket holds, about.
 BUCKET_BYTES = 1 << 24
+#: Bytes of text whose segments are numbered together.
+LOT_BYTES = 1 << 22
+#: Leading bytes of a key that decide whether it is repeated; two keys of a bucket that agree by chance cost a comparison.
+KEY_BYTES = 5
+#: Segments whose least id a task keeps in mind, and bytes of segments that it sends on at once.
+REMEMBERED = 150_000
+SENT_BYTES = 1 << 23
 NONE = np.iinfo(np.int64).max
 
 
@@ -68,135 +76,241 @@ def segments(data: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarr
     return keys[at], at, n
 
 
-def utf8(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").encode(), np.uint8)
-
-
 def arrays(*pairs: tuple) -> list[pa.Array]:
     return [pa.array(x, k) for x, k in pairs]
 
 
+def deltas(places: np.ndarray, unit: type) -> bytes:
+    """Rising numbers from 0 on as differences: a difference is a number of largest units and a smaller one."""
+    top = np.iinfo(unit).max
+    steps = np.diff(places, prepend=0)
+    ends = np.cumsum(steps // top + 1) - 1
+    out = np.full(ends[-1] + 1 if len(ends) else 0, top, unit)
+    out[ends] = steps % top
+    return out.tobytes()
+
+
+def undeltas(data: bytes, unit: type) -> np.ndarray:
+    units = np.frombuffer(data, unit)
+    return np.cumsum(units, dtype=np.int64)[units != np.iinfo(unit).max]
+
+
+def short_keys(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view(np.uint64).ravel()
+
+
+def unit_for(buckets: int) -> type:
+    return np.uint8 if buckets <= 128 else np.uint16
+
+
+PACKED = "to long, tag long, keys binary, places binary, ids binary, counts binary"
+ASK = -1
+
+
 def packed_keys(docs: DataFrame, buckets: int, width: int) -> DataFrame:
-    """Per batch of documents and bucket of keys, one row with the segments' keys, documents and places as bytes.
+    """The segments' keys, per lot of documents and bucket of keys, in a few bytes each.
 
-    A key that several documents of a batch have is repeated for certain: the batch's segments with it are marked
-    so (known), and only one of them goes to the key's bucket, so a key that very many documents have reaches its
-    bucket once for each batch.
+    A lot's segments are numbered; its row for a bucket holds the keys' leading bytes and the numbers. A key that
+    several documents of a lot have is repeated for certain: such segments stay in a row of the lot, and the bucket
+    is only told the key once (tag ASK), so that a key of very many documents reaches its bucket once for each lot.
+    Tags follow from the task and the order of its input, so a task that runs again gives the same.
     """
+    unit = unit_for(buckets)
+
+    def pack(tag: int, ids: np.ndarray, texts: list[bytes]) -> pa.RecordBatch | None:
+        found = [segments(np.frombuffer(t, np.uint8), width)[0] for t in texts]
+        counts = np.array([len(f) for f in found], np.uint32)
+        key = np.concatenate(found)
+        if not len(key):
+            return None
+        row = np.repeat(ids, counts)
+        order = np.lexsort((row, key))
+        start = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+        sizes = np.diff(np.concatenate([start, [len(key)]]))
+        several = np.zeros(len(key), bool)
+        several[order] = np.repeat(row[order][start] != row[order][start + sizes - 1], sizes)
+        first = np.zeros(len(key), bool)
+        first[order[start]] = True
+        cut = lambda k: np.ascontiguousarray((k.view(np.uint64) >> np.uint64(24))[:, None].view(np.uint8)[:, :KEY_BYTES]).tobytes()
+        rows = [(-1 - tag, tag, b"", deltas(np.flatnonzero(several), unit), ids.astype(np.int64).tobytes(), counts.tobytes())]
+        for ask in (False, True):
+            some = np.flatnonzero(several & first if ask else ~several)
+            bucket = key[some] & (buckets - 1)
+            by = np.argsort(bucket, kind="stable")
+            for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(by) else ():
+                own = some[part]
+                rows.append((int(bucket[part[0]]), ASK if ask else tag, cut(key[own]), b"" if ask else deltas(own, unit), b"", b""))
+        cols = list(zip(*rows))
+        return pa.RecordBatch.from_arrays(arrays(*[(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), *[pa.binary()] * 4))]), ["to", "tag", "keys", "places", "ids", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() << 32
+        ids, texts, size, lot = [], [], 0, 0
         for batch in batches:
-            ids, marks = batch["doc_id"].to_numpy(), batch["mark"].to_numpy()
-            found = [segments(utf8(t.as_py()), width) for t in batch["text"]]
-            counts = [len(f[0]) for f in found]
-            if not sum(counts):
-                continue
-            key, at, n = (np.concatenate([f[i] for f in found]) for i in range(3))
-            row = np.repeat(np.arange(len(found)), counts)
-            # the order of key and id shows which keys have several ids here
-            order = np.lexsort((ids[row], key))
-            key, at, n, row = key[order], at[order], n[order], row[order]
-            first = np.concatenate([[True], key[1:] != key[:-1]])
-            group = np.cumsum(first) - 1
-            start = np.flatnonzero(first)
-            stop = np.concatenate([start[1:], [len(key)]]) - 1
-            several = (ids[row[start]] != ids[row[stop]])[group]
-            out = []
-            known = np.flatnonzero(several)
-            if len(known):
-                out.append((-1 - int(ids[row[known[0]]] & 0xFFFF), known, np.zeros(0, np.int64)))
-            asked = np.flatnonzero(~several | first)
-            bucket = (key[asked] & (buckets - 1)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[by])) + 1
-            for part in np.split(by, cuts):
-                out.append((int(bucket[part[0]]), asked[part], several[asked[part]]))
-            b = lambda x, t: np.ascontiguousarray(x, t).tobytes()
-            yield pa.RecordBatch.from_arrays(arrays(
-                ([o[0] for o in out], pa.int64()),
-                ([b(key[o[1]], np.int64) for o in out], pa.binary()),
-                ([b(ids[row[o[1]]], np.int64) for o in out], pa.binary()),
-                ([b(marks[row[o[1]]], np.int64) for o in out], pa.binary()),
-                ([b(at[o[1]], np.int32) for o in out], pa.binary()),
-                ([b(n[o[1]], np.uint8) for o in out], pa.binary()),
-                ([b(o[2], np.uint8) for o in out], pa.binary()),
-            ), ["bucket", "keys", "ids", "marks", "places", "windows", "only_asks"])
-
-    return docs.mapInArrow(run, "bucket long, keys binary, ids binary, marks binary, places binary, windows binary, only_asks binary")
+            for i, t in zip(batch["doc_id"].to_pylist(), batch["text"]):
+                raw = t.as_py().encode()
+                if i is None or len(raw) < width:
+                    continue
+                ids.append(i)
+                texts.append(raw)
+                size += len(raw)
+                if size >= LOT_BYTES:
+                    if (out := pack(task | lot, np.array(ids, np.int64), texts)) is not None:
+                        yield out
+                    ids, texts, size, lot = [], [], 0, lot + 1
+        if ids and (out := pack(task | lot, np.array(ids, np.int64), texts)) is not None:
+            yield out
+
+    return docs.mapInArrow(run, PACKED)
 
 
 def repeated_segments(docs: DataFrame, buckets: int, width: int) -> DataFrame:
-    """id, mark, key, place, windows of the segments whose key several documents have."""
-    packed = packed_keys(docs, buckets, width).repartition("bucket").sortWithinPartitions("bucket")
-
-    def decide(rows: list[dict]) -> tuple[np.ndarray, ...]:
-        join = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])
-        key, ids, marks, at, n = join("keys", np.int64), join("ids", np.int64), join("marks", np.int64), join("places", np.int32), join("windows", np.uint8)
-        if rows[0]["bucket"] < 0:
-            return ids, marks, key, at, n
-        asks = join("only_asks", np.uint8).astype(bool)
-        order = np.lexsort((ids, key))
-        key, ids, marks, at, n, asks = (x[order] for x in (key, ids, marks, at, n, asks))
+    """id, ordinals: which segments of the document have a key that another document has too (or one of equal leading bytes)."""
+    unit = unit_for(buckets)
+    asked = packed_keys(docs.select("doc_id", "text"), buckets, width).repartition("to").sortWithinPartitions("to")
+
+    def decide(rows: list[tuple]) -> list[tuple]:
+        if rows[0][0] < 0:
+            return rows
+        keys = [short_keys(r[2]) for r in rows]
+        tag = np.repeat(np.array([r[1] for r in rows], np.int64), [len(k) for k in keys])
+        place = np.concatenate([np.zeros(len(k), np.int64) if r[1] == ASK else undeltas(r[3], unit) for r, k in zip(rows, keys)])
+        key = np.concatenate(keys)
+        order = np.lexsort((tag, key))
+        key, tag, place = key[order], tag[order], place[order]
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.concatenate([start, [len(key)]]))
-        # one that only asks stands for several documents
-        many = (ids[start] != ids[start + sizes - 1]) | np.logical_or.reduceat(asks, start)
-        keep = np.repeat(many, sizes) & ~asks
-        return tuple(x[keep] for x in (ids, marks, key, at, n))
+        keep = np.repeat((tag[start] != tag[start + sizes - 1]) | (tag[start] == ASK), sizes) & (tag != ASK)
+        tag, place = tag[keep], place[keep]
+        order = np.lexsort((place, tag))
+        tag, place = tag[order], place[order]
+        return [(0, int(tag[p[0]]), b"", deltas(place[p], unit), b"", b"") for p in np.split(np.arange(len(tag)), np.flatnonzero(np.diff(tag)) + 1) if len(p)]
+
+    def runs_of(rows: Iterator[tuple], at: int) -> Iterator[list[tuple]]:
+        pending: list[tuple] = []
+        for row in rows:
+            if pending and row[at] != pending[0][at]:
+                yield pending
+                pending = []
+            pending.append(row)
+        if pending:
+            yield pending
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-            got = decide(rows)
-            for a in range(0, len(got[0]), 50_000):
-                yield pa.RecordBatch.from_arrays(arrays(*[(x[a : a + 50_000].astype(t), k) for x, t, k in zip(got, (np.int64, np.int64, np.int64, np.int32, np.int32), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))]), ["id", "mark", "key", "place", "windows"])
+    names = ["to", "tag", "keys", "places", "ids", "counts"]
+    rows_in = lambda batches: (r for b in batches for r in zip(*[b[c].to_pylist() for c in names]))
 
-        pending: list[dict] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if pending and (row["bucket"] != pending[0]["bucket"] or row["bucket"] < 0):
-                    yield from emit(pending)
-                    pending = []
-                pending.append(row)
-        if pending:
-            yield from emit(pending)
+    def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs_of(rows_in(batches), 0):
+            if got := decide(rows):
+                yield pa.RecordBatch.from_arrays(arrays(*[(list(c), k) for c, k in zip(zip(*got), (pa.int64(), pa.int64(), *[pa.binary()] * 4))]), names)
+
+    def by_lot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs_of(rows_in(batches), 1):
+            own = next(r for r in rows if r[4])
+            ids, counts = np.frombuffer(own[4], np.int64), np.frombuffer(own[5], np.uint32).astype(np.int64)
+            place = np.unique(np.concatenate([undeltas(r[3], unit) for r in rows]))
+            starts = np.cumsum(counts) - counts
+            doc = np.searchsorted(starts + counts, place, side="right")
+            inner = (place - starts[doc]).astype(np.int32)
+            parts = [p for p in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(doc)) + 1) if len(p)]
+            yield pa.RecordBatch.from_arrays(arrays(([int(ids[doc[p[0]]]) for p in parts], pa.int64()), ([inner[p].tobytes() for p in parts], pa.binary())), ["id", "ordinals"])
 
-    return packed.mapInArrow(run, "id long, mark long, key long, place int, windows int")
+    answered = asked.mapInArrow(by_bucket, PACKED).repartition("tag").sortWithinPartitions("tag")
+    return answered.mapInArrow(by_lot, "id long, ordinals binary")
 
 
-def with_bytes(docs: DataFrame, found: DataFrame, width: int) -> DataFrame:
-    """id, mark, key, place, windows, data of the segments, and `sure`: an equal segment of a smaller id stands in the same batch."""
-    per_doc = found.groupBy("id", "mark").agg(F.collect_list(F.struct("key", "place", "windows")).alias("s"))
-    joined = docs.join(per_doc, (F.col("doc_id") == F.col("id")) & (docs["mark"] == per_doc["mark"])).select("doc_id", docs["mark"], "text", "s")
+ROUTED = "shard int, blob binary"
+
+
+def packed(*parts: np.ndarray | bytes) -> bytes:
+    """Arrays of one length and, at the end, bytes, compressed together."""
+    body = b"".join(x if isinstance(x, bytes) else x.tobytes() for x in parts)
+    return len(parts[0]).to_bytes(4, "little") + len(body).to_bytes(4, "little") + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes, *kinds: type) -> tuple:
+    """The arrays of the given types, and the bytes after them."""
+    n, size = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:8], "little")
+    body, at, out = pa.decompress(blob[8:], decompressed_size=size, codec="zstd", asbytes=True), 0, []
+    for k in kinds:
+        out.append(np.frombuffer(body, k, n, at))
+        at += n * np.dtype(k).itemsize
+    return *out, body[at:]
+
+
+def with_bytes(rows: DataFrame, found: DataFrame, shards: int, width: int) -> DataFrame:
+    """shard, blob: the segments' bytes on their way to the shards, those of a lot for one shard in one row.
+
+    Segments of which an equal one of a smaller id is known in the task are removed for certain and need no shard:
+    their stretches go on at a negative number. So a passage that very many documents share reaches its shard about
+    once for each task. Rows that repeat an id take each other's segments too, which costs a comparison and changes nothing.
+    """
+    per_doc = found.groupBy("id").agg(F.collect_list("ordinals").alias("ordinals"))
+    joined = rows.join(per_doc, F.col("doc_id") == F.col("id"), "left").select("doc_id", "mark", "text", "ordinals")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[bytes, int] = {}
+        asked: list[tuple] = []  # per document: id, mark, shards, places, segments
+        certain: list[tuple] = []  # per document: id, mark, starts, stops
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            out = []
+            if certain:
+                n = [len(c[2]) for c in certain]
+                ids, marks = (np.repeat(np.array([c[k] for c in certain], t), n) for k, t in ((0, np.int64), (1, np.int32)))
+                out.append((-1 - int(ids[0] & 0x3FFFFFFF), packed(ids, marks, np.concatenate([c[2] for c in certain]).astype(np.int32), np.concatenate([c[3] for c in certain]).astype(np.int32))))
+            if asked:
+                n = [len(a[2]) for a in asked]
+                ids, marks = (np.repeat(np.array([a[k] for a in asked], t), n) for k, t in ((0, np.int64), (1, np.int32)))
+                shard, place = np.concatenate([a[2] for a in asked]), np.concatenate([a[3] for a in asked]).astype(np.int32)
+                data = [d for a in asked for d in a[4]]
+                order = np.argsort(shard, kind="stable")
+                for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+                    own = [data[k] for k in part.tolist()]
+                    out.append((int(shard[part[0]]), packed(ids[part], marks[part], place[part], np.array([len(d) for d in own], np.uint16), b"".join(own))))
+            asked.clear()
+            certain.clear()
+            if out:
+                yield pa.RecordBatch.from_arrays(arrays(*zip(map(list, zip(*out)), (pa.int32(), pa.binary()))), ["shard", "blob"])
+
         for batch in batches:
-            ids, marks = batch["doc_id"].to_pylist(), batch["mark"].to_pylist()
-            rows, least = [], {}
-            for i, (text, s) in enumerate(zip(batch["text"], batch["s"].to_pylist())):
-                raw = (text.as_py() or "").encode()
-                for x in s:
-                    data = raw[x["place"] : x["place"] + x["windows"] + width - 1]
-                    rows.append((ids[i], marks[i], x["key"], x["place"], x["windows"], data))
-                    if (own := least.get(data)) is None or ids[i] < own:
-                        least[data] = ids[i]
-            for a in range(0, len(rows), 20_000):
-                part = rows[a : a + 20_000]
-                cols = list(zip(*part))
-                sure = [r[0] > least[r[5]] for r in part]
-                # what is sure only passes through the shards, so it is spread over them
-                key = [r[1] ^ r[3] if s else r[2] for r, s in zip(part, sure)]
-                yield pa.RecordBatch.from_arrays(arrays((cols[0], pa.int64()), (cols[1], pa.int64()), (key, pa.int64()), (cols[3], pa.int32()), (cols[4], pa.int32()), ([None if s else d for s, d in zip(sure, cols[5])], pa.binary()), (sure, pa.bool_())), ["id", "mark", "key", "place", "windows", "data", "sure"])
-
-    return joined.mapInArrow(run, "id long, mark long, key long, place int, windows int, data binary, sure boolean")
-
-
-def least_ids(pieces: list[tuple[int, int]], owner: np.ndarray, starts: np.ndarray, text: np.ndarray, folder: Path, width: int) -> np.ndarray:
-    """Per window (in the order of pieces, then place): the least id of any window with the same bytes in the shard.
-
-    pieces: (first byte, windows) of each distinct segment; owner: the least id that has it; starts: per window, its byte."""
-    of = np.full(len(text), -1, np.int64)
-    of[starts] = np.arange(len(starts))
-    ids = np.repeat(owner, [n for _, n in pieces])
+            batch = batch.filter(pc.is_valid(batch["ordinals"]))
+            for i, mark, text, which in zip(batch["doc_id"].to_pylist(), batch["mark"].to_pylist(), batch["text"], batch["ordinals"].to_pylist()):
+                raw = text.as_py().encode()
+                key, at, n = segments(np.frombuffer(raw, np.uint8), width)
+                own = np.unique(np.concatenate([np.frombuffer(w, np.int32) for w in which]))
+                own = own[own < len(key)]
+                a, z = at[own], at[own] + n[own] + width - 1
+                data = [raw[p:q] for p, q in zip(a.tolist(), z.tolist())]
+                known = [least.get(d, i) for d in data]
+                new = np.array([k >= i for k in known], bool)
+                if not new.all():
+                    certain.append((i, mark, *merged(a[~new], z[~new])))
+                if new.any():
+                    some = [d for d, w in zip(data, new) if w]
+                    least.update(dict.fromkeys(some, i))
+                    asked.append((i, mark, (key[own][new] & (shards - 1)).astype(np.int32), a[new], some))
+                    size += sum(map(len, some))
+                if len(least) > REMEMBERED:
+                    least.clear()
+                if size > SENT_BYTES:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    return joined.mapInArrow(run, ROUTED)
+
+
+def least_ids(sizes: np.ndarray, owner: np.ndarray, starts: np.ndarray, text: np.ndarray, folder: Path, width: int) -> np.ndarray:
+    """Per window, the least id of any window with the same bytes in the shard.
+
+    sizes: windows of each distinct segment; owner: the least id that has it; starts: per window, in the segments' order, its first byte."""
+    of = np.full(len(text), -1, np.int32)
+    of[starts] = np.arange(len(starts), dtype=np.int32)
+    ids = np.repeat(owner, sizes)
     out = np.full(len(starts), NONE)
     open_run: list[np.ndarray] = []
 
@@ -224,57 +338,68 @@ def least_ids(pieces: list[tuple[int, int]], owner: np.ndarray, starts: np.ndarr
     return out
 
 
-def covered(docs_segments: DataFrame, width: int) -> DataFrame:
-    """id, mark, start, stop: stretches of bytes that repeat, from each segment's removed windows; stretches may overlap."""
-    rows = docs_segments.repartition("key").sortWithinPartitions("data", "id")
+def stretches_of(blobs: list[bytes], width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """ids, marks, starts, stops of the removed stretches of one shard, from the segments of its blobs."""
+    number: dict[bytes, int] = {}
+    owner: list[int] = []
+    members = []
+    for blob in blobs:
+        ids, marks, places, lengths, data = unpacked(blob, np.int64, np.int32, np.int32, np.uint16)
+        ends = np.cumsum(lengths, dtype=np.int64)
+        of = np.empty(len(ids), np.int64)
+        for k, (i, a, z) in enumerate(zip(ids.tolist(), (ends - lengths).tolist(), ends.tolist())):
+            d = data[a:z]
+            n = number.setdefault(d, len(owner))
+            if n == len(owner):
+                owner.append(i)
+            elif i < owner[n]:
+                owner[n] = i
+            of[k] = n
+        members.append((ids, marks, places, lengths.astype(np.int64) - (width - 1), of))
+    with tempfile.TemporaryDirectory() as name:
+        folder = Path(name)
+        bytes_of = np.fromiter(map(len, number), np.int64, len(number))
+        with (folder / "text").open("wb") as f:
+            f.write((np.frombuffer(b"".join(number), np.uint8) + np.uint8(1)).tobytes() + b"\0")
+        number.clear()
+        sizes = bytes_of - (width - 1)
+        offsets = np.cumsum(sizes) - sizes
+        starts = np.repeat(np.cumsum(bytes_of) - bytes_of - offsets, sizes) + np.arange(sizes.sum())
+        least = least_ids(sizes, np.array(owner, np.int64), starts, np.memmap(folder / "text", np.uint8, "r"), folder, width)
+    for ids, marks, places, windows, of in members:
+        within = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        gone = least[np.repeat(offsets[of], windows) + within] < np.repeat(ids, windows)
+        row = np.repeat(np.arange(len(ids)), windows)
+        # runs of removed windows inside each segment
+        edge = np.concatenate([[False], gone, [False]])
+        other = np.concatenate([[True], row[1:] != row[:-1], [True]])
+        begin = np.flatnonzero(gone & (~edge[:-2] | other[:-1]))
+        end = np.flatnonzero(gone & (~edge[2:] | other[1:]))
+        if len(begin):
+            yield ids[row[begin]], marks[row[begin]], (places[row[begin]] + within[begin]).astype(np.int32), (places[row[end]] + within[end] + width).astype(np.int32)
+
+
+def covered(routed: DataFrame, width: int) -> DataFrame:
+    """id, mark, start, stop: stretches of bytes that repeat; stretches may overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # one shard: equal segments follow one another, so the text gets each of them once
-        with tempfile.TemporaryDirectory() as name:
-            folder = Path(name)
-            pieces: list[tuple[int, int]] = []
-            owner, members, last, size = [], [], None, 0
-            with (folder / "text").open("wb") as f:
-                for batch in batches:
-                    if len(whole := batch.filter(batch["sure"])):
-                        start = whole["place"].to_numpy()
-                        yield pa.RecordBatch.from_arrays([whole["id"], whole["mark"], pa.array(start), pa.array(start + whole["windows"].to_numpy() + np.int32(width - 1))], ["id", "mark", "start", "stop"])
-                    batch = batch.filter(pc.invert(batch["sure"]))
-                    of = []
-                    for data, i, n in zip(batch["data"], batch["id"].to_pylist(), batch["windows"].to_pylist()):
-                        raw = data.as_py()
-                        if raw != last:
-                            f.write((np.frombuffer(raw, np.uint8) + np.uint8(1)).tobytes())
-                            pieces.append((size, n))
-                            owner.append(i)
-                            last, size = raw, size + len(raw)
-                        of.append(len(pieces) - 1)
-                    members.append((batch["id"].to_numpy(), batch["mark"].to_numpy(), batch["place"].to_numpy(), batch["windows"].to_numpy(), np.array(of, np.int64)))
-                f.write(b"\0")
-            if not pieces:
-                return
-            text = np.memmap(folder / "text", np.uint8, "r")
-            counts = np.array([n for _, n in pieces])
-            offsets = np.cumsum(counts) - counts
-            starts = np.repeat(np.array([p for p, _ in pieces]) - offsets, counts) + np.arange(counts.sum())
-            least = least_ids(pieces, np.array(owner, np.int64), starts, text, folder, width)
-            del text
-            for ids, marks, places, windows, of in members:
-                total = int(windows.sum())
-                within = np.arange(total) - np.repeat(np.cumsum(windows) - windows, windows)
-                gone = least[np.repeat(offsets[of], windows) + within] < np.repeat(ids, windows)
-                row = np.repeat(np.arange(len(ids)), windows)
-                # runs of removed windows inside each segment
-                edge = np.concatenate([[False], gone, [False]])
-                other = np.concatenate([[True], row[1:] != row[:-1], [True]])
-                begin = np.flatnonzero(gone & (~edge[:-2] | other[:-1]))
-                end = np.flatnonzero(gone & (~edge[2:] | other[1:]))
-                if len(begin):
-                    start = places[row[begin]] + within[begin]
-                    stop = places[row[end]] + within[end] + width
-                    yield pa.RecordBatch.from_arrays(arrays((ids[row[begin]], pa.int64()), (marks[row[begin]], pa.int64()), (start.astype(np.int32), pa.int32()), (stop.astype(np.int32), pa.int32())), ["id", "mark", "start", "stop"])
-
-    return rows.mapInArrow(run, "id long, mark long, start int, stop int")
+        def emit(shard: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+            found = (unpacked(b, np.int64, np.int32, np.int32, np.int32)[:4] for b in blobs) if shard < 0 else stretches_of(blobs, width)
+            for ids, marks, starts, stops in found:
+                yield pa.RecordBatch.from_arrays(arrays((ids, pa.int64()), (marks, pa.int32()), (starts, pa.int32()), (stops, pa.int32())), ["id", "mark", "start", "stop"])
+
+        shard, blobs = 0, []
+        for batch in batches:
+            for own, blob in zip(batch["shard"].to_pylist(), batch["blob"].to_pylist()):
+                if blobs and (own != shard or own < 0):
+                    yield from emit(shard, blobs)
+                    blobs = []
+                shard = own
+                blobs.append(blob)
+        if blobs:
+            yield from emit(shard, blobs)
+
+    return routed.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "id long, mark int, start int, stop int")
 
 
 def merged(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -286,7 +411,7 @@ def merged(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def removals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, text, and the arrays starts and stops of the removed runs of bytes, for every row of docs.
+    """doc_id, text, mark and s, for every row of docs: the stretches of bytes to remove are those in s with the row's mark.
 
     Null texts are empty. Rows that repeat a doc_id are each other's equals: neither is smaller. Rows with a null doc_id
     lose nothing and count for nobody. Strings never reach across rows, and are judged on the input.
@@ -294,50 +419,52 @@ def removals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """
     if width < 2:
         raise ValueError("width must be at least 2")
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    # hash() tells rows apart that repeat a doc_id with another text
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("mark", F.hash("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     buckets = 1 << max(6, (int(size) // BUCKET_BYTES).bit_length())
-    able = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width))
-    parts = with_bytes(able, repeated_segments(able, buckets, width), width)
-    found = covered(parts, width)
-    per_doc = found.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "stop")).alias("s")).withColumnRenamed("mark", "own_mark")
-    joined = rows.join(per_doc, (F.col("doc_id") == F.col("id")) & (F.col("mark") == F.col("own_mark")), "left")
-    return joined.select("doc_id", "text", "s")
+    found = covered(with_bytes(rows, repeated_segments(rows, buckets, width), buckets, width), width)
+    per_doc = found.groupBy("id").agg(F.collect_list(F.struct("mark", "start", "stop")).alias("s"))
+    # both joins read the documents in one way, so that their texts are dealt out by id once
+    return rows.join(per_doc, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "mark", "s")
+
+
+def kept_parts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, bytes]]:
+    """n_bytes, n_removed, n_spans and the kept bytes of each row of removals."""
+    s = batch["s"]
+    offsets, flat = s.offsets.to_numpy(), s.values
+    mark, start, stop = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("mark", "start", "stop"))
+    for k, (text, own) in enumerate(zip(batch["text"], batch["mark"].to_pylist())):
+        raw = text.as_py().encode()
+        part = slice(offsets[k], offsets[k + 1])
+        ours = mark[part] == own
+        if not ours.any():
+            yield len(raw), 0, 0, raw
+            continue
+        starts, stops = merged(start[part][ours], stop[part][ours])
+        kept, at = [], 0
+        for a, b in zip(starts.tolist(), stops.tolist()):
+            kept.append(raw[at:a])
+            at = b
+        kept.append(raw[at:])
+        yield len(raw), int((stops - starts).sum()), len(starts), b"".join(kept)
 
 
-def cleaned(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row of docs."""
+def cleaned(docs: DataFrame, width: int = WIDTH, digest: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes, or kept_sha256, their digest) of every row of docs."""
+    name, kind = ("kept_sha256", pa.string()) if digest else ("kept", pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [kept_of(t.as_py(), s.as_py()) for t, s in zip(batch["text"], batch["s"])]
+            rows = [(*r[:3], hashlib.sha256(r[3]).hexdigest() if digest else r[3]) for r in kept_parts(batch)]
             cols = list(zip(*rows)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), *arrays(*[(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), *arrays(*[(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), kind))])], ["doc_id", "n_bytes", "n_removed", "n_spans", name])
 
-    return removals(docs, width).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-
-
-def kept_of(text: str, stretches: list[dict] | None) -> tuple[int, int, int, bytes]:
-    raw = text.encode()
-    if not stretches:
-        return len(raw), 0, 0, raw
-    starts, stops = merged(np.array([x["start"] for x in stretches]), np.array([x["stop"] for x in stretches]))
-    kept, at = [], 0
-    for a, b in zip(starts.tolist(), stops.tolist()):
-        kept.append(raw[at:a])
-        at = b
-    kept.append(raw[at:])
-    return len(raw), int((stops - starts).sum()), len(starts), b"".join(kept)
+    return removals(docs, width).mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, n_spans long, {name} {'string' if digest else 'binary'}")
 
 
 def digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [kept_of(t.as_py(), s.as_py()) for t, s in zip(batch["text"], batch["s"])]
-            cols = list(zip(*[(*r[:3], hashlib.sha256(r[3]).hexdigest()) for r in rows])) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), *arrays(*[(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()))])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return removals(docs, width).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return cleaned(docs, width, digest=True)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

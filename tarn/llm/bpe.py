@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 #: Entries kept of words and of fragments; beyond that the memory starts anew.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 120_000
 #: Longer words and fragments are encoded each time and not kept.
 CACHE_CHARS = 64
+#: Documents whose ids are held at once.
+SLICE = 100
 VOCABULARY = "word_bpe_49k.json"
 
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -36,6 +38,18 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in keep else chr(next(other)) for b in range(256)]
 
 
+def normalizer_of(spec: dict):
+    """The library's own normalizer, for texts in which lower-casing or composition is not plain; without its vocabulary."""
+    from tokenizers import Regex, normalizers
+
+    if spec["type"] == "Sequence":
+        return normalizers.Sequence([normalizer_of(x) for x in spec["normalizers"]])
+    if spec["type"] == "Replace":
+        pattern = spec["pattern"]
+        return normalizers.Replace(Regex(pattern["Regex"]) if "Regex" in pattern else pattern["String"], spec["content"])
+    return getattr(normalizers, spec["type"])()
+
+
 class ForcedBoundaryBPE:
     """Encoder and decoder of one tokenizer file (BPE with an end-of-word suffix, byte-level symbols)."""
 
@@ -55,10 +69,7 @@ class ForcedBoundaryBPE:
         steps = spec["pre_tokenizer"]["pretokenizers"]
         self.word_pattern = regex.compile(next(x["pattern"]["Regex"] for x in steps if x["type"] == "Split"))
         self.added_pattern = regex.compile("(" + "|".join(regex.escape(x) for x in self.added) + ")") if self.added else None
-        # the library's own normalizer, for texts in which lower-casing or composition is not plain
-        from tokenizers import Tokenizer
-
-        self.normalize_any = Tokenizer.from_file(path).normalizer.normalize_str
+        self.normalize_any = normalizer_of(spec["normalizer"]).normalize_str
         self.words: dict[str, tuple[int, ...]] = {}
         self.fragments: dict[str, tuple[int, ...]] = {}
 
@@ -169,8 +180,8 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path or default_path())
-        for batch in batches:
-            ids = [bpe.encode(t) for t in batch["text"].to_pylist()]
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            ids = [bpe.encode(t.as_py()) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")

@@ -1,0 +1 @@
+"""Column functions over strings and arrays; all of them stay in the JVM."""

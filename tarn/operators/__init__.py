@@ -1,0 +1 @@
+"""Operators on candidates, scores, rankings and datasets; DataFrame in, DataFrame out."""

@@ -1,0 +1 @@
+"""Whole experiments and the registered queries."""

@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions import text as T
 from ..functions import words
@@ -47,7 +48,7 @@ def worth(a: str, b: str) -> bool:
     return len(x & y) >= max(2, min(len(x), len(y)) // 2)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def best_similarities(query: pd.Series, doc: pd.Series) -> pd.Series:
     """Per query token the best similarity among the document's tokens; an equal token is 1."""
 

@@ -39,8 +39,9 @@ class Model:
 def fit(texts: DataFrame, analyzer: str = "word", rank: int = RANK, max_features: int = MAX_FEATURES, min_df: int = MIN_DF, max_df: float = MAX_DF, seed: int = 42, rounds: int = 6) -> Model:
     """Terms by document frequency, with sublinear weights, and their vectors in the space of the largest singular values.
 
-    The subspace is found by orthogonal iteration: each round multiplies by the weights and their transpose as two
-    joins and sums over (text, term) rows. The terms' vectors, at most max_features of them, are orthogonalized on the driver.
+    The subspace is found by orthogonal iteration: the weights are dealt out by text once, and each round is one pass
+    in which a partition multiplies by its part of the weights and their transpose. The terms' vectors, at most
+    max_features of them, are broadcast, and orthogonalized on the driver.
     """
     counts = counted(texts, analyzer).cache()
     n = texts.count()
@@ -50,20 +51,46 @@ def fit(texts: DataFrame, analyzer: str = "word", rank: int = RANK, max_features
         raise ValueError("fewer than two terms are left")
     k = min(rank, len(vocab) - 1)
     spark = texts.sparkSession
-    rng = np.random.default_rng(seed)
-    basis = np.linalg.qr(rng.standard_normal((len(vocab), k)))[0]
-    idf = spark.createDataFrame(vocab)
-    weights = weighted(counts, idf).cache()
+    terms = spark.createDataFrame(vocab.assign(i=range(len(vocab))), "term string, idf double, i int")
+    weights = weighted(counts, terms).join(F.broadcast(terms.select("term", "i")), "term").select("h", "i", "w").repartition("h").cache()
+    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(vocab), k)))[0]
     for _ in range(rounds):
-        v = vocab[["term"]].assign(v=basis.tolist())
-        folded = dot_sum(weights.join(F.broadcast(spark.createDataFrame(v, "term string, v array<double>")), "term"), "h", k)
-        back = dot_sum(weights.join(folded, "h"), "term", k).toPandas().set_index("term")["v"].reindex(vocab["term"])
-        basis = np.linalg.qr(np.stack([np.zeros(k) if x is None or np.ndim(x) == 0 else np.array(x) for x in back]))[0]
+        basis = np.linalg.qr(gram_times(weights, basis))[0]
     weights.unpersist()
     counts.unpersist()
     return Model(spark.createDataFrame(vocab.assign(v=basis.tolist()), "term string, idf double, v array<double>"), analyzer)
 
 
+def gram_times(weights: DataFrame, basis: np.ndarray) -> np.ndarray:
+    """The weights' transpose times the weights times the basis; rows (h, i, w) with all of a text's in one partition."""
+    shared = weights.sparkSession.sparkContext.broadcast(basis)
+
+    def run(frames):
+        own = [f for f in frames if len(f)]
+        if own:
+            f = pd.concat(own)
+            _, text = np.unique(f["h"].to_numpy(), return_inverse=True)
+            i, w = f["i"].to_numpy(), f["w"].to_numpy()[:, None]
+            folded = np.zeros((text.max() + 1, shared.value.shape[1]))
+            np.add.at(folded, text, w * shared.value[i])
+            terms, at = np.unique(i, return_inverse=True)
+            back = np.zeros((len(terms), shared.value.shape[1]))
+            np.add.at(back, at, w * folded[text])
+            yield pd.DataFrame({"i": terms, "v": [x.tobytes() for x in back]})
+
+    def add(frames):
+        total: dict[int, np.ndarray] = {}
+        for f in frames:
+            for i, v in zip(f["i"], f["v"]):
+                total[i] = total.get(i, 0) + np.frombuffer(v)
+        yield pd.DataFrame({"i": list(total), "v": [x.tobytes() for x in total.values()]}, columns=["i", "v"])
+
+    out = np.zeros_like(basis)
+    for r in weights.mapInPandas(run, "i int, v binary").repartition("i").mapInPandas(add, "i int, v binary").collect():
+        out[r["i"]] = np.frombuffer(r["v"])
+    return out
+
+
 def weighted(counts: DataFrame, idf: DataFrame) -> DataFrame:
     """h, term, w: (1 + log tf) * idf, each text of length 1."""
     w = counts.join(F.broadcast(idf.select("term", "idf")), "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))

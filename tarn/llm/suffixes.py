@@ -30,6 +30,8 @@ GRAM = 16
 RUN = 64
 #: Bytes of text whose keys one bucket holds, about.
 BUCKET_BYTES = 1 << 24
+#: Shards of segments for each bucket of keys.
+SHARDS = 4
 #: Bytes of text whose segments are numbered together.
 LOT_BYTES = 1 << 22
 #: Leading bytes of a key that decide whether it is repeated; two keys of a bucket that agree by chance cost a comparison.
@@ -356,16 +358,25 @@ def stretches_of(blobs: list[bytes], width: int) -> Iterator[tuple[np.ndarray, .
                 owner[n] = i
             of[k] = n
         members.append((ids, marks, places, lengths.astype(np.int64) - (width - 1), of))
-    with tempfile.TemporaryDirectory() as name:
-        folder = Path(name)
-        bytes_of = np.fromiter(map(len, number), np.int64, len(number))
-        with (folder / "text").open("wb") as f:
-            f.write((np.frombuffer(b"".join(number), np.uint8) + np.uint8(1)).tobytes() + b"\0")
-        number.clear()
-        sizes = bytes_of - (width - 1)
-        offsets = np.cumsum(sizes) - sizes
-        starts = np.repeat(np.cumsum(bytes_of) - bytes_of - offsets, sizes) + np.arange(sizes.sum())
-        least = least_ids(sizes, np.array(owner, np.int64), starts, np.memmap(folder / "text", np.uint8, "r"), folder, width)
+    bytes_of = np.fromiter(map(len, number), np.int64, len(number))
+    whole = np.frombuffer(b"".join(number), np.uint8)
+    number.clear()
+    owners = np.array(owner, np.int64)
+    sizes = bytes_of - (width - 1)
+    offsets = np.cumsum(sizes) - sizes
+    least = np.repeat(owners, sizes)
+    # equal windows have one key: where a key has one distinct segment, its owner is known to be the least
+    _, of_key, per_key = np.unique(window_keys(whole, width)[np.cumsum(bytes_of) - bytes_of], return_inverse=True, return_counts=True)
+    open_ = np.flatnonzero(per_key[of_key] > 1)
+    if len(open_):
+        with tempfile.TemporaryDirectory() as name:
+            folder = Path(name)
+            inside = np.repeat(per_key[of_key] > 1, bytes_of)
+            with (folder / "text").open("wb") as f:
+                f.write((whole[inside] + np.uint8(1)).tobytes() + b"\0")
+            own, begin = sizes[open_], np.cumsum(bytes_of[open_]) - bytes_of[open_]
+            starts = np.repeat(begin - (np.cumsum(own) - own), own) + np.arange(own.sum())
+            least[np.repeat(per_key[of_key] > 1, sizes)] = least_ids(own, owners[open_], starts, np.memmap(folder / "text", np.uint8, "r"), folder, width)
     for ids, marks, places, windows, of in members:
         within = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
         gone = least[np.repeat(offsets[of], windows) + within] < np.repeat(ids, windows)
@@ -423,7 +434,7 @@ def removals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("mark", F.hash("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     buckets = 1 << max(6, (int(size) // BUCKET_BYTES).bit_length())
-    found = covered(with_bytes(rows, repeated_segments(rows, buckets, width), buckets, width), width)
+    found = covered(with_bytes(rows, repeated_segments(rows, buckets, width), SHARDS * buckets, width), width)
     per_doc = found.groupBy("id").agg(F.collect_list(F.struct("mark", "start", "stop")).alias("s"))
     # both joins read the documents in one way, so that their texts are dealt out by id once
     return rows.join(per_doc, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "mark", "s")

@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
-TRAIN_PAGES = 400
+TRAIN_PAGES = 600
 TRAIN_SEED = 11
-STEPS = 200
-PENALTY = 1e-3
+STEPS = 300
+PENALTY = 1e-4
 #: Pages whose trees are passed over together.
 BATCH = 64
 SCHEMA = "page_id long, url string, text string, n_chars long"
@@ -362,16 +362,20 @@ def labelled_page(rnd: random.Random) -> str:
         """What stands in parts that are no content, prose among it."""
         return rnd.choice((lambda: links(rnd.randint(1, 9)), lambda: prose(), lambda: f"<p>{prose()}</p>", lambda: f"<h3>{sentence(1, 4)}</h3>{links(rnd.randint(1, 5))}", lambda: f"<h4>{sentence(1, 4)}</h4><p>{prose()}</p><p>{link()}</p>", lambda: f"<span>{sentence(1, 8)}</span>"))()
 
+    def some() -> str:
+        """As often as not nothing but paragraphs, as in an article."""
+        return "".join(f"<p>{prose()}</p>" for _ in range(rnd.randint(1, 3))) if rnd.random() < 0.4 else "".join(loose() for _ in range(rnd.randint(1, 3)))
+
     def boiler(kind: str) -> str:
         plain = rnd.random() < 0.35
         if kind == "nav":
             return f"<nav{'' if plain else named('nav', 'menu')}{no}>{links(rnd.randint(2, 9))}</nav>" if rnd.random() < 0.6 else f"<div{named(*STEMS['nav'])}{no}>{links(rnd.randint(2, 9))}</div>"
         if kind == "header":
-            return f"<header{'' if plain else named('header', 'masthead')}{no}>{rnd.choice((f'<h1>{sentence(1, 3)}</h1>', f'<div>{sentence(1, 4)}</div>', ''))}{loose()}</header>" if rnd.random() < 0.6 else f"<div{named(*STEMS['head'])}{no}>{loose()}</div>"
+            return f"<header{'' if plain else named('header', 'masthead')}{no}>{rnd.choice((f'<h1>{sentence(1, 3)}</h1>', f'<div>{sentence(1, 4)}</div>', ''))}{some()}</header>" if rnd.random() < 0.6 else f"<div{named(*STEMS['head'])}{no}>{loose()}</div>"
         if kind == "footer":
-            return f"<footer{'' if plain else named('footer')}{no}>&copy; {word()}.example &middot; {loose()}</footer>" if rnd.random() < 0.6 else f"<div{named(*STEMS['foot'])}{no}>{loose()}</div>"
+            return f"<footer{'' if plain else named('footer')}{no}>{rnd.choice((f'&copy; {word()}.example &middot; ', ''))}{some()}</footer>" if rnd.random() < 0.6 else f"<div{named(*STEMS['foot'])}{no}>{loose()}</div>"
         if kind == "side":
-            return f"<aside{'' if plain else named(*STEMS['side'])}{no}>{loose()}{loose()}</aside>" if rnd.random() < 0.5 else f"<div{named(*STEMS['side'])}{no}>{loose()}{loose()}</div>"
+            return f"<aside{'' if plain else named(*STEMS['side'])}{no}>{some()}</aside>" if rnd.random() < 0.5 else f"<div{named(*STEMS['side'])}{no}>{some()}</div>"
         if kind == "comments":
             each = lambda: rnd.choice((f"<div{named('comment', 'reply')}><p>{prose()}</p></div>", f"<li><b>{word()}</b> <p>{prose()}</p></li>", f"<article{named('comment')}><p>{prose()}</p></article>", f"<p>{prose()}</p>"))
             return f"<{(t := rnd.choice(('div', 'section', 'ol')))}{named('comments', 'comment', 'commentlist', 'disqus', 'respond', 'discussion', 'reader-comments')}{no}>{f'<h3>{sentence(1, 3)}</h3>' if rnd.random() < 0.5 else ''}{''.join(each() for _ in range(rnd.randint(1, 5)))}</{t}>"
@@ -379,7 +383,7 @@ def labelled_page(rnd: random.Random) -> str:
             return f"<form{no}><p>{sentence(1, 9)}</p><label>{word()}</label><input name=q><button>{word()}</button></form>"
         group = {"ad": "ad", "notice": "notice", "social": "social"}[kind]
         tag = rnd.choice(("div", "div", "section", "aside", "p"))
-        return f"<{tag}{named(*STEMS[group])}{no}>{prose() if tag == 'p' else loose()}</{tag}>"
+        return f"<{tag}{named(*STEMS[group])}{no}>{prose() if tag == 'p' else some()}</{tag}>"
 
     def block() -> str:
         draw = rnd.random()
@@ -415,6 +419,9 @@ def labelled_page(rnd: random.Random) -> str:
     after = [boiler(k) for k in ("comments", "side", "social", "ad", "notice", "nav", "footer") if rnd.random() < (0.8 if k == "footer" else 0.3)]
     if rnd.random() < 0.15:
         rnd.shuffle(before)
+    if rnd.random() < 0.1:
+        cell = lambda kind: f"<td{named(*STEMS[kind])}{no}>{some()}</td>" if rnd.random() < 0.7 else ""
+        main = f"<table{yes}><tr>{cell(rnd.choice(('nav', 'side')))}<td{rnd.choice(('', named('main', 'content', 'text')))}{yes}>{body}</td>{cell(rnd.choice(('side', 'ad')))}</tr></table>"
     close = "</body></html>" if rnd.random() < 0.9 else ""
     return f"<!DOCTYPE html><html><head><title>{word()}</title><style>p{{}}</style></head><body>{''.join(before)}{main}{''.join(after)}{close}"
 

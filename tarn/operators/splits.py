@@ -31,13 +31,17 @@ def split_by_group(samples: DataFrame, dev_fraction: float, seed: int, key: str
     return samples.join(names, key)
 
 
-def stratified_split(samples: DataFrame, label: str, seed: int, dev: float = 0.1, test: float = 0.2, order: str = "sample_id") -> DataFrame:
-    """samples with split train, dev or test, with the shares kept inside each label."""
+def stratified_split(samples: DataFrame, label: str, seed: int, order: str = "sample_id") -> DataFrame:
+    """samples with split: 70 % of each label go to train, 10 % to dev (one at least of both), the others to test.
+
+    A label too rare for that gives one row to dev and all but one of the others to train.
+    """
     w = Window.partitionBy(label)
-    k = F.row_number().over(w.orderBy(draw(seed, order), order))
-    n = F.count("*").over(w)
-    n_test, n_dev = F.bround(n * test), F.bround(n * dev)
-    return samples.withColumn("split", F.when(k <= n_test, "test").when(k <= n_test + n_dev, "dev").otherwise("train"))
+    k, n = F.row_number().over(w.orderBy(draw(seed, order), order)), F.count("*").over(w)
+    train, dev = F.greatest(F.lit(1), F.floor(n * 0.7)), F.greatest(F.lit(1), F.floor(n * 0.1))
+    rare = train + dev >= n
+    train, dev = F.when(rare, F.greatest(F.lit(1), n - 2)).otherwise(train), F.when(rare, 1).otherwise(dev)
+    return samples.withColumn("split", F.when(k <= train, "train").when(k <= train + dev, "dev").otherwise("test"))
 
 
 def stratified_sample(samples: DataFrame, by: str, fraction: float, seed: int, order: str = "sample_id") -> DataFrame:

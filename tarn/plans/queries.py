@@ -456,6 +456,13 @@ def naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bayes.predict(rows.select("row_id", "text"), bayes.fit(rows)).select("row_id", "pred")
 
 
+@query()
+def intent_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy and F1 of naive Bayes on the labelled documents' quality, on rows that it was not trained on."""
+    rows = pools.table(spark, sf_dir, "documents").join(pools.table(spark, sf_dir, "labels"), "doc_id").select(F.col("doc_id").alias("row_id"), "text", F.col("quality").cast("string").alias("label"))
+    return experiments.intent_run(splits.stratified_split(rows, "label", 5, "row_id"))
+
+
 _DRAW = lambda seed, *c: "cast(('0x' || substr(md5(concat_ws('|', " + ", ".join(f"coalesce(cast({x} as varchar), '')" for x in c) + f", '{seed}')), 1, 13)) as bigint)::double / 4503599627370496"
 
 
@@ -477,8 +484,9 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with r as (select o_orderkey, o_orderstatus, row_number() over (partition by o_orderstatus order by {_DRAW(5, 'o_orderkey')}, o_orderkey) as k, count(*) over (partition by o_orderstatus) as n from orders)
-select o_orderkey, case when k <= round_even(n * 0.2, 0) then 'test' when k <= round_even(n * 0.2, 0) + round_even(n * 0.1, 0) then 'dev' else 'train' end as split from r"""
+    f"""with r as (select o_orderkey, o_orderstatus, row_number() over (partition by o_orderstatus order by {_DRAW(5, 'o_orderkey')}, o_orderkey) as k, count(*) over (partition by o_orderstatus) as n from orders),
+s as (select *, greatest(1, floor(n * 0.7)) as train, greatest(1, floor(n * 0.1)) as dev from r), t as (select *, train + dev >= n as rare from s)
+select o_orderkey, case when k <= (case when rare then greatest(1, n - 2) else train end) then 'train' when k <= (case when rare then greatest(1, n - 2) + 1 else train + dev end) then 'dev' else 'test' end as split from t"""
 )
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.stratified_split(pools.table(spark, sf_dir, "orders"), "o_orderstatus", 5, order="o_orderkey").select("o_orderkey", "split")

@@ -277,7 +277,9 @@ def test_splits(spark):
         splits.fold_of_groups([("a", 3)], 3, 1)
     got = Counter(r.repo for r in splits.stratified_sample(df, "repo", 0.1, 1).collect())
     assert got == {"x": 8, "y": 2}
-    assert Counter(r.split for r in splits.stratified_split(df, "repo", 1).collect()) == {"train": 70, "test": 20, "dev": 10}
+    assert Counter((r.repo, r.split) for r in splits.stratified_split(df, "repo", 1).collect()) == {("x", "train"): 52, ("x", "dev"): 7, ("x", "test"): 16, ("y", "train"): 17, ("y", "dev"): 2, ("y", "test"): 6}
+    rare = splits.stratified_split(df.limit(2).withColumn("label", F.lit("z")), "label", 1)
+    assert Counter(r.split for r in rare.collect()) == {"train": 1, "dev": 1}
 
 
 def test_statistics():
@@ -351,3 +353,56 @@ def test_files(spark, tmp_path):
     assert files.named_paths(["a=b"]) == {"a": "b"}
     with pytest.raises(ValueError):
         files.named_paths(["a"])
+
+
+def test_ingest(spark, tmp_path):
+    from tarn.plans.queries import PATCH
+    from tarn.sources import ingest
+
+    comment = lambda text, path, hunk, line=None: (text, path, line, None, None, hunk)
+    rows = [
+        ("i1", "o/r", 7, "Python", (PATCH, "abc"), [comment("@dev: fix it", "src/a.py", "-z"), comment(" ", "src/a.py", "x"), comment("lost", "no.py", "x")], ("easy", "web")),
+        ("i2", None, None, "Python", ("@@ -1 +1 @@\n+q", "d"), [comment("one hunk only", "unknown", "+q")], ("easy", "web")),
+        ("i3", "o/t", 9, "Python", (PATCH, "e"), [comment("in test", "src/a.py", "-z")], ("easy", "web")),
+        ("i4", "o/u", 1, "Java", (PATCH, "f"), [comment("other language", "src/a.py", "-z")], ("easy", "web")),
+    ]
+    raw = spark.createDataFrame(rows, ingest.RAW)
+    done = ingest.resolve(raw, "Python", raw.where("instance_id = 'i3'")).cache()
+    assert {r.status: r.n for r in ingest.counts(done).collect()} == {"ok": 1, "empty_comment": 1, "path_not_found": 1, "fewer_than_min_contexts": 1}
+    s = ingest.samples(done).first()
+    assert (s.sample_id, s.comment, s.gold_context_ids) == ("i1::comment_0", "fix it", ["src/a.py::hunk_2"])
+    assert s.metadata.group_key == "o/r::pr_7" and s.metadata.gold_match_method == "diff_hunk_content" and len(s.contexts) == 3
+    assert {(r.sample_id, r.reason, r.matcher_stage) for r in ingest.unresolved(done).collect()} == {("i1::comment_2", "path_not_found", "unresolved"), ("i2::comment_0", "fewer_than_min_contexts", "candidate_pool_filter")}
+    assert ingest.sized(ingest.samples(done), 3, 3).count() == 1 and ingest.sized(ingest.samples(done), 4).count() == 0
+    names = "comment_id string, message string, comment_group string, category_fine string, project string, file_name string, change_type string, line_number int, patchset_number int, is_bug_fix boolean, is_new_file boolean"
+    intents = spark.createDataFrame([("f", " hi ", "Code Style!", "c", "p", "a.c", "M", 3, 1, True, False), ("g", None, "x", "c", "p", "a.c", "M", 3, 1, True, False)], names)
+    (tmp_path / "a.csv").write_text("folderName,anyInserted,anyDeleted\nf,2,0\n")
+    got = ingest.intent_samples(intents, files.read_attributes(spark, str(tmp_path / "a.csv"))).collect()
+    assert len(got) == 1 and (got[0].comment, got[0].intent) == ("hi", "code_style") and got[0].contexts[1].text == "inserted tokens: 2"
+
+
+def test_experiments(spark):
+    from tarn.plans import experiments as E
+
+    rng = np.random.default_rng(8)
+    rows, split = [], []
+    for i in range(60):
+        gold = int(rng.integers(0, 4))
+        split.append((f"s{i}", "train" if i < 36 else "dev" if i < 46 else "test", "web" if i % 2 else "db"))
+        rows += [(f"s{i}", p, "f", int(p == gold), float((p == gold) + rng.normal(0, 0.4))) for p in range(4)]
+    features = spark.createDataFrame(rows, "sample_id string, pos int, path string, label int, u double")
+    s = spark.createDataFrame(split, "sample_id string, split string, domain string")
+    model, scored = E.train_ranker(features, s.select("sample_id", "split"), ("u",), "raw_plus_relative", (1.0,))
+    assert model["dev_metrics"]["hit_1"] > 0.5 and scored.count() == 240
+    got = E.holdout(features, s, "domain", "web", names=("u",), transform="raw", c_values=(1.0,))
+    assert got["n"] == 7 and got["target"] == "web"
+    samples = spark.createDataFrame([("a", "hello")], "sample_id string, comment string")
+    pool = spark.createDataFrame([("a", 0, "x", "one", 1.0), ("a", 1, "y", "two", 2.0)], "sample_id string, pos int, context_id string, text string, score double")
+    text = lambda mode: E.intent_texts(samples, pool, mode, 1).first().text
+    assert text("none") == "comment: hello\ncontext:" and text("full") == "comment: hello\ncontext: one\ntwo"
+    assert text("retrieved") == "comment: hello\ncontext: two" and text("random") in ("comment: hello\ncontext: one", "comment: hello\ncontext: two")
+    with pytest.raises(ValueError):
+        text("other")
+    labelled = spark.createDataFrame([(i, "good film" if i % 2 else "bad film", "pos" if i % 2 else "neg", "test" if i > 6 else "train") for i in range(10)], "row_id int, text string, label string, split string")
+    assert E.intent_run(labelled).first().accuracy == 1.0
+    assert E.best_mode({"none": labelled, "full": labelled})[0] == "none"

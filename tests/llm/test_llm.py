@@ -129,7 +129,7 @@ def test_bpe_equals_library():
         assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
     assert own.encode(None) == []
     # a cut never lies inside a token
-    assert all(len(own.cut(own.split_symbols(t[: -len(own.suffix)]))) == 1 for t in list(own.vocab)[:5000] if t.endswith(own.suffix) and len(t) > 5)
+    assert all(not own.cut(t[: -len(own.suffix)].encode()) for t in list(own.vocab)[:5000] if t.endswith(own.suffix) and len(t) > 5 and t.isascii())
 
 
 def test_bpe_edges(spark):

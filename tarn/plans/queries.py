@@ -70,7 +70,8 @@ OUTCOMES = lambda score, src, keys="": (
     f"first_ as (select {keys}sample_id, count(*) as candidates, coalesce(min(case when is_gold then r end), 0) as first_rank from ranked_ group by {keys}sample_id),\n"
     f"outcomes as (select *, (first_rank = 1)::int as hit_1, (first_rank between 1 and 3)::int as hit_k, case when first_rank > 0 then 1.0::double / first_rank else 0 end as rr, case when first_rank between 1 and 3 then 1.0::double / first_rank else 0 end as rr_k from first_)"
 )
-SUMMARY = "count(*) as n, avg(hit_1) as hit_1, avg(hit_k) as hit_k, avg(rr) as mrr, avg(rr_k) as mrr_k"
+SUMMARY = "count(*) as n, round(avg(hit_1), 9) as hit_1, round(avg(hit_k), 9) as hit_k, round(avg(rr), 9) as mrr, round(avg(rr_k), 9) as mrr_k"
+R9 = lambda df: df.withColumns({n: F.round(n, 9) for n, t in df.dtypes if t == "double" and n not in ("weight", "threshold")})
 R6 = lambda df, *names: df.withColumns({n: F.round(n, 6) for n in names})
 
 
@@ -88,7 +89,7 @@ def bm25_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples, candidates = pools.document_pools(spark, sf_dir)
     scored = R6(lexical.bm25(samples, candidates).withColumnRenamed("bm25", "score"), "score").join(candidates.select("sample_id", "pos", "is_gold"), ["sample_id", "pos"])
-    return M.summary(M.outcomes(scored))
+    return R9(M.summary(M.outcomes(scored)))
 
 
 @query(
@@ -143,7 +144,7 @@ def lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lexical_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples, candidates = pools.conversation_pools(spark, sf_dir)
     s = lexical.ablation_scores(lexical.base_features(samples, candidates)).join(candidates.select("sample_id", "pos", "is_gold"), ["sample_id", "pos"])
-    return M.summary(M.outcomes(s, 3, ("score_name",)), ("score_name",))
+    return R9(M.summary(M.outcomes(s, 3, ("score_name",)), ("score_name",)))
 
 
 # ---- text functions -------------------------------------------------------
@@ -246,10 +247,10 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""with {LINEITEM_POOLS}, r as (select *, row_number() over (partition by sample_id order by a desc, pos) as r from x)
 select sample_id, max(case when r = 1 then context_id end) as top_id, max(case when r = 1 then a end) as top, coalesce(max(case when r = 2 then a end), max(case when r = 1 then a end)) as second,
-max(case when r = 1 then a end) - coalesce(max(case when r = 2 then a end), max(case when r = 1 then a end)) as margin from r group by sample_id"""
+round(max(case when r = 1 then a end) - coalesce(max(case when r = 2 then a end), max(case when r = 1 then a end)), 4) as margin from r group by sample_id"""
 )
 def top_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.top_stats(pools.lineitem_pools(spark, sf_dir).withColumn("score", F.col("a")))
+    return G.top_stats(pools.lineitem_pools(spark, sf_dir).withColumn("score", F.col("a"))).withColumn("margin", F.round("margin", 4))
 
 
 # ---- metrics --------------------------------------------------------------
@@ -262,21 +263,21 @@ def ranking_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {LINEITEM_POOLS}, {OUTCOMES('a', 'x')} select {SUMMARY} from outcomes")
 def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.summary(M.outcomes(pools.lineitem_pools(spark, sf_dir).withColumn("score", F.col("a"))))
+    return R9(M.summary(M.outcomes(pools.lineitem_pools(spark, sf_dir).withColumn("score", F.col("a")))))
 
 
-@query(f"with {LINEITEM_POOLS}, {OUTCOMES('a', 'x')} select min(candidates) as min_candidates, quantile_cont(candidates, 0.5) as median_candidates, max(candidates) as max_candidates, cast(sum(candidates) as bigint) as total_candidates, count(*) filter (first_rank > 3) as beyond_k, count(*) filter (first_rank = 0) as without_gold, avg(rr) as mrr, avg(rr_k) as mrr_k from outcomes")
+@query(f"with {LINEITEM_POOLS}, {OUTCOMES('a', 'x')} select min(candidates) as min_candidates, quantile_cont(candidates, 0.5) as median_candidates, max(candidates) as max_candidates, cast(sum(candidates) as bigint) as total_candidates, count(*) filter (first_rank > 3) as beyond_k, count(*) filter (first_rank = 0) as without_gold, round(avg(rr), 9) as mrr, round(avg(rr_k), 9) as mrr_k from outcomes")
 def ranking_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.diagnostics(M.outcomes(pools.lineitem_pools(spark, sf_dir).withColumn("score", F.col("a"))))
+    return R9(M.diagnostics(M.outcomes(pools.lineitem_pools(spark, sf_dir).withColumn("score", F.col("a")))))
 
 
 _AXES = "select 'priority' as axis, o_orderpriority as label, hit_1, hit_k, rr from outcomes join orders on o_orderkey = sample_id union all select 'status', o_orderstatus, hit_1, hit_k, rr from outcomes join orders on o_orderkey = sample_id"
 
 
-@query(f"with {LINEITEM_POOLS}, {OUTCOMES('a', 'x')}, s as ({_AXES}) select axis, label, count(*) as n, avg(hit_1) as hit_1, avg(hit_k) as hit_k, avg(rr) as mrr from s group by axis, label having count(*) >= 20")
+@query(f"with {LINEITEM_POOLS}, {OUTCOMES('a', 'x')}, s as ({_AXES}) select axis, label, count(*) as n, round(avg(hit_1), 9) as hit_1, round(avg(hit_k), 9) as hit_k, round(avg(rr), 9) as mrr from s group by axis, label having count(*) >= 20")
 def metric_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = M.outcomes(pools.lineitem_pools(spark, sf_dir).withColumn("score", F.col("a"))).join(pools.table(spark, sf_dir, "orders"), F.col("sample_id") == F.col("o_orderkey"))
-    return M.slices(o, {"priority": F.col("o_orderpriority"), "status": F.col("o_orderstatus")}, 20)
+    return R9(M.slices(o, {"priority": F.col("o_orderpriority"), "status": F.col("o_orderstatus")}, 20))
 
 
 @query(
@@ -305,12 +306,12 @@ def top_k_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 l as (select gold as label from p union select pred from p),
 c as (select label, (select count(*) from p where gold = label) as support, (select count(*) from p where pred = label) as predicted, (select count(*) from p where gold = label and pred = label) as tp from l),
 f as (select *, case when support + predicted > 0 then 2.0::double * tp / (support + predicted) else 0 end as f1 from c)
-select sum(tp)::double / sum(support) as accuracy, round(avg(f1), 9) as macro_f1, round(sum(f1 * support) / sum(support), 9) as weighted_f1 from f"""
+select round(sum(tp)::double / sum(support), 9) as accuracy, round(avg(f1), 9) as macro_f1, round(sum(f1 * support) / sum(support), 9) as weighted_f1 from f"""
 )
 def classification_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     pred = F.when(F.col("o_totalprice") > 200000, "F").when(F.col("o_orderpriority").startswith("1"), "P").otherwise("O")
     out = M.classification(pools.table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("gold"), pred.alias("pred")))
-    return out.withColumns({c: F.round(c, 9) for c in ("macro_f1", "weighted_f1")})
+    return out.withColumns({c: F.round(c, 9) for c in ("accuracy", "macro_f1", "weighted_f1")})
 
 
 @query("select o_orderpriority, avg(o_totalprice) as mean, coalesce(stddev_samp(o_totalprice), 0) as stdev, quantile_cont(o_totalprice, 0.5) as median, list_sort(list(o_totalprice))[cast(count(*) // 2 as int) + 1] as upper_median from orders group by o_orderpriority".replace("avg(o_totalprice)", "round(avg(o_totalprice), 4)").replace("coalesce(stddev_samp(o_totalprice), 0)", "round(coalesce(stddev_samp(o_totalprice), 0), 4)").replace("quantile_cont(o_totalprice, 0.5)", "round(quantile_cont(o_totalprice, 0.5), 4)"))
@@ -354,7 +355,7 @@ union all select sample_id, pos, is_gold, 'rank', w, round((case when cnt = 1 th
 )
 def fusion_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores are rounded before they are ranked, so that both engines see the same ties."""
-    return S.two_way_grid(pools.lineitem_pools(spark, sf_dir), modes=("raw", "minmax", "rank"), digits=6)
+    return R9(S.two_way_grid(pools.lineitem_pools(spark, sf_dir), modes=("raw", "minmax", "rank"), digits=6))
 
 
 @query(f"with {LINEITEM_POOLS}, l as (select sample_id, path, list_reverse_sort(list(a)) as v, avg(a) as mean, max(a) as top from x group by all) select sample_id, pos, round(mean, 7) as mean, top as max, round((v[1] + coalesce(v[2], 0)) / least(2, len(v)), 7) as top2_mean from x join l using (sample_id, path)")
@@ -392,7 +393,7 @@ g as (select sample_id, pos, is_gold, 'always' as condition, b as score from n u
 )
 def routing_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = pools.lineitem_pools(spark, sf_dir).withColumn("n", G.size())
-    return S.route_grid(x, {"always": F.lit(True), "never": F.lit(False), "gt4": F.col("n") > 4})
+    return R9(S.route_grid(x, {"always": F.lit(True), "never": F.lit(False), "gt4": F.col("n") > 4}))
 
 
 @query(
@@ -403,7 +404,7 @@ g as (select x.sample_id, pos, is_gold, t as threshold, case when gain >= t then
 {OUTCOMES('score', 'g', 'threshold, ')} select threshold, {SUMMARY} from outcomes group by threshold"""
 )
 def margin_router(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.margin_router(pools.lineitem_pools(spark, sf_dir), "minmax", (0.0, 0.1, 0.25), digits=9)
+    return R9(S.margin_router(pools.lineitem_pools(spark, sf_dir), "minmax", (0.0, 0.1, 0.25), digits=9))
 
 
 @query(
@@ -546,7 +547,7 @@ def learned_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = splits.stratified_split(samples.select("sample_id", F.lit(1).alias("one")), "one", 13).select("sample_id", "split")
     _, scored = experiments.train_ranker(features, split, words.BASE_FEATURES, "raw_plus_relative", (1.0,))
     rows = scored.join(candidates.select("sample_id", "pos", "is_gold"), ["sample_id", "pos"]).join(split, "sample_id")
-    return M.summary(M.outcomes(rows, 3, ("split",)), ("split",))
+    return R9(M.summary(M.outcomes(rows, 3, ("split",)), ("split",)))
 
 
 # ---- vectors, fuzzy, diffs --------------------------------------------------

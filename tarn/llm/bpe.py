@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -89,7 +90,10 @@ class ForcedBoundaryBPE:
                 self.inside_end.add(found.pop())
             self.inside.update(found)
         steps = spec["pre_tokenizer"]["pretokenizers"]
-        self.word_pattern = regex.compile(next(x["pattern"]["Regex"] for x in steps if x["type"] == "Split"))
+        pattern = next(x["pattern"]["Regex"] for x in steps if x["type"] == "Split")
+        self.word_pattern = regex.compile(pattern)
+        # for texts of ASCII characters alone the classes are plain ones
+        self.ascii_pattern = re.compile(pattern.replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9"), re.ASCII)
         self.added_pattern = regex.compile("(" + "|".join(regex.escape(x) for x in self.added) + ")") if self.added else None
         self.normalize_any = normalizer_of(spec["normalizer"]).normalize_str
         self.words: dict[str, Coded] = {}
@@ -153,7 +157,8 @@ class ForcedBoundaryBPE:
             coded = self.coded([i for i in ids if i != NO_ID] if NO_ID in ids else ids)
         if len(word) <= CACHE_CHARS:
             if len(self.words) >= CACHE_ENTRIES:
-                self.older, self.words = self.words, {}
+                self.older = self.words.copy()
+                self.words.clear()
             self.words[word] = coded
         return coded
 
@@ -173,8 +178,9 @@ class ForcedBoundaryBPE:
         return self.parts_plain(text)
 
     def parts_plain(self, text: str) -> list[Coded]:
-        # the young generation may be another one after a new word
-        return [self.words.get(w) or self.encode_word(w) for w in self.word_pattern.findall(self.normalize(text))]
+        known, new = self.words.get, self.encode_word
+        pattern = self.ascii_pattern if text.isascii() else self.word_pattern
+        return [known(w) or new(w) for w in pattern.findall(self.normalize(text))]
 
     def encode(self, text: str | None) -> list[int]:
         """The ids of the whole text; an empty or null text has none."""

@@ -48,15 +48,31 @@ def worth(a: str, b: str) -> bool:
     return len(x & y) >= max(2, min(len(x), len(y)) // 2)
 
 
+@lru_cache(maxsize=200_000)
+def letters(a: str) -> tuple[tuple[str, int], ...]:
+    return tuple((c, a.count(c)) for c in set(a))
+
+
+def best_similarity(a: str, tokens: list[str]) -> float:
+    """The largest ratio of a with the tokens. A pair is compared in full only where its lengths, and then its letters, leave room for more."""
+    best, own = 0.0, letters(a)
+    for b in tokens:
+        total = len(a) + len(b)
+        if 2 * min(len(a), len(b)) <= best * total or not worth(a, b):
+            continue
+        if 2 * sum([min(n, b.count(c)) for c, n in own]) <= best * total:
+            continue
+        best = max(best, ratio(a, b))
+    return best
+
+
 @F.pandas_udf(ArrayType(DoubleType()))
 def best_similarities(query: pd.Series, doc: pd.Series) -> pd.Series:
     """Per query token the best similarity among the document's tokens; an equal token is 1."""
 
     def one(q, d) -> list[float]:
-        have, out = set(d), []
-        for a in q:
-            out.append(1.0 if a in have else max((ratio(a, b) for b in d if worth(a, b)), default=0.0))
-        return out
+        have, tokens = set(d), sorted(d, key=len)
+        return [1.0 if a in have else best_similarity(a, tokens) for a in q]
 
     return pd.Series([one(q, d) for q, d in zip(query, doc)])
 

@@ -25,16 +25,21 @@ def query_terms(samples: DataFrame) -> DataFrame:
 
 def bm25(samples: DataFrame, candidates: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """sample_id, pos, bm25 of every candidate; 0 where no query token occurs."""
-    docs = candidates.select(*KEY, T.tokenize_retrieval(T.none_if_null(F.col("text"))).alias("tokens")).withColumn("len", F.size("tokens"))
+    query = query_terms(samples)
+    wanted = query.groupBy("sample_id").agg(F.collect_list("token").alias("wanted"))
+    docs = candidates.select(*KEY, T.tokenize_retrieval(T.none_if_null(F.col("text"))).alias("tokens")).join(wanted, "sample_id", "left")
+    found = F.filter("tokens", lambda t: F.coalesce(F.array_contains("wanted", t), F.lit(False)))
+    # texts are cut into tokens once: what both uses below need is dealt out by candidate
+    docs = docs.select(*KEY, F.size("tokens").alias("len"), found.alias("found")).repartition(*KEY)
     pools = docs.groupBy("sample_id").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    hits = docs.select(*KEY, "len", F.explode("tokens").alias("token")).join(query_terms(samples), ["sample_id", "token"])
-    tf = hits.groupBy("sample_id", "token", "pos").agg(F.count("*").alias("tf"), F.first("len").alias("len"), F.first("q").alias("q"))
+    tf = docs.select(*KEY, "len", F.explode_outer("found").alias("token")).groupBy("sample_id", "pos", "token").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    tf = tf.join(query, ["sample_id", "token"], "left")
     tf = tf.withColumn("df", F.count("*").over(Window.partitionBy("sample_id", "token"))).join(pools, "sample_id")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     length = F.when(F.col("avg_len") > 0, F.col("len") / F.col("avg_len")).otherwise(0.0)
     part = F.col("q") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length))
-    scores = tf.groupBy(*KEY).agg(F.sum(part).alias("bm25"))
-    return candidates.select(*KEY).join(scores, KEY, "left").select(*KEY, F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
+    # a candidate without any query token is there with a null token, and sums up to nothing
+    return tf.groupBy(*KEY).agg(F.coalesce(F.sum(F.when(F.col("token").isNotNull(), part)), F.lit(0.0)).alias("bm25"))
 
 
 def word_grams(c: Column) -> Column:

@@ -191,6 +191,8 @@ def test_fuzzy(spark, tables):
     for _ in range(300):
         a, b = ("".join(rnd.choices("abcd", k=rnd.randint(3, 8))) for _ in range(2))
         assert fuzzy.ratio(a, b) == SequenceMatcher(None, a, b).ratio()
+        many = ["".join(rnd.choices("abcde", k=rnd.randint(3, 9))) for _ in range(12)]
+        assert fuzzy.best_similarity(a, many) == max([SequenceMatcher(None, a, m).ratio() for m in many if fuzzy.worth(a, m)], default=0.0)
     samples, pool = tables
     got = {(r.sample_id, r.pos): r.score for r in fuzzy.fuzzy_scores(samples, pool).collect()}
     assert got["s1", 2] > got["s1", 1] and got["s3", 1] == 0.0

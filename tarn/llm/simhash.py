@@ -3,6 +3,10 @@
 Fingerprints that differ in few bits agree on whole blocks of bits: with m blocks and at most d differing bits,
 at least m - d blocks are the same. Each choice of m - d blocks is a table; fingerprints that share a key in a
 table are compared, and the groups follow from the links that hold.
+
+Groups by similarity (Jaccard, of the sets of shingles) take such links as a first guess only, each of them checked on
+the sets. All other pairs come by pigeonhole on the sets: in any one order of all shingles, two sets of a similarity t
+share l of the first n - ceil(t n) + l of each. So no pair is missed, whatever its fingerprints.
 """
 
 from __future__ import annotations
@@ -31,23 +35,44 @@ CHUNK = 1 << 16
 TILE = 4096
 #: Distinct fingerprints that share a key by chance, at most, on average; tables get longer keys beyond.
 CHANCE = 16
-
-
-def fingerprint(text: str | None, width: int) -> int:
-    """Bit i is 1 if it is set in over half the shingles' hashes. Fewer words than the width are one shingle; none give 0."""
+#: Bits in which fingerprints of the first guesses may differ, where groups are by similarity.
+GUESS = 6
+#: Texts, on average, that are looked at for shingles that many texts have (one in SAMPLE_OF, within the two bounds), and
+#: the most such shingles. Only the order of the shingles depends on them: common ones come last, so that few texts share a key.
+SAMPLE, SAMPLE_OF, COMMON, MOST_COMMON = (4_000, 20_000), 16, 3, 500_000
+#: Sets that share a key, up to which all their pairs are checked at once. Sets of larger keys are first put in groups.
+FEW = 64
+#: Pairs compared by size and place, or kept to drop repeats, at once.
+PAIRS = 1 << 20
+#: Rows of keys that a task looks at together.
+ROWS = 1 << 16
+
+
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the shingles in their order. Fewer words than the width are one shingle; none give none."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = memoryview(b" ".join(words))
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     n = max(1, len(words) - width + 1)
     starts = np.concatenate([[0], ends[: n - 1] + 1]).tolist()
     stops = ends[min(width, len(words)) - 1 :].tolist()
-    counts, digest = np.zeros(BITS, np.int64), xxhash.xxh64_intdigest
-    for at in range(0, n, CHUNK):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + CHUNK], stops[at : at + CHUNK])], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is 1 if it is set in over half the hashes; none give 0."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        counts += np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, width: int) -> int:
+    """Bit i is 1 if it is set in over half the shingles' hashes. Fewer words than the width are one shingle; none give 0."""
+    return majority(shingle_hashes(text, width))
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -168,14 +193,281 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
-def components(docs: DataFrame, width: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (ascending) of shingles that several texts of a sample have, and in how many of them."""
+    n = docs.count()
+    share = min(1.0, min(max(n / SAMPLE_OF, SAMPLE[0]), SAMPLE[1]) / max(1, n))
+    some = docs.select("text").where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch["text"]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), width)).view(np.int64))], ["h"])
+
+    often = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    got = often.orderBy(F.col("n").desc(), "h").limit(MOST_COMMON).toPandas()
+    h, n = got["h"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def least_shared(n: int) -> int:
+    """Keys that a set of n shingles has to share with a similar one of at least its size: more of them leave fewer false candidates."""
+    return 1 + n // 16
+
+
+def prefix(own: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a set (ascending hashes), rare ones first: a set at least so similar has least_shared of the smaller one among its own first."""
+    n = len(own)
+    if not n:
+        return own
+    hashes, times = common
+    weight = np.zeros(n, np.int64)
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+        weight = np.where(hashes[at] == own, times[at], 0)
+    return own[np.argsort(weight, kind="stable")[: n - int(np.ceil(similarity * n - 1e-9)) + least_shared(n)]]
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def set_id(own: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(own.tobytes(), SEED)
+
+
+def set_rows(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """doc_id, fp, node (digest of the set of shingles), n (its size), keys (the prefix, packed) of every row of docs."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, node, n, keys = [], [], [], []
+            for t in batch["text"]:
+                hashes = shingle_hashes(t.as_py(), width)
+                own = np.unique(hashes)
+                fp.append(majority(hashes))
+                node.append(set_id(own))
+                n.append(len(own))
+                keys.append(prefix(own, similarity, shared.value).tobytes())
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, node, n)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), *longs, pa.array(keys, pa.binary())], ["doc_id", "fp", "node", "n", "keys"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, node long, n long, keys binary")
+
+
+def may_be_similar(n: np.ndarray, place: np.ndarray, m: np.ndarray, at: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of n and m shingles that share the ones at those places of their orders can be so similar."""
+    most = np.minimum(n - place, m - at)
+    return (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6) & (most * (1 + similarity) >= similarity * (n + m) - 1e-6)
+
+
+def shared_keys(sets: DataFrame, similarity: float) -> DataFrame:
+    """What shares a prefix shingle; sets: node, n, keys.
+
+    Where at most FEW sets have it: a null key, a pair a < b of sets of fitting sizes, and how many such keys they were seen
+    to share and need. Where more have it: the key, a the set, and b its size and the place of the shingle, packed.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [np.frombuffer(k.as_py(), np.int64) for k in batch["keys"]]
+            sizes = [len(k) for k in keys]
+            if sum(sizes):
+                packed = (np.repeat(batch["n"].to_numpy(), sizes) << 32) + np.concatenate([np.arange(k) for k in sizes])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(batch["node"].to_numpy(), sizes)), pa.array(packed)], ["key", "a", "b"])
+
+    def out(key: np.ndarray | None, a: np.ndarray, b: np.ndarray, seen: np.ndarray, need: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()) if key is None else pa.array(key), *map(pa.array, (a, b, seen, need))], ["key", "a", "b", "seen", "need"])
+
+    def folded(pairs: list[np.ndarray]) -> np.ndarray:
+        """a, b, seen, need of every pair once."""
+        rows = np.concatenate(pairs)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(rows)), bool), (rows[1:, :2] != rows[:-1, :2]).any(1)]))
+        once = rows[starts]
+        once[:, 2] = np.add.reduceat(rows[:, 2], starts) if len(starts) else 0
+        return once
+
+    def found(key: np.ndarray, node: np.ndarray, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(many, pairs): which rows have a key of more than FEW sets; the pairs of the others."""
+        n, place = packed >> 32, packed & ((1 << 32) - 1)
+        edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        many = np.repeat(np.diff(edges), np.diff(edges)) > FEW
+        pairs, i = [], np.flatnonzero(~many)
+        for step in range(1, FEW):
+            i = i[i + step < len(key)]
+            i = i[key[i] == key[i + step]]
+            if not len(i):
+                break
+            j = i + step
+            less = np.minimum(n[i], n[j])
+            fit = less >= similarity * np.maximum(n[i], n[j]) - 1e-6
+            pairs.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.ones_like(less), least_shared(less)], 1)[fit])
+        return many, np.concatenate(pairs) if pairs else np.zeros((0, 4), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[np.ndarray] = []  # rows whose key may go on
+        pairs: list[np.ndarray] = []
+        held = waiting = 0
+
+        def look(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal pairs, held
+            many, new = found(rows[:, 0], rows[:, 1], rows[:, 2])
+            if many.any():
+                yield out(*(np.ascontiguousarray(rows[many, k]) for k in range(3)), *np.zeros((2, int(many.sum())), np.int64))
+            pairs.append(new)
+            held += len(new)
+            if held > PAIRS:
+                pairs = [folded(pairs)]
+                held = len(pairs[0])
+                if held > PAIRS // 2:
+                    yield out(None, *np.ascontiguousarray(pairs[0].T))
+                    pairs, held = [], 0
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts.append(np.stack([batch[c].to_numpy() for c in ("key", "a", "b")], 1))
+            waiting += batch.num_rows
+            if waiting >= ROWS:
+                rows = np.concatenate(parts)
+                cut = int(np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))[-1])
+                if cut:
+                    yield from look(rows[:cut])
+                parts, waiting = [rows[cut:]], 0
+        if parts:
+            yield from look(np.concatenate(parts))
+        if held:
+            yield out(None, *np.ascontiguousarray(folded(pairs).T))
+
+    rows = sets.select("node", "n", "keys").mapInArrow(deal, "key long, a long, b long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, a long, b long, seen long, need long")
+
+
+def open_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), distinct: pairs of sets with a key in common and of different groups that sizes and places allow to be similar.
+
+    rows: key, node, n, place, root. Sets of a key's largest group are only compared with those of other groups.
+    """
+
+    def pairs_of(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        f = f.sort_values("n", kind="stable")
+        node, n, place, root = (f[c].to_numpy() for c in ("node", "n", "place", "root"))
+        names, own, sizes = np.unique(root, return_inverse=True, return_counts=True)
+        if len(names) < 2:
+            return
+        others = np.flatnonzero(own != sizes.argmax())
+        step = max(1, PAIRS // len(f))
+        for at in range(0, len(others), step):
+            i = others[at : at + step]
+            low, high = np.searchsorted(n, similarity * n[i[0]] - 1e-6), np.searchsorted(n, n[i[-1]] / similarity + 1e-6, "right")
+            x, y = i[:, None], np.arange(low, high)[None, :]
+            p, q = np.nonzero((own[x] != own[y]) & may_be_similar(n[x], place[x], n[y], place[y], similarity))
+            if len(p):
+                a, b = node[i[p]], node[low + q]
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left: list[pd.DataFrame] = []  # what is known of the last key
+        for frame in frames:
+            if not len(frame):
+                continue
+            key = frame["key"].to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+            for start, stop in zip(edges, edges[1:]):
+                if left and left[0]["key"].iloc[0] != key[start]:
+                    yield from pairs_of(pd.concat(left))
+                    left = []
+                left.append(frame.iloc[start:stop])
+        if left:
+            yield from pairs_of(pd.concat(left))
+
+    mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    return rows.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets are at least so similar; named: node and least, a document that has the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), similarity) for x, y in zip(batch["x"], batch["y"])]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = checkpoint(sets_of(docs, named.join(needed, "node", "left_semi"), width))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """node, own of the given nodes(node, least), and of some others, from the texts of the documents least.
+
+    A bitmap of a fixed size finds the documents, so texts are not shuffled. A set may come more than once.
+    """
+    bits = np.zeros(1 << 23, np.uint8)
+    for r in nodes.where("least is not null").select(F.pmod("least", F.lit(8 * len(bits))).alias("i")).distinct().toLocalIterator():
+        bits[r.i >> 3] |= 1 << (r.i & 7)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            null = batch["doc_id"].is_null().to_numpy(zero_copy_only=False)
+            i = np.mod(batch["doc_id"].cast(pa.int64()).fill_null(0).to_numpy(), 8 * len(shared.value))
+            keep = null | (shared.value[i >> 3] >> (i & 7) & 1).astype(bool)
+            own = [np.unique(shingle_hashes(t.as_py(), width)) for t in batch["text"].filter(pa.array(keep))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([set_id(x) for x in own], np.uint64).view(np.int64)), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "own"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "node long, own binary")
+
+
+def similar_components(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """doc_id, fp, component_id of every row of docs; links are all pairs whose sets of shingles are at least so similar.
+
+    Equal sets are one node from the start. Every pair that shares a key of its prefixes is checked, save pairs of sets
+    with a crowded key (more than FEW have it): there links of close fingerprints are checked first, and then the pairs
+    that are not in one group by now.
+    """
+    rows = checkpoint(set_rows(docs, width, similarity))
+    named = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")))
+    shared = checkpoint(shared_keys(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")), similarity))
+    rows = rows.select("doc_id", "fp", "node")
+    crowded = named.join(shared.where("key is not null").select(F.col("a").alias("node")).distinct(), "node", "left_semi")
+    first = crowded.groupBy("fp").agg(F.min("node").alias("first"))
+    equal = crowded.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = links(checkpoint(first.select("fp")), GUESS).join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    guesses = equal.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    # two sets that both have crowded keys may share more than was seen
+    seen = shared.where("key is null").groupBy("a", "b").agg(F.sum("seen").alias("seen"), F.first("need").alias("need"))
+    seen = seen.join(crowded.select(F.col("node").alias("a"), F.lit(True).alias("x")), "a", "left").join(crowded.select(F.col("node").alias("b"), F.lit(True).alias("y")), "b", "left")
+    pairs = checkpoint(seen.where("seen >= need or x and y").select("a", "b").unionByName(guesses).distinct())
+    sure = checkpoint(verified(pairs, docs, named, width, similarity))
+    known = connected_components(sure).select("node", F.col("component").alias("root"))
+    open_rows = shared.where("key is not null").select("key", F.col("a").alias("node"), F.shiftright("b", 32).alias("n"), F.expr("b & 4294967295").alias("place"))
+    open_rows = open_rows.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    left = checkpoint(open_pairs(open_rows, similarity).join(pairs, ["a", "b"], "left_anti"))
+    if not left.isEmpty():
+        known = connected_components(sure.unionByName(verified(left, docs, named, width, similarity))).select("node", F.col("component").alias("root"))
+    rooted = named.join(known, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(rooted.join(least, "root").select("node", "component_id"), "node").select("doc_id", "fp", "component_id")
+
+
+def components(docs: DataFrame, width: int = SHINGLE, distance: int | float = DISTANCE) -> DataFrame:
     """doc_id, fp, component_id of every row of docs: the least doc_id reachable over links, its own included.
 
+    The distance is a number of bits between fingerprints (int), or one less the similarity of the sets of shingles (float).
+
     Equal fingerprints are one node from the start, so groups of copies cost one row each. Null and empty texts
     have the fingerprint zero and are linked like any other; repeated rows each give a row; a null doc_id belongs
     to its group but is never its least (a group of nulls alone has a null component); an empty table gives an
     empty result; other columns of docs are not looked at.
     """
+    if isinstance(distance, float):
+        return similar_components(docs, width, 1 - distance)
     rows = checkpoint(fingerprints(docs, width))
     distinct = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     groups = connected_components(links(distinct.select("fp"), distance)).alias("g")
@@ -185,7 +477,7 @@ def components(docs: DataFrame, width: int = SHINGLE, distance: int = DISTANCE)
     return rows.join(nodes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = SHINGLE, distance: int | float = DISTANCE) -> DataFrame:
     """The rows of docs that are the first of their group, all their columns with them: the least doc_id stays.
 
     Of rows that repeat the least doc_id, one stays: the one whose text has the least digest. Rows whose group has

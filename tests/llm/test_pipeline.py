@@ -1,8 +1,10 @@
 """The pipeline's stages against what their operators say, on a small table."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 
 from tarn.llm import bpe, langid, mixing, pii, simhash
@@ -42,3 +44,34 @@ def test_stages_on_empty_and_odd_rows(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         odd = stage(spark, odd, sf)
     assert odd.count() > 0
+
+
+@pytest.mark.parametrize("few", [64, 3])
+def test_near_copies_of_similarity_08(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW", few)
+    rnd = random.Random(5)
+    words = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    line, texts = words(30), []
+    for k in range(60):
+        base = words(rnd.choice((40, 120, 300))) + (line if k % 2 else [])
+        texts.append(base)
+        for _ in range(rnd.choice((1, 1, 4))):
+            near = list(base)
+            for i in rnd.sample(range(len(near)), max(1, len(near) * rnd.choice((1, 2, 3, 4)) // 100)):
+                near[i] = words(1)[0]
+            texts.append(near)
+    texts += [["short"], ["short", "text"], ["Short"], *[line + words(5) for _ in range(20)]]
+    rnd.shuffle(texts)
+    sets = [frozenset(tuple(w.lower() for w in t[i : i + 5]) for i in range(max(1, len(t) - 4))) for t in texts]
+    root, hidden = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+                hidden += (simhash.fingerprint(" ".join(texts[i]), 5) ^ simhash.fingerprint(" ".join(texts[j]), 5)).bit_count() > 6
+    assert hidden > 20
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "a", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+    assert {r.doc_id: r.component_id for r in simhash.components(docs, 5, corpus_pipeline.DISTANCE).collect()} == dict(enumerate(root))

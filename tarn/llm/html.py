@@ -30,10 +30,16 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is dropped unread, up to their end tag.
-RAW = frozenset("script style textarea title noscript template svg math iframe object canvas audio video noembed xmp".split())
+RAW = frozenset("script style textarea title iframe noembed xmp".split())
+#: Elements that are dropped with all in them, up to their end tag or their parent's.
+DROPPED = frozenset("noscript template svg object canvas audio video annotation annotation-xml".split())
+#: A start tag of any other element, or text, ends head.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
+#: Elements that hold no blocks: a block's start tag closes them.
+CHOICES = ("select", "datalist", "optgroup", "option")
 #: Elements of forms and head: nothing in them is text of the page.
 MUTE = frozenset("button select option optgroup datalist label legend input head".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br nobr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br nobr math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup mover munder munderover mmultiscripts mprescripts mtable mtr mtd mstyle mspace mpadded mphantom merror menclose mfenced semantics".split())
 #: A start tag of one of these closes an open p.
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul li dd dt td th tr body".split())
 #: A start tag closes an open element of the same set, up to the container named.
@@ -113,6 +119,37 @@ def block_features(text: str, linked: int, tag: str, breaks: int) -> tuple[str,
     return (f"in={tag}", f"chars={min(n, 1 << 12).bit_length()}", f"links={density}", f"end={stop}", f"{tag}/links={density}", f"commas={min(3, text.count(','))}", f"breaks={min(2, breaks)}")
 
 
+MARKUP = re.compile(r"<(?:!--|(/?)([A-Za-z][^\s/>]*))")
+
+
+def end_of(text: str, at: int, tag: str, opened: dict[str, int]) -> int:
+    """Where the element `tag` whose content begins at `at` ends: after its end tag, or before that of an open element around it."""
+    inner: dict[str, int] = {}
+    while m := MARKUP.search(text, at):
+        if not m[2]:
+            stop = text.find("-->", m.end())
+            at = len(text) if stop < 0 else stop + 3
+            continue
+        name = m[2].lower()
+        rest = ATTRIBUTES.match(text, m.end())
+        stop = rest.end() if rest else text.find(">", m.end()) + 1 or len(text)
+        if m[1]:
+            if inner.get(name):
+                inner[name] -= 1
+            elif name == tag:
+                return stop
+            elif opened.get(name):
+                return m.start()
+        elif not text.endswith("/>", m.end(), stop) and name not in VOID:
+            if name in RAW:
+                ends = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(text, stop)
+                stop = ends.end() if ends else len(text)
+            else:
+                inner[name] = inner.get(name, 0) + 1
+        at = stop
+    return len(text)
+
+
 def parse(source: str | None) -> Page:
     """The tree of block elements and text blocks. Takes any text; time and memory grow with its length."""
     page = Page([-1], [0], [0], [("root",)], [""], [1])
@@ -156,6 +193,8 @@ def parse(source: str | None) -> Page:
         lt = text.find("<", at)
         end = size if lt < 0 else lt
         if end > at:
+            if opened.get("head") and not text[at:end].isspace():
+                close("head")
             if not state["mute"]:
                 piece = text[at:end]
                 pieces.append(piece)
@@ -194,6 +233,12 @@ def parse(source: str | None) -> Page:
             if opened.get(tag):
                 close(tag)
             continue
+        if opened.get("head") and tag not in IN_HEAD:
+            close("head")
+        if tag in DROPPED:
+            if not attributes.endswith("/"):
+                at = end_of(text, at, tag, opened)
+            continue
         if tag in RAW:
             if not attributes.endswith("/"):
                 ends = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(text, at)
@@ -208,6 +253,10 @@ def parse(source: str | None) -> Page:
             if tag == "hr":
                 flush()
             continue
+        if tag in CLOSES_P:
+            for choice in CHOICES:
+                if opened.get(choice):
+                    close(choice)
         if tag in CLOSES_P and opened.get("p"):
             close("p")
         if tag in SIBLINGS:

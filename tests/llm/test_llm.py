@@ -414,6 +414,20 @@ def test_html_article(spark):
 # ---- components -------------------------------------------------------------
 
 
+def test_html_optional_and_missing_end_tags():
+    long = "The prose of this article goes on, with commas, and it has no end tag where one may be left out. " * 3
+    seen = lambda source: [t for t in html.parse(source).texts if t]
+    assert seen(f"<html><head><title>T</title><meta charset=utf-8><style>p{{}}</style><body><article><p>{long}</p></article>") == [long.strip()]
+    assert seen(f"<head><script>x</script><noscript><p>no</p></noscript><p>{long}") == [long.strip()]
+    assert seen(f"<head>\n {long}") == [long.strip()]
+    assert html.texts_of([html.parse(f"<html><head><title>T</title><body><article><h1>On it</h1><p>{long}</p><p>{long}</p></article>")], html.trained())[0].count("prose") == 6
+    for tag in ("svg", "object", "canvas", "video", "audio", "noscript"):
+        assert seen(f"<div>a<{tag}><g>b<i>c</div><p>d</p><{tag}>e</{tag}>f") == ["a", "d", "f"]
+        assert seen(f"<div>a<{tag}><div>b</div><!-- </{tag}> --><script>'</div>'</script><{tag}>c</{tag}>d</{tag}>e</div>") == ["ae"]
+    assert seen("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> hold.</p>") == ["Let x=2 hold."]
+    assert seen("<form><select><option>a<option>b<p>c</p></form>d") == ["c", "d"]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 160)] + [(5, 5), (200, None)]
     got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -22,7 +22,7 @@ def semantic_inputs(samples: DataFrame, candidates: DataFrame, query_mode: str =
     return q, candidates.select("sample_id", "pos", T.context_text(T.none_if_null(F.col("text")), context_mode).alias("text"))
 
 
-def canonical_features(samples: DataFrame, candidates: DataFrame, train: DataFrame, rank: int = 32) -> DataFrame:
+def canonical_features(samples: DataFrame, candidates: DataFrame, train: DataFrame, rank: int = semantic.RANK) -> DataFrame:
     """Base features with the semantic word score, its file mean and the fuzzy score; train(sample_id) is what the vectors are fitted on."""
     base = lexical.base_features(samples, candidates)
     own_s, own_c = samples.join(train, "sample_id", "left_semi"), candidates.join(train, "sample_id", "left_semi")

@@ -566,7 +566,7 @@ def dense_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def semantic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples, candidates = pools.conversation_pools(spark, sf_dir)
-    model = semantic.fit(semantic.corpus(samples, candidates), rank=32)
+    model = semantic.fit(semantic.corpus(samples, candidates))
     return semantic.score(*experiments.semantic_inputs(samples, candidates), model)
 
 

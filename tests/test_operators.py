@@ -15,7 +15,8 @@ from tarn.operators import bayes, diffs, fuzzy, lexical, ranker, routing, semant
 from tarn.operators import groupwise as G
 from tarn.operators import metrics as M
 from tarn.operators import scores as S
-from tarn.sources import files
+from tarn.plans import experiments, queries
+from tarn.sources import files, pools
 
 SAMPLES = [("s1", "Please rename `old_name` to new_name in src/app.py"), ("s2", "remove this line: x = 1"), ("s3", "")]
 POOL = [
@@ -408,3 +409,18 @@ def test_experiments(spark):
     labelled = spark.createDataFrame([(i, "good film" if i % 2 else "bad film", "pos" if i % 2 else "neg", "test" if i > 6 else "train") for i in range(10)], "row_id int, text string, label string, split string")
     assert E.intent_run(labelled).first().accuracy == 1.0
     assert E.best_mode({"none": labelled, "full": labelled})[0] == "none"
+
+
+def test_semantic_rank_of_query_and_features(monkeypatch, spark, sf):
+    ranks = []
+
+    def fit(texts, analyzer="word", rank=semantic.RANK, **more):
+        ranks.append(rank)
+        raise InterruptedError
+
+    monkeypatch.setattr(semantic, "fit", fit)
+    samples, candidates = pools.conversation_pools(spark, sf)
+    for run in (lambda: queries.semantic_scores(spark, sf), lambda: experiments.canonical_features(samples, candidates, samples.select("sample_id"))):
+        with pytest.raises(InterruptedError):
+            run()
+    assert ranks == [128, 128]

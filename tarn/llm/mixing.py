@@ -7,9 +7,7 @@ their finish times, as far as the total budget reaches, are the mix.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,8 +19,8 @@ SHARE = 1.5
 PASSES = 2
 SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
-#: Bins of virtual time, on each of two levels, in which the end of the budget is looked for.
-BINS = 4096
+#: Items of one range of the global order, about, and ranges at most.
+ITEMS, RANGES = 20_000, 20_000
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -75,6 +73,28 @@ def finish(k: int) -> Column:
     return F.when(F.col("target") > 0, (F.col("cum") + k * F.col("source_size")).cast("double") / F.col("target"))
 
 
+def last_within(items: DataFrame, order: list[str], budget: float) -> Row | None:
+    """The last item, in the order, up to which the sizes add up to at most the budget; null if the first is too large.
+
+    All items are sorted by ranges of the order, about ITEMS of them in each (ranges get larger only beyond RANGES).
+    The ranges' sums tell the range in which the budget ends, and a running sum over that one range the item.
+    """
+    ranges = max(1, min(RANGES, -(-items.count() // ITEMS)))
+    ordered = checkpoint(items.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()))
+    held = {r["range"]: r["words"] for r in ordered.groupBy("range").agg(F.sum("size").alias("words")).collect()}
+    before = 0
+    for at in sorted(held):
+        if before + held[at] > budget:
+            break
+        before += held[at]
+    else:
+        return ordered.agg(F.max(F.struct(*order)).alias("last")).first()["last"]
+    running = F.sum("size").over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cut = ordered.where(F.col("range") == at).withColumn("running", running + F.lit(before)).where(F.col("running") <= budget)
+    found = cut.agg(F.max(F.struct(*order)).alias("last")).first()["last"]
+    return found or ordered.where(F.col("range") < at).agg(F.max(F.struct(*order)).alias("last")).first()["last"]
+
+
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target, copies and taken of every row of docs (copies: 0 to PASSES).
 
@@ -85,34 +105,16 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     rows = checkpoint(queue(docs, seed))
     first = rows.select("budget").head()
     budget = float(first[0]) if first else 0.0
-    items = rows.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("pass"), finish(k).alias("v")) for k in range(PASSES)])).alias("i")).select("*", "i.pass", "i.v").where("v is not null and size > 0")
-
-    def boundary(frame: DataFrame, start: float, low: float, width: float) -> tuple[float, float]:
-        """The bin in which the budget ends, of those of this width from low on, and the words before it."""
-        n = F.least(F.lit(BINS), F.floor((F.col("v") - low) / width)).cast("int")
-        got = sorted(frame.groupBy(n.alias("n")).agg(F.sum("size").alias("words")).collect())
-        for k, words in got:
-            if start + words > budget:
-                return low + k * width, start
-            start += words
-        return math.inf, start
-
-    # the cut is near 1 by the choice of targets; the last bin holds all that is far beyond
-    width, order, last = 2.0 / BINS, ["v", "place", "pass", "h", "doc_id"], None
-    low, before = boundary(items, 0.0, 0.0, width)
-    if low < math.inf:
-        width /= BINS
-        low, before = boundary(items.where(F.col("v") >= low), before, low, width)
-    if low < math.inf:
-        running = F.sum("size").over(Window.orderBy(*order, "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        near = items.where((F.col("v") >= low) & (F.col("v") < low + width)).withColumn("running", running + F.lit(before))
-        last = near.where(F.col("running") <= budget).agg(F.max(F.struct(*order)).alias("last")).first()["last"]
+    order = ["v", "place", "pass", "h", "doc_id"]
+    entries = [F.struct(F.lit(k).alias("pass"), finish(k).alias("v")) for k in range(PASSES)]
+    items = rows.where("size > 0 and target > 0").select("size", "place", "h", "doc_id", F.explode(F.array(*entries)).alias("i")).select("i.v", "place", "i.pass", "h", "doc_id", "size")
+    last = last_within(items, order, budget)
 
     def taken_in(k: int) -> Column:
-        inside = finish(k) < low
-        if last is not None:
-            own = F.struct(finish(k), F.col("place"), F.lit(k), F.col("h"), F.col("doc_id"))
-            inside = inside | (own <= F.struct(*[F.lit(last[c]).cast(t) for c, t in zip(order, ("double", "int", "int", "string", dict(rows.dtypes)["doc_id"]))]))
+        if last is None:
+            return F.lit(0)
+        own = F.struct(finish(k), F.col("place"), F.lit(k), F.col("h"), F.col("doc_id"))
+        inside = own <= F.struct(*[F.lit(last[c]).cast(t) for c, t in zip(order, ("double", "int", "int", "string", dict(rows.dtypes)["doc_id"]))])
         return F.when((F.col("size") > 0) & F.coalesce(inside, F.lit(False)), 1).otherwise(0)
 
     copies = sum((taken_in(k) for k in range(1, PASSES)), taken_in(0))
@@ -138,7 +140,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = rf"""
 with sizes as (
-  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) as bigint) as size,
+  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) as bigint) as size,
          md5(coalesce(cast(doc_id as varchar), 'null') || ':{SEED}') as h
   from documents),
 per_source as (

@@ -12,12 +12,15 @@ ARROW_ROWS = 1000
 
 #: Used only where spark.checkpoint.dir is unset, as in local tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/tarn"
+#: Bytes of one Arrow batch, which bound it where texts are long.
+ARROW_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of the folder, with Arrow batches kept small and this package on the workers' path."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -25,6 +28,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """df written to the folder that the cluster names in spark.checkpoint.dir, and read from there on."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
     return df.checkpoint(eager=True)
 
@@ -34,16 +39,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates the large-star and small-star steps until the edges no longer change. Each step first takes
     a minimum per node, which combines before the shuffle, so a hub with very many edges costs one row
-    per task; the rows of a hub meet its minimum in a join, whose large partitions Spark splits.
+    per task. The minima are written, so that the rows of a hub meet its minimum in a join whose large partitions Spark splits.
     Nodes without edges are not in the result; null nodes are ignored. An empty input gives an empty result.
     """
     cur = checkpoint(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     for _ in range(max_rounds):
         sym = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = sym.groupBy(F.col("a").alias("n")).agg(F.least(F.first("a"), F.min("b")).alias("m"))
+        least = checkpoint(sym.groupBy(F.col("a").alias("n")).agg(F.least(F.first("a"), F.min("b")).alias("m")))
         large = sym.where("b > a").join(least, sym["a"] == least["n"]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small_min = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
+        large = checkpoint(large)
+        small_min = checkpoint(large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")))
         joined = large.join(small_min, large["a"] == small_min["n"])
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(joined.select("a", F.col("m").alias("b"))).distinct()
         cur = checkpoint(small)

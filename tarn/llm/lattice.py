@@ -98,10 +98,23 @@ def cells(x: np.ndarray, planes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def unit(vectors: list, width: int) -> np.ndarray:
+    """Rows of length one; divided by their largest component first, so that no square is too large or too small."""
     x = np.array(vectors, np.float64).reshape(len(vectors), width)
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt(np.square(x).sum(1, keepdims=True))
 
 
+def close(x: np.ndarray, cosine: float) -> np.ndarray:
+    """Which pairs of unit rows have that cosine. Products so near to it that they depend on how blocks are multiplied are summed again in one way."""
+    product = x @ x.T
+    near = product >= cosine
+    a, b = np.nonzero(np.abs(product - cosine) < 1e-9)
+    for at in range(0, len(a), 4096):
+        i, j = a[at : at + 4096], b[at : at + 4096]
+        near[i, j] = (x[i] * x[j]).sum(1) >= cosine
+    return near
+
+
 def star_forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least index that each of 0 .. n-1 reaches over the links (a, b)."""
     root = np.arange(n)
@@ -172,7 +185,7 @@ def candidate_links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
         ids = frame["node"].to_numpy()
         x = unit(frame["embedding"].tolist(), len(frame["embedding"].iloc[0]))
-        a, b = np.nonzero(np.triu(x @ x.T >= cosine, 1))
+        a, b = np.nonzero(np.triu(close(x, cosine), 1))
         root = ids[star_forest(len(ids), a, b)]
         return pd.DataFrame({"a": ids[root != ids], "b": root[root != ids]})
 
@@ -200,7 +213,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         out = []
         for _, own in frame.groupby(frame["embedding"].map(len)):
             x, copies, part = unit(own["embedding"].tolist(), len(own["embedding"].iloc[0])), own["copies"].to_numpy(np.float64), own["part"].to_numpy()
-            near = x @ x.T >= cosine
+            near = close(x, cosine)
             np.fill_diagonal(near, False)
             if own["p"].iloc[0] != own["q"].iloc[0]:
                 near &= part[:, None] != part[None, :]  # pairs within a part are counted in the part's own task

@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
-TRAIN_PAGES = 600
+TRAIN_PAGES = 700
 TRAIN_SEED = 11
-STEPS = 300
+STEPS = 250
 PENALTY = 1e-4
 #: Pages whose trees are passed over together.
 BATCH = 64
@@ -122,7 +122,7 @@ def block_features(text: str, linked: int, tag: str, breaks: int) -> tuple[str,
 MARKUP = re.compile(r"<(?:!--|(/?)([A-Za-z][^\s/>]*))")
 
 
-def end_of(text: str, at: int, tag: str, opened: dict[str, int]) -> int:
+def end_of(text: str, at: int, tag: str, opened: dict[str, list[int]]) -> int:
     """Where the element `tag` whose content begins at `at` ends: after its end tag, or before that of an open element around it."""
     inner: dict[str, int] = {}
     while m := MARKUP.search(text, at):
@@ -153,8 +153,8 @@ def end_of(text: str, at: int, tag: str, opened: dict[str, int]) -> int:
 def parse(source: str | None) -> Page:
     """The tree of block elements and text blocks. Takes any text; time and memory grow with its length."""
     page = Page([-1], [0], [0], [("root",)], [""], [1])
-    stack: list[tuple[str, int, int]] = [("#root", 0, 1)]  # tag, node (of the nearest block element), label
-    opened: dict[str, int] = {}
+    stack: list[tuple[str, int, int, str]] = [("#root", 0, 1, "#root")]  # tag, node (of the nearest block element), label, that element's tag
+    opened: dict[str, list[int]] = {}  # places in the stack of the open elements of each tag
     pieces: list[str] = []
     state = {"linked": 0, "breaks": 0, "mute": 0, "a": 0}
 
@@ -162,7 +162,7 @@ def parse(source: str | None) -> Page:
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             if text:
-                tag, node, y = next((x for x in reversed(stack) if x[0] not in INLINE), stack[0])
+                _, node, y, tag = stack[-1]
                 page.parent.append(node)
                 page.depth.append(page.depth[node] + 1)
                 page.kind.append(1)
@@ -177,7 +177,7 @@ def parse(source: str | None) -> Page:
         if tag not in INLINE:
             flush()
         stack.pop()
-        opened[tag] -= 1
+        opened[tag].pop()
         if tag in MUTE:
             state["mute"] -= 1
         elif tag == "a":
@@ -261,23 +261,20 @@ def parse(source: str | None) -> Page:
             close("p")
         if tag in SIBLINGS:
             own, limits = SIBLINGS[tag]
-            for i in range(len(stack) - 1, max(0, len(stack) - 64), -1):
-                if stack[i][0] in limits:
-                    break
-                if stack[i][0] in own:
-                    while len(stack) > i:
-                        pop()
-                    break
-        opened[tag] = opened.get(tag, 0) + 1
-        _, node, y = stack[-1]
+            at_own, at_limit = (max((opened[t][-1] for t in some if opened.get(t)), default=-1) for some in (own, limits))
+            if at_own > at_limit:
+                while len(stack) > at_own:
+                    pop()
+        opened.setdefault(tag, []).append(len(stack))
+        _, node, y, around = stack[-1]
         if tag in INLINE:
-            stack.append((tag, node, y))
+            stack.append((tag, node, y, around))
             state["a"] += tag == "a"
             continue
         flush()
         if tag in MUTE:
             state["mute"] += 1
-            stack.append((tag, node, y))
+            stack.append((tag, node, y, tag))
             continue
         features, own_y = element_features(tag, attributes.strip())
         y = own_y if own_y >= 0 else y
@@ -287,7 +284,7 @@ def parse(source: str | None) -> Page:
         page.features.append(features)
         page.texts.append("")
         page.labels.append(y)
-        stack.append((tag, len(page.parent) - 1, y))
+        stack.append((tag, len(page.parent) - 1, y, tag))
     flush()
     return page
 
@@ -400,6 +397,8 @@ def labelled_page(rnd: random.Random) -> str:
 
     def named(*names: str) -> str:
         name = rnd.choice(names)
+        if rnd.random() < 0.05:
+            name = word()
         if rnd.random() < 0.3:
             name = rnd.choice((f"{name}-{word()}", f"{word()}_{name}", f"{name} {word()}", f"main-{name}" if name in STEMS["nav"] else f"site-{name}"))
         return f" {rnd.choice(('class', 'class', 'id'))}=\"{name}\""
@@ -471,8 +470,15 @@ def labelled_page(rnd: random.Random) -> str:
     if rnd.random() < 0.1:
         cell = lambda kind: f"<td{named(*STEMS[kind])}{no}>{some()}</td>" if rnd.random() < 0.7 else ""
         main = f"<table{yes}><tr>{cell(rnd.choice(('nav', 'side')))}<td{rnd.choice(('', named('main', 'content', 'text')))}{yes}>{body}</td>{cell(rnd.choice(('side', 'ad')))}</tr></table>"
-    close = "</body></html>" if rnd.random() < 0.9 else ""
-    return f"<!DOCTYPE html><html><head><title>{word()}</title><style>p{{}}</style></head><body>{''.join(before)}{main}{''.join(after)}{close}"
+    if rnd.random() < 0.06:
+        # the article's blocks stand among the others, with no element around them
+        main = f"<div{yes}>{body}</div>" if rnd.random() < 0.5 else body
+    if rnd.random() < 0.15:
+        grid = lambda parts: "".join(f"<div{named('col', 'row', 'box', 'grid')}>{x}</div>" for x in parts)
+        before, main, after = [grid(before)], f"<div{named('col', 'row', 'box', 'wrapper')}{yes}>{main}</div>", [grid(after)]
+    head = rnd.choice(("<head><title>{t}</title><style>p{{}}</style></head><body>", "<head><title>{t}</title><body>", "<head><meta charset=utf-8><title>{t}</title></head>", "<title>{t}</title>", "<body>"))
+    close = rnd.choice(("</body></html>", "</body></html>", "</body></html>", "</body>", ""))
+    return f"{rnd.choice(('<!DOCTYPE html>', '<!doctype html>', ''))}<html>{head.format(t=word())}{''.join(before)}{main}{''.join(after)}{close}"
 
 
 _MODELS: dict[tuple[int, int], Model] = {}

@@ -278,8 +278,8 @@ def test_audio_round_trip_and_features(spark):
     assert audio.hysteresis(np.array([0, 2, 3, 2, 0, 2, 2, 0.0]), 3, 2) == [(1, 4)]
     got = audio.media_columns(documents(spark, EDGE))
     table = audio.tensor_table(got.toArrow())
-    assert table["features"].type.shape == list(audio.SHAPE)
-    rows = got.drop("features", "spans").collect()
+    assert table["tensor"].type.shape == list(audio.SHAPE)
+    rows = got.select("doc_id", "n_bytes", "payload_sha256", "tail_crc32", "media", "feature").collect()
     assert len(rows) == len(EDGE) and len({r[1:] for r in rows if r.doc_id in (4, 5)}) == 1
     assert audio.media_columns(documents(spark, EMPTY)).count() == 0
 

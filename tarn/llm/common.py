@@ -39,17 +39,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates the large-star and small-star steps until the edges no longer change. Each step first takes
     a minimum per node, which combines before the shuffle, so a hub with very many edges costs one row
-    per task. The minima are written, so that the rows of a hub meet its minimum in a join whose large partitions Spark splits.
+    per task. The minima are dealt out anew, so that the rows of a hub meet its minimum in a join of two plain shuffles, whose
+    large partitions Spark splits.
     Nodes without edges are not in the result; null nodes are ignored. An empty input gives an empty result.
     """
     cur = checkpoint(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     for _ in range(max_rounds):
         sym = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = checkpoint(sym.groupBy(F.col("a").alias("n")).agg(F.least(F.first("a"), F.min("b")).alias("m")))
+        least = sym.groupBy(F.col("a").alias("n")).agg(F.least(F.first("a"), F.min("b")).alias("m")).repartition(F.xxhash64("n"))
         large = sym.where("b > a").join(least, sym["a"] == least["n"]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = checkpoint(large)
-        small_min = checkpoint(large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")))
+        small_min = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).repartition(F.xxhash64("n"))
         joined = large.join(small_min, large["a"] == small_min["n"])
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(joined.select("a", F.col("m").alias("b"))).distinct()
         cur = checkpoint(small)

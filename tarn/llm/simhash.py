@@ -450,9 +450,10 @@ def similar_components(docs: DataFrame, width: int, similarity: float) -> DataFr
     open_rows = open_rows.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
     left = checkpoint(open_pairs(open_rows, similarity).join(pairs, ["a", "b"], "left_anti"))
     if not left.isEmpty():
-        known = connected_components(sure.unionByName(verified(left, docs, named, width, similarity))).select("node", F.col("component").alias("root"))
+        grouped = known.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        known = connected_components(grouped.unionByName(verified(left, docs, named, width, similarity))).select("node", F.col("component").alias("root"))
     rooted = named.join(known, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    least = checkpoint(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id")).repartition(F.xxhash64("root"))
     return rows.join(rooted.join(least, "root").select("node", "component_id"), "node").select("doc_id", "fp", "component_id")
 
 
@@ -472,8 +473,8 @@ def components(docs: DataFrame, width: int = SHINGLE, distance: int | float = DI
     distinct = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     groups = connected_components(links(distinct.select("fp"), distance)).alias("g")
     nodes = distinct.join(groups, F.col("fp") == F.col("g.node"), "left").select("fp", "least", F.coalesce("g.component", "fp").alias("root"))
-    # written, so that the join with the nodes of a large group can be split
-    named = checkpoint(nodes.groupBy("root").agg(F.min("least").alias("component_id")))
+    # dealt out anew, so that the join with the nodes of a large group can be split
+    named = nodes.groupBy("root").agg(F.min("least").alias("component_id")).repartition(F.xxhash64("root"))
     nodes = nodes.join(named, "root").select("fp", "component_id")
     return rows.join(nodes, "fp").select("doc_id", "fp", "component_id")
 

@@ -28,8 +28,8 @@ RIDGE = 1e-2
 #: Sharpness with which the regressions' values become shares that add up to one.
 SHARPNESS = 6.0
 #: Characters whose n-grams are computed at once, and numbers of a presence matrix.
-CHUNK_CHARS = 1_000_000
-CELLS = 1 << 23
+CHUNK_CHARS = 200_000
+CELLS = 1 << 21
 UNKNOWN = "und"
 #: Bits of a character in an n-gram's code: 1 stands for a blank or anything else that is no letter, a letter is its code point and 2.
 CHAR_BITS = 21

@@ -43,7 +43,9 @@ SAMPLE, SAMPLE_OF, COMMON, MOST_COMMON = (4_000, 20_000), 16, 3, 500_000
 #: Sets that share a key, up to which all their pairs are checked at once. Sets of larger keys are first put in groups.
 FEW = 64
 #: Pairs compared by size and place, or kept to drop repeats, at once.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
+#: Odd numbers that mix the shingles of a set before the least of them is taken: similar sets mostly have equal least ones.
+MIXERS = (1, 0x9E3779B97F4A7C15)
 #: Rows of keys that a task looks at together.
 ROWS = 1 << 16
 
@@ -239,12 +241,12 @@ def set_id(own: np.ndarray) -> int:
 
 
 def set_rows(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """doc_id, fp, node (digest of the set of shingles), n (its size), keys (the prefix, packed) of every row of docs."""
+    """doc_id, fp, node (digest of the set of shingles), n (its size), keys (the prefix, packed) and mins (the least mixed shingles) of every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, node, n, keys = [], [], [], []
+            fp, node, n, keys, mins = [], [], [], [], []
             for t in batch["text"]:
                 hashes = shingle_hashes(t.as_py(), width)
                 own = np.unique(hashes)
@@ -252,10 +254,11 @@ def set_rows(docs: DataFrame, width: int, similarity: float) -> DataFrame:
                 node.append(set_id(own))
                 n.append(len(own))
                 keys.append(prefix(own, similarity, shared.value).tobytes())
+                mins.append([int((own * np.uint64(m)).min(initial=np.iinfo(np.uint64).max).view(np.int64)) for m in MIXERS])
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, node, n)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), *longs, pa.array(keys, pa.binary())], ["doc_id", "fp", "node", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), *longs, pa.array(keys, pa.binary()), pa.array(mins, pa.list_(pa.int64()))], ["doc_id", "fp", "node", "n", "keys", "mins"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, node long, n long, keys binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, node long, n long, keys binary, mins array<long>")
 
 
 def may_be_similar(n: np.ndarray, place: np.ndarray, m: np.ndarray, at: np.ndarray, similarity: float) -> np.ndarray:
@@ -428,18 +431,21 @@ def similar_components(docs: DataFrame, width: int, similarity: float) -> DataFr
     """doc_id, fp, component_id of every row of docs; links are all pairs whose sets of shingles are at least so similar.
 
     Equal sets are one node from the start. Every pair that shares a key of its prefixes is checked, save pairs of sets
-    with a crowded key (more than FEW have it): there links of close fingerprints are checked first, and then the pairs
-    that are not in one group by now.
+    with a crowded key (more than FEW have it): there links of close fingerprints and of equal least shingles are checked
+    first, and then the pairs that are not in one group by now.
     """
     rows = checkpoint(set_rows(docs, width, similarity))
-    named = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")))
+    named = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("mins").alias("mins")))
     shared = checkpoint(shared_keys(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")), similarity))
     rows = rows.select("doc_id", "fp", "node")
     crowded = named.join(shared.where("key is not null").select(F.col("a").alias("node")).distinct(), "node", "left_semi")
     first = crowded.groupBy("fp").agg(F.min("node").alias("first"))
     equal = crowded.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     near = links(checkpoint(first.select("fp")), GUESS).join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
-    guesses = equal.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    mixed = crowded.select("node", F.posexplode("mins").alias("j", "m"))
+    centre = mixed.groupBy("j", "m").agg(F.min("node").alias("first")).repartition(F.xxhash64("j", "m"))
+    alike = mixed.join(centre, ["j", "m"]).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    guesses = equal.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b"))).unionByName(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # two sets that both have crowded keys may share more than was seen
     seen = shared.where("key is null").groupBy("a", "b").agg(F.sum("seen").alias("seen"), F.first("need").alias("need"))
     seen = seen.join(crowded.select(F.col("node").alias("a"), F.lit(True).alias("x")), "a", "left").join(crowded.select(F.col("node").alias("b"), F.lit(True).alias("y")), "b", "left")

@@ -92,3 +92,16 @@ def match_reviews(reviews: DataFrame, found: DataFrame) -> DataFrame:
     g = g.withColumn("r", out)
     ids = F.when(F.col("r.id").isNotNull(), F.array("r.id")).otherwise(F.array().cast("array<string>"))
     return g.select("review_id", ids.alias("gold_context_ids"), F.col("r.m").alias("method"), F.col("r.why").alias("reason"))
+
+
+def match_first(reviews: DataFrame, candidates: DataFrame) -> DataFrame:
+    """sample_id, gold_context_ids by the older rule: every candidate that holds the hunk's text, else the first of the review's file.
+
+    reviews: sample_id, path, diff_hunk. candidates: sample_id, pos, context_id, text."""
+    needle = T.strip(T.none_if_null(F.col("diff_hunk")))
+    x = reviews.select("sample_id", needle.alias("needle"), F.concat(F.lit("path: "), F.col("path"), F.lit("\n")).alias("head")).join(candidates, "sample_id", "left")
+    inside = F.coalesce((F.col("needle") != "") & F.col("text").contains(F.col("needle")), F.lit(False))
+    own = F.coalesce((F.col("head") != "path: \n") & F.col("text").startswith(F.col("head")), F.lit(False))
+    ids = lambda test: F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("pos", "context_id")))), lambda s: s["context_id"])
+    g = x.groupBy("sample_id").agg(ids(inside).alias("a"), ids(own).alias("b"))
+    return g.select("sample_id", F.when(F.size("a") > 0, F.col("a")).otherwise(F.slice("b", 1, 1)).alias("gold_context_ids"))

@@ -159,14 +159,19 @@ def lexical_score(weights: dict[str, float] | None = None) -> Column:
     return out
 
 
-#: Weights of the ablations, each a change of the defaults.
+def _variant(inline: tuple[float, float, float], path: tuple[float, float], tfidf_: tuple[float, float], quoted: tuple[float, float]) -> dict[str, float]:
+    names = ("inline_code_overlap", "inline_path_overlap", "inline_line_overlap", "path_token_overlap", "path_exact_match", "word_tfidf", "char_tfidf", "quoted_span_exact", "quoted_line_exact")
+    return dict(zip(names, (*inline, *path, *tfidf_, *quoted)))
+
+
+#: Weights of the ablations (inline code, path and line; path tokens and whole paths; word and character TF-IDF; quoted spans and lines).
 ABLATIONS = {
-    "full": {},
-    "bm25_only": dict.fromkeys(words.LEXICAL_WEIGHTS, 0.0),
-    "no_tfidf": {"word_tfidf": 0.0, "char_tfidf": 0.0},
-    "no_lines": {"line_overlap": 0.0, "inline_line_overlap": 0.0, "quoted_line_exact": 0.0},
-    "no_quotes": {"quoted_span_exact": 0.0, "quoted_line_exact": 0.0},
-    "no_inline": {"inline_code_overlap": 0.0, "inline_path_overlap": 0.0, "inline_line_overlap": 0.0},
+    "lexical_base": _variant((0.0, 0.0, 0.0), (0.0, 0.0), (0.0, 0.0), (0.0, 0.0)),
+    "inline_code": _variant((1.5, 0.75, 2.5), (0.0, 0.0), (0.0, 0.0), (0.0, 0.0)),
+    "inline_code+path": _variant((1.5, 0.75, 2.5), (2.0, 2.0), (0.0, 0.0), (0.0, 0.0)),
+    "inline_code+char_tfidf": _variant((1.5, 0.75, 2.5), (0.0, 0.0), (0.0, 1.0), (0.0, 0.0)),
+    "inline_code+word_char_tfidf": _variant((1.5, 0.75, 2.5), (0.0, 0.0), (1.5, 1.0), (0.0, 0.0)),
+    "inline_code+word_char_tfidf+quoted": _variant((1.5, 0.75, 2.5), (0.0, 0.0), (1.5, 1.0), (3.0, 2.0)),
 }
 
 

@@ -106,3 +106,19 @@ def usage(df: DataFrame, column: str) -> DataFrame:
     """value, n, share of the values of a column."""
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+
+
+def dataset_stats(candidates: DataFrame) -> DataFrame:
+    """samples, total_contexts, avg_contexts_per_sample of a candidate table; zeros for an empty one."""
+    each = candidates.groupBy("sample_id").agg(F.count("*").alias("n"))
+    total = F.coalesce(F.sum("n"), F.lit(0))
+    return each.agg(F.count("*").alias("samples"), total.alias("total_contexts"), F.coalesce(F.try_divide(total, F.count("*")), F.lit(0.0)).alias("avg_contexts_per_sample"))
+
+
+def test_metrics(result: dict) -> dict[str, float]:
+    """hit@1, hit@3 and mrr of a result: from retrieval_test, else test, else the test part of best."""
+    places = (result.get("retrieval_test"), result.get("test"), (result.get("best") or {}).get("test"))
+    found = next((p for p in places if p is not None), None)
+    if found is None:
+        raise KeyError("no test metrics in the result")
+    return {k: float(found[k]) for k in ("hit@1", "hit@3", "mrr")}

@@ -93,3 +93,49 @@ def multimodel_router(rows: DataFrame, names: list[str], label: str = "best", c:
 def chosen(scores: DataFrame, choice: DataFrame) -> DataFrame:
     """The rows of scores (model, sample_id, ...) of each sample's chosen ranker (sample_id, model)."""
     return scores.join(choice, ["sample_id", "model"])
+
+
+def rules(slices: dict[str, Column]) -> dict[str, Column]:
+    """The 17 fixed rules for a second ranker: never, each flag set or not, each size of pool."""
+    out = {"always_a": F.lit(False)}
+    for flag in ("code_fence", "suggestion", "mention", "quoted_span", "short_comment", "long_comment"):
+        out |= {f"route_b_if_{flag}_yes": slices[flag], f"route_b_if_{flag}_no": ~slices[flag]}
+    names = {"<=10": "le=10", "11-20": "11_20", "21-40": "21_40", ">40": "gt40"}
+    return out | {f"route_b_if_context_bucket_{name}": slices["context_bucket"] == b for b, name in names.items()}
+
+
+def tag_rules(samples: DataFrame, column: str) -> DataFrame:
+    """rule, sample_id: one rule for each distinct value of an array column, with the samples that it routes."""
+    return samples.select(F.explode(F.array_distinct(column)).alias("rule"), "sample_id")
+
+
+def model_features(scores: DataFrame, models: list[str]) -> DataFrame:
+    """sample_id and, per ranker, its best score and margin, and for each ordered pair of two the differences of both and
+    whether they agree on the best candidate. scores: model, sample_id, pos, context_id, score."""
+    out = None
+    for m in models:
+        t = G.top_stats(scores.where(F.col("model") == m), "zero").select("sample_id", F.col("top").alias(f"{m}_top1_score"), F.col("margin").alias(f"{m}_margin"), F.col("top_id").alias(f"{m}_top_id"))
+        out = t if out is None else out.join(t, "sample_id")
+    pairs = []
+    for a in models:
+        for b in models:
+            if a != b:
+                pairs += [(F.col(f"{a}_{v}") - F.col(f"{b}_{v}")).alias(f"{a}_minus_{b}_{v}") for v in ("top1_score", "margin")]
+                pairs.append((F.col(f"{a}_top_id") == F.col(f"{b}_top_id")).cast("double").alias(f"{a}_same_top1_as_{b}"))
+    return out.select("sample_id", *[f"{m}_{v}" for m in models for v in ("top1_score", "margin")], *pairs)
+
+
+def sample_router(pairs: DataFrame, norms: tuple[str, ...], conditions: dict[str, Column], thresholds: tuple[float, ...], k: int = 3, digits: int | None = None) -> DataFrame:
+    """norm, condition, threshold, n, hit_1, ...: ranker b where the condition holds and its margin exceeds a's by the threshold at least."""
+    from . import scores as S
+
+    out = None
+    for norm in norms:
+        both = pairs.join(S.margins(pairs, "a", norm), "sample_id").join(S.margins(pairs, "b", norm), "sample_id")
+        gain = F.col("margin_b") - F.col("margin_a")
+        gain = gain if digits is None else F.round(gain, digits)
+        points = [F.struct(F.lit(norm).alias("norm"), F.lit(c).alias("condition"), F.lit(float(t)).alias("threshold"), F.when(use & (gain >= t), F.col("b")).otherwise(F.col("a")).alias("score")) for c, use in conditions.items() for t in thresholds]
+        rows = both.select("sample_id", "pos", "is_gold", F.explode(F.array(*points)).alias("g")).select("sample_id", "pos", "is_gold", "g.*")
+        out = rows if out is None else out.unionByName(rows)
+    by = ("norm", "condition", "threshold")
+    return M.summary(M.outcomes(out, k, by), by)

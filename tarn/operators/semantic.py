@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -172,3 +172,13 @@ def feedback_query(queries: DataFrame, added: DataFrame, max_terms: int = 12) ->
     parts = F.filter(F.array_distinct(F.flatten(F.transform("paths", T.path_parts))), lambda t: (F.length(t) >= 2) & ~t.rlike("^[0-9]+$") & ~F.array_contains(stop, t) & ~F.array_contains(base, t))
     text = F.concat_ws(" ", F.when(F.col("query") != "", F.col("query")), T.labelled("feedback_terms", F.col("terms")), T.labelled("feedback_paths", F.col("paths")), T.labelled("feedback_path_parts", F.slice(parts, 1, max_terms)))
     return queries.join(added, "sample_id").select("sample_id", T.strip(text).alias("text"))
+
+
+def save(model: Model, path: str) -> None:
+    """The vocabulary (term, idf, vector) as Parquet, a folder for the analyzer."""
+    model.vocabulary.withColumn("analyzer", F.lit(model.analyzer)).write.mode("overwrite").partitionBy("analyzer").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> Model:
+    rows = spark.read.parquet(path)
+    return Model(rows.drop("analyzer"), rows.select("analyzer").first()["analyzer"])

@@ -56,3 +56,19 @@ def paired(a: DataFrame, b: DataFrame, value: str, cluster: str = "group_key") -
 def comparison(a: DataFrame, b: DataFrame, value: str, cluster: str = "group_key", samples: int = 4000, flips: int = 12000, seed: int = 42) -> dict[str, float]:
     total, n = vectors(paired(a, b, value, cluster))
     return bootstrap(total, n, samples, seed) | {"p_value": sign_flip(total, n, flips, seed + 1)}
+
+
+def own_cluster(outcomes: DataFrame) -> DataFrame:
+    """outcomes with every sample as its own cluster, for statistics without groups."""
+    return outcomes.withColumn("group_key", F.col("sample_id").cast("string"))
+
+
+def sample_summary(outcomes: DataFrame, values: tuple[str, ...], samples: int = 4000, seed: int = 42) -> dict[str, dict[str, float]]:
+    """Mean and 95 % interval of each value when single samples are drawn again."""
+    rows = own_cluster(outcomes)
+    return {v: bootstrap(*vectors(cluster_sums(rows, v)), samples, seed) for v in values}
+
+
+def sample_comparison(a: DataFrame, b: DataFrame, value: str, **options) -> dict[str, float]:
+    """comparison over single samples."""
+    return comparison(own_cluster(a), own_cluster(b), value, **options)

@@ -83,3 +83,43 @@ def fingerprints(samples: DataFrame, *columns: str) -> DataFrame:
 def all_problems(*named: tuple[str, DataFrame]) -> DataFrame:
     """check, n of several checks in one table."""
     return reduce(DataFrame.unionByName, [p.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n") for name, p in named])
+
+
+def prediction_problems(samples: DataFrame, predictions: DataFrame, k: int) -> DataFrame:
+    """sample_id, problem of predictions that don't fit their samples.
+
+    samples: sample_id, gold_context_ids, context_ids; predictions: sample_id, gold_context_ids, predicted_context_ids_topk."""
+    p = predictions.groupBy("sample_id").agg(F.count("*").alias("times"), F.first("gold_context_ids").alias("told"), F.first("predicted_context_ids_topk").alias("top"))
+    x = samples.join(p, "sample_id", "full_outer")
+    top = F.col("top")
+    checks = {
+        "missing": F.col("times").isNull(),
+        "unknown sample": F.col("context_ids").isNull(),
+        "repeated sample": F.col("times") > 1,
+        "other gold": ~F.col("told").eqNullSafe(F.col("gold_context_ids")),
+        "no list": top.isNull(),
+        "empty": F.size(top) == 0,
+        "too long": F.size(top) > k,
+        "foreign": F.size(F.array_except(top, F.col("context_ids"))) > 0,
+        "repeated": F.size(F.array_distinct(top)) < F.size(top),
+    }
+    problem = F.lit(None).cast("string")
+    for name, test in reversed(checks.items()):
+        problem = F.when(F.coalesce(test, F.lit(False)), F.lit(name)).otherwise(problem)
+    return x.select("sample_id", problem.alias("problem")).where("problem is not null")
+
+
+def holdout_problems(samples: DataFrame, column: str, target: str, evaluated: DataFrame, predictions: DataFrame, k: int) -> DataFrame:
+    """check, n of a holdout's artefacts: training rows of the target, evaluated rows that are not of it or not in the test
+    split, target rows left out, and predictions that don't fit. samples: sample_id, split, the column, gold_context_ids, context_ids;
+    evaluated: sample_id, part ('train' or 'test')."""
+    x = samples.join(evaluated, "sample_id", "left")
+    mine = F.col(column).eqNullSafe(F.lit(target))
+    test = samples.where(mine & (F.col("split") == "test"))
+    return all_problems(
+        ("target in training", x.where((F.col("part") == "train") & mine)),
+        ("test split in training", x.where("part = 'train' and split = 'test'")),
+        ("other in evaluation", x.where((F.col("part") == "test") & (~mine | (F.col("split") != "test")))),
+        ("left out", x.where(mine & (F.col("split") == "test") & ~F.col("part").eqNullSafe(F.lit("test")))),
+        ("predictions", prediction_problems(test.select("sample_id", "gold_context_ids", "context_ids"), predictions, k)),
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions import text as T
 from ..functions import words
 from ..operators import bayes, fuzzy, groupwise, lexical, metrics, ranker, semantic, splits
 from ..operators import scores as S
+from ..sources import files
 
 
 def lexical_run(samples: DataFrame, candidates: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -92,3 +95,46 @@ def best_mode(rows_by_mode: dict[str, DataFrame]) -> tuple[str, dict]:
         if best is None or got["macro_f1"] > best[1]["macro_f1"]:
             best = (mode, got)
     return best
+
+
+def refit_holdout(samples: DataFrame, candidates: DataFrame, column: str, target: str, **options) -> dict:
+    """holdout with all that is learned fitted without the target: vectors and ranker see the other values' training samples only.
+
+    samples: sample_id, comment, split and the column; candidates as everywhere."""
+    inside = F.col(column).eqNullSafe(F.lit(target))
+    train = samples.where((F.col("split") == "train") & ~inside).select("sample_id")
+    use = samples.where(F.when(F.col("split") == "test", inside).otherwise(~inside)).select("sample_id")
+    own_s, own_c = samples.join(use, "sample_id", "left_semi"), candidates.join(use, "sample_id", "left_semi")
+    return holdout(canonical_features(own_s, own_c, train), samples, column, target, **options)
+
+
+def out_of_fold_semantic(samples: DataFrame, candidates: DataFrame, folds: int) -> DataFrame:
+    """sample_id, pos, score: every sample's semantic scores from vectors of the other folds. samples has the column fold."""
+    out = None
+    for f in range(folds):
+        rest, part = samples.where(F.col("fold") != f), samples.where(F.col("fold") == f)
+        model = semantic.fit(semantic.corpus(rest, candidates.join(rest.select("sample_id"), "sample_id", "left_semi")))
+        got = semantic.score(*semantic_inputs(part, candidates.join(part.select("sample_id"), "sample_id", "left_semi")), model).select("sample_id", "pos", "score")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def feature_subsets(names: list[str], low: int, high: int, must: tuple[str, ...] = ()) -> list[tuple[str, ...]]:
+    """All subsets of the names, sorted, of low to high members, that hold the names in must."""
+    if unknown := set(must) - set(names):
+        raise KeyError(f"unknown features: {sorted(unknown)}")
+    sizes = range(low, min(high, len(names)) + 1)
+    return [c for n in sizes for c in combinations(sorted(names), n) if set(must) <= set(c)]
+
+
+def subset_search(features: DataFrame, split: DataFrame, base: tuple[str, ...], subsets: list[tuple[str, ...]], path: str, **options) -> DataFrame:
+    """name, metrics: the ranker of the base features with each subset, by its dev metrics. Each result is appended as soon as
+    it is there, and what an earlier run has written is not computed again."""
+    spark = features.sparkSession
+    done = files.finished(spark, path)
+    for s in subsets:
+        name = "+".join(s) or "base"
+        if name not in done:
+            model, _ = train_ranker(features, split, (*base, *s), **options)
+            files.append_result(spark, path, name, {k: v for k, v in model["dev_metrics"].items() if isinstance(v, (int, float))})
+    return spark.read.parquet(path)

@@ -100,3 +100,45 @@ def named_paths(specs: list[str]) -> dict[str, str]:
             raise ValueError(f"Expected a new name=path, got {s!r}")
         out[name.strip()] = path.strip()
     return out
+
+
+def write_feature_rows(rows: DataFrame, path: str, names: list[str]) -> None:
+    """A feature-row cache as JSON lines. rows: sample_id, pos, context_id, source, text and the named features."""
+    features = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in names]))
+    own = F.struct("pos", "context_id", "source", "text", features.alias("features"))
+    cut = lambda r: F.struct(r["context_id"].alias("context_id"), r["source"].alias("source"), r["text"].alias("text"), r["features"].alias("features"))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "context_id")))
+    # maps have no order, so the rows are found again by their places
+    grouped = rows.groupBy("sample_id").agg(ordered.alias("o"), F.map_from_entries(F.collect_list(F.struct("pos", own))).alias("m"))
+    grouped.select("sample_id", F.transform("o", lambda x: cut(F.element_at("m", x["pos"]))).alias("feature_rows")).write.json(path)
+
+
+def read_model(text: str) -> dict:
+    """A linear model of model_json; it must name its features, their scaling and as many coefficients."""
+    model = json.loads(text)
+    n = len(model["feature_names"])
+    if any(len(model[k]) != n for k in ("scaler_mean", "scaler_scale", "coefficients")):
+        raise ValueError("the model's parts differ in length")
+    return model
+
+
+def markdown_table(rows: DataFrame, digits: int = 4) -> str:
+    """A small result as a Markdown table, for reports."""
+    show = lambda v: f"{v:.{digits}f}" if isinstance(v, float) else "" if v is None else str(v).replace("|", "\\|")
+    lines = [rows.columns, ["---"] * len(rows.columns), *[[show(v) for v in r] for r in rows.collect()]]
+    return "\n".join("| " + " | ".join(x) + " |" for x in lines) + "\n"
+
+
+def append_result(spark: SparkSession, path: str, name: str, metrics: dict[str, float]) -> None:
+    """One finished step of a search, so that the search can go on from what is there."""
+    spark.createDataFrame([(name, {k: float(v) for k, v in metrics.items()})], "name string, metrics map<string, double>").write.mode("append").parquet(path)
+
+
+def finished(spark: SparkSession, path: str) -> set[str]:
+    """Names of the steps that append_result has written; none if there is nothing yet."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return {r.name for r in spark.read.parquet(path).select("name").collect()}
+    except AnalysisException:
+        return set()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -79,3 +79,25 @@ def sized(samples_: DataFrame, min_contexts: int = 0, max_contexts: int = 0) ->
     n = F.size("contexts")
     out = samples_.where(n >= min_contexts)
     return out if max_contexts == 0 else out.where(n <= max_contexts)
+
+
+def first_samples(samples_: DataFrame, n: int, order: str = "sample_id") -> DataFrame:
+    """The first n samples in an order; 0 means all."""
+    return samples_ if n <= 0 else samples_.orderBy(order).limit(n)
+
+
+def positive_pairs(samples_: DataFrame, candidates: DataFrame) -> DataFrame:
+    """query, context: the text of every sample with those of its gold candidates, each pair of texts once."""
+    gold = candidates.where("is_gold").select("sample_id", F.col("text").alias("context"))
+    return samples_.select("sample_id", F.col("comment").alias("query")).join(gold, "sample_id").select("query", "context").distinct()
+
+
+def toy_samples(spark: SparkSession) -> DataFrame:
+    """A few labelled samples of three candidates each (diff, function, file), with split: enough to run every step once."""
+    kinds = (("correctness", "check the index before reading", "items[i]"), ("testing", "add a test for the empty list", "test_empty"), ("readability", "give the loop variable a name", "row"), ("performance", "do not sort twice", "sorted"))
+    rows = []
+    for k, (intent, comment, symbol) in enumerate(kinds * 2):
+        sid = f"toy-{k}"
+        contexts = [(f"{sid}-{s}", s, f"path: src/{s}_{k}.py\n{t}") for s, t in (("diff", f"+ {symbol}"), ("function", f"def f_{k}(): return {k}"), ("file", f"# module {k}"))]
+        rows.append((sid, comment, intent, [contexts[0][0]], contexts, ("train", "train", "dev", "test")[(k + k // 4) % 4]))
+    return spark.createDataFrame(rows, "sample_id string, comment string, intent string, gold_context_ids array<string>, contexts array<struct<context_id: string, source: string, text: string>>, split string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import random
+import hashlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,13 +52,11 @@ def stratified_sample(samples: DataFrame, by: str, fraction: float, seed: int, o
 
 
 def fold_of_groups(counts: list[tuple[str, int]], n_splits: int, seed: int) -> dict[str, int]:
-    """Groups to folds: the largest first, each to the fold that has least so far; equal sizes in a seeded order."""
+    """Groups to folds: the largest first, each to the fold that has least so far; equal sizes in the order of a seeded hash."""
     n_splits = min(int(n_splits), len(counts))
     if n_splits < 2:
         raise ValueError("folds need at least two groups")
-    order = list(counts)
-    random.Random(seed).shuffle(order)
-    order.sort(key=lambda x: -x[1])
+    order = sorted(counts, key=lambda x: (-x[1], hashlib.md5(f"{x[0]}|{seed}".encode()).hexdigest()))
     load, out = [0] * n_splits, {}
     for key, n in order:
         k = load.index(min(load))

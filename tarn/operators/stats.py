@@ -1,13 +1,22 @@
-"""Resampling statistics. Spark reduces to one row per cluster (a sum and a count); the resampling is on these vectors."""
+"""Intervals and p-values that respect clusters of samples, by weights that a hash draws for each cluster and resample.
+
+Nothing but sums per resample leaves the executors: a cluster's weight in a resample is a Poisson number (how often it is
+drawn again), its sign in a flip is a bit of its digest. Equal inputs give equal results in every run.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Resamples that are drawn at once.
-AT_ONCE = 256
+#: Flips that one digest gives: its bits.
+BITS = 128
+#: Resamples for which one digest draws.
+DRAWS = 4
+#: Probabilities of at most 0, 1, 2 ... draws.
+POISSON = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12))
 
 
 def cluster_sums(outcomes: DataFrame, value: str, cluster: str = "group_key") -> DataFrame:
@@ -15,36 +24,50 @@ def cluster_sums(outcomes: DataFrame, value: str, cluster: str = "group_key") ->
     return outcomes.groupBy(cluster).agg(F.sum(value).cast("double").alias("total"), F.count("*").alias("n"))
 
 
-def vectors(sums: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    rows = sums.orderBy(sums.columns[0]).select("total", "n").toPandas()
-    return rows["total"].to_numpy(float), rows["n"].to_numpy(float)
+def digest(key: Column, number: Column, seed: int) -> Column:
+    return F.md5(F.concat_ws("|", F.coalesce(key.cast("string"), F.lit("")), number.cast("string"), F.lit(str(seed))))
+
+
+def resampled_means(sums: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """resample, mean: the mean per sample of each resample of whole clusters; one that draws no cluster is left out."""
+    if resamples < 1:
+        raise ValueError("at least one resample is needed")
+    rows = sums.select(F.col(sums.columns[0]).alias("key"), "total", "n", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // DRAWS))).alias("block"))
+    # numbers leave the generator as columns, so that a digest is computed once for its draws
+    part = lambda h, k: F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("double") / float(1 << 32)
+    draws = F.transform(F.array(digest(F.col("key"), F.col("block"), seed)), lambda h: F.array(*[part(h, k) for k in range(DRAWS)]))
+    rows = rows.select("total", "n", "block", F.posexplode(F.flatten(draws)).alias("k", "u")).withColumn("resample", F.col("block") * DRAWS + F.col("k")).where(F.col("resample") < resamples)
+    times = sum((F.when(F.col("u") >= p, 1).otherwise(0) for p in POISSON[1:]), F.when(F.col("u") >= POISSON[0], 1).otherwise(0))
+    rows = rows.where(F.col("u") >= POISSON[0]).withColumn("times", times)
+    return rows.groupBy("resample").agg((F.sum(F.col("times") * F.col("total")) / F.sum(F.col("times") * F.col("n"))).alias("mean"))
+
+
+def bootstrap(sums: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """mean, ci_low, ci_high in one row: the mean per sample and its 95 % interval; zeros where there are no clusters."""
+    whole = sums.agg(F.try_divide(F.sum("total"), F.sum("n")).alias("mean"))
+    means = resampled_means(sums, resamples, seed).agg(F.percentile("mean", 0.025).alias("ci_low"), F.percentile("mean", 0.975).alias("ci_high"))
+    return whole.crossJoin(means).select(*[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean", "ci_low", "ci_high")])
 
 
-def bootstrap(total: np.ndarray, n: np.ndarray, samples: int, seed: int) -> dict[str, float]:
-    """Mean per sample and its 95 % interval when whole clusters are drawn again; zeros for no clusters."""
-    if samples <= 0:
-        raise ValueError("bootstrap sample count must be positive")
-    if not len(total):
-        return {"mean": 0.0, "ci_low": 0.0, "ci_high": 0.0}
-    rng, means = np.random.default_rng(seed), []
-    for at in range(0, samples, AT_ONCE):
-        k = rng.integers(0, len(total), (min(AT_ONCE, samples - at), len(total)))
-        means.append(total[k].sum(1) / n[k].sum(1))
-    low, high = np.quantile(np.concatenate(means), [0.025, 0.975])
-    return {"mean": float(total.sum() / n.sum()), "ci_low": float(low), "ci_high": float(high)}
+def flipped_means(sums: DataFrame, flips: int, seed: int) -> DataFrame:
+    """flip, mean: the mean per sample when each cluster's sign is a coin's."""
+    if flips < 1:
+        raise ValueError("at least one flip is needed")
+    whole = sums.agg(F.sum("n").alias("all"))
+    rows = sums.select(F.col(sums.columns[0]).alias("key"), "total", F.explode(F.sequence(F.lit(0), F.lit(-(-flips // BITS) - 1))).alias("block")).where("total <> 0")
+    nibbles = F.transform(F.array(digest(F.col("key"), F.col("block"), seed)), lambda h: F.array(*[F.conv(F.substring(h, k + 1, 1), 16, 10).cast("int") for k in range(BITS // 4)]))
+    rows = rows.select("total", "block", F.posexplode(F.flatten(nibbles)).alias("place", "c"))
+    four = F.col("c")
+    sums_ = rows.groupBy("block", "place").agg(*[F.sum(F.when(four.bitwiseAND(1 << b) > 0, F.col("total")).otherwise(-F.col("total"))).alias(f"s{b}") for b in range(4)])
+    each = sums_.select("block", "place", F.posexplode(F.array("s0", "s1", "s2", "s3")).alias("b", "s"))
+    return each.select((F.col("block") * BITS + F.col("place") * 4 + F.col("b")).alias("flip"), "s").where(F.col("flip") < flips).crossJoin(whole).select("flip", (F.col("s") / F.col("all")).alias("mean"))
 
 
-def sign_flip(total: np.ndarray, n: np.ndarray, samples: int, seed: int) -> float:
-    """Two-sided p-value of the mean difference when each cluster's sign is a coin flip; 1 for no difference."""
-    if samples <= 0:
-        raise ValueError("randomization sample count must be positive")
-    if not len(total) or not (observed := abs(total.sum() / n.sum())):
-        return 1.0
-    rng, hits = np.random.default_rng(seed), 0
-    for at in range(0, samples, AT_ONCE):
-        signs = rng.choice(np.array((-1.0, 1.0)), (min(AT_ONCE, samples - at), len(total)))
-        hits += int((np.abs(signs @ total) / n.sum() >= observed).sum())
-    return (hits + 1) / (samples + 1)
+def sign_flip(sums: DataFrame, flips: int, seed: int) -> DataFrame:
+    """p_value in one row, two-sided: how often flips reach the mean that was seen, itself among them; 1 for a mean of zero."""
+    seen = sums.agg(F.coalesce(F.abs(F.try_divide(F.sum("total"), F.sum("n"))), F.lit(0.0)).alias("seen"))
+    hits = flipped_means(sums, flips, seed).crossJoin(seen).agg(F.count_if(F.abs("mean") >= F.col("seen") - 1e-12).alias("hits"))
+    return hits.crossJoin(seen).select(F.when(F.col("seen") == 0, 1.0).otherwise((F.col("hits") + 1) / float(flips + 1)).alias("p_value"))
 
 
 def paired(a: DataFrame, b: DataFrame, value: str, cluster: str = "group_key") -> DataFrame:
@@ -53,9 +76,10 @@ def paired(a: DataFrame, b: DataFrame, value: str, cluster: str = "group_key") -
     return cluster_sums(a.join(other, "sample_id").withColumn("delta", F.col("other") - F.col(value)), "delta", cluster)
 
 
-def comparison(a: DataFrame, b: DataFrame, value: str, cluster: str = "group_key", samples: int = 4000, flips: int = 12000, seed: int = 42) -> dict[str, float]:
-    total, n = vectors(paired(a, b, value, cluster))
-    return bootstrap(total, n, samples, seed) | {"p_value": sign_flip(total, n, flips, seed + 1)}
+def comparison(a: DataFrame, b: DataFrame, value: str, cluster: str = "group_key", samples: int = 4000, flips: int = 12000, seed: int = 42) -> DataFrame:
+    """mean, ci_low, ci_high, p_value of b against a, in one row."""
+    sums = paired(a, b, value, cluster).cache()
+    return bootstrap(sums, samples, seed).crossJoin(sign_flip(sums, flips, seed + 1))
 
 
 def own_cluster(outcomes: DataFrame) -> DataFrame:
@@ -63,12 +87,15 @@ def own_cluster(outcomes: DataFrame) -> DataFrame:
     return outcomes.withColumn("group_key", F.col("sample_id").cast("string"))
 
 
-def sample_summary(outcomes: DataFrame, values: tuple[str, ...], samples: int = 4000, seed: int = 42) -> dict[str, dict[str, float]]:
-    """Mean and 95 % interval of each value when single samples are drawn again."""
-    rows = own_cluster(outcomes)
-    return {v: bootstrap(*vectors(cluster_sums(rows, v)), samples, seed) for v in values}
+def sample_summary(outcomes: DataFrame, values: tuple[str, ...], samples: int = 4000, seed: int = 42) -> DataFrame:
+    """metric, mean, ci_low, ci_high of each value when single samples are drawn again."""
+    out = None
+    for v in values:
+        one = bootstrap(cluster_sums(own_cluster(outcomes), v), samples, seed).select(F.lit(v).alias("metric"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-def sample_comparison(a: DataFrame, b: DataFrame, value: str, **options) -> dict[str, float]:
+def sample_comparison(a: DataFrame, b: DataFrame, value: str, **options) -> DataFrame:
     """comparison over single samples."""
     return comparison(own_cluster(a), own_cluster(b), value, **options)

@@ -511,13 +511,34 @@ def cluster_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.cluster_sums(o, "rr").withColumn("total", F.round("total", 9))
 
 
-@query()
+_DIGEST = lambda n, seed: f"md5(concat_ws('|', cast(key as varchar), {n}, '{seed}'))"
+_TIMES = " + ".join(f"(u >= {p!r})::int" for p in stats.POISSON)
+
+
+def _statistics_sql(value: str) -> str:
+    """Both tests of one metric, by the same digests."""
+    return f"""(with d as (select a.o_custkey as key, sum(b.v - a.v)::double as total, count(*) as n from o a join o b using (sample_id) where a.sys = 'a' and b.sys = 'b' and a.metric = '{value}' and b.metric = '{value}' group by a.o_custkey),
+w as (select *, ('0x' || substr({_DIGEST('r // 4', 42)}, cast(r % 4 * 8 + 1 as int), 8))::bigint::double / 4294967296 as u from d, (select unnest(range(0, 4000)) as r)),
+m as (select r, sum(({_TIMES}) * total) / sum(({_TIMES}) * n) as mean from w group by r),
+h as (select total, k, {_DIGEST('k', 43)} as h from d, (select unnest(range(0, 94)) as k) where total <> 0),
+c as (select k, p, total, ('0x' || substr(h, cast(p + 1 as int), 1))::int as four from h, (select unnest(range(0, 32)) as p)),
+f as (select k * 128 + p * 4 + b as flip, abs(sum(case when (four >> b) & 1 = 1 then total else -total end)) as s from c, (select unnest(range(0, 4))::int as b) group by k, p, b),
+seen as (select sum(total) / sum(n) as mean, sum(n) as n from d)
+select '{value}' as metric, round((select mean from seen), 6) as mean, round((select quantile_cont(mean, 0.025) from m), 6) as ci_low, round((select quantile_cont(mean, 0.975) from m), 6) as ci_high,
+round(case when (select mean from seen) = 0 then 1 else (1 + (select count(*) from f where flip < 12000 and s / (select n from seen) >= abs((select mean from seen)) - 1e-12)) / 12001.0::double end, 6) as p_value)"""
+
+
+@query(
+    f"""with {LINEITEM_POOLS}, pairs as (select 'a' as sys, *, a as score from x union all select 'b', *, b from x), {OUTCOMES('score', 'pairs', 'sys, ')},
+o as (select sys, sample_id, o_custkey, 'hit_1' as metric, hit_1::double as v from outcomes join orders on o_orderkey = sample_id union all select sys, sample_id, o_custkey, 'rr', rr from outcomes join orders on o_orderkey = sample_id)
+{_statistics_sql('hit_1')} union all {_statistics_sql('rr')}"""
+)
 def cluster_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bootstrap interval and sign-flip p-value of ranker b against a, by customers."""
     x, orders = pools.lineitem_pools(spark, sf_dir), pools.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id"), F.col("o_custkey").alias("group_key"))
     a, b = (M.outcomes(x.withColumn("score", F.col(c))).join(orders, "sample_id") for c in "ab")
-    rows = [(v, *(float(got[k]) for k in ("mean", "ci_low", "ci_high", "p_value"))) for v in ("hit_1", "rr") for got in [stats.comparison(a, b, v)]]
-    return spark.createDataFrame(rows, "metric string, mean double, ci_low double, ci_high double, p_value double")
+    hit, rr = (stats.comparison(a, b, v).select(F.lit(v).alias("metric"), "*") for v in ("hit_1", "rr"))
+    return R6(hit.unionByName(rr), "mean", "ci_low", "ci_high", "p_value")
 
 
 @query("with d as (select sha256(length(text)::varchar || ':' || text || '|' || length(lang)::varchar || ':' || lang) as fingerprint, source from documents), s as (select fingerprint, list_sort(list(distinct source)) as s from d group by fingerprint having count(distinct source) > 1), p as (select unnest(flatten(list_transform(s, lambda a: list_transform(list_filter(s, lambda b: b > a), lambda b: {'l': a, 'r': b})))) as p from s) select p.l as left_split, p.r as right_split, count(*) as shared from p group by all")

@@ -64,9 +64,9 @@ def test_reports(spark):
 def test_statistics_over_single_samples(spark):
     a = spark.createDataFrame([(i, i % 2, "g") for i in range(40)], "sample_id long, hit_1 int, group_key string")
     b = a.withColumn("hit_1", F.lit(1))
-    got = stats.sample_summary(a, ("hit_1",), 200)["hit_1"]
-    assert got["mean"] == 0.5 and got["ci_low"] < 0.5 < got["ci_high"]
-    assert stats.sample_comparison(a, b, "hit_1", samples=200, flips=400)["p_value"] < 0.05
+    got = stats.sample_summary(a, ("hit_1",), 200).first()
+    assert got.metric == "hit_1" and got["mean"] == 0.5 and got.ci_low < 0.5 < got.ci_high
+    assert stats.sample_comparison(a, b, "hit_1", samples=200, flips=400).first().p_value < 0.05
 
 
 def test_holdout_fits_nothing_on_its_target(spark, sf, monkeypatch):

@@ -285,15 +285,17 @@ def test_splits(spark):
     assert Counter(r.split for r in rare.collect()) == {"train": 1, "dev": 1}
 
 
-def test_statistics():
-    total, n = np.array([1.0, 0.5]), np.array([2.0, 1.0])
-    got = stats.bootstrap(total, n, 500, 1)
-    assert got["mean"] == 0.5 and got["ci_low"] <= 0.5 <= got["ci_high"]
-    assert stats.bootstrap(np.zeros(0), np.zeros(0), 10, 1) == {"mean": 0.0, "ci_low": 0.0, "ci_high": 0.0}
-    assert stats.sign_flip(np.zeros(3), np.ones(3), 100, 1) == 1.0
-    assert stats.sign_flip(np.ones(20), np.ones(20), 2000, 1) < 0.01
+def test_statistics(spark):
+    sums = lambda rows: spark.createDataFrame([(str(i), t, n) for i, (t, n) in enumerate(rows)], "group_key string, total double, n long")
+    got = stats.bootstrap(sums([(1.0, 2), (0.5, 1)]), 500, 1).first()
+    assert got["mean"] == 0.5 and got.ci_low <= 0.5 <= got.ci_high
+    wide = stats.bootstrap(sums([(float(i % 2), 1) for i in range(100)]), 1000, 1).first()
+    assert 0.36 < wide.ci_low < 0.44 and 0.56 < wide.ci_high < 0.64
+    assert tuple(stats.bootstrap(sums([]), 10, 1).first()) == (0.0, 0.0, 0.0)
+    p = lambda rows, flips: stats.sign_flip(sums(rows), flips, 1).first().p_value
+    assert p([(0.0, 1)] * 3, 100) == 1.0 and p([(1.0, 1)] * 20, 2000) < 0.01 and p([(1.0, 1), (-1.0, 1)] * 10 + [(1.0, 1)], 2000) > 0.5
     with pytest.raises(ValueError):
-        stats.bootstrap(total, n, 0, 1)
+        stats.bootstrap(sums([]), 0, 1)
 
 
 def test_validation(spark):

@@ -401,7 +401,8 @@ def verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, width: int, si
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = checkpoint(sets_of(docs, named.join(needed, "node", "left_semi"), width))
+    # both joins deal the sets by node, so one exchange serves them
+    sets = sets_of(docs, named.join(needed, "node", "left_semi"), width)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 

@@ -29,7 +29,7 @@ DISTANCE = 4
 QUERY_SHINGLE = 4
 SHINGLE = 5
 SEED = 42
-#: Shingles whose bits are counted at once.
+#: Shingles whose bits are counted, or that are passed on, at once.
 CHUNK = 1 << 16
 #: Distinct fingerprints that one comparison task holds of each of two parts of a bucket; larger buckets are dealt to parts.
 TILE = 4096
@@ -203,8 +203,15 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            sets, held = [], 0
             for t in batch["text"]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), width)).view(np.int64))], ["h"])
+                sets.append(np.unique(shingle_hashes(t.as_py(), width)).view(np.int64))
+                held += len(sets[-1])
+                if held > CHUNK:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], ["h"])
+                    sets, held = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], ["h"])
 
     often = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     got = often.orderBy(F.col("n").desc(), "h").limit(MOST_COMMON).toPandas()

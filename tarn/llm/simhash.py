@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, table
+from .common import checkpoint, connected_components, star_forest, table
 
 BITS = 64
 DISTANCE = 4
@@ -104,25 +104,6 @@ def blocks_for(n: int, distance: int = DISTANCE) -> int:
     return 17
 
 
-def star_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, root) for the links (a, b): the least node that each reaches, without the roots themselves."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[x], root[y])
-        before = root.copy()
-        np.minimum.at(root, x, low)
-        np.minimum.at(root, y, low)
-        np.minimum.at(root, before[x], low)
-        np.minimum.at(root, before[y], low)
-        root = root[root]
-        if (root == before).all():
-            break
-    other = root != np.arange(len(nodes))
-    return nodes[other], nodes[root[other]]
-
-
 def close_pairs(fp: np.ndarray, group: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the pairs within each run of equal group numbers that differ in at most `distance` bits."""
     bits, sizes = fp.view(np.uint64), np.diff(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])))

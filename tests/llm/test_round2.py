@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -316,3 +317,40 @@ def test_html_deep_nesting():
 def test_components_tell_when_rounds_end(spark):
     with pytest.raises(RuntimeError):
         common.connected_components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), max_rounds=1)
+
+
+def components_brute(edges):
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in root}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_forests_connect_the_same_nodes(seed, monkeypatch):
+    monkeypatch.setattr(common, "EDGES", (4, 16, 64, 1 << 18)[seed])
+    rnd = random.Random(seed)
+    edges = [(rnd.randrange(90) - 20, rnd.randrange(90) - 20) for _ in range(rnd.choice((3, 60, 100)))]
+    batches = [pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges[i : i + 7]], pa.int64()) for k in range(2)], ["a", "b"]) for i in range(0, len(edges), 7)]
+    got = [(a.as_py(), b.as_py()) for batch in common.forests(iter(batches)) for a, b in zip(batch["a"], batch["b"])]
+    brute = components_brute(edges)
+    assert {x: r for x, r in components_brute(got).items()} == {x: r for x, r in brute.items() if any(x in e and e[0] != e[1] for e in edges)}
+    assert all(a > b for a, b in got) and not list(common.forests(iter([])))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_equal_union_find(spark, seed):
+    rnd = random.Random(seed)
+    edges = [(rnd.randrange(-500, 500), rnd.randrange(-500, 500)) for _ in range(500)] + [(2000, k) for k in range(2001, 2100)] + [(3000 + k, 3001 + k) for k in range(70)]
+    rnd.shuffle(edges)
+    edges = [e for e in edges if e[0] != e[1]]
+    got = [(r.node, r.component) for r in common.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(8)).collect()]
+    assert len(got) == len(dict(got)) and dict(got) == components_brute(edges)
+    assert common.connected_components(spark.createDataFrame([(None, 1), (7, 7)], "a long, b long")).collect() == []

@@ -29,13 +29,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; on a local master without one, a folder of this engine."""
+    if named := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
+    return LOCAL_CHECKPOINTS
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """df written to the folder that the cluster names in spark.checkpoint.dir, and read from there on."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -8,9 +8,10 @@ rows by their statistics and Bloom filters.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +26,10 @@ from .common import shared_folder, table
 #: Appended to each document.
 END_ID = 2
 #: Pieces of text kept in each of two generations with their ids, and the longest that is kept.
-PIECES, PIECE_CHARS = 150_000, 48
+PIECES, PIECE_CHARS = 300_000, 48
+#: Plain words of one text for the library: of characters that are letters in every form of normalization.
+WORDS, PLAIN = 50, re.compile(r"[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\u012F]+").fullmatch
+TAIL, DIGITS = ".,;:!?", "0123456789"
 #: Characters encoded, and bytes of ids passed on, at once, about.
 CHARS, BYTES = 1 << 20, 8 << 20
 #: Of the files: bytes of a stripe, rows of a row index's group, share of wrong hits of a Bloom filter.
@@ -34,10 +38,10 @@ FILE = "doc_id long, part int, place long, n_tokens long, ids array<int>"
 
 
 class PieceEncoder:
-    """The library's ids of whole texts. A text is cut at spaces, across which this vocabulary's tokens never reach, and the ids of short pieces are kept.
+    """The library's ids of whole texts. A text is cut at spaces and line ends, across which this vocabulary's tokens never reach, and the ids of short pieces are kept.
 
-    Cutting there changes nothing: a space is in no added token, takes no part in the composition of characters, and ends every
-    match of the pre-tokenizer.
+    Cutting there changes nothing: white space is in no added token, takes no part in the composition of characters, and ends
+    every match of the pre-tokenizer. The same holds before ASCII punctuation that follows a plain letter or a digit.
     """
 
     def __init__(self, path: str):
@@ -47,32 +51,70 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def ids_of(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def ids_of_words(self, words: list[str]) -> list[bytes]:
+        """The same for plain words, several in one text: each of them is one word of the library, whose last token says so."""
+        out: list[bytes] = []
+        lines = [words[i : i + WORDS] for i in range(0, len(words), WORDS)]
+        for line, coded in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
+            ids = np.array(coded.ids, "<i4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(line) and ends[-1] == len(ids):
+                raw, stops = ids.tobytes(), (4 * ends).tolist()
+                out += [raw[a:b] for a, b in zip([0, *stops], stops)]
+            else:
+                out += self.ids_of(line)
+        return out
+
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Brings the pieces and their ids into the young generation."""
+        young, old = self.young, self.old
+        wanted: dict[str, None] = {}
+        tailed: list[tuple[str, str]] = []
+        for p in pieces:
+            if (known := old.get(p)) is not None:
+                young[p] = known
+                continue
+            body = p.rstrip(TAIL)
+            if len(body) < len(p) and body and (PLAIN(body[-1]) or body[-1] in DIGITS):
+                tailed.append((p, body))
+                for part in (body, p[len(body) :]):
+                    if part not in young:
+                        if (known := old.get(part)) is not None:
+                            young[part] = known
+                        else:
+                            wanted[part] = None
+            else:
+                wanted[p] = None
+        words = [p for p in wanted if PLAIN(p)]
+        others = [p for p in wanted if not PLAIN(p)]
+        young.update(zip(words, self.ids_of_words(words)))
+        young.update(zip(others, self.ids_of(others)))
+        for p, body in tailed:
+            young[p] = young[body] + young[p[len(body) :]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers, one after the other."""
-        split = [t.split(" ") for t in texts]
         if len(self.young) > PIECES:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        new: dict[str, bytes] = {}
-        for pieces in split:
-            for p in pieces:
-                if p not in young:
-                    if p in old:
-                        young[p] = old[p]
-                    else:
-                        new[p] = b""
-        new.update(zip(new, self.ids_of(list(new))))
-        young.update(new)
-        got = [b"".join([young[p] for p in pieces]) for pieces in split]
-        for p in [p for p in new if len(p) > PIECE_CHARS]:
-            del young[p]
-        return got
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        got = [list(map(self.young.get, pieces)) for pieces in split]
+        missing = {p: None for pieces, known in zip(split, got) if None in known for p, k in zip(pieces, known) if k is None}
+        self.learn(missing)
+        out = [b"".join(known if None not in known else map(self.young.__getitem__, pieces)) for pieces, known in zip(split, got)]
+        for p in missing:
+            if len(p) > PIECE_CHARS:
+                del self.young[p]
+                self.young.pop(p.rstrip(TAIL), None)
+        return out
 
 
 @lru_cache(maxsize=4)

@@ -48,6 +48,10 @@ PAIRS = 1 << 18
 MIXERS = (1, 0x9E3779B97F4A7C15)
 #: Rows of keys that a task looks at together.
 ROWS = 1 << 16
+#: Sets, and bytes of sets, of each of the two parts of a crowded key that one tile holds, on average.
+TILE_SETS, TILE_BYTES = 1024, 16 << 20
+#: The bitmap that finds the documents of the sets that are needed; BITMAP bits are one row of it.
+BITS_PER_NODE, MOST_BITS, BITMAP = 16, 1 << 30, 1 << 15
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -201,8 +205,8 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
     return h[order], n[order]
 
 
-def least_shared(n: int) -> int:
-    """Keys that a set of n shingles has to share with a similar one of at least its size: more of them leave fewer false candidates."""
+def least_shared(n: int | np.ndarray) -> int | np.ndarray:
+    """Keys that a set of n shingles (or of each n) has to share with a similar one of at least its size: more of them leave fewer false candidates."""
     return 1 + n // 16
 
 
@@ -338,46 +342,102 @@ def shared_keys(sets: DataFrame, similarity: float) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, a long, b long, seen long, need long")
 
 
-def open_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), distinct: pairs of sets with a key in common and of different groups that sizes and places allow to be similar.
-
-    rows: key, node, n, place, root. Sets of a key's largest group are only compared with those of other groups.
+class Tile:
+    """The sets of a tile (of a key, or of two parts of it) and the links between them that were not known."""
+
+    def __init__(self, key: int, same: bool, rows: list[dict]):
+        rows = list({r["node"]: r for r in rows}.values())
+        self.node, self.n, self.place, self.root, self.part = (np.array([r[c] for r in rows], np.int64) for c in ("node", "n", "place", "root", "part"))
+        self.keys, self.key_starts, self.key_count = self.numbered([np.array(r["keys"], np.int64) for r in rows])
+        lower = np.concatenate([np.array(r["keys"], np.int64) < key for r in rows])
+        self.lower = lower
+        self.sets, self.set_starts, self.set_count = self.numbered([np.frombuffer(r["own"], np.int64) for r in rows])
+        self.same = same
+
+    @staticmethod
+    def numbered(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+        """All members one after the other as numbers from 0, where each list starts, and how many numbers there are."""
+        names, numbers = np.unique(np.concatenate(lists), return_inverse=True)
+        return numbers, np.concatenate([[0], np.cumsum([len(x) for x in lists])]), len(names)
+
+    @staticmethod
+    def shared(marks: np.ndarray, numbers: np.ndarray, starts: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """How many of each list's members are marked, for the lists `which`."""
+        sizes = starts[which + 1] - starts[which]
+        at = np.repeat(starts[which] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+        return np.add.reduceat(marks[numbers[at]].astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+
+    def links(self, similarity: float) -> tuple[list[int], list[int]]:
+        """Pairs of nodes at least so similar that connect what wasn't connected.
+
+        A pair is looked at if it shares no smaller crowded key (there it is looked at too), enough crowded keys
+        for what it may have in common, and if its sizes and places allow the similarity; then its sets are compared.
+        """
+        found_a: list[int] = []
+        found_b: list[int] = []
+        marks, low, own = np.zeros(self.key_count, bool), np.zeros(self.key_count, bool), np.zeros(self.set_count, bool)
+        for i in range(len(self.node) - 1):
+            j = np.arange(i + 1, len(self.node))
+            j = j[(self.root[j] != self.root[i]) & (self.same | (self.part[j] != self.part[i]))]
+            j = j[may_be_similar(self.n[i], self.place[i], self.n[j], self.place[j], similarity)]
+            if not len(j):
+                continue
+            mine = slice(self.key_starts[i], self.key_starts[i + 1])
+            marks[self.keys[mine]] = True
+            low[self.keys[mine][self.lower[mine]]] = True
+            enough = self.shared(marks, self.keys, self.key_starts, j) >= least_shared(np.minimum(self.n[i], self.n[j]))
+            j = j[enough & (self.shared(low, self.keys, self.key_starts, j) == 0)]
+            marks[self.keys[mine]] = low[self.keys[mine]] = False
+            if not len(j):
+                continue
+            mine = slice(self.set_starts[i], self.set_starts[i + 1])
+            own[self.sets[mine]] = True
+            both = self.shared(own, self.sets, self.set_starts, j)
+            own[self.sets[mine]] = False
+            for k in j[both >= similarity * (self.n[i] + self.n[j] - both) - 1e-9].tolist():
+                if self.root[k] != self.root[i]:
+                    found_a.append(int(self.node[i]))
+                    found_b.append(int(self.node[k]))
+                    self.root[self.root == self.root[k]] = self.root[i]
+        return found_a, found_b
+
+
+def open_links(rows: DataFrame, docs: DataFrame, named: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b): links at least so similar between sets of different groups that share crowded keys alone.
+
+    rows: key, node, n, place, root of the crowded keys. Only keys of several groups matter. The sets themselves are dealt to
+    tiles of such a key, each set once to a tile, and compared there; what comes out is what connects groups, and no pairs.
     """
+    mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m"), F.sum("n").alias("total")).where("low <> high")
+    mixed = mixed.select("key", F.greatest(F.ceil(F.col("m") / TILE_SETS), F.ceil(8 * F.col("total") / TILE_BYTES)).cast("int").alias("parts"))
+    rows = checkpoint(rows.join(mixed, "key"))
+    keys = checkpoint(rows.groupBy("node").agg(F.collect_list("key").alias("keys")))
+    sets = sets_of(docs, named.join(keys.select("node"), "node", "left_semi"), width)
+    rows = rows.join(keys.join(sets, "node"), "node").withColumn("part", F.expr("cast(pmod(xxhash64(node), parts) as int)"))
+    tiles = F.explode(F.expr("transform(sequence(0, parts - 1), o -> named_struct('p', least(part, o), 'q', greatest(part, o)))")).alias("o")
+    by = ["key", "p", "q"]
+    names = ["node", "n", "place", "root", "part", "keys", "own"]
+    dealt = rows.select("key", *names, tiles).select("key", "o.p", "o.q", *names).repartition(*by).sortWithinPartitions(*by)
 
-    def pairs_of(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        f = f.sort_values("n", kind="stable")
-        node, n, place, root = (f[c].to_numpy() for c in ("node", "n", "place", "root"))
-        names, own, sizes = np.unique(root, return_inverse=True, return_counts=True)
-        if len(names) < 2:
-            return
-        others = np.flatnonzero(own != sizes.argmax())
-        step = max(1, PAIRS // len(f))
-        for at in range(0, len(others), step):
-            i = others[at : at + step]
-            low, high = np.searchsorted(n, similarity * n[i[0]] - 1e-6), np.searchsorted(n, n[i[-1]] / similarity + 1e-6, "right")
-            x, y = i[:, None], np.arange(low, high)[None, :]
-            p, q = np.nonzero((own[x] != own[y]) & may_be_similar(n[x], place[x], n[y], place[y], similarity))
-            if len(p):
-                a, b = node[i[p]], node[low + q]
-                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple[int, int, int] | None = None
+        held: list[dict] = []
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left: list[pd.DataFrame] = []  # what is known of the last key
-        for frame in frames:
-            if not len(frame):
-                continue
-            key = frame["key"].to_numpy()
-            edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-            for start, stop in zip(edges, edges[1:]):
-                if left and left[0]["key"].iloc[0] != key[start]:
-                    yield from pairs_of(pd.concat(left))
-                    left = []
-                left.append(frame.iloc[start:stop])
-        if left:
-            yield from pairs_of(pd.concat(left))
+        def out() -> pa.RecordBatch:
+            a, b = Tile(at[0], at[1] == at[2], held).links(similarity)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for tile, row in zip(zip(*(batch[c].to_pylist() for c in by)), batch.select(names).to_pylist()):
+                if tile != at:
+                    if at is not None:
+                        yield out()
+                    at, held = tile, []
+                held.append(row)
+        if at is not None:
+            yield out()
 
-    mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    return rows.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -396,19 +456,23 @@ def verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, width: int, si
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node, own of the given nodes(node, least), and of some others, from the texts of the documents least.
+    """node, own of the given nodes(node, least), and of some others, from the texts of the documents least (whole numbers, or null).
 
-    A bitmap of a fixed size finds the documents, so texts are not shuffled. A set may come more than once.
+    A bitmap finds the documents, so texts are not shuffled: BITS_PER_NODE bits for a node and MOST_BITS at most, put together in
+    Spark. A set may come more than once.
     """
-    bits = np.zeros(1 << 23, np.uint8)
-    for r in nodes.where("least is not null").select(F.pmod("least", F.lit(8 * len(bits))).alias("i")).distinct().toLocalIterator():
-        bits[r.i >> 3] |= 1 << (r.i & 7)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    least = nodes.where("least is not null").select("least")
+    size = min(MOST_BITS, max(CHUNK, BITS_PER_NODE * least.count()))
+    place = F.pmod("least", F.lit(size)) + 1
+    held = np.zeros(-(-size // BITMAP) * BITMAP // 8, np.uint8)
+    for r in least.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect():
+        held[(r["at"] - 1) * BITMAP // 8 :][: BITMAP // 8] = np.frombuffer(r["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             null = batch["doc_id"].is_null().to_numpy(zero_copy_only=False)
-            i = np.mod(batch["doc_id"].cast(pa.int64()).fill_null(0).to_numpy(), 8 * len(shared.value))
+            i = np.mod(batch["doc_id"].cast(pa.int64()).fill_null(0).to_numpy(), size)
             keep = null | (shared.value[i >> 3] >> (i & 7) & 1).astype(bool)
             own = [np.unique(shingle_hashes(t.as_py(), width)) for t in batch["text"].filter(pa.array(keep))]
             yield pa.RecordBatch.from_arrays([pa.array(np.array([set_id(x) for x in own], np.uint64).view(np.int64)), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "own"])
@@ -443,10 +507,10 @@ def similar_components(docs: DataFrame, width: int, similarity: float) -> DataFr
     known = connected_components(sure).select("node", F.col("component").alias("root"))
     open_rows = shared.where("key is not null").select("key", F.col("a").alias("node"), F.shiftright("b", 32).alias("n"), F.expr("b & 4294967295").alias("place"))
     open_rows = open_rows.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    left = checkpoint(open_pairs(open_rows, similarity).join(pairs, ["a", "b"], "left_anti"))
+    left = checkpoint(open_links(open_rows, docs, named, width, similarity))
     if not left.isEmpty():
         grouped = known.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        known = connected_components(grouped.unionByName(verified(left, docs, named, width, similarity))).select("node", F.col("component").alias("root"))
+        known = connected_components(grouped.unionByName(left)).select("node", F.col("component").alias("root"))
     rooted = named.join(known, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id")).repartition(F.xxhash64("root"))
     return rows.join(rooted.join(least, "root").select("node", "component_id"), "node").select("doc_id", "fp", "component_id")

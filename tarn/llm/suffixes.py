@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .induced import Inducer
+from .induced import CAP, Inducer
 
 WIDTH = 50
 #: Bytes of the strings whose least hash is a window's key.
@@ -428,8 +428,8 @@ def removals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     lose nothing and count for nobody. Strings never reach across rows, and are judged on the input.
     An empty table gives an empty result; other columns of docs are not looked at.
     """
-    if width < 2:
-        raise ValueError("width must be at least 2")
+    if not 2 <= width <= CAP:
+        raise ValueError(f"width must be from 2 to {CAP}, up to which common prefixes are told apart")
     # hash() tells rows apart that repeat a doc_id with another text
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("mark", F.hash("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import filterfalse
 from operator import itemgetter
 
 import numpy as np
@@ -32,7 +33,7 @@ BYTES = 8 << 20
 #: are counted exactly by a shuffle of the words that the automaton lacks.
 AUTOMATON_TERMS = 100_000
 #: Cells (terms x sources) of one block of postings, about.
-CELLS = 1 << 21
+CELLS = 1 << 17
 #: Pairs of sources in one batch.
 PAIRS = 1 << 16
 DELIMITERS = [*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]
@@ -87,6 +88,11 @@ def automaton(terms: tuple[str, ...]):
     return found
 
 
+@lru_cache(maxsize=2)
+def given_terms(terms: tuple[str, ...]) -> frozenset[str]:
+    return frozenset(terms)
+
+
 def pieces(texts: list[bytes]) -> Iterator[str]:
     """Texts that are looked through at once, with a space before, between and behind; long ones are cut at spaces."""
     held: list[bytes] = []
@@ -108,42 +114,43 @@ def pieces(texts: list[bytes]) -> Iterator[str]:
         yield f" {b' '.join(held).decode()} "
 
 
-def occurrences(rows: DataFrame, terms: list[str], tail: bool = False) -> DataFrame:
-    """lang, source, term and count of the given terms in each group; each group also has a row with a null term and count 0.
+def occurrences(rows: DataFrame, terms: list[str], others: bool) -> DataFrame:
+    """lang, source, term and count of the given terms in each group, found by their automaton; each group also has a row with a null term and count 0.
 
-    With tail it is the terms that are not given, and no such row.
+    With others, all further words are counted too.
     """
     shared = rows.sparkSession.sparkContext.broadcast(tuple(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        given = set(known) if tail else None
-        hits = automaton(known) if known and not tail else None
-        held: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        hits = automaton(known) if known else None
+        given = given_terms(known) if others else None
+        found: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        rest: dict[tuple[str, str], Counter] = defaultdict(Counter)
 
         def out() -> Iterator[pa.RecordBatch]:
-            for (lang, source), times in held.items():
-                names, counts = list(times), list(times.values())
-                if not tail:
-                    names, counts = [None, *(known[i] for i in names)], [0, *counts]
-                if names:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names), pa.string()), pa.array([source] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(counts, pa.int64())], ["lang", "source", "term", "count"])
-            held.clear()
+            for (lang, source), times in found.items():
+                names = [None, *(known[i] for i in times), *rest[lang, source]]
+                counts = [0, *times.values(), *rest[lang, source].values()]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names), pa.string()), pa.array([source] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(counts, pa.int64())], ["lang", "source", "term", "count"])
+            found.clear()
+            rest.clear()
 
         for batch in batches:
             for group, texts in grouped(batch, ["lang", "source"]):
-                times = held[group]
+                times = found[group]
                 for text in pieces(texts):
-                    if tail:
-                        times.update([t for t in text.split() if t not in given])
-                    elif hits is not None:
+                    if hits is not None:
                         times.update(map(itemgetter(1), hits.iter(text)))
-            if sum(map(len, held.values())) > ENTRIES:
+                    if others:
+                        rest[group].update(filterfalse(given.__contains__, text.split(" ")))
+                rest[group].pop("", None)
+            if sum(map(len, found.values())) + sum(map(len, rest.values())) > ENTRIES:
                 yield from out()
         yield from out()
 
-    found = rows.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term string, count long")
-    return found.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"))
+    each = rows.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term string, count long")
+    return each.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"))
 
 
 def postings(docs: DataFrame, least_docs: int, automaton_terms: int) -> tuple[DataFrame, DataFrame]:
@@ -152,12 +159,10 @@ def postings(docs: DataFrame, least_docs: int, automaton_terms: int) -> tuple[Da
     kept = checkpoint(document_frequencies(rows).where(F.col("df") >= least_docs))
     ordered = kept.groupBy("term").agg(F.sum("df").alias("df")).orderBy(F.col("df").desc(), "term")
     terms = [r.term for r in ordered.limit(automaton_terms).collect()]
-    counts = occurrences(rows, terms)
-    if len(terms) == automaton_terms:
-        counts = counts.unionByName(occurrences(rows, terms, tail=True))
+    counts = occurrences(rows, terms, len(terms) == automaton_terms)
     # a term that is kept in one lang is also counted in others, where it may not be kept
-    of_kept = counts.where("term is not null").join(kept.select("lang", "term"), ["lang", "term"], "left_semi").select("lang", "source", "term", "count")
-    return kept.select("lang", "term"), checkpoint(counts.where("term is null").unionByName(of_kept))
+    marked = counts.join(kept.select("lang", "term", F.lit(True).alias("of_lang")), ["lang", "term"], "left").where("term is null or of_lang")
+    return kept.select("lang", "term"), checkpoint(marked.select("lang", "source", "term", "count"))
 
 
 def share(count: Column, n: Column, v: Column) -> Column:

@@ -1,12 +1,14 @@
-"""A pointwise logistic ranker and the routers that use the same fit.
+"""Pointwise logistic rankers: many models of the same rows, fitted together.
 
-The data stays in Spark: each Newton step is one pass that sums the gradient and the Hessian per partition, adds them
-up in a second step, and brings one small matrix to the driver. The intercept is penalized like the other weights.
+The data stays in Spark. Each Newton step is one pass that sums gradient and Hessian of every model that is still moving, per
+partition, adds them up in a second step, and brings one small matrix per model to the driver. Models differ in C and in the rows that
+they learn from: those of one holdout dataset, less one fold. The intercept is penalized like the other weights.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -18,6 +20,20 @@ from . import metrics as M
 C_VALUES = (0.1, 0.25, 0.5, 1.0, 2.0)
 #: Partial sums that come to the driver at most.
 PARTS = 16
+#: Models whose sums one pass takes; more of them take more passes.
+MODELS = 64
+#: A column that varies less than this share of its variance over all rows is constant for a model.
+CONSTANT = 1e-12
+#: Weights settle when no step is larger.
+SETTLED = 1e-8
+
+
+class Fit(NamedTuple):
+    """One model: its C, the dataset (value of column target) and the fold (value of column fold) that it doesn't see."""
+
+    c: float = 1.0
+    within: int | None = None
+    fold: int | None = None
 
 
 def scaling(rows: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -41,42 +57,143 @@ def add_up(partials: DataFrame, size: int) -> np.ndarray:
     return np.sum([np.frombuffer(r["v"]) for r in rows], axis=0) if rows else np.zeros(size)
 
 
-def newton_sums(rows: DataFrame, names: list[str], mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, balance: tuple[float, float], label: str) -> tuple[np.ndarray, np.ndarray]:
-    d = len(names) + 1
+class Design:
+    """The rows of a fit: their features in the scale of all rows with a column of ones, their labels, datasets and folds."""
+
+    def __init__(self, rows: DataFrame, names: list[str], label: str):
+        self.mean, self.scale = scaling(rows, names)
+        keys = [c for c in ("target", "fold") if c in rows.columns]
+        # one array instead of as many columns; kept for the passes of the fit and let go behind it
+        self.rows = rows.select(F.array(*[F.col(f"`{n}`").cast("double") for n in names]).alias("x"), F.col(label).cast("double").alias("y"), *keys).persist()
+        self.size = len(names) + 1
+
+    def sums(self, fits: list[Fit], per_model: int, part) -> np.ndarray:
+        """For each model the sum over its rows of part(a, y, k): a the features, y the labels, k the model's number; `per_model` numbers."""
+        mean, scale, known = self.mean, self.scale, self.rows.columns
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total, seen = np.zeros((len(fits), per_model)), 0
+            for f in frames:
+                if not len(f):
+                    continue
+                seen += len(f)
+                a = np.hstack([(np.stack(f["x"].to_numpy()) - mean) / scale, np.ones((len(f), 1))])
+                y = f["y"].to_numpy(float)
+                target = f["target"].to_numpy() if "target" in known else None
+                fold = f["fold"].to_numpy() if "fold" in known else None
+                for k, m in enumerate(fits):
+                    keep = np.ones(len(f), bool)
+                    if m.within is not None:
+                        keep &= target == m.within
+                    if m.fold is not None:
+                        keep &= fold != m.fold
+                    if keep.all():
+                        total[k] += part(a, y, k)
+                    elif keep.any():
+                        total[k] += part(a[keep], y[keep], k)
+            if seen:
+                yield pd.DataFrame({"part": [seen], "v": [total.tobytes()]})
+
+        return add_up(self.rows.mapInPandas(run, "part long, v binary"), len(fits) * per_model).reshape(len(fits), per_model)
+
+
+def moments(a: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    x = a[:, :-1]
+    return np.concatenate([[len(y), (y > 0).sum()], x.sum(0), (x * x).sum(0)])
+
+
+def lasso_step(g: np.ndarray, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The w that minimizes |w|_1 + g(w - w0) + (w - w0) h (w - w0) / 2, by coordinate descent."""
+    out, slope = w.copy(), g.copy()
+    for _ in range(1000):
+        largest = 0.0
+        for j in range(len(w)):
+            if h[j, j] <= 0:
+                continue
+            free = out[j] - slope[j] / h[j, j]
+            new = np.sign(free) * max(abs(free) - 1 / h[j, j], 0.0)
+            if new != out[j]:
+                slope += h[:, j] * (new - out[j])
+                largest = max(largest, abs(new - out[j]))
+                out[j] = new
+        if largest < SETTLED / 100:
+            break
+    return out
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g, h, n = np.zeros(d), np.zeros((d, d)), 0
-        for f in frames:
-            x = np.hstack([(f[names].to_numpy(float) - mean) / scale, np.ones((len(f), 1))])
-            y = f[label].to_numpy(float)
-            p = 1 / (1 + np.exp(-np.clip(x @ weights, -500, 500)))
-            w = np.where(y > 0, balance[1], balance[0])
-            g += x.T @ (w * (p - y))
-            h += (x * (w * p * (1 - p))[:, None]).T @ x
-            n += len(f)
-        if n:
-            yield pd.DataFrame({"part": [int(n)], "v": [np.concatenate([g, h.ravel()]).tobytes()]})
-
-    got = add_up(rows.select(*[F.col(f"`{n}`") for n in names], label).mapInPandas(run, "part long, v binary"), d + d * d)
-    return got[:d], got[d:].reshape(d, d)
-
-
-def fit(rows: DataFrame, names: list[str], c: float = 1.0, label: str = "label", balanced: bool = True, steps: int = 25) -> dict:
-    """The weights that minimize |w|^2 / 2 + c * (sum of weighted log losses) on standardized features."""
-    counts = {r[0]: r[1] for r in rows.groupBy(F.col(label).cast("int")).count().collect()}
-    if set(counts) != {0, 1}:
+
+def fit_many(rows: DataFrame, names: list[str], fits: list[Fit], label: str = "label", balanced: bool = True, penalty: str = "l2", steps: int = 50) -> list[dict]:
+    """The model of each entry of fits: the weights that minimize the penalty (|w|^2 / 2, or |w|_1) + c * (sum of weighted log losses).
+
+    Features are standardized over the model's own rows. rows: the names, the label, and the columns target and fold where fits name them.
+    Every step is one pass for all models that still move (MODELS of them at a time); a step that makes a model worse is halved.
+    """
+    if penalty not in ("l1", "l2"):
+        raise ValueError(f"Unsupported penalty: {penalty}")
+    design = Design(rows, names, label)
+    try:
+        return [m for at in range(0, len(fits), MODELS) for m in _fit_block(design, names, fits[at : at + MODELS], balanced, penalty, steps)]
+    finally:
+        design.rows.unpersist()
+
+
+def _fit_block(design: Design, names: list[str], fits: list[Fit], balanced: bool, penalty: str, steps: int) -> list[dict]:
+    d = design.size
+    got = design.sums(fits, 2 * d, moments)
+    n, ones = got[:, 0], got[:, 1]
+    if (ones == 0).any() or (ones == n).any():
         raise ValueError("both classes are needed")
-    total = sum(counts.values())
-    balance = (total / (2 * counts[0]), total / (2 * counts[1])) if balanced else (1.0, 1.0)
-    mean, scale = scaling(rows, names)
-    w = np.zeros(len(names) + 1)
+    balance = np.stack([n / (2 * (n - ones)), n / (2 * ones)], 1) if balanced else np.ones((len(fits), 2))
+    mean = got[:, 2 : d + 1] / n[:, None]
+    spread = np.maximum(got[:, d + 1 :] / n[:, None] - mean**2, 0)
+    scale = np.where(spread > CONSTANT, np.sqrt(spread), 1 / design.scale)
+    # a @ into[k] are the features in the model's own scale
+    into = np.zeros((len(fits), d, d))
+    into[:, range(d - 1), range(d - 1)] = 1 / scale
+    into[:, d - 1, : d - 1] = -mean / scale
+    into[:, d - 1, d - 1] = 1
+    w = np.zeros((len(fits), d))
+    best, reached = w.copy(), np.full(len(fits), np.inf)
+    moving = list(range(len(fits)))
     for _ in range(steps):
-        g, h = newton_sums(rows, names, mean, scale, w, balance, label)
-        step = np.linalg.solve(c * h + np.eye(len(w)), c * g + w)
-        w -= step
-        if np.abs(step).max() < 1e-8:
+        own = [into[k] @ w[k] for k in moving]
+        weights = [balance[k] for k in moving]
+
+        def newton(a: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+            z = a @ own[k]
+            p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+            of = np.where(y > 0, weights[k][1], weights[k][0])
+            loss = of * (np.logaddexp(0, z) - np.where(y > 0, z, 0))
+            return np.concatenate([[loss.sum()], a.T @ (of * (p - (y > 0))), ((a * (of * p * (1 - p))[:, None]).T @ a).ravel()])
+
+        sums = design.sums([fits[k] for k in moving], 1 + d + d * d, newton)
+        left = []
+        for k, s in zip(moving, sums):
+            c = fits[k].c
+            value = c * s[0] + (np.abs(w[k]).sum() if penalty == "l1" else w[k] @ w[k] / 2)
+            if value > reached[k] + 1e-10 * max(1.0, abs(reached[k])) and np.abs(w[k] - best[k]).max() > SETTLED:
+                w[k] = (w[k] + best[k]) / 2
+                left.append(k)
+                continue
+            best[k], reached[k] = w[k], value
+            g, h = c * into[k].T @ s[1 : d + 1], c * into[k].T @ s[d + 1 :].reshape(d, d) @ into[k]
+            w[k] = lasso_step(g, h, w[k]) if penalty == "l1" else w[k] - np.linalg.solve(h + np.eye(d), g + w[k])
+            if np.abs(w[k] - best[k]).max() >= SETTLED:
+                left.append(k)
+        moving = left
+        if not moving:
             break
-    return {"model_type": "pointwise_logistic_regression", "feature_names": names, "scaler_mean": mean.tolist(), "scaler_scale": scale.tolist(), "coefficients": w[:-1].tolist(), "intercept": float(w[-1]), "C": c}
+    out = []
+    for k, f in enumerate(fits):
+        out.append({
+            "model_type": "pointwise_logistic_regression", "feature_names": names, "scaler_mean": (design.mean + mean[k] * design.scale).tolist(), "scaler_scale": (scale[k] * design.scale).tolist(),
+            "coefficients": w[k, :-1].tolist(), "intercept": float(w[k, -1]), "C": f.c, "penalty": penalty,
+        })
+    return out
+
+
+def fit(rows: DataFrame, names: list[str], c: float = 1.0, label: str = "label", balanced: bool = True, penalty: str = "l2", steps: int = 50) -> dict:
+    """One model of all rows; see fit_many."""
+    return fit_many(rows, names, [Fit(c)], label, balanced, penalty, steps)[0]
 
 
 def linear_score(model: dict) -> Column:
@@ -87,22 +204,48 @@ def linear_score(model: dict) -> Column:
     return out
 
 
-def select(train: DataFrame, dev: DataFrame, names: list[str], c_values: tuple[float, ...] = C_VALUES, k: int = 3) -> dict:
+def scored(rows: DataFrame, models: list[dict], applies: list[Column], keys: list[str]) -> DataFrame:
+    """keys, model (its number) and score of every row by each model that applies to it, in one pass. The models have the same features."""
+    names = models[0]["feature_names"]
+    mean, coefficients = np.array([m["scaler_mean"] for m in models]), np.array([m["coefficients"] for m in models])
+    weights = coefficients / np.array([[s or 1.0 for s in m["scaler_scale"]] for m in models])
+    base = np.array([m["intercept"] for m in models]) - (mean * weights).sum(1)
+    chosen = F.filter(F.array(*[F.when(use, F.lit(k)) for k, use in enumerate(applies)]), lambda k: k.isNotNull())
+    x = F.array(*[F.coalesce(F.col(f"`{n}`").cast("double"), F.lit(0.0)) for n in names])
+    dealt = rows.select(*keys, x.alias("x"), F.explode(chosen).alias("model"))
+    kinds = dict(dealt.dtypes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                k = f["model"].to_numpy()
+                yield f[[*keys, "model"]].assign(score=(np.stack(f["x"].to_numpy()) * weights[k]).sum(1) + base[k])
+
+    return dealt.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "model")) + ", score double")
+
+
+def best_of(metrics: list[tuple[int, dict]]) -> int:
+    """The number with the best hit_1, then mrr; the first wins ties."""
+    return max(metrics, key=lambda x: (x[1]["hit_1"], x[1]["mrr"], -x[0]))[0]
+
+
+def dev_metrics(dev: DataFrame, models: list[dict], applies: list[Column], k: int = 3) -> dict[int, dict]:
+    """Each model's ranking metrics on the dev rows that it applies to, in one pass."""
+    rows = scored(dev, models, applies, ["sample_id", "pos", "label"]).withColumn("is_gold", F.col("label") > 0)
+    return {r["model"]: r.asDict() for r in M.summary(M.outcomes(rows, k, ("model",)), ("model",)).collect()}
+
+
+def select(train: DataFrame, dev: DataFrame, names: list[str], c_values: tuple[float, ...] = C_VALUES, k: int = 3, penalty: str = "l2") -> dict:
     """The model of the C with the best dev hit_1, then mrr; the first wins ties. Rows have sample_id, pos, label and the names."""
-    best = None
-    for c in c_values:
-        model = fit(train, names, c)
-        got = M.summary(M.outcomes(dev.select("sample_id", "pos", linear_score(model).alias("score"), (F.col("label") > 0).alias("is_gold")), k)).first().asDict()
-        if best is None or (got["hit_1"], got["mrr"]) > (best["dev_metrics"]["hit_1"], best["dev_metrics"]["mrr"]):
-            best = model | {"dev_metrics": got}
-    return best
+    models = fit_many(train, names, [Fit(c) for c in c_values], penalty=penalty)
+    found = dev_metrics(dev, models, [F.lit(True)] * len(models), k)
+    none = {"n": 0, "hit_1": 0.0, "hit_k": 0.0, "mrr": 0.0, "mrr_k": 0.0}
+    each = [(i, {n: v for n, v in found.get(i, none).items() if n != "model"}) for i in range(len(models))]
+    best = best_of(each)
+    return models[best] | {"dev_metrics": each[best][1]}
 
 
 def out_of_fold(rows: DataFrame, names: list[str], c: float, folds: int) -> DataFrame:
-    """sample_id, pos, score: each fold scored by a model of the others. rows has the column fold."""
-    out = None
-    for f in range(folds):
-        model = fit(rows.where(F.col("fold") != f), names, c)
-        part = rows.where(F.col("fold") == f).select("sample_id", "pos", linear_score(model).alias("score"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """sample_id, pos, score: each fold scored by a model of the others, all of them fitted together. rows has the column fold."""
+    models = fit_many(rows, names, [Fit(c, fold=f) for f in range(folds)])
+    return scored(rows, models, [F.col("fold") == f for f in range(folds)], ["sample_id", "pos"]).select("sample_id", "pos", "score")

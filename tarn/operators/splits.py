@@ -19,16 +19,24 @@ def draw(seed: int, *columns: str):
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+#: Ranges of the draw over which running totals of groups are taken apart.
+RANGES = 4096
+
+
 def split_by_group(samples: DataFrame, dev_fraction: float, seed: int, key: str = "group_key") -> DataFrame:
     """samples with split: groups in a hashed order go to dev until it has its share (at least one group), the others to train.
 
-    The running total is over one row per group.
+    The running total is taken inside ranges of the draw and over the totals of the ranges, so no task sees all groups.
     """
-    groups = group_counts(samples, key).withColumn("draw", draw(seed, key))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("draw", key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    target = F.greatest(F.lit(1), F.bround(F.sum("n").over(Window.partitionBy()) * dev_fraction))
-    names = groups.select(key, F.when(before < target, "dev").otherwise("train").alias("split"))
-    return samples.join(names, key)
+    groups = group_counts(samples, key).withColumn("draw", draw(seed, key)).withColumn("range", F.floor(F.col("draw") * RANGES))
+    totals = groups.groupBy("range").agg(F.sum("n").alias("in_range"))
+    # at most RANGES + 1 rows
+    offset = F.coalesce(F.sum("in_range").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select("range", offset.alias("offset"), F.sum("in_range").over(Window.partitionBy()).alias("total"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("range").orderBy("draw", key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    target = F.greatest(F.lit(1), F.bround(F.col("total") * dev_fraction))
+    names = groups.withColumn("inside", inside).join(F.broadcast(totals), "range")
+    return samples.join(names.select(key, F.when(F.col("offset") + F.col("inside") < target, "dev").otherwise("train").alias("split")), key)
 
 
 def stratified_split(samples: DataFrame, label: str, seed: int, order: str = "sample_id") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -108,6 +111,83 @@ def refit_holdout(samples: DataFrame, candidates: DataFrame, column: str, target
     return holdout(canonical_features(own_s, own_c, train), samples, column, target, **options)
 
 
+def dataset_uses(samples: DataFrame, column: str, targets: list[str]) -> DataFrame:
+    """sample_id, split, fold, target: the holdouts (numbers of targets) that use a sample: its target's for testing, all others for training and dev."""
+    inside = [F.col(column).eqNullSafe(F.lit(v)) for v in targets]
+    used = F.array(*[F.when(F.when(F.col("split") == "test", own).otherwise(~own), F.lit(i)) for i, own in enumerate(inside)])
+    return samples.select("sample_id", "split", "fold", F.explode(F.filter(used, lambda t: t.isNotNull())).alias("target"))
+
+
+def nested_holdout(
+    features: DataFrame, samples: DataFrame, column: str, targets: list[str], folds: int, anchor_names: tuple[str, ...], names: tuple[str, ...],
+    transform: str = CANONICAL, c_values: tuple[float, ...] = ranker.C_VALUES, k: int = 3, per_target: Callable[[str], DataFrame] | None = None,
+) -> dict:
+    """Holdouts of all targets at once, each a ranker with the score of another one, the anchor, as a feature.
+
+    For each target, training and dev are the other values' samples, and test its own. The anchor's C is picked on dev. Its training scores
+    are out of fold: a fold's samples get those of an anchor that did not see the fold; dev and test get those of the anchor of all folds.
+    All anchors are fitted in one go, then all inner ones, then all final rankers: the number of passes doesn't grow with targets and folds.
+
+    features: sample_id, pos, path, label and the names; samples: sample_id, split, fold (0 to folds - 1, groups kept together) and the
+    column; per_target gives sample_id, pos and further features of one target's holdout, such as scores of vectors fitted without it.
+    Gives anchor (target, sample_id, pos, split, fold, score), scores (of the test samples), summary (target, n, hit_1, hit_k,
+    mrr, mrr_k) and models and anchors, one per target.
+    """
+    own = features.join(dataset_uses(samples, column, targets), "sample_id")
+    if per_target is not None:
+        parts = [per_target(v).withColumn("target", F.lit(i)) for i, v in enumerate(targets)]
+        own = own.join(reduce(DataFrame.unionByName, parts), ["target", "sample_id", "pos"])
+    own = own.withColumn("of", F.col("sample_id")).withColumn("sample_id", F.concat_ws("|", F.col("target").cast("string"), "of"))
+    keys = ["target", "of", "split", "fold", "label"]
+    n = len(targets)
+
+    def matrix(rows: DataFrame, used: tuple[str, ...]) -> DataFrame:
+        return groupwise.feature_matrix(rows, list(used), transform).join(rows.select("sample_id", "pos", *keys), ["sample_id", "pos"]).persist()
+
+    def selected(m: DataFrame, used: tuple[str, ...]) -> list[dict]:
+        fits = [ranker.Fit(c, t) for t in range(n) for c in c_values]
+        models = ranker.fit_many(m.where("split = 'train'"), groupwise.column_names(list(used), transform), fits)
+        found = ranker.dev_metrics(m.where("split = 'dev'"), models, [F.col("target") == f.within for f in fits], k)
+        none = {"hit_1": 0.0, "mrr": 0.0}
+        return [models[ranker.best_of([(i, found.get(i, none)) for i, f in enumerate(fits) if f.within == t])] for t in range(n)]
+
+    m = matrix(own, anchor_names)
+    outer = selected(m, anchor_names)
+    fits = [ranker.Fit(outer[t]["C"], t, f) for t in range(n) for f in range(folds)]
+    inner = ranker.fit_many(m.where("split = 'train'"), outer[0]["feature_names"], fits)
+    train, at = F.col("split") == "train", F.col("target")
+    applies = [(at == t) & ~train for t in range(n)] + [(at == f.within) & train & (F.col("fold") == f.fold) for f in fits]
+    anchor = ranker.scored(m, outer + inner, applies, ["target", "of", "sample_id", "pos", "split", "fold"]).persist()
+    final = matrix(own.join(anchor.select("sample_id", "pos", F.col("score").alias("anchor_score")), ["sample_id", "pos"]), (*names, "anchor_score"))
+    models = selected(final, (*names, "anchor_score"))
+    m.unpersist()
+    test = ranker.scored(final.where("split = 'test'"), models, [at == t for t in range(n)], ["target", "of", "sample_id", "pos", "label"]).persist()
+    value = F.element_at(F.array(*map(F.lit, targets)), at + 1).alias("target")
+    judged = test.select(value, F.col("of").alias("sample_id"), "pos", "score", (F.col("label") > 0).alias("is_gold"))
+    summary = metrics.summary(metrics.outcomes(judged, k, ("target",)), ("target",))
+    named = anchor.select(value, F.col("of").alias("sample_id"), "pos", "split", "fold", "score")
+    return {"anchor": named, "scores": judged, "summary": summary, "models": dict(zip(targets, models)), "anchors": dict(zip(targets, outer))}
+
+
+def anchor_coverage(anchor: DataFrame, candidates: DataFrame, samples: DataFrame, column: str, targets: list[str]) -> DataFrame:
+    """target, split, samples, candidates, missing, repeated: whether every candidate that a holdout uses has exactly one anchor score."""
+    value = F.element_at(F.array(*map(F.lit, targets)), F.col("target") + 1).alias("target")
+    due = candidates.select("sample_id", "pos").join(dataset_uses(samples, column, targets), "sample_id").select(value, "split", "sample_id", "pos")
+    got = anchor.groupBy("target", "sample_id", "pos").agg(F.count("score").alias("times"))
+    both = due.join(got, ["target", "sample_id", "pos"], "full")
+    return both.groupBy("target", "split").agg(F.count_distinct("sample_id").alias("samples"), F.count("*").alias("candidates"), F.count_if(F.coalesce("times", F.lit(0)) == 0).alias("missing"), F.count_if((F.col("times") > 1) | F.col("split").isNull()).alias("repeated"))
+
+
+def save_holdout(result: dict, path: str) -> None:
+    """scores and anchor in a folder for each target, the summary, and the models as JSON with their target."""
+    spark = result["summary"].sparkSession
+    for name in ("scores", "anchor"):
+        result[name].write.mode("overwrite").partitionBy("target").parquet(f"{path}/{name}")
+    result["summary"].write.mode("overwrite").parquet(f"{path}/summary")
+    rows = [(t, part, json.dumps(m)) for part in ("models", "anchors") for t, m in result[part].items()]
+    spark.createDataFrame(rows, "target string, part string, model string").write.mode("overwrite").parquet(f"{path}/models")
+
+
 def out_of_fold_semantic(samples: DataFrame, candidates: DataFrame, folds: int) -> DataFrame:
     """sample_id, pos, score: every sample's semantic scores from vectors of the other folds. samples has the column fold."""
     out = None

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import words
-from ..operators import diffs, routing, splits, stats, validate
+from ..operators import diffs, grid, routing, splits, stats, validate
 from ..operators import groupwise as G
 from ..operators import metrics as M
 from ..operators import scores as S
 from ..sources import ingest, pools
+from . import experiments
 from .queries import _GRID_W, _MM, _REL, CONVERSATION_POOLS, DOCUMENT_POOLS, LINEITEM_POOLS, OUTCOMES, R6, R9, STRIP, SUMMARY, query
 
 WORDS = "len(list_filter(regexp_split_to_array(comment, '\\s+'), lambda z: z <> ''))"
@@ -132,7 +133,7 @@ def best_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.best_models(two_rankers(spark, sf_dir), ["a", "b"])
 
 
-@query(f"with {_TWO}, o as (select *, row_number() over (partition by sample_id order by hit_1 desc, rr desc, hit_k desc, model) as place from outcomes) select p.sample_id, p.pos, p.model, p.score from pairs p join o using (sample_id, model) where place = 1")
+@query(f"with {_TWO}, o as (select *, row_number() over (partition by sample_id order by hit_1 desc, rr desc, hit_k desc, model) as place from outcomes) select p.sample_id, p.pos, p.model, p.score from pairs p join o using (sample_id, model) where place = 1".replace("x as (", "x as materialized (", 1).replace("outcomes as (", "outcomes as materialized (", 1))
 def chosen_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = two_rankers(spark, sf_dir)
     choice = routing.best_models(rows, ["a", "b"]).withColumnRenamed("best", "model")
@@ -309,3 +310,60 @@ def document_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = pools.table(spark, sf_dir, "documents")
     return splits.group_counts(d, "source").join(d.groupBy("source").agg(F.count("lang").alias("known")), "source")
+
+
+# ---- holdouts and grids -------------------------------------------------------------
+
+_PARTS = "case when o_orderkey % 10 = 0 then 'test' when o_orderkey % 10 = 1 then 'dev' else 'train' end"
+
+
+@query(
+    f"""with t as (select o_orderpriority as target from orders group by 1), s as (select o_orderkey, o_orderpriority, {_PARTS} as split from orders),
+d as (select t.target, s.split, s.o_orderkey, l_linenumber from s join t on (s.split = 'test') = (s.o_orderpriority = t.target) join lineitem on l_orderkey = o_orderkey)
+select target, split, count(distinct o_orderkey) as samples, count(*) as candidates, 0 as missing, 0 as repeated from d group by all"""
+)
+def nested_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holdouts of all order priorities with out-of-fold anchors, customers kept in one fold: which candidates have their anchor score."""
+    x = pools.lineitem_pools(spark, sf_dir)
+    features = x.select("sample_id", "pos", "path", "a", "b", F.col("hunk").cast("double").alias("line"), F.col("is_gold").cast("int").alias("label"))
+    k = F.col("o_orderkey")
+    samples = pools.table(spark, sf_dir, "orders").select(k.alias("sample_id"), "o_orderpriority", F.when(k % 10 == 0, "test").when(k % 10 == 1, "dev").otherwise("train").alias("split"), F.pmod("o_custkey", F.lit(3)).cast("int").alias("fold"))
+    targets = [r.o_orderpriority for r in splits.holdout_targets(samples, "split", "o_orderpriority", 1, 1, 10).collect()]
+    got = experiments.nested_holdout(features, samples, "o_orderpriority", targets, 3, ("a", "b"), ("b", "line"), "raw", (0.5,))
+    return experiments.anchor_coverage(got["anchor"], features, samples, "o_orderpriority", targets)
+
+
+_GRID = {"sources": ("model", "semantic"), "modes": ("max", "mean"), "alphas": (0.5, 1.5), "top_files": (0, 1, 2), "penalties": (0.0, 0.5)}
+_POINT = "policy, file_source, agg_mode, alpha, top_files, outside_penalty"
+
+
+def file_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pools.lineitem_pools(spark, sf_dir).withColumns({"score": F.col("b") / 10, "other": F.col("a") / 100000, "n": G.size()})
+
+
+@query(
+    f"""with {LINEITEM_POOLS}, s as (select *, b / 10 as own, a / 100000 as other, count(*) over (partition by sample_id) as n from x),
+v as (select sample_id, path, pos, 'model' as file_source, own as v from s union all select sample_id, path, pos, 'semantic', other from s),
+f as (select file_source, sample_id, path, min(pos) as fp, round(max(v), 9) as top, round(avg(v), 9) as mean from v group by all),
+m as (select file_source, sample_id, path, fp, 'max' as agg_mode, top as v from f union all select file_source, sample_id, path, fp, 'mean', mean from f),
+g as (select *, min(v) over w as lo, max(v) over w as hi from m window w as (partition by file_source, agg_mode, sample_id)),
+h as (select *, case when hi <= lo then 1 else round((v - lo) / (hi - lo), 6) end as share from g),
+p as (select *, row_number() over (partition by file_source, agg_mode, sample_id order by share desc, fp) as place from h),
+d as (select s.sample_id, s.pos, s.is_gold, policy, file_source, agg_mode, alpha, top_files, outside_penalty,
+  round(case when policy = 'always' or n > 3 then own + alpha * share - case when top_files > 0 and place > top_files then outside_penalty else 0 end else own end, 9) as score
+  from s join p using (sample_id, path), (select unnest([0.5, 1.5]::double[]) as alpha), (select unnest([0, 1, 2]) as top_files), (select unnest([0.0, 0.5]::double[]) as outside_penalty), (select unnest(['always', 'gt3']) as policy)),
+{OUTCOMES('score', 'd', _POINT + ', ')} select {_POINT}, {SUMMARY} from outcomes group by {_POINT}"""
+)
+def hierarchical_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part of the grid of file-first reranking."""
+    return R9(grid.hierarchical_grid(file_pools(spark, sf_dir), {"always": F.lit(True), "gt3": F.col("n") > 3}, **_GRID, digits=9))
+
+
+@query()
+def hierarchical_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all 4,500 points, the limit is the report; one pass over the pools."""
+    n, quoted = F.col("n"), F.col("path") == "N"
+    found = S.policies(n, F.max(quoted).over(G.pool()), F.lit(False))
+    five = {k: found[k] for k in ("always", "ctx_gt20", "ctx_gt40", "quoted_no", "quoted_no_or_ctx_gt40")}
+    points = grid.hierarchical_grid(file_pools(spark, sf_dir).withColumns({k: v for k, v in five.items()}), {k: F.col(k) for k in five}, digits=9)
+    return points.orderBy(F.col("hit_1").desc(), F.col("mrr").desc(), F.col("hit_k").desc(), "policy", "file_source", "agg_mode", "alpha", "top_files", "outside_penalty").limit(10)

@@ -565,7 +565,8 @@ def learned_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of a logistic ranker on base features and their relative forms, on conversations that it was not trained on."""
     samples, candidates = pools.conversation_pools(spark, sf_dir)
     features = lexical.base_features(samples, candidates).join(candidates.select("sample_id", "pos", "path", F.col("is_gold").cast("int").alias("label")), ["sample_id", "pos"])
-    split = splits.stratified_split(samples.select("sample_id", F.lit(1).alias("one")), "one", 13).select("sample_id", "split")
+    d = splits.draw(13, "sample_id")
+    split = samples.select("sample_id", F.when(d < 0.7, "train").when(d < 0.8, "dev").otherwise("test").alias("split"))
     _, scored = experiments.train_ranker(features, split, words.BASE_FEATURES, "raw_plus_relative", (1.0,))
     rows = scored.join(candidates.select("sample_id", "pos", "is_gold"), ["sample_id", "pos"]).join(split, "sample_id")
     return R9(M.summary(M.outcomes(rows, 3, ("split",)), ("split",)))
@@ -622,21 +623,24 @@ diff --git a/gone.py b/gone.py
 
 
 @query(
-    """select * from (values
-('p', 1, 'src/a.py', '@@ -1,2 +1,3 @@', 1, 2, 1, 3, 'src/a.py::hunk_1', 'path: src/a.py' || chr(10) || '@@ -1,2 +1,3 @@' || chr(10) || ' x = 1' || chr(10) || '+y = 2' || chr(10) || '---old'),
-('p', 2, 'src/a.py', '@@ -10 +11,0 @@ def f():', 10, 1, 11, 0, 'src/a.py::hunk_2', 'path: src/a.py' || chr(10) || '@@ -10 +11,0 @@ def f():' || chr(10) || '-z'),
-('p', 3, 'gone.py', '@@ bad header', 0, 0, 0, 0, 'gone.py::hunk_1', 'path: gone.py' || chr(10) || '@@ bad header' || chr(10) || '-all')) t(instance_id, ord, path, header, old_start, old_count, new_start, new_count, context_id, text)"""
+    """select cast(item_id as varchar) as instance_id, ord, replace(t.path, '%', cast(item_id as varchar)) as path, header, old_start, old_count, new_start, new_count, replace(context_id, '%', cast(item_id as varchar)) as context_id, replace(t.text, '%', cast(item_id as varchar)) as text from benchmark, (values
+(1, 'src/a%.py', '@@ -1,2 +1,3 @@', 1, 2, 1, 3, 'src/a%.py::hunk_1', 'path: src/a%.py' || chr(10) || '@@ -1,2 +1,3 @@' || chr(10) || ' x = 1' || chr(10) || '+y = 2' || chr(10) || '---old'),
+(2, 'src/a%.py', '@@ -10 +11,0 @@ def f():', 10, 1, 11, 0, 'src/a%.py::hunk_2', 'path: src/a%.py' || chr(10) || '@@ -10 +11,0 @@ def f():' || chr(10) || '-z'),
+(3, 'gone.py', '@@ bad header', 0, 0, 0, 0, 'gone.py::hunk_1', 'path: gone.py' || chr(10) || '@@ bad header' || chr(10) || '-all')) t(ord, path, header, old_start, old_count, new_start, new_count, context_id, text)"""
 )
 def diff_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.range(1).select(F.lit("p").alias("instance_id"), F.lit(PATCH).alias("patch"))
-    return diffs.hunks(rows).drop("source")
+    """A patch with all kinds of headers for each benchmark item, its file named after the item."""
+    items = pools.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("instance_id"))
+    return diffs.hunks(items.select("instance_id", F.replace(F.lit(PATCH), F.lit("src/a"), F.concat(F.lit("src/a"), "instance_id")).alias("patch"))).drop("source")
 
 
 def language_table() -> str:
     return ", ".join(f"('{k}', '{v}')" for k, v in words.LANGUAGES.items())
 
 
-@query(f"select ext, coalesce(lang, ext) as language from (values {language_table()}, ('.zig', null)) t(ext, lang)")
+@query(f"with t as (select row_number() over () - 1 as k, ext, lang from (values {language_table()}, ('.zig', null)) t(ext, lang)) select doc_id, coalesce(t.lang, t.ext) as language from documents join t on doc_id % (select count(*) from t) = k")
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every known ending, and an unknown one, dealt out to the documents."""
     exts = [*words.LANGUAGES, ".zig"]
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, exts))).alias("ext")).select("ext", T.language_of_path(F.concat(F.lit("a/b"), "ext")).alias("language"))
+    ext = F.element_at(F.array(*map(F.lit, exts)), (F.pmod("doc_id", F.lit(len(exts))) + 1).cast("int"))
+    return pools.table(spark, sf_dir, "documents").select("doc_id", T.language_of_path(F.concat(F.lit("a/b"), ext)).alias("language"))

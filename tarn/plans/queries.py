@@ -183,8 +183,10 @@ def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def comment_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of all conversations' first turns and of comments with code."""
     c = F.col("comment")
-    return comments(spark).select("id", F.to_json(T.inline_code(c)).alias("inline"), F.to_json(T.quoted_spans(c)).alias("quoted"), F.to_json(T.replacement_pairs(c)).alias("pairs"), F.to_json(T.path_mentions(c)).alias("paths"))
+    rows = pools.conversation_pools(spark, sf_dir)[0].select(F.col("sample_id").alias("id"), "comment").unionByName(comments(spark).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("id"), "comment"))
+    return rows.select("id", F.to_json(T.inline_code(c)).alias("inline"), F.to_json(T.quoted_spans(c)).alias("quoted"), F.to_json(T.replacement_pairs(c)).alias("pairs"), F.to_json(T.path_mentions(c)).alias("paths"))
 
 
 @query("select p_partkey, trim(regexp_replace(lower(p_type || ' ' || p_brand), '[^a-z0-9]+', '_', 'g'), '_') as label from part")

@@ -319,10 +319,10 @@ def test_validation(spark):
 def test_diffs(spark):
     from tarn.plans import queries
 
-    h = queries.diff_hunks(spark, "").orderBy("ord").collect()
+    found = diffs.hunks(spark.createDataFrame([("p", queries.PATCH)], "instance_id string, patch string"))
+    h = found.orderBy("ord").collect()
     assert [r.context_id for r in h] == ["src/a.py::hunk_1", "src/a.py::hunk_2", "gone.py::hunk_1"]
     assert h[0].text.endswith("+y = 2\n---old") and (h[2].old_start, h[2].new_count) == (0, 0)
-    found = queries.diff_hunks(spark, "")
     reviews = [
         (1, "p", "src/a.py", "@@ -1,2 +1,3 @@\n x = 1\n+y = 2", None, None, None),
         (2, "p", "b/src/a.py", "@@ -10 +11,0 @@ def f():\n-other", None, None, None),

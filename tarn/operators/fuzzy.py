@@ -1,10 +1,11 @@
-"""Fuzzy matching of a comment's tokens with a candidate's. The similarity has no built-in; it runs on distinct token pairs in Arrow batches."""
+"""Fuzzy matching of a comment's tokens with a candidate's. The similarity has no built-in; it runs in Arrow batches, on the few pairs that a bound leaves."""
 
 from __future__ import annotations
 
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from pyspark.sql.types import ArrayType, DoubleType
 from ..functions import text as T
 from ..functions import words
 
+LETTERS = 128
+
 
 def kept(a: Column, least: int) -> Column:
     return F.filter(F.array_distinct(T.stripped(a)), lambda t: (F.length(t) >= least) & ~t.rlike("^[0-9]+$"))
@@ -48,22 +51,34 @@ def worth(a: str, b: str) -> bool:
     return len(x & y) >= max(2, min(len(x), len(y)) // 2)
 
 
-@lru_cache(maxsize=200_000)
-def letters(a: str) -> tuple[tuple[str, int], ...]:
-    return tuple((c, a.count(c)) for c in set(a))
+def codes(text: str) -> np.ndarray:
+    """The characters as numbers below LETTERS; other scripts may share a number, which only loosens a bound."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) % LETTERS
+
+
+class Tokens:
+    """Tokens to compare with, and how often each has each letter."""
+
+    def __init__(self, tokens: list[str]):
+        self.tokens, self.sizes = tokens, np.array([len(t) for t in tokens], int)
+        at = np.repeat(np.arange(len(tokens)), self.sizes) * LETTERS + codes("".join(tokens))
+        self.counts = np.bincount(at, minlength=len(tokens) * LETTERS).reshape(-1, LETTERS)
+
+    def best(self, a: str) -> float:
+        """The largest ratio of a with a token that is worth it; those that can reach most come first, until none can reach more."""
+        own, n = np.unique(codes(a), return_counts=True)
+        bound = 2.0 * np.minimum(self.counts[:, own], n).sum(1) / np.maximum(self.sizes + len(a), 1)
+        best = 0.0
+        for j in np.argsort(-bound, kind="stable"):
+            if bound[j] <= best:
+                break
+            if worth(a, self.tokens[j]):
+                best = max(best, ratio(a, self.tokens[j]))
+        return best
 
 
 def best_similarity(a: str, tokens: list[str]) -> float:
-    """The largest ratio of a with the tokens. A pair is compared in full only where its lengths, and then its letters, leave room for more."""
-    best, own = 0.0, letters(a)
-    for b in tokens:
-        total = len(a) + len(b)
-        if 2 * min(len(a), len(b)) <= best * total or not worth(a, b):
-            continue
-        if 2 * sum([min(n, b.count(c)) for c, n in own]) <= best * total:
-            continue
-        best = max(best, ratio(a, b))
-    return best
+    return Tokens(tokens).best(a) if tokens else 0.0
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
@@ -71,8 +86,8 @@ def best_similarities(query: pd.Series, doc: pd.Series) -> pd.Series:
     """Per query token the best similarity among the document's tokens; an equal token is 1."""
 
     def one(q, d) -> list[float]:
-        have, tokens = set(d), sorted(d, key=len)
-        return [1.0 if a in have else best_similarity(a, tokens) for a in q]
+        have, tokens = set(d), Tokens(list(d))
+        return [1.0 if a in have else tokens.best(a) for a in q]
 
     return pd.Series([one(q, d) for q, d in zip(query, doc)])
 

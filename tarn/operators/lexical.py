@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import words
@@ -29,17 +28,19 @@ def bm25(samples: DataFrame, candidates: DataFrame, k1: float = 1.5, b: float =
     wanted = query.groupBy("sample_id").agg(F.collect_list("token").alias("wanted"))
     docs = candidates.select(*KEY, T.tokenize_retrieval(T.none_if_null(F.col("text"))).alias("tokens")).join(wanted, "sample_id", "left")
     found = F.filter("tokens", lambda t: F.coalesce(F.array_contains("wanted", t), F.lit(False)))
-    # texts are cut into tokens once: what both uses below need is dealt out by candidate
+    # texts are cut into tokens once: all uses below read the same columns, so that they share this exchange
     docs = docs.select(*KEY, F.size("tokens").alias("len"), found.alias("found")).repartition(*KEY)
-    pools = docs.groupBy("sample_id").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    tf = docs.select(*KEY, "len", F.explode_outer("found").alias("token")).groupBy("sample_id", "pos", "token").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    tf = tf.join(query, ["sample_id", "token"], "left")
-    tf = tf.withColumn("df", F.count("*").over(Window.partitionBy("sample_id", "token"))).join(pools, "sample_id")
+    pools = docs.groupBy("sample_id").agg(F.count("found").alias("n"), F.avg("len").alias("avg_len"))
+    # a candidate without any query token is there with the token ''
+    tf = docs.select(*KEY, "len", F.explode_outer("found").alias("t")).select(*KEY, "len", F.coalesce("t", F.lit("")).alias("token"))
+    tf = tf.groupBy("sample_id", "pos", "token").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    # counted in a combining aggregate and met in a join that Spark can split, however many candidates of a pool have a token
+    df = tf.groupBy("sample_id", "token").agg(F.count("len").alias("df"))
+    tf = tf.join(query.join(df, ["sample_id", "token"]), ["sample_id", "token"], "left").join(pools, "sample_id")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     length = F.when(F.col("avg_len") > 0, F.col("len") / F.col("avg_len")).otherwise(0.0)
     part = F.col("q") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length))
-    # a candidate without any query token is there with a null token, and sums up to nothing
-    return tf.groupBy(*KEY).agg(F.coalesce(F.sum(F.when(F.col("token").isNotNull(), part)), F.lit(0.0)).alias("bm25"))
+    return tf.groupBy(*KEY).agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("bm25"))
 
 
 def word_grams(c: Column) -> Column:
@@ -73,15 +74,16 @@ def tfidf(samples: DataFrame, candidates: DataFrame, analyzer: str = "word", nam
     query = samples.join(candidates.select("sample_id").distinct(), "sample_id", "left_semi")
     texts = candidates.select(*KEY, T.none_if_null(F.col("text")).alias("text")).unionByName(query.select("sample_id", F.lit(-1).cast(dict(candidates.dtypes)["pos"]).alias("pos"), T.none_if_null(F.col("comment")).alias("text")))
     n = texts.groupBy("sample_id").agg(F.count("*").alias("n"))
-    counts = term_counts(texts, analyzer)
-    by_term = Window.partitionBy("sample_id", "term")
-    w = counts.withColumn("df", F.count("*").over(by_term)).join(n, "sample_id")
-    w = w.withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    # the comment's weight of a term is met in the window that counts the term
-    w = w.withColumn("qw", F.max(F.when(F.col("pos") == -1, F.col("w"))).over(by_term))
+    # keys without nulls here, as the joins ask for it on one side only: both uses of the counts then share one exchange
+    counts = term_counts(texts.where("sample_id is not null and pos is not null"), analyzer).where("term is not null")
+    # a term's idf and the comment's weight come from a combining aggregate, and meet the term's rows in a join that Spark can split
+    terms = counts.groupBy("sample_id", "term").agg(F.count("*").alias("df"), F.max(F.when(F.col("pos") == -1, F.col("tf"))).alias("qtf"))
+    idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
+    terms = terms.join(n, "sample_id").select("sample_id", "term", idf.alias("idf"), (F.col("qtf") * idf).alias("qw"))
+    w = counts.join(terms, ["sample_id", "term"]).withColumn("w", F.col("tf") * F.col("idf"))
     sums = w.groupBy(*KEY).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum(F.col("w") * F.coalesce("qw", F.lit(0.0))).alias("dot"))
-    q = sums.where("pos = -1").select("sample_id", F.col("norm").alias("qnorm"))
-    cos = sums.where("pos >= 0").join(q, "sample_id").select(*KEY, F.try_divide(F.col("dot"), F.col("norm") * F.col("qnorm")).alias(name))
+    q = terms.groupBy("sample_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
+    cos = sums.join(q, "sample_id").select(*KEY, F.try_divide(F.col("dot"), F.col("norm") * F.col("qnorm")).alias(name))
     return candidates.select(*KEY).join(cos, KEY, "left").select(*KEY, F.coalesce(name, F.lit(0.0)).alias(name))
 
 

@@ -79,17 +79,6 @@ def best_models(scores: DataFrame, order: list[str], k: int = 3) -> DataFrame:
     return o.groupBy("sample_id").agg(F.max(F.struct("hit_1", "rr", "hit_k", (-F.col("place")).alias("p"), "model")).alias("b")).select("sample_id", F.col("b.model").alias("best"))
 
 
-def multimodel_router(rows: DataFrame, names: list[str], label: str = "best", c: float = 1.0):
-    """A multinomial classifier of the best ranker, as a fitted ML pipeline."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
-
-    n = max(1, rows.count())
-    stages = [StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc"), VectorAssembler(inputCols=names, outputCol="features"), LogisticRegression(featuresCol="features", labelCol="label_index", family="multinomial", regParam=1.0 / (c * n))]
-    return Pipeline(stages=stages).fit(rows)
-
-
 def chosen(scores: DataFrame, choice: DataFrame) -> DataFrame:
     """The rows of scores (model, sample_id, ...) of each sample's chosen ranker (sample_id, model)."""
     return scores.join(choice, ["sample_id", "model"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import words
-from ..operators import diffs, grid, routing, splits, stats, validate
+from ..operators import diffs, encoders, grid, routing, softmax, splits, stats, validate
 from ..operators import groupwise as G
 from ..operators import metrics as M
 from ..operators import scores as S
@@ -367,3 +367,61 @@ def hierarchical_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     five = {k: found[k] for k in ("always", "ctx_gt20", "ctx_gt40", "quoted_no", "quoted_no_or_ctx_gt40")}
     points = grid.hierarchical_grid(file_pools(spark, sf_dir).withColumns({k: v for k, v in five.items()}), {k: F.col(k) for k in five}, digits=9)
     return points.orderBy(F.col("hit_1").desc(), F.col("mrr").desc(), F.col("hit_k").desc(), "policy", "file_source", "agg_mode", "alpha", "top_files", "outside_penalty").limit(10)
+
+
+# ---- a router of three rankers, encoders --------------------------------------
+
+_THREE = f"{LINEITEM_POOLS}, pairs as (select 'a' as model, *, a as score from x union all select 'b', *, b from x union all select 'c', *, a / b from x), {OUTCOMES('score', 'pairs', 'model, ')}"
+
+
+def three_rankers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = pools.lineitem_pools(spark, sf_dir)
+    return two_rankers(spark, sf_dir).unionByName(x.withColumns({"model": F.lit("c"), "score": F.col("a") / F.col("b")}))
+
+
+def router_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Orders with their price, status and priority, the leads of three rankers of their lines, and the ranker that does best."""
+    orders = pools.table(spark, sf_dir, "orders")
+    urgent = F.substring("o_orderpriority", 1, 1).cast("double")
+    meta = orders.select(F.col("o_orderkey").alias("sample_id"), (F.col("o_totalprice") / 1000).alias("total"), (F.col("o_orderstatus") == "F").cast("double").alias("finished"), F.coalesce(urgent, F.lit(0.0)).alias("priority"))
+    return softmax.router_table(meta, three_rankers(spark, sf_dir), ["a", "b", "c"])
+
+
+@query(
+    f"""with {_THREE}, o as (select *, row_number() over (partition by sample_id order by hit_1 desc, rr desc, hit_k desc, model) as place from outcomes),
+l as (select sample_id, list_reverse_sort(list(a)) as al, list_reverse_sort(list(a / b)) as cl from x group by sample_id)
+select sample_id, o.model as label, round(o.rr, 9) as rr, round(al[1], 6) as a_top1_score, round(cl[1] - coalesce(cl[2], 0), 6) as c_margin, round(cl[1] - al[1], 6) as c_minus_a_top1_score, round(o_totalprice / 1000, 6) as total
+from o join l using (sample_id) join orders on o_orderkey = sample_id where place = 1"""
+)
+def router_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the router learns from: labels, the best ranker's outcome and some of the features."""
+    table, _ = router_rows(spark, sf_dir)
+    own = table.select("sample_id", "label", F.round(F.col("outcomes")[F.col("label")]["rr"], 9).alias("rr"), "a_top1_score", "c_margin", "c_minus_a_top1_score", "total")
+    return R6(own, "a_top1_score", "c_margin", "c_minus_a_top1_score", "total")
+
+
+@query()
+def multimodel_router(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every C of the router on train, dev and test, whether it is the chosen one, and how often each ranker was picked."""
+    table, names = router_rows(spark, sf_dir)
+    d = splits.draw(5, "sample_id")
+    dealt = table.withColumn("split", F.when(d < 0.7, "train").when(d < 0.85, "dev").otherwise("test"))
+    model, report = softmax.select_router(dealt, names, ["a", "b", "c"])
+    return report.withColumn("chosen", F.col("C") == model["C"])
+
+
+@query(
+    f"""with {CONVERSATION_POOLS}, t as (select distinct comment as text from samples where comment is not null union select distinct text from candidates where text is not null),
+w as (select text, md5(lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')))) as m from t),
+v as (select text, (list_sum(list_transform(range(8), lambda i: (instr('0123456789abcdef', m[(i + 1)::int]) - 1) * (16 ** (7 - i))))::bigint % 64)::int as k, sum(case when m[9] < '8' then 1 else -1 end) as x from w group by all),
+n as (select text, sqrt(sum(x * x)) as norm from v group by text),
+d as (select c.sample_id, c.pos, sum(a.x * b.x) as dot from candidates c join samples s using (sample_id) join v a on a.text = s.comment join v b on b.text = c.text and a.k = b.k group by all)
+select c.sample_id, c.pos, round(coalesce(d.dot / nullif(p.norm * q.norm, 0), 0), 6) + 0.0 as score
+from candidates c join samples s using (sample_id) left join n p on p.text = s.comment left join n q on q.text = c.text left join d on d.sample_id = c.sample_id and d.pos = c.pos"""
+)
+def encoder_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine of each conversation's first turn and its later ones by an encoder that is given as a function."""
+    samples, candidates = pools.conversation_pools(spark, sf_dir)
+    asked = samples.select("sample_id", F.col("comment").alias("text"))
+    vectors = encoders.encoded(asked.select("text").unionByName(candidates.select("text")), encoders.hashing_encoder)
+    return encoders.scores(asked, candidates, vectors).withColumn("score", F.round("score", 6) + 0.0)

@@ -71,13 +71,30 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PREDICTION).option("mode", "FAILFAST").json(path)
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """rows as read from files with _file, _block and _id: a file is read in blocks, and a block's rows one behind the other by one task."""
+    return rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+
+
+def numbered(rows: DataFrame, name: str = "row_number") -> DataFrame:
+    """rows, just as they are read from files, with file (its path) and the row's number in it from 0, however many tasks read the file.
+
+    Ids are consecutive inside a block, so a row's number is the count of rows in earlier blocks and its distance from its block's
+    first; only one row per block is shuffled."""
+    x = placed(rows)
+    blocks = x.groupBy("_file", "_block").agg(F.count("*").alias("n"), F.min("_id").alias("first"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("_file", "_block", (earlier - F.col("first")).alias("shift"))
+    return x.join(starts, ["_file", "_block"]).select(*rows.columns, F.col("_file").alias("file"), (F.col("_id") + F.col("shift")).alias(name))
+
+
 def read_attributes(spark: SparkSession, path: str) -> DataFrame:
-    """folderName, attributes (a map) of a CSV with a header; of rows with one folderName the last counts."""
-    raw = spark.read.option("header", True).csv(path).withColumn("at", F.monotonically_increasing_id())
-    names = [c for c in raw.columns if c != "at"]
-    values = F.create_map(*[x for c in names for x in (F.lit(c), F.coalesce(F.col(c), F.lit("")))])
-    last = F.row_number().over(Window.partitionBy("folderName").orderBy(F.col("at").desc()))
-    return raw.select("folderName", values.alias("attributes"), last.alias("k")).where("k = 1").drop("k")
+    """folderName, attributes (a map) of a CSV with a header; of rows with one folderName the last in the file counts (of several
+    files, in the last file by name)."""
+    raw = spark.read.option("header", True).csv(path)
+    values = F.map_from_arrays(F.array(*map(F.lit, raw.columns)), F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in raw.columns]))
+    last = F.max_by(values, F.struct("_file", "_block", "_id"))
+    return placed(raw).groupBy("folderName").agg(last.alias("attributes"))
 
 
 def read_config(text: str) -> dict:
@@ -139,6 +156,9 @@ def finished(spark: SparkSession, path: str) -> set[str]:
     from pyspark.errors import AnalysisException
 
     try:
-        return {r.name for r in spark.read.parquet(path).select("name").collect()}
-    except AnalysisException:
+        rows = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return set()
+    return {r.name for r in rows.select("name").collect()}

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tarn.operators import bayes, diffs, fuzzy, lexical, ranker, routing, semantic, splits, stats, validate
+from tarn.operators import bayes, diffs, fuzzy, lexical, ranker, routing, semantic, softmax, splits, stats, validate
 from tarn.operators import groupwise as G
 from tarn.operators import metrics as M
 from tarn.operators import scores as S
@@ -257,8 +257,8 @@ def test_routers(spark, tables):
     both = pairs.select(F.lit("a").alias("model"), "sample_id", "pos", F.col("a").alias("score"), "is_gold").unionByName(pairs.select(F.lit("b").alias("model"), "sample_id", "pos", F.col("b").alias("score"), "is_gold"))
     best = routing.best_models(both, ["a", "b"])
     assert {r.best for r in best.collect()} == {"a", "b"}
-    pipeline = routing.multimodel_router(best.join(own, "sample_id"), ["x"])
-    assert pipeline.transform(best.join(own, "sample_id")).count() == 60
+    model = softmax.fit_many(best.join(own, "sample_id"), ["x"], ["a", "b"], (1.0,), "best")[0]
+    assert best.join(own, "sample_id").withColumn("k", softmax.predicted(model)).where("k in ('a', 'b')").count() == 60
     assert routing.chosen(both, best.withColumnRenamed("best", "model")).count() == 240
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -174,6 +175,19 @@ def feedback_query(queries: DataFrame, added: DataFrame, max_terms: int = 12) ->
     return queries.join(added, "sample_id").select("sample_id", T.strip(text).alias("text"))
 
 
+def rescored(first: DataFrame, queries: DataFrame, new: DataFrame, candidates: DataFrame, again: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """sample_id, pos, score, changed: the second pass of feedback, in which only samples whose query changed are scored again.
+
+    first: sample_id, pos, score of queries(sample_id, text); new: the queries behind feedback (see feedback_query); candidates:
+    sample_id, pos, text. again(queries, candidates) scores with what the first pass scored with, such as score with its model."""
+    now = new.select("sample_id", F.col("text").alias("now"))
+    changed = queries.join(now, "sample_id").where(~F.col("text").eqNullSafe(F.col("now"))).select("sample_id", F.col("now").alias("text"))
+    own = candidates.join(changed.select("sample_id"), "sample_id", "left_semi")
+    second = again(changed, own).select("sample_id", "pos", F.col("score").alias("second"))
+    x = first.join(second, ["sample_id", "pos"], "left")
+    return x.select("sample_id", "pos", F.coalesce("second", "score").alias("score"), F.col("second").isNotNull().alias("changed"))
+
+
 def save(model: Model, path: str) -> None:
     """The vocabulary (term, idf, vector) as Parquet, a folder for the analyzer."""
     model.vocabulary.withColumn("analyzer", F.lit(model.analyzer)).write.mode("overwrite").partitionBy("analyzer").parquet(path)

@@ -92,16 +92,25 @@ def _fit(design: ranker.Design, names: list[str], classes: list[str], c_values:
     return [kept | {"C": c, "coefficients": x.reshape(k, d)[:, :-1].tolist(), "intercepts": x.reshape(k, d)[:, -1].tolist()} for c, x in zip(c_values, w)]
 
 
-def decision_values(model: dict) -> list[Column]:
-    """The value of each class, in the order of model['classes'], as expressions; no Python runs on the rows."""
-    shared = {x: model[x] for x in ("feature_names", "scaler_mean", "scaler_scale")}
-    return [ranker.linear_score(shared | {"coefficients": w, "intercept": b}) for w, b in zip(model["coefficients"], model["intercepts"])]
+def choices(models: list[dict]) -> Column:
+    """An array of (C, best), for each model its class of the largest value, the first of equal ones. The models have the same features.
+
+    The weights are one literal and the features one array, so the expression stays small for any number of models and classes."""
+    names = models[0]["feature_names"]
+    each = []
+    for m in models:
+        w = np.array(m["coefficients"]) / np.array([s or 1.0 for s in m["scaler_scale"]])
+        base = np.array(m["intercepts"]) - w @ np.array(m["scaler_mean"])
+        own = [F.struct(F.lit(k).alias("k"), F.lit(float(b)).alias("b"), F.array(*[F.lit(float(v)) for v in x]).alias("w")) for k, b, x in zip(m["classes"], base, w)]
+        each.append(F.struct(F.lit(float(m["C"])).alias("C"), F.array(*own).alias("classes")))
+    x = F.array(*[F.coalesce(F.col(f"`{n}`").cast("double"), F.lit(0.0)) for n in names])
+    value = lambda c: F.aggregate(F.zip_with(x, c["w"], lambda u, v: u * v), c["b"], lambda a, v: a + v)
+    best = lambda m: F.array_max(F.transform(m["classes"], lambda c, i: F.struct(value(c).alias("v"), (-i).alias("i"), c["k"].alias("k"))))["k"]
+    return F.transform(F.array(*each), lambda m: F.struct(m["C"].alias("C"), best(m).alias("best")))
 
 
 def predicted(model: dict) -> Column:
-    """The class of the largest value; the first of equal ones."""
-    each = [F.struct(v.alias("v"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, (k, v) in enumerate(zip(model["classes"], decision_values(model)))]
-    return F.array_max(F.array(*each))["k"]
+    return choices([model])[0]["best"]
 
 
 def strongest(model: dict, n: int = 12) -> dict[str, list[tuple[str, float]]]:
@@ -128,8 +137,7 @@ def router_table(meta: DataFrame, scores: DataFrame, models: list[str], k: int =
 
 def routed(table: DataFrame, models: list[dict], keys: tuple[str, ...] = ()) -> DataFrame:
     """C, keys, sample_id, best (the chosen ranker) and its outcome, for every fitted model, in one pass over router_table's rows."""
-    each = F.array(*[F.struct(F.lit(float(m["C"])).alias("C"), predicted(m).alias("best")) for m in models])
-    x = table.select(*keys, "sample_id", "outcomes", F.explode(each).alias("r")).select("r.C", *keys, "sample_id", "r.best", F.col("outcomes")[F.col("r.best")].alias("o"))
+    x = table.select(*keys, "sample_id", "outcomes", F.explode(choices(models)).alias("r")).select("r.C", *keys, "sample_id", "r.best", F.col("outcomes")[F.col("r.best")].alias("o"))
     return x.select("C", *keys, "sample_id", "best", "o.*")
 
 
@@ -142,7 +150,13 @@ def usage(rows: DataFrame, rankers: list[str], keys: tuple[str, ...]) -> DataFra
 def select_router(table: DataFrame, names: list[str], rankers: list[str], c_values: tuple[float, ...] = C_VALUES) -> tuple[dict, DataFrame]:
     """The model of the C with the best hit_1, then mrr, then hit_k on the dev samples (the first of equal ones), and the figures of
     every C on every split. table: router_table with the column split; the model is fitted on 'train'."""
-    fitted = fit_many(table.where("split = 'train'"), names, rankers, c_values)
-    report = usage(routed(table, fitted, ("split",)), rankers, ("C", "split"))
-    dev = {r["C"]: (r["hit_1"], r["mrr"], r["hit_k"]) for r in report.where("split = 'dev'").collect()}
-    return max(fitted, key=lambda m: dev.get(m["C"], (0.0, 0.0, 0.0))), report
+    table = table.persist()
+    try:
+        fitted = fit_many(table.where("split = 'train'"), names, rankers, c_values)
+        report = usage(routed(table, fitted, ("split",)), rankers, ("C", "split"))
+        # a row for each C and split
+        rows = report.collect()
+    finally:
+        table.unpersist()
+    dev = {r["C"]: (r["hit_1"], r["mrr"], r["hit_k"]) for r in rows if r["split"] == "dev"}
+    return max(fitted, key=lambda m: dev.get(m["C"], (0.0, 0.0, 0.0))), table.sparkSession.createDataFrame(rows, report.schema)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import words
-from ..operators import diffs, encoders, grid, routing, softmax, splits, stats, validate
+from ..operators import diffs, encoders, grid, lexical, routing, semantic, softmax, splits, stats, validate
 from ..operators import groupwise as G
 from ..operators import metrics as M
 from ..operators import scores as S
@@ -413,7 +413,7 @@ def multimodel_router(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""with {CONVERSATION_POOLS}, t as (select distinct comment as text from samples where comment is not null union select distinct text from candidates where text is not null),
 w as (select text, md5(lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')))) as m from t),
-v as (select text, (list_sum(list_transform(range(8), lambda i: (instr('0123456789abcdef', m[(i + 1)::int]) - 1) * (16 ** (7 - i))))::bigint % 64)::int as k, sum(case when m[9] < '8' then 1 else -1 end) as x from w group by all),
+v as (select text, ((instr('0123456789abcdef', m[7]) - 1) * 16 + instr('0123456789abcdef', m[8]) - 1) % 64 as k, sum(case when m[9] < '8' then 1 else -1 end) as x from w group by all),
 n as (select text, sqrt(sum(x * x)) as norm from v group by text),
 d as (select c.sample_id, c.pos, sum(a.x * b.x) as dot from candidates c join samples s using (sample_id) join v a on a.text = s.comment join v b on b.text = c.text and a.k = b.k group by all)
 select c.sample_id, c.pos, round(coalesce(d.dot / nullif(p.norm * q.norm, 0), 0), 6) + 0.0 as score
@@ -425,3 +425,20 @@ def encoder_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = samples.select("sample_id", F.col("comment").alias("text"))
     vectors = encoders.encoded(asked.select("text").unionByName(candidates.select("text")), encoders.hashing_encoder)
     return encoders.scores(asked, candidates, vectors).withColumn("score", F.round("score", 6) + 0.0)
+
+
+@query()
+def feedback_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 picks two contexts of each conversation, their terms go into its query, and the encoder scores the changed queries again."""
+    samples, candidates = pools.conversation_pools(spark, sf_dir)
+    asked = samples.select("sample_id", T.query_text(F.col("comment")).alias("text"))
+    vectors = encoders.encoded(asked.select("text").unionByName(candidates.select("text")), encoders.hashing_encoder)
+    first = encoders.scores(asked, candidates, vectors)
+    q = asked.withColumnRenamed("text", "query")
+    picked = candidates.join(lexical.bm25(samples, candidates).withColumnRenamed("bm25", "score"), ["sample_id", "pos"])
+    new = semantic.feedback_query(q, semantic.feedback_terms(q, picked, 2))
+
+    def again(queries: DataFrame, own: DataFrame) -> DataFrame:
+        return encoders.scores(queries, own, encoders.encoded(queries.select("text").unionByName(own.select("text")), encoders.hashing_encoder))
+
+    return semantic.rescored(first, asked, new, candidates, again).select("sample_id", "pos", F.round("score", 6).alias("score"), "changed")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.operators import encoders
+from tarn.operators import encoders, semantic
 from tarn.sources import files
 from tarn.sources.sheets import SheetSource, column_index
 
@@ -89,3 +89,21 @@ def test_encoders(spark, tmp_path):
         norm = np.linalg.norm(raw[0]) * np.linalg.norm(raw[i])
         assert got[f"s{i}"] == pytest.approx(raw[0] @ raw[i] / norm if norm > 0 else 0.0)
     assert got["s1"] == pytest.approx(1.0) and encoders.encoded(df.limit(0).select("text"), encoders.hashing_encoder).count() == 0
+
+
+def test_only_changed_queries_are_scored_again(spark):
+    asked = spark.createDataFrame([("a", "red apple"), ("b", "green car"), ("c", None)], "sample_id string, text string")
+    new = spark.createDataFrame([("a", "red apple pie"), ("b", "green car"), ("c", "car")], "sample_id string, text string")
+    pool = spark.createDataFrame([(s, p, t) for s in "abc" for p, t in enumerate(("apple pie", "old car", None))], "sample_id string, pos int, text string")
+    calls = []
+
+    def again(queries, own):
+        calls.append(({r.sample_id for r in queries.collect()}, own.count()))
+        return encoders.scores(queries, own, encoders.encoded(queries.select("text").unionByName(own.select("text")), encoders.hashing_encoder))
+
+    first = encoders.scores(asked, pool, encoders.encoded(asked.select("text").unionByName(pool.select("text")), encoders.hashing_encoder))
+    got = {(r.sample_id, r.pos): (r.score, r.changed) for r in semantic.rescored(first, asked, new, pool, again).collect()}
+    assert calls == [({"a", "c"}, 6)]
+    # the same as scoring all of them
+    full = {(r.sample_id, r.pos): r.score for r in again(new, pool).collect()}
+    assert got == {k: (pytest.approx(v), k[0] != "b") for k, v in full.items()} and len(got) == 9

@@ -412,9 +412,9 @@ def multimodel_router(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with {CONVERSATION_POOLS}, t as (select distinct comment as text from samples where comment is not null union select distinct text from candidates where text is not null),
-w as (select text, md5(lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')))) as m from t),
-v as (select text, ((instr('0123456789abcdef', m[7]) - 1) * 16 + instr('0123456789abcdef', m[8]) - 1) % 64 as k, sum(case when m[9] < '8' then 1 else -1 end) as x from w group by all),
-n as (select text, sqrt(sum(x * x)) as norm from v group by text),
+w as materialized (select text, md5(lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')))) as m from t),
+v as materialized (select text, ((instr('0123456789abcdef', m[7]) - 1) * 16 + instr('0123456789abcdef', m[8]) - 1) % 64 as k, sum(case when m[9] < '8' then 1 else -1 end) as x from w group by all),
+n as materialized (select text, sqrt(sum(x * x)) as norm from v group by text),
 d as (select c.sample_id, c.pos, sum(a.x * b.x) as dot from candidates c join samples s using (sample_id) join v a on a.text = s.comment join v b on b.text = c.text and a.k = b.k group by all)
 select c.sample_id, c.pos, round(coalesce(d.dot / nullif(p.norm * q.norm, 0), 0), 6) + 0.0 as score
 from candidates c join samples s using (sample_id) left join n p on p.text = s.comment left join n q on q.text = c.text left join d on d.sample_id = c.sample_id and d.pos = c.pos"""

@@ -11,6 +11,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,11 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .pagephrases import NAMES, PHRASES, PLAIN, REMARKS
 
-TRAIN_PAGES = 700
+TRAIN_PAGES = 800
 TRAIN_SEED = 11
 STEPS = 250
 PENALTY = 1e-4
+#: Of the features of words: few blocks have each, and most pairs of words mean nothing.
+WORD_PENALTY = 1e-3
 #: Pages whose trees are passed over together.
 BATCH = 64
 SCHEMA = "page_id long, url string, text string, n_chars long"
@@ -37,7 +41,7 @@ DROPPED = frozenset("noscript template svg object canvas audio video annotation
 IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 #: Elements that hold no blocks: a block's start tag closes them.
 CHOICES = ("select", "datalist", "optgroup", "option")
-#: Elements of forms and head: nothing in them is text of the page.
+#: Elements of forms and head: nothing in them is text of the page. A label outside a form is inline text.
 MUTE = frozenset("button select option optgroup datalist label legend input head".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br nobr math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup mover munder munderover mmultiscripts mprescripts mtable mtr mtd mstyle mspace mpadded mphantom merror menclose mfenced semantics".split())
 #: A start tag of one of these closes an open p.
@@ -110,13 +114,35 @@ def element_features(tag: str, attributes: str) -> tuple[tuple[str, ...], int]:
     return known
 
 
-def block_features(text: str, linked: int, tag: str, breaks: int) -> tuple[str, ...]:
-    """Names of the features of a text block: length, share of linked text, punctuation, the element it is in."""
+WORD = re.compile(r"[^\W\d_]+")
+SPEAKER = re.compile(r"[^\W\d_]+(?: [^\W\d_]+)?(?: \([^()]*\))?: ")
+#: Elements that say what the blocks in them are for.
+LANDMARKS = ("article", "main", "nav", "header", "footer", "aside", "form")
+#: Blocks of at most so many words are features as a whole.
+SHORT = 4
+#: A first block of at most so many words, such as a heading, tells its pairs of words to the elements that begin with it.
+LINE = 12
+#: Features that fewer blocks of the training pages have are left out.
+LEAST_BLOCKS = 4
+
+
+def block_features(text: str, linked: int, tag: str, breaks: int, within: str) -> tuple[str, ...]:
+    """Names of the features of a text block: length, links, punctuation, the elements around it, its pairs of words."""
     n = len(text)
     share = linked / n if n else 0
     density = 0 if share == 0 else 1 if share < 0.34 else 2 if share < 0.8 else 3
     stop = "stop" if text[-1:] in ".!?…:»”\"" else "open"
-    return (f"in={tag}", f"chars={min(n, 1 << 12).bit_length()}", f"links={density}", f"end={stop}", f"{tag}/links={density}", f"commas={min(3, text.count(','))}", f"breaks={min(2, breaks)}")
+    size = min(n, 1 << 9).bit_length()
+    words = WORD.findall(text.lower())
+    out = [f"in={tag}", f"chars={size}", f"links={density}", f"end={stop}", f"{tag}/links={density}", f"commas={min(3, text.count(','))}", f"breaks={min(2, breaks)}", f"within={within}", f"{within}/links={density}/chars={size // 2}"]
+    out += {f"two={a} {b}" for a, b in zip(words, words[1:])}
+    if words and len(words) <= SHORT:
+        out.append("is=" + " ".join(words))
+    if SPEAKER.match(text):
+        out.append("speaker")
+    if "©" in text:
+        out.append("©")
+    return tuple(out)
 
 
 MARKUP = re.compile(r"<(?:!--|(/?)([A-Za-z][^\s/>]*))")
@@ -156,6 +182,7 @@ def parse(source: str | None) -> Page:
     stack: list[tuple[str, int, int, str]] = [("#root", 0, 1, "#root")]  # tag, node (of the nearest block element), label, that element's tag
     opened: dict[str, list[int]] = {}  # places in the stack of the open elements of each tag
     pieces: list[str] = []
+    filled = {-1}  # nodes with a text block in them
     state = {"linked": 0, "breaks": 0, "mute": 0, "a": 0}
 
     def flush() -> None:
@@ -166,19 +193,26 @@ def parse(source: str | None) -> Page:
                 page.parent.append(node)
                 page.depth.append(page.depth[node] + 1)
                 page.kind.append(1)
-                page.features.append(block_features(text, state["linked"], tag, state["breaks"]))
+                around = max(((opened[t][-1], t) for t in LANDMARKS if opened.get(t)), default=(0, "none"))[1]
+                page.features.append(block_features(text, state["linked"], tag, state["breaks"], around))
                 page.texts.append(text)
                 page.labels.append(y)
+                told = tuple(f"first/{f}" for f in page.features[-1] if f.startswith(("two=", "is="))) if len(text.split()) <= LINE else ()
+                while node not in filled:
+                    filled.add(node)
+                    page.features[node] += told
+                    node = page.parent[node]
             pieces.clear()
         state["linked"] = state["breaks"] = 0
 
     def pop() -> None:
-        tag = stack[-1][0]
-        if tag not in INLINE:
+        tag, _, _, around = stack[-1]
+        mute = tag in MUTE and around == tag
+        if tag not in INLINE and (mute or tag != "label"):
             flush()
         stack.pop()
         opened[tag].pop()
-        if tag in MUTE:
+        if mute:
             state["mute"] -= 1
         elif tag == "a":
             state["a"] -= 1
@@ -267,7 +301,7 @@ def parse(source: str | None) -> Page:
                     pop()
         opened.setdefault(tag, []).append(len(stack))
         _, node, y, around = stack[-1]
-        if tag in INLINE:
+        if tag in INLINE or tag == "label" and not opened.get("form"):
             stack.append((tag, node, y, around))
             state["a"] += tag == "a"
             continue
@@ -302,7 +336,8 @@ class Forest:
 
     parent: np.ndarray
     kind: np.ndarray
-    levels: list[np.ndarray]  # nodes of each depth
+    levels: list[np.ndarray]  # nodes of each depth, in page order, so the children of a node are neighbours
+    families: list[tuple[np.ndarray, np.ndarray]]  # per depth: the nodes' parents, and where the children of each begin
     node: np.ndarray  # (node, feature) pairs
     feature: np.ndarray
 
@@ -313,14 +348,11 @@ class Forest:
         depth = np.concatenate([np.array(p.depth) for p in pages])
         order = np.argsort(depth, kind="stable")
         levels = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)
+        starts = [np.flatnonzero(np.diff(parent[level], prepend=-2)) for level in levels]
+        families = [(parent[level[at]], at) for level, at in zip(levels, starts)]
         known = [[index[f] for f in fs if f in index] for p in pages for fs in p.features]
         node = np.repeat(np.arange(len(known)), [len(k) for k in known])
-        return cls(parent, np.concatenate([np.array(p.kind) for p in pages]), levels, node, np.array([f for k in known for f in k], np.int64))
-
-
-def log_sum(x: np.ndarray) -> np.ndarray:
-    top = x.max(-1)
-    return top + np.log(np.exp(x - top[..., None]).sum(-1))
+        return cls(parent, np.concatenate([np.array(p.kind) for p in pages]), levels, families, node, np.array([f for k in known for f in k], np.int64))
 
 
 def marginals(f: Forest, weights: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -328,28 +360,30 @@ def marginals(f: Forest, weights: np.ndarray, pairs: np.ndarray) -> tuple[np.nda
     n = len(f.parent)
     own = np.zeros((n, 2))
     own[:, 1] = np.bincount(f.node, weights[f.feature], n)
-    up = own.copy()  # own potential and what the children say
+    up = own  # own potential and what the children say
     message = np.zeros((n, 2))  # to the parent
-    for level in reversed(f.levels[1:]):
-        message[level] = log_sum(up[level][:, None, :] + pairs[f.kind[level]])
-        np.add.at(up, f.parent[level], message[level])
+    for level, (parents, starts) in zip(reversed(f.levels[1:]), reversed(f.families[1:])):
+        said = up[level][:, None, :] + pairs[f.kind[level]]
+        message[level] = np.logaddexp(said[:, :, 0], said[:, :, 1])
+        up[parents] += np.add.reduceat(message[level], starts)
     belief = up.copy()
     both = np.zeros((n, 2, 2))
     for level in f.levels[1:]:
-        p = f.parent[level]
-        rest = belief[p] - message[level]  # the parent without what this child said
+        rest = belief[f.parent[level]] - message[level]  # the parent without what this child said
         joint = rest[:, :, None] + pairs[f.kind[level]] + up[level][:, None, :]
-        joint -= log_sum(joint.reshape(-1, 4))[:, None, None]
-        both[level] = np.exp(joint)
-        belief[level] = log_sum(joint.transpose(0, 2, 1))
+        own_belief = np.logaddexp(joint[:, 0], joint[:, 1])
+        total = np.logaddexp(own_belief[:, 0], own_belief[:, 1])[:, None]
+        both[level] = np.exp(joint - total[:, :, None])
+        belief[level] = own_belief - total
     root = f.levels[0]
-    belief[root] -= log_sum(belief[root])[:, None]
+    belief[root] -= np.logaddexp(belief[root, 0], belief[root, 1])[:, None]
     return np.exp(belief), both
 
 
 def fit(pages: list[Page], steps: int = STEPS) -> Model:
     """Weights and pair potentials that make the labels likely, by gradient steps with a ridge penalty."""
-    names = sorted({f for p in pages for fs in p.features for f in fs})
+    seen_in = Counter(f for p in pages for fs in p.features for f in fs)
+    names = sorted(f for f, n in seen_in.items() if n >= LEAST_BLOCKS)
     index = {name: i for i, name in enumerate(names)}
     f = Forest.of(pages, index)
     y = np.concatenate([np.array(p.labels) for p in pages])
@@ -357,13 +391,14 @@ def fit(pages: list[Page], steps: int = STEPS) -> Model:
     seen = np.zeros((2, 2, 2))
     np.add.at(seen, (f.kind[child], y[f.parent[child]], y[child]), 1)
     theta = np.zeros(len(names) + 8)
+    penalty = np.array([WORD_PENALTY if name.startswith(("two=", "is=", "first/")) else PENALTY for name in names] + [PENALTY] * 8)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         single, both = marginals(f, theta[:-8], theta[-8:].reshape(2, 2, 2))
         expected = np.zeros((2, 2, 2))
         for k in (0, 1):
             expected[k] = both[child][f.kind[child] == k].sum(0)
-        slope = np.concatenate([np.bincount(f.feature, (y - single[:, 1])[f.node], len(names)), (seen - expected).ravel()]) / len(pages) - PENALTY * theta
+        slope = np.concatenate([np.bincount(f.feature, (y - single[:, 1])[f.node], len(names)), (seen - expected).ravel()]) / len(pages) - penalty * theta
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         theta += 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return Model(index, theta[:-8], theta[-8:].reshape(2, 2, 2))
@@ -382,12 +417,20 @@ def texts_of(pages: list[Page], model: Model) -> list[str]:
     return out
 
 
-def labelled_page(rnd: random.Random) -> str:
-    """One generated page; data-y marks its elements as content (1) or not (0)."""
+def labelled_page(rnd: random.Random, nameless: bool = False) -> str:
+    """One generated page; data-y marks its elements as content (1) or not (0). A nameless one has no class, id or role.
+
+    What is not content has a line of its kind in it then, or an element that says what it is."""
     word = lambda: "".join(rnd.choices("abcdefghilmnoprstuvé", k=rnd.choice((1, 2, 3, 4, 5, 6, 7, 8, 9, 11))))
 
+    real = rnd.random() < 0.5
+    known = [w.lower() for lines in PHRASES.values() for line in lines for w in WORD.findall(line)]
+    line = lambda kind: rnd.choice(PHRASES[kind])
+
     def sentence(low: int, high: int) -> str:
         words = [word() for _ in range(rnd.randint(low, high))]
+        if real:
+            words = [rnd.choice(PLAIN) if rnd.random() < 0.5 else rnd.choice(known) if rnd.random() < 0.04 else w for w in words]
         words = [w + "," if rnd.random() < 0.08 else w for w in words]
         return " ".join(words).capitalize() + rnd.choice((".", ".", ".", "", "!", "?"))
 
@@ -397,6 +440,8 @@ def labelled_page(rnd: random.Random) -> str:
 
     def named(*names: str) -> str:
         name = rnd.choice(names)
+        if nameless:
+            return ""
         if rnd.random() < 0.05:
             name = word()
         if rnd.random() < 0.3:
@@ -414,8 +459,31 @@ def labelled_page(rnd: random.Random) -> str:
         """As often as not nothing but paragraphs, as in an article."""
         return "".join(f"<p>{prose()}</p>" for _ in range(rnd.randint(1, 3))) if rnd.random() < 0.4 else "".join(loose() for _ in range(rnd.randint(1, 3)))
 
+    def lines(kind: str) -> str:
+        """Lines of a kind in one of several forms, other text behind some of them."""
+        one = lambda: f'<a href="/{word()}">{line(kind)}</a>' if rnd.random() < 0.25 else line(kind)
+        first = rnd.choice((lambda: f"<h2>{line(kind)}</h2>", lambda: f"<h3>{line(kind)}</h3>", lambda: f"<p>{one()}</p>", lambda: f"<p>{one()} {one()}</p>", lambda: one(), lambda: f"<div>{one()}</div>", lambda: f"<ul><li>{one()}</li><li>{one()}</li></ul>", lambda: f"<span>{one()}</span>"))()
+        return first + (some() if rnd.random() < 0.4 else "")
+
+    def remark() -> str:
+        said = f"{rnd.choice(REMARKS)} {prose()}" if rnd.random() < 0.4 else prose()
+        who = rnd.choice(NAMES)
+        return rnd.choice((f"<p>{who}: {said}</p>", f"<p><b>{who}</b>: {said}</p>", f"<div><b>{who}</b><p>{said}</p></div>", f"<p>{said}</p>"))
+
     def boiler(kind: str) -> str:
         plain = rnd.random() < 0.35
+        if nameless or rnd.random() < 0.25:
+            if kind == "form":
+                return f"<form{no}><p>{line(kind)}</p><label>{line(kind)}</label><input name=q><button>{word()}</button>{lines(kind)}</form>"
+            own = {"nav": ("nav",), "header": ("header",), "footer": ("footer",), "side": ("aside",)}.get(kind, ())
+            if own and rnd.random() < 0.5:
+                return f"<{own[0]}{no}>{lines(kind) if rnd.random() < 0.5 else links(rnd.randint(2, 9)) if kind == 'nav' else some()}</{own[0]}>"
+            if kind == "nav":
+                return f"<div{no}>{links(rnd.randint(2, 9)) if rnd.random() < 0.6 else lines(kind)}</div>"
+            tag = rnd.choice(("div", "div", "section"))
+            if kind == "comments":
+                return f"<{tag}{no}><{(h := rnd.choice(('h2', 'h3', 'p')))}>{line(kind)}</{h}>{''.join(remark() for _ in range(rnd.choice((1, 2, 3, 4, 5, 20))))}</{tag}>"
+            return f"<p{no}>{line(kind)}</p>" if rnd.random() < 0.2 else f"<{tag}{no}>{lines(kind)}</{tag}>"
         if kind == "nav":
             return f"<nav{'' if plain else named('nav', 'menu')}{no}>{links(rnd.randint(2, 9))}</nav>" if rnd.random() < 0.6 else f"<div{named(*STEMS['nav'])}{no}>{links(rnd.randint(2, 9))}</div>"
         if kind == "header":
@@ -441,11 +509,16 @@ def labelled_page(rnd: random.Random) -> str:
                 inner += f" {link()} " + prose()
             if rnd.random() < 0.1:
                 return f"<p{yes}><b>{inner}<br>"
+            if rnd.random() < 0.06:
+                return f'<p{yes}><a href="/{word()}">{inner}</a></p>'
+            if rnd.random() < 0.03:
+                return f"<p{yes}>{sentence(1, 4)} <label>{word()} {word()}</label> {inner}</p>"
             return f"<p{yes}>{inner}</p>" if rnd.random() < 0.9 else f"<div{yes}>{inner}</div>"
         if draw < 0.82:
             return f"<h2{yes}>{sentence(1, 7)}</h2>"
         if draw < 0.9:
-            return f"<{(t := rnd.choice(('ul', 'ol')))}{yes}>" + "".join(f"<li>{sentence(1, 12)}</li>" for _ in range(rnd.randint(1, 6))) + f"</{t}>"
+            linked = rnd.random() < 0.45
+            return f"<{(t := rnd.choice(('ul', 'ol')))}{yes}>" + "".join(f"<li>{link() if linked else sentence(1, 12)}</li>" for _ in range(rnd.randint(1, 6))) + f"</{t}>"
         if draw < 0.94:
             return f"<blockquote{yes}><p>{prose()}</p></blockquote>"
         if draw < 0.97:
@@ -453,6 +526,10 @@ def labelled_page(rnd: random.Random) -> str:
         return f"<pre{yes}>{sentence(3, 12)}</pre>"
 
     inside = [block() for _ in range(rnd.choice((0, 1, 2, 3, 5, 8, 14)))]
+    if rnd.random() < 0.08:
+        # many short or equal blocks: their small potentials must not add up against the article
+        again = f"<p{yes}>{prose() if rnd.random() < 0.3 else sentence(1, 3)}</p>"
+        inside += [again if rnd.random() < 0.7 else f"<p{yes}>{sentence(1, 4)}</p>" for _ in range(rnd.randint(15, 60))]
     for _ in range(rnd.choice((0, 0, 0, 1, 2))):
         inside.insert(rnd.randint(0, len(inside)), boiler(rnd.choice(("ad", "social", "notice", "form", "ad", "side"))))
     title = f"<h1{yes}>{sentence(1, 9)}</h1>"
@@ -489,7 +566,7 @@ def trained() -> Model:
     key = (TRAIN_PAGES, TRAIN_SEED)
     if key not in _MODELS:
         rnd = random.Random(TRAIN_SEED)
-        _MODELS[key] = fit([parse(labelled_page(rnd)) for _ in range(TRAIN_PAGES)])
+        _MODELS[key] = fit([parse(labelled_page(rnd, nameless=i % 2 == 1)) for i in range(TRAIN_PAGES)])
     return _MODELS[key]
 
 

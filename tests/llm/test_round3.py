@@ -13,7 +13,7 @@ import pyarrow.orc
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.llm import divergence, pii, ranked, simhash, suffixes, tokenfiles
+from tarn.llm import divergence, html, pii, ranked, simhash, suffixes, tokenfiles
 from tarn.llm.bpe import default_path
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -211,3 +211,45 @@ def test_crowded_keys_lose_no_link(spark, monkeypatch, tile):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.component_id for r in simhash.components(docs, 5, 0.2).collect()}
     assert got == dict(enumerate(root)) and 1 < len(set(root)) < len(root)
+
+
+# ---- html ---------------------------------------------------------------------
+
+P0 = "The river rose quickly after the storm, and the villages along its lower banks were cut off from the road for three days."
+P1 = "Engineers who had warned about the old dam said that the new measurements, taken last spring, were ignored by the council."
+
+
+@pytest.mark.parametrize(
+    "source, blocks",
+    [
+        (f"<article><h1>W</h1><p><a href=1>{P0}</a></p><p>{P1}</p></article>", ["W", P0, P1]),
+        (f"<article><h1>W</h1><p>{P0}</p><p>{P1}</p><ul><li><a href=1>The first report of the dam</a><li><a href=2>The second report of the dam</a></ul></article>", ["W", P0, P1, "The first report of the dam", "The second report of the dam"]),
+        (f"<article><h1>W</h1><p>{P0}</p><p>Choose <label>the first</label> one.</p><p>{P1}</p></article>", ["W", P0, "Choose the first one.", P1]),
+        (f"<div><p>{P0}</p><p>{P1}</p></div><div>Copyright 2024. All rights reserved.</div>", [P0, P1]),
+        (f"<div><p>{P0}</p><p>{P1}</p></div><section><h2>Comments</h2><p>Anna: I was there and saw it all, what a mess it was.</p></section>", [P0, P1]),
+        (f"<div><p>We use cookies to improve your experience. Accept all</p></div><div><p>{P0}</p><p>{P1}</p></div>", [P0, P1]),
+    ],
+)
+def test_html_parts_without_names(source, blocks):
+    assert html.texts_of([html.parse(source)], html.trained())[0].split("\n\n") == blocks
+
+
+def test_html_title_in_the_header_of_an_article():
+    got = html.texts_of([html.parse(f"<article><header><h1>Title of it</h1></header><p>{P0}</p><p>{P1}</p></article>")], html.trained())[0]
+    assert got.split("\n\n") == ["Title of it", P0, P1]
+
+
+def test_html_labels_in_forms_and_lines_that_are_no_notices():
+    seen = lambda source: [t for t in html.parse(source).texts if t]
+    assert seen("<form><label>name</label><p>a</p></form><label>b</label> c<p>d") == ["a", "b c", "d"]
+    plain = "They baked cookies for all, and their rights were reserved by no one who had comments on it."
+    assert plain in html.texts_of([html.parse(f"<article><p>{P0}</p><p>{plain}</p></article>")], html.trained())[0]
+
+
+def test_html_held_out_pages_without_names():
+    rnd = random.Random(4711)
+    pages = [html.parse(html.labelled_page(rnd, nameless=True)) for _ in range(200)]
+    single, _ = html.marginals(html.Forest.of(pages, html.trained().index), html.trained().weights, html.trained().pairs)
+    block = np.concatenate([p.kind for p in pages]) == 1
+    right = (single[:, 1] > 0.5) == np.concatenate([p.labels for p in pages])
+    assert right[block].mean() > 0.95

@@ -161,19 +161,14 @@ def lexical_score(weights: dict[str, float] | None = None) -> Column:
     return out
 
 
-def _variant(inline: tuple[float, float, float], path: tuple[float, float], tfidf_: tuple[float, float], quoted: tuple[float, float]) -> dict[str, float]:
-    names = ("inline_code_overlap", "inline_path_overlap", "inline_line_overlap", "path_token_overlap", "path_exact_match", "word_tfidf", "char_tfidf", "quoted_span_exact", "quoted_line_exact")
-    return dict(zip(names, (*inline, *path, *tfidf_, *quoted)))
-
-
-#: Weights of the ablations (inline code, path and line; path tokens and whole paths; word and character TF-IDF; quoted spans and lines).
+#: Weights of the ablations.
 ABLATIONS = {
-    "lexical_base": _variant((0.0, 0.0, 0.0), (0.0, 0.0), (0.0, 0.0), (0.0, 0.0)),
-    "inline_code": _variant((1.5, 0.75, 2.5), (0.0, 0.0), (0.0, 0.0), (0.0, 0.0)),
-    "inline_code+path": _variant((1.5, 0.75, 2.5), (2.0, 2.0), (0.0, 0.0), (0.0, 0.0)),
-    "inline_code+char_tfidf": _variant((1.5, 0.75, 2.5), (0.0, 0.0), (0.0, 1.0), (0.0, 0.0)),
-    "inline_code+word_char_tfidf": _variant((1.5, 0.75, 2.5), (0.0, 0.0), (1.5, 1.0), (0.0, 0.0)),
-    "inline_code+word_char_tfidf+quoted": _variant((1.5, 0.75, 2.5), (0.0, 0.0), (1.5, 1.0), (3.0, 2.0)),
+    "lexical_base": {"inline_code_overlap": 0.0, "inline_path_overlap": 0.0, "inline_line_overlap": 0.0, "path_token_overlap": 0.0, "path_exact_match": 0.0, "word_tfidf": 0.0, "char_tfidf": 0.0, "quoted_span_exact": 0.0, "quoted_line_exact": 0.0},
+    "inline_code": {"inline_code_overlap": 1.5, "inline_path_overlap": 0.75, "inline_line_overlap": 2.5, "path_token_overlap": 0.0, "path_exact_match": 0.0, "word_tfidf": 0.0, "char_tfidf": 0.0, "quoted_span_exact": 0.0, "quoted_line_exact": 0.0},
+    "inline_code+path": {"inline_code_overlap": 1.5, "inline_path_overlap": 0.75, "inline_line_overlap": 2.5, "path_token_overlap": 2.0, "path_exact_match": 2.0, "word_tfidf": 0.0, "char_tfidf": 0.0, "quoted_span_exact": 0.0, "quoted_line_exact": 0.0},
+    "inline_code+char_tfidf": {"inline_code_overlap": 1.5, "inline_path_overlap": 0.75, "inline_line_overlap": 2.5, "path_token_overlap": 0.0, "path_exact_match": 0.0, "word_tfidf": 0.0, "char_tfidf": 1.0, "quoted_span_exact": 0.0, "quoted_line_exact": 0.0},
+    "inline_code+word_char_tfidf": {"inline_code_overlap": 1.5, "inline_path_overlap": 0.75, "inline_line_overlap": 2.5, "path_token_overlap": 0.0, "path_exact_match": 0.0, "word_tfidf": 1.5, "char_tfidf": 1.0, "quoted_span_exact": 0.0, "quoted_line_exact": 0.0},
+    "inline_code+word_char_tfidf+quoted": {"inline_code_overlap": 1.5, "inline_path_overlap": 0.75, "inline_line_overlap": 2.5, "path_token_overlap": 0.0, "path_exact_match": 0.0, "word_tfidf": 1.5, "char_tfidf": 1.0, "quoted_span_exact": 3.0, "quoted_line_exact": 2.0},
 }
 
 

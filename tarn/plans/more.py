@@ -13,18 +13,18 @@ from ..operators import metrics as M
 from ..operators import scores as S
 from ..sources import ingest, pools
 from . import experiments
-from .queries import _GRID_W, _MM, _REL, CONVERSATION_POOLS, DOCUMENT_POOLS, LINEITEM_POOLS, OUTCOMES, R6, R9, STRIP, SUMMARY, query
+from .queries import _GRID_W, _MM, _REL, CONVERSATION_POOLS, DOCUMENT_POOLS, LINEITEM_POOLS, OUTCOMES, QUOTED_SQL, QUOTING_SAMPLES, R6, R9, STRIP, SUMMARY, query, quoting_samples
 
 WORDS = "len(list_filter(regexp_split_to_array(comment, '\\s+'), lambda z: z <> ''))"
-POOL_SIZES = f"{CONVERSATION_POOLS}, sizes as (select sample_id, count(*) as n from candidates group by sample_id), s as (select * from samples join sizes using (sample_id))"
-#: Slices as SQL, quoted spans apart: here every comment with a quotation mark counts, in both engines.
-FLAGS = {"code_fence": "contains(comment, '```')", "suggestion": "contains(lower(comment), 'suggestion')", "mention": "contains(comment, '@')", "quoted_span": "contains(comment, '\"')", "short_comment": f"{WORDS} <= 6", "long_comment": f"{WORDS} >= 30"}
+POOL_SIZES = f"{CONVERSATION_POOLS}, sizes as (select sample_id, count(*) as n from candidates group by sample_id), {QUOTING_SAMPLES}, s as (select * from quoting join sizes using (sample_id))"
+#: Slices as SQL.
+FLAGS = {"code_fence": "contains(comment, '```')", "suggestion": "contains(lower(comment), 'suggestion')", "mention": "contains(comment, '@')", "quoted_span": f"len({QUOTED_SQL}) > 0", "short_comment": f"{WORDS} <= 6", "long_comment": f"{WORDS} >= 30"}
 BUCKETS = {"le=10": "n <= 10", "11_20": "n between 11 and 20", "21_40": "n between 21 and 40", "gt40": "n > 40"}
 
 
 def sized_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples, candidates = pools.conversation_pools(spark, sf_dir)
-    return samples.join(candidates.groupBy("sample_id").agg(F.count("*").alias("n")), "sample_id")
+    return quoting_samples(samples).join(candidates.groupBy("sample_id").agg(F.count("*").alias("n")), "sample_id")
 
 
 def sample_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,19 +46,20 @@ def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _META = {f"context_bucket_{k}": v for k, v in (("<=10", "n <= 10"), ("11_20", "n between 11 and 20"), ("21_40", "n between 21 and 40"), ("gt40", "n > 40"))}
-_META |= {k: v for k, v in FLAGS.items() if k != "quoted_span"} | {"question": "contains(comment, '?')"}
+_META |= FLAGS | {"question": "contains(comment, '?')"}
 _META |= {k: " or ".join(f"contains(lower(comment), '{x}')" for x in needles) for k, needles in words.META_FLAGS}
 
 
 @query("with " + POOL_SIZES + ", m as (select sample_id, " + ", ".join(f"cast(({v}) as double) as \"{k}\"" for k, v in _META.items()) + f", cast({WORDS} as double) as word_count, cast(n as double) as context_count from s) select * from m")
 def sample_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.described(*pools.conversation_pools(spark, sf_dir)).drop("quoted_span")
+    samples, candidates = pools.conversation_pools(spark, sf_dir)
+    return routing.described(quoting_samples(samples), candidates)
 
 
 @query("with " + POOL_SIZES + ", f as (select sample_id, n, " + ", ".join(f"{v} as {k}" for k, v in FLAGS.items()) + " from s) select sample_id, true as \"global\", n > 40 as gt40, not quoted_span as quoted_no, mention as mention_yes, n > 40 or not quoted_span as gt40_or_quoted_no, n > 40 or mention as gt40_or_mention, n > 40 or not quoted_span or mention as gt40_or_quoted_no_or_mention, true as always, n > 20 as ctx_gt20, n > 40 as ctx_gt40, not quoted_span or n > 40 as quoted_no_or_ctx_gt40 from f")
 def routing_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("comment")
-    found = S.policies(F.col("n"), c.contains('"'), c.contains("@"))
+    found = S.policies(F.col("n"), F.size(T.quoted_spans(c)) > 0, c.contains("@"))
     return sized_samples(spark, sf_dir).select("sample_id", *[v.alias(k) for k, v in found.items()])
 
 
@@ -69,7 +70,7 @@ _RULES = {"always_a": "false"} | {f"route_b_if_{k}_{y}": v if y == "yes" else f"
 def routing_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each of the 17 rules, how many samples it sends to the second ranker."""
     x = sized_samples(spark, sf_dir)
-    found = routing.rules(routing.slice_columns(F.col("comment"), F.col("n")) | {"quoted_span": F.col("comment").contains('"')})
+    found = routing.rules(routing.slice_columns(F.col("comment"), F.col("n")))
     counts = x.agg(*[F.count_if(v).alias(k) for k, v in found.items()])
     return counts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(f"`{k}`").alias("samples")) for k in found])).alias("x")).select("x.*")
 
@@ -80,7 +81,7 @@ def tag_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.tag_rules(parts, "tags").groupBy("rule").agg(F.count("*").alias("samples"))
 
 
-@query(f"with {POOL_SIZES} select sample_id, comment from s where n between 2 and 4")
+@query(f"with {POOL_SIZES} select sample_id, comment from samples join sizes using (sample_id) where n between 2 and 4")
 def sized_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples, candidates = pools.conversation_pools(spark, sf_dir)
     x = samples.join(candidates.groupBy("sample_id").agg(F.collect_list("context_id").alias("contexts")), "sample_id")

@@ -189,22 +189,48 @@ def comment_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.to_json(T.inline_code(c)).alias("inline"), F.to_json(T.quoted_spans(c)).alias("quoted"), F.to_json(T.replacement_pairs(c)).alias("pairs"), F.to_json(T.path_mentions(c)).alias("paths"))
 
 
+#: Every conversation's first turn, its first two words said once more in one of six kinds of quotes.
+_TWO = r"regexp_extract(comment, '^\s*(\S+\s+\S+)', 1)"
+QUOTING_SAMPLES = f"""
+quoting as (select sample_id, comment || ' see ' || case cast(sample_id as bigint) % 6 when 0 then '"' || {_TWO} || '"' when 1 then '`' || {_TWO} || '`' when 2 then chr(39) || {_TWO} || '.py' || chr(39) when 3 then chr(39) || lower({_TWO}) || chr(39) when 4 then '``' || {_TWO} || '``' else {_TWO} || '/a.txt' end as comment from samples)"""
+
+
+def quoting_samples(samples: DataFrame) -> DataFrame:
+    two = F.regexp_extract("comment", r"(?U)^\s*(\S+\s+\S+)", 1)
+    forms = [("\"", two, "\""), ("`", two, "`"), ("'", two, ".py'"), ("'", F.lower(two), "'"), ("``", two, "``"), ("", two, "/a.txt")]
+    said = F.element_at(F.array(*[F.concat(F.lit(a), x, F.lit(z)) for a, x, z in forms]), (F.col("sample_id").cast("long") % 6 + 1).cast("int"))
+    return samples.withColumn("comment", F.concat("comment", F.lit(" see "), said))
+
+
+_SPANS = lambda pattern: f"list_filter(list_transform(regexp_extract_all(comment, '{pattern}', 1), lambda z: {STRIP('z')}), lambda z: z <> '')"
+_SINGLE = _SPANS("''([^''\n]{1,120})''")
+QUOTED_SQL = f"""list_sort(list_distinct(list_concat({_SPANS('`([^`]+)`')}, {_SPANS('``([^`\n]{1,120})``')}, {_SPANS('"([^"\n]{1,120})"')}, list_filter({_SINGLE}, lambda z: length(z) > 1 and (regexp_matches(z, '[A-Z_./()-]') or not contains(z, ' '))))))"""
+
+
+@query(f"""with {CONVERSATION_POOLS}, {QUOTING_SAMPLES} select sample_id, {_SPANS('`([^`]+)`')} as inline, {QUOTED_SQL} as quoted, list_transform(regexp_extract_all(comment, '[A-Za-z0-9_./-]+\\.[A-Za-z0-9_]+'), lambda z: lower(z)) as paths from quoting""")
+def quoted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inline code, quoted spans (distinct, sorted) and paths of all first turns with quotes in them."""
+    c = F.col("comment")
+    rows = quoting_samples(pools.conversation_pools(spark, sf_dir)[0])
+    return rows.select("sample_id", T.inline_code(c).alias("inline"), F.sort_array(T.quoted_spans(c)).alias("quoted"), T.path_mentions(c).alias("paths"))
+
+
 @query("select p_partkey, trim(regexp_replace(lower(p_type || ' ' || p_brand), '[^a-z0-9]+', '_', 'g'), '_') as label from part")
 def normalized_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pools.table(spark, sf_dir, "part").select("p_partkey", T.normalize_label(F.concat_ws(" ", "p_type", "p_brand")).alias("label"))
 
 
 @query(
-    f"""with {CONVERSATION_POOLS}, n as (select sample_id, count(*) as contexts from candidates group by sample_id)
-select sample_id, contains(comment, '```') as code_fence, contains(lower(comment), 'suggestion') as suggestion, contains(comment, '@') as mention,
+    f"""with {CONVERSATION_POOLS}, {QUOTING_SAMPLES}, n as (select sample_id, count(*) as contexts from candidates group by sample_id)
+select sample_id, contains(comment, '```') as code_fence, contains(lower(comment), 'suggestion') as suggestion, contains(comment, '@') as mention, len({QUOTED_SQL}) > 0 as quoted_span,
 len(list_filter(regexp_split_to_array(comment, '\\s+'), lambda z: z <> '')) <= 6 as short_comment, len(list_filter(regexp_split_to_array(comment, '\\s+'), lambda z: z <> '')) >= 30 as long_comment,
-case when contexts <= 10 then '<=10' when contexts <= 20 then '11-20' when contexts <= 40 then '21-40' else '>40' end as context_bucket from samples join n using (sample_id)"""
+case when contexts <= 10 then '<=10' when contexts <= 20 then '11-20' when contexts <= 40 then '21-40' else '>40' end as context_bucket from quoting join n using (sample_id)"""
 )
 def sample_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples, candidates = pools.conversation_pools(spark, sf_dir)
-    x = samples.join(candidates.groupBy("sample_id").agg(F.count("*").alias("contexts")), "sample_id")
+    x = quoting_samples(samples).join(candidates.groupBy("sample_id").agg(F.count("*").alias("contexts")), "sample_id")
     s = routing.slice_columns(F.col("comment"), F.col("contexts"))
-    return x.select("sample_id", *[c.alias(k) for k, c in s.items() if k != "quoted_span"])
+    return x.select("sample_id", *[c.alias(k) for k, c in s.items()])
 
 
 # ---- group-relative columns -----------------------------------------------
@@ -459,14 +485,27 @@ def naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bayes.predict(rows.select("row_id", "text"), bayes.fit(rows)).select("row_id", "pred")
 
 
-@query()
+_DRAW = lambda seed, *c: "cast(('0x' || substr(md5(concat_ws('|', " + ", ".join(f"coalesce(cast({x} as varchar), '')" for x in c) + f", '{seed}')), 1, 13)) as bigint)::double / 4503599627370496"
+
+
+@query(
+    f"""with {_NB_ROWS}, k as (select *, row_number() over (partition by label order by {_DRAW(5, 'row_id')}, row_id) as k, count(*) over (partition by label) as n from rows_),
+h as (select *, greatest(1, floor(n * 0.7)) as train, greatest(1, floor(n * 0.1)) as dev from k),
+sp as (select row_id, text, label, k > (case when train + dev >= n then greatest(1, n - 2) + 1 else train + dev end) as test from h),
+t as (select row_id, label, test, unnest(regexp_extract_all(lower(text), '[A-Za-z_][A-Za-z0-9_]*')) as token from sp),
+lab as (select label, count(*) as docs from sp where not test group by label), tc as (select label, token, count(*) as n from t where not test group by all), tot as (select label, sum(n) as tokens from tc group by label),
+v as (select count(distinct token) as v from tc), f as (select row_id, token, count(*) as f from t where test group by all),
+s as (select f.row_id, l.label, sum(f.f * ln((coalesce(tc.n, 0) + 1) / (tokens + v)::double)) as s from f cross join lab l join tot using (label) cross join v left join tc on tc.label = l.label and tc.token = f.token group by f.row_id, l.label),
+e as (select r.row_id, r.label as gold, l.label, ln(l.docs / (select sum(docs) from lab)::double) + coalesce(s.s, 0) as score from sp r cross join lab l left join s on s.row_id = r.row_id and s.label = l.label where r.test),
+p as materialized (select row_id, any_value(gold) as gold, arg_max(label, score) as pred from e group by row_id), names as (select gold as label from p union select pred from p),
+c as (select label, (select count(*) from p where gold = label) as support, (select count(*) from p where pred = label) as predicted, (select count(*) from p where gold = label and pred = label) as tp from names),
+f1 as (select *, case when support + predicted > 0 then 2.0::double * tp / (support + predicted) else 0 end as f1 from c)
+select round(sum(tp)::double / sum(support), 9) as accuracy, round(avg(f1), 9) as macro_f1, round(sum(f1 * support) / sum(support), 9) as weighted_f1 from f1"""
+)
 def intent_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy and F1 of naive Bayes on the labelled documents' quality, on rows that it was not trained on."""
     rows = pools.table(spark, sf_dir, "documents").join(pools.table(spark, sf_dir, "labels"), "doc_id").select(F.col("doc_id").alias("row_id"), "text", F.col("quality").cast("string").alias("label"))
-    return experiments.intent_run(splits.stratified_split(rows, "label", 5, "row_id"))
-
-
-_DRAW = lambda seed, *c: "cast(('0x' || substr(md5(concat_ws('|', " + ", ".join(f"coalesce(cast({x} as varchar), '')" for x in c) + f", '{seed}')), 1, 13)) as bigint)::double / 4503599627370496"
+    return R9(experiments.intent_run(splits.stratified_split(rows, "label", 5, "row_id")))
 
 
 @query(

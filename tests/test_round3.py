@@ -6,10 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tarn.functions import text as T
 from tarn.operators import grid, ranker, splits
 from tarn.operators import metrics as M
 from tarn.operators import scores as S
 from tarn.plans import experiments
+from tarn.plans import queries as Q
 
 
 def close(a: dict, b: dict) -> bool:
@@ -130,3 +132,12 @@ def test_split_by_group_has_no_task_of_all_groups(spark):
             dev.add(r.group_key)
         used += r.n
     assert {r.group_key for r in got.where("split = 'dev'").select("group_key").distinct().collect()} == dev
+
+
+def test_quoted_spans_of_the_six_forms(spark):
+    rows = spark.createDataFrame([(str(i), c) for i, c in enumerate(["Use this here"] * 6 + [None, ""])], "sample_id string, comment string")
+    got = {r.sample_id: r for r in Q.quoting_samples(rows).select("sample_id", "comment", T.inline_code(F.col("comment")).alias("inline"), T.quoted_spans(F.col("comment")).alias("quoted"), T.path_mentions(F.col("comment")).alias("paths")).collect()}
+    assert [got[str(k)].quoted for k in range(6)] == [["Use this"], ["Use this"], ["Use this.py"], [], ["Use this"], []]
+    assert [got[str(k)].inline for k in (0, 1, 4)] == [[], ["Use this"], ["Use this"]]
+    assert got["2"].paths == ["this.py"] and got["5"].paths == ["this/a.txt"]
+    assert got["6"].comment is None and got["7"].comment == " see ``" and got["7"].quoted == []

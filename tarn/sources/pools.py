@@ -39,8 +39,19 @@ def conversation_pools(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
 ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
 
 
+#: Rows of a task, where a table's pools are sorted: the tasks grow in number, and not in size, with the table.
+ROWS = 150_000
+
+
+def dealt(rows: DataFrame, n: int, key: str) -> DataFrame:
+    """The n rows by the key in as many tasks as they need, so that the windows over the key hold no more of a larger table."""
+    return rows if n <= ROWS else rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS)), key)
+
+
 def lineitem_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as pools of their lines: scores a (price) and b (quantity), path (return flag), hunk, is_gold (a large discount)."""
-    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ORDER))
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sample_id"), pos.alias("pos"), "l_linenumber", F.col("l_extendedprice").alias("a"), F.col("l_quantity").alias("b"), F.col("l_returnflag").alias("path"), F.col("l_linenumber").alias("hunk"), (F.col("l_discount") >= 0.08).alias("is_gold"))
+    lines = table(spark, sf_dir, "lineitem")
+    pos = F.row_number().over(Window.partitionBy("sample_id").orderBy(*ORDER))
+    own = dealt(lines.select(F.col("l_orderkey").alias("sample_id"), *ORDER, "l_returnflag", "l_discount"), lines.count(), "sample_id")
+    rows = own.select("sample_id", pos.alias("pos"), "l_linenumber", F.col("l_extendedprice").alias("a"), F.col("l_quantity").alias("b"), F.col("l_returnflag").alias("path"), F.col("l_linenumber").alias("hunk"), (F.col("l_discount") >= 0.08).alias("is_gold"))
     return rows.withColumn("context_id", F.concat(F.lit("c"), F.col("pos").cast("string")))

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import grid
 from . import groupwise as G
-from . import metrics as M
 
 KEY = ["sample_id", "pos"]
 WEIGHTS = (0.0, 0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)
@@ -30,20 +30,14 @@ def fuse(components: list[tuple[DataFrame, float]], mode: str = "minmax") -> Dat
 def two_way_grid(pairs: DataFrame, weights: tuple[float, ...] = WEIGHTS, modes: tuple[str, ...] = MODES, k: int = 3, digits: int | None = None) -> DataFrame:
     """mode, weight, n, hit_1, hit_k, mrr, mrr_k of a + weight * b for every point of the grid, in one job.
 
-    pairs: sample_id, pos, a, b, is_gold. The grid has a fixed size, so its copies of the rows are bounded. digits
-    rounds the sums before they are ranked.
+    pairs: sample_id, pos, a, b, is_gold; a row is not copied. digits rounds the sums before they are ranked.
     """
     norm = pairs
     for m in modes:
         norm = norm.withColumn(f"a_{m}", G.normalized(F.col("a"), m)).withColumn(f"b_{m}", G.normalized(F.col("b"), m))
 
-    def total(m: str, w: float) -> Column:
-        c = F.col(f"a_{m}") + float(w) * F.col(f"b_{m}")
-        return c if digits is None else F.round(c, digits)
-
-    points = [F.struct(F.lit(m).alias("mode"), F.lit(float(w)).alias("weight"), total(m, w).alias("score")) for m in modes for w in weights]
-    rows = norm.select(*KEY, "is_gold", F.explode(F.array(*points)).alias("g")).select(*KEY, "is_gold", "g.*")
-    return M.summary(M.outcomes(rows, k, ("mode", "weight")), ("mode", "weight"))
+    points = [({"mode": m, "weight": float(w)}, F.col(f"a_{m}") + float(w) * F.col(f"b_{m}")) for m in modes for w in weights]
+    return grid.point_metrics(norm, points, k, digits)
 
 
 def best_point(grid: DataFrame, *order: str) -> DataFrame:
@@ -116,9 +110,7 @@ def route(pairs: DataFrame, use_b: Column) -> DataFrame:
 
 def route_grid(pairs: DataFrame, conditions: dict[str, Column], k: int = 3) -> DataFrame:
     """condition, n, hit_1, hit_k, mrr, mrr_k of routing by each condition, in one job."""
-    points = [F.struct(F.lit(c).alias("condition"), F.when(use, F.col("b")).otherwise(F.col("a")).alias("score")) for c, use in conditions.items()]
-    rows = pairs.select(*KEY, "is_gold", F.explode(F.array(*points)).alias("g")).select(*KEY, "is_gold", "g.*")
-    return M.summary(M.outcomes(rows, k, ("condition",)), ("condition",))
+    return grid.point_metrics(pairs, [({"condition": c}, F.when(use, F.col("b")).otherwise(F.col("a"))) for c, use in conditions.items()], k)
 
 
 def margins(pairs: DataFrame, score: str, norm: str) -> DataFrame:
@@ -132,9 +124,7 @@ def margin_router(pairs: DataFrame, norm: str, thresholds: tuple[float, ...], k:
     both = pairs.join(margins(pairs, "a", norm), "sample_id").join(margins(pairs, "b", norm), "sample_id")
     gain = F.col("margin_b") - F.col("margin_a")
     gain = gain if digits is None else F.round(gain, digits)
-    points = [F.struct(F.lit(float(t)).alias("threshold"), F.when(gain >= t, F.col("b")).otherwise(F.col("a")).alias("score")) for t in thresholds]
-    rows = both.select(*KEY, "is_gold", F.explode(F.array(*points)).alias("g")).select(*KEY, "is_gold", "g.*")
-    return M.summary(M.outcomes(rows, k, ("threshold",)), ("threshold",))
+    return grid.point_metrics(both, [({"threshold": float(t)}, F.when(gain >= t, F.col("b")).otherwise(F.col("a"))) for t in thresholds], k)
 
 
 def merge_rankings(base: Column, *aux: Column) -> Column:

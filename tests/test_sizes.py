@@ -1,5 +1,10 @@
 """Steps whose tasks must not grow with their tables."""
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from tarn.operators import grid, scores
+from tarn.operators import metrics as M
 from tarn.plans import queries
 from tarn.sources import pools
 
@@ -12,3 +17,28 @@ def test_line_pools_are_dealt_by_their_rows(spark, sf, monkeypatch):
     rows = pools.lineitem_pools(spark, sf)
     assert rows.rdd.getNumPartitions() == -(-n // 100)
     assert {n: sorted(map(tuple, queries.QUERIES[n](spark, sf).collect())) for n in names} == want
+
+
+def test_grids_of_equal_pools(spark):
+    rnd = np.random.default_rng(3)
+    axes = (grid.SOURCES, grid.MODES, grid.ALPHAS, grid.TOP_FILES, grid.PENALTIES)
+    for n in (1, 2, 5, 9):
+        score, other = (rnd.integers(0, 6, (50, n)) / 4 for _ in "ab")
+        path, gold = rnd.integers(0, 3, (50, n)), rnd.random((50, n)) < 0.3
+        got = {at: ranks for at, ranks in grid.equal_pool_ranks(score, other, path, gold, axes, 9)}
+        for p in range(50):
+            want, _ = grid.pool_ranks(score[p], other[p], path[p].astype(str), gold[p], axes, 9)
+            assert all((want[at] == ranks[p]).all() for at, ranks in got.items())
+
+
+def test_grid_copies_no_rows(spark):
+    rows = [(i, p, x, float(p % 3), p == i % 5) for i in range(60) for p, x in enumerate([1.0, None, float("nan"), 0.5, 1.0][: 1 + i % 5])]
+    df = spark.createDataFrame(rows, "sample_id long, pos int, a double, b double, is_gold boolean")
+    got = scores.two_way_grid(df, (0.0, 0.5), ("raw",))
+    assert "Generate" not in got._jdf.queryExecution().toString()
+    for r in got.collect():
+        want = M.summary(M.outcomes(df.withColumn("score", F.col("a") + r.weight * F.col("b")))).first()
+        assert np.allclose(tuple(r)[2:], tuple(want), atol=1e-12)
+    routed = {r.condition: tuple(r)[1:] for r in scores.route_grid(df, {"b": F.col("sample_id") > 30}).collect()}
+    want = M.summary(M.outcomes(df.withColumn("score", F.when(F.col("sample_id") > 30, F.col("b")).otherwise(F.col("a"))))).first()
+    assert np.allclose(routed["b"], tuple(want), atol=1e-12)

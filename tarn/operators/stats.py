@@ -6,15 +6,21 @@ drawn again), its sign in a flip is a bit of its digest. Equal inputs give equal
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Flips that one digest gives: its bits.
 BITS = 128
 #: Resamples for which one digest draws.
 DRAWS = 4
+#: Clusters whose weights are held at once, and tasks for each core.
+CLUSTERS, TASKS = 64, 3
 #: Probabilities of at most 0, 1, 2 ... draws.
 POISSON = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12))
 
@@ -24,22 +30,61 @@ def cluster_sums(outcomes: DataFrame, value: str, cluster: str = "group_key") ->
     return outcomes.groupBy(cluster).agg(F.sum(value).cast("double").alias("total"), F.count("*").alias("n"))
 
 
-def digest(key: Column, number: Column, seed: int) -> Column:
-    return F.md5(F.concat_ws("|", F.coalesce(key.cast("string"), F.lit("")), number.cast("string"), F.lit(str(seed))))
+def digests(keys: Sequence[str | None], blocks: int, seed: int) -> np.ndarray:
+    """The bytes (keys x blocks x 16) of the MD5 of key|block|seed."""
+    ends = [f"|{k}|{seed}".encode() for k in range(blocks)]
+    md5 = hashlib.md5
+    return np.frombuffer(b"".join([md5(start + end).digest() for start in (("" if k is None else k).encode() for k in keys) for end in ends]), np.uint8).reshape(len(keys), blocks, BITS // 8)
 
 
-def resampled_means(sums: DataFrame, resamples: int, seed: int) -> DataFrame:
-    """resample, mean: the mean per sample of each resample of whole clusters; one that draws no cluster is left out."""
+def draws(keys: Sequence[str | None], resamples: int, seed: int) -> np.ndarray:
+    """How often (keys x resamples) each cluster is drawn."""
+    own = digests(keys, -(-resamples // DRAWS), seed).view(">u4").reshape(len(keys), -1)[:, :resamples].astype(np.uint32)
+    times = np.zeros(own.shape)
+    for p in POISSON:
+        times += own >= math.ceil(p * (1 << 32))
+    return times
+
+
+def signs(keys: Sequence[str | None], flips: int, seed: int) -> np.ndarray:
+    """The sign (keys x flips) of each cluster: the bits of the digest's hexadecimal digits, the lowest of a digit first."""
+    bits = np.unpackbits(digests(keys, -(-flips // BITS), seed), axis=2, bitorder="little").reshape(len(keys), -1, 2, 4)
+    return 2.0 * bits[:, :, ::-1].reshape(len(keys), -1)[:, :flips] - 1.0
+
+
+def weighted(sums: DataFrame, columns: list[str], weights: Callable[[Sequence[str | None]], np.ndarray], size: int, name: str) -> DataFrame:
+    """name (0 to size - 1), drawn and the columns' sums over all clusters, each by its weight there. What leaves a task is a row for each number."""
+    # a cluster is much work and a small row, so the tasks are not left to the rows' bytes
+    parts = TASKS * sums.sparkSession.sparkContext.defaultParallelism
+    own = sums.select(F.col(sums.columns[0]).cast("string").alias("key"), *[F.col(c).cast("double").alias(c) for c in columns]).repartition(parts, "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros((size, 1 + len(columns))), False
+        for batch in batches:
+            for at in range(0, batch.num_rows, CLUSTERS):
+                part = batch.slice(at, CLUSTERS)
+                w, seen = weights(part["key"].to_pylist()), True
+                values = np.stack([part[c].to_numpy(zero_copy_only=False) for c in columns], 1)
+                total[:, 0] += np.abs(w).sum(0)
+                total[:, 1:] += w.T @ values
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), *map(pa.array, np.ascontiguousarray(total.T))], [name, "drawn", *columns])
+
+    found = own.mapInArrow(run, f"{name} long, drawn double, " + ", ".join(f"`{c}` double" for c in columns))
+    return found.groupBy(name).agg(*[F.sum(c).alias(c) for c in ("drawn", *columns)])
+
+
+def resampled(sums: DataFrame, totals: list[str], resamples: int, seed: int) -> DataFrame:
+    """resample and, for each of the totals, the mean per sample of each resample of whole clusters; one that draws no cluster is left out."""
     if resamples < 1:
         raise ValueError("at least one resample is needed")
-    rows = sums.select(F.col(sums.columns[0]).alias("key"), "total", "n", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // DRAWS))).alias("block"))
-    # numbers leave the generator as columns, so that a digest is computed once for its draws
-    part = lambda h, k: F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("double") / float(1 << 32)
-    draws = F.transform(F.array(digest(F.col("key"), F.col("block"), seed)), lambda h: F.array(*[part(h, k) for k in range(DRAWS)]))
-    rows = rows.select("total", "n", "block", F.posexplode(F.flatten(draws)).alias("k", "u")).withColumn("resample", F.col("block") * DRAWS + F.col("k")).where(F.col("resample") < resamples)
-    times = sum((F.when(F.col("u") >= p, 1).otherwise(0) for p in POISSON[1:]), F.when(F.col("u") >= POISSON[0], 1).otherwise(0))
-    rows = rows.where(F.col("u") >= POISSON[0]).withColumn("times", times)
-    return rows.groupBy("resample").agg((F.sum(F.col("times") * F.col("total")) / F.sum(F.col("times") * F.col("n"))).alias("mean"))
+    rows = weighted(sums, [*totals, "n"], lambda keys: draws(keys, resamples, seed), resamples, "resample").where("drawn > 0")
+    return rows.select("resample", *[(F.col(c) / F.col("n")).alias(c) for c in totals])
+
+
+def resampled_means(sums: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """resample, mean: the mean per sample of each resample of whole clusters; one that draws no cluster is left out."""
+    return resampled(sums, ["total"], resamples, seed).withColumnRenamed("total", "mean")
 
 
 def bootstrap(sums: DataFrame, resamples: int, seed: int) -> DataFrame:
@@ -49,18 +94,19 @@ def bootstrap(sums: DataFrame, resamples: int, seed: int) -> DataFrame:
     return whole.crossJoin(means).select(*[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean", "ci_low", "ci_high")])
 
 
-def flipped_means(sums: DataFrame, flips: int, seed: int) -> DataFrame:
-    """flip, mean: the mean per sample when each cluster's sign is a coin's."""
+def flipped(sums: DataFrame, totals: list[str], flips: int, seed: int) -> DataFrame:
+    """flip and, for each of the totals, the mean per sample when each cluster's sign is a coin's."""
     if flips < 1:
         raise ValueError("at least one flip is needed")
     whole = sums.agg(F.sum("n").alias("all"))
-    rows = sums.select(F.col(sums.columns[0]).alias("key"), "total", F.explode(F.sequence(F.lit(0), F.lit(-(-flips // BITS) - 1))).alias("block")).where("total <> 0")
-    nibbles = F.transform(F.array(digest(F.col("key"), F.col("block"), seed)), lambda h: F.array(*[F.conv(F.substring(h, k + 1, 1), 16, 10).cast("int") for k in range(BITS // 4)]))
-    rows = rows.select("total", "block", F.posexplode(F.flatten(nibbles)).alias("place", "c"))
-    four = F.col("c")
-    sums_ = rows.groupBy("block", "place").agg(*[F.sum(F.when(four.bitwiseAND(1 << b) > 0, F.col("total")).otherwise(-F.col("total"))).alias(f"s{b}") for b in range(4)])
-    each = sums_.select("block", "place", F.posexplode(F.array("s0", "s1", "s2", "s3")).alias("b", "s"))
-    return each.select((F.col("block") * BITS + F.col("place") * 4 + F.col("b")).alias("flip"), "s").where(F.col("flip") < flips).crossJoin(whole).select("flip", (F.col("s") / F.col("all")).alias("mean"))
+    some = sums.where(" or ".join(f"`{c}` <> 0" for c in totals))
+    rows = weighted(some, totals, lambda keys: signs(keys, flips, seed), flips, "flip")
+    return rows.crossJoin(whole).select("flip", *[(F.col(c) / F.col("all")).alias(c) for c in totals])
+
+
+def flipped_means(sums: DataFrame, flips: int, seed: int) -> DataFrame:
+    """flip, mean: the mean per sample when each cluster's sign is a coin's."""
+    return flipped(sums, ["total"], flips, seed).withColumnRenamed("total", "mean")
 
 
 def sign_flip(sums: DataFrame, flips: int, seed: int) -> DataFrame:
@@ -76,10 +122,23 @@ def paired(a: DataFrame, b: DataFrame, value: str, cluster: str = "group_key") -
     return cluster_sums(a.join(other, "sample_id").withColumn("delta", F.col("other") - F.col(value)), "delta", cluster)
 
 
+def comparisons(sums: DataFrame, totals: dict[str, str], samples: int = 4000, flips: int = 12000, seed: int = 42) -> DataFrame:
+    """metric, mean, ci_low, ci_high, p_value of each metric, whose sum per cluster is a column of sums (the cluster first, and n).
+
+    All metrics share the weights and signs of their clusters, so a cluster's digests are made once."""
+    sums, columns = sums.persist(), list(totals.values())
+    seen = lambda c: F.coalesce(F.try_divide(F.sum(c), F.sum("n")), F.lit(0.0))
+    whole = sums.agg(*[seen(c).alias(f"mean_{i}") for i, c in enumerate(columns)])
+    means = resampled(sums, columns, samples, seed).agg(*[F.coalesce(F.percentile(c, p), F.lit(0.0)).alias(f"{side}_{i}") for i, c in enumerate(columns) for side, p in (("low", 0.025), ("high", 0.975))])
+    hits = flipped(sums, columns, flips, seed + 1).crossJoin(whole).agg(*[F.count_if(F.abs(c) >= F.abs(f"mean_{i}") - 1e-12).alias(f"hits_{i}") for i, c in enumerate(columns)])
+    p_value = lambda i: F.when(F.col(f"mean_{i}") == 0, 1.0).otherwise((F.col(f"hits_{i}") + 1) / float(flips + 1))
+    each = [F.struct(F.lit(m).alias("metric"), F.col(f"mean_{i}").alias("mean"), F.col(f"low_{i}").alias("ci_low"), F.col(f"high_{i}").alias("ci_high"), p_value(i).alias("p_value")) for i, m in enumerate(totals)]
+    return whole.crossJoin(means).crossJoin(hits).select(F.explode(F.array(*each)).alias("x")).select("x.*")
+
+
 def comparison(a: DataFrame, b: DataFrame, value: str, cluster: str = "group_key", samples: int = 4000, flips: int = 12000, seed: int = 42) -> DataFrame:
     """mean, ci_low, ci_high, p_value of b against a, in one row."""
-    sums = paired(a, b, value, cluster).cache()
-    return bootstrap(sums, samples, seed).crossJoin(sign_flip(sums, flips, seed + 1))
+    return comparisons(paired(a, b, value, cluster), {value: "total"}, samples, flips, seed).drop("metric")
 
 
 def own_cluster(outcomes: DataFrame) -> DataFrame:

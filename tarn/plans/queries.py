@@ -577,9 +577,13 @@ o as (select sys, sample_id, o_custkey, 'hit_1' as metric, hit_1::double as v fr
 def cluster_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bootstrap interval and sign-flip p-value of ranker b against a, by customers."""
     x, orders = pools.lineitem_pools(spark, sf_dir), pools.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id"), F.col("o_custkey").alias("group_key"))
-    a, b = (M.outcomes(x.withColumn("score", F.col(c))).join(orders, "sample_id") for c in "ab")
-    hit, rr = (stats.comparison(a, b, v).select(F.lit(v).alias("metric"), "*") for v in ("hit_1", "rr"))
-    return R6(hit.unionByName(rr), "mean", "ci_low", "ci_high", "p_value")
+    # both rankers' outcomes of a pool in one row
+    first = x.select("sample_id", "is_gold", *[G.rank(F.col(c)).alias(c) for c in "ab"]).groupBy("sample_id")
+    both = first.agg(*[F.coalesce(F.min(F.when(F.col("is_gold"), F.col(c))), F.lit(0)).alias(c) for c in "ab"])
+    rr = lambda c: F.when(F.col(c) > 0, 1 / F.greatest(F.col(c), F.lit(1))).otherwise(0.0)
+    delta = both.select("sample_id", ((F.col("b") == 1).cast("double") - (F.col("a") == 1).cast("double")).alias("hit_1"), (rr("b") - rr("a")).alias("rr"))
+    sums = delta.join(orders, "sample_id").groupBy("group_key").agg(F.sum("hit_1").alias("hit_1"), F.sum("rr").alias("rr"), F.count("*").alias("n"))
+    return R6(stats.comparisons(sums, {"hit_1": "hit_1", "rr": "rr"}), "mean", "ci_low", "ci_high", "p_value")
 
 
 @query("with d as (select sha256(length(text)::varchar || ':' || text || '|' || length(lang)::varchar || ':' || lang) as fingerprint, source from documents), s as (select fingerprint, list_sort(list(distinct source)) as s from d group by fingerprint having count(distinct source) > 1), p as (select unnest(flatten(list_transform(s, lambda a: list_transform(list_filter(s, lambda b: b > a), lambda b: {'l': a, 'r': b})))) as p from s) select p.l as left_split, p.r as right_split, count(*) as shared from p group by all")

@@ -1,9 +1,11 @@
 """Steps whose tasks must not grow with their tables."""
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from tarn.operators import grid, scores
+from tarn.operators import grid, scores, stats
 from tarn.operators import metrics as M
 from tarn.plans import queries
 from tarn.sources import pools
@@ -42,3 +44,23 @@ def test_grid_copies_no_rows(spark):
     routed = {r.condition: tuple(r)[1:] for r in scores.route_grid(df, {"b": F.col("sample_id") > 30}).collect()}
     want = M.summary(M.outcomes(df.withColumn("score", F.when(F.col("sample_id") > 30, F.col("b")).otherwise(F.col("a"))))).first()
     assert np.allclose(routed["b"], tuple(want), atol=1e-12)
+
+
+def test_statistics_share_the_digests_of_a_cluster(spark):
+    own = [(f"c{i}" if i else None, float(i % 5 - 2), (i % 3) / 2, 1 + i % 4) for i in range(90)]
+    df = spark.createDataFrame(own, "key string, u double, v double, n long")
+    md5 = lambda key, block, seed: hashlib.md5(f"{key or ''}|{block}|{seed}".encode()).hexdigest()
+    plan = stats.resampled(df, ["u", "v"], 50, 7)
+    assert "Generate" not in plan._jdf.queryExecution().toString()
+    got = {r.resample: (r.u, r.v) for r in plan.collect()}
+    for s in range(50):
+        u = [int(md5(k, s // 4, 7)[8 * (s % 4) :][:8], 16) / 2**32 for k, *_ in own]
+        times = [sum(x >= p for p in stats.POISSON) for x in u]
+        n = sum(t * r[3] for t, r in zip(times, own))
+        assert np.allclose(got[s], [sum(t * r[c] for t, r in zip(times, own)) / n for c in (1, 2)])
+    turned = {r.flip: r.u for r in stats.flipped(df, ["u", "v"], 300, 8).collect()}
+    for f in range(300):
+        sign = [1 if int(md5(k, f // 128, 8)[f % 128 // 4], 16) >> f % 4 & 1 else -1 for k, *_ in own]
+        assert abs(turned[f] - sum(x * r[1] for x, r in zip(sign, own)) / sum(r[3] for r in own)) < 1e-9
+    both = stats.comparisons(df, {"x": "u", "y": "v"}, 50, 300, 7).collect()
+    assert [r.metric for r in both] == ["x", "y"] and all(r.ci_low <= r.ci_high and 0 < r.p_value <= 1 for r in both)

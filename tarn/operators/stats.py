@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 BITS = 128
 #: Resamples for which one digest draws.
 DRAWS = 4
+#: The constants of MD5, and messages that are digested at once.
+MD5_START, MD5_TURNS = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476), ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+MD5_SINES = (np.abs(np.sin(np.arange(1, 65))) * 2.0**32).astype(np.uint32)
+MESSAGES = 1 << 13
 #: Clusters whose weights are held at once, and tasks for each core.
 CLUSTERS, TASKS = 64, 3
 #: Probabilities of at most 0, 1, 2 ... draws.
@@ -30,20 +34,63 @@ def cluster_sums(outcomes: DataFrame, value: str, cluster: str = "group_key") ->
     return outcomes.groupBy(cluster).agg(F.sum(value).cast("double").alias("total"), F.count("*").alias("n"))
 
 
+def md5(words: np.ndarray) -> np.ndarray:
+    """The digests (four numbers each, messages last) of messages of one padded block (16 x messages)."""
+    a, b, c, d = (np.full(words.shape[1], x, np.uint32) for x in MD5_START)
+    for i in range(64):
+        if i < 16:
+            f, g = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        f += a
+        f += MD5_SINES[i]
+        f += words[g]
+        turn = MD5_TURNS[i // 16][i % 4]
+        up = f << np.uint32(turn)
+        f >>= np.uint32(32 - turn)
+        up |= f
+        up += b
+        a, b, c, d = d, up, b, c
+    return np.stack([x + np.uint32(y) for x, y in zip((a, b, c, d), MD5_START)])
+
+
 def digests(keys: Sequence[str | None], blocks: int, seed: int) -> np.ndarray:
     """The bytes (keys x blocks x 16) of the MD5 of key|block|seed."""
     ends = [f"|{k}|{seed}".encode() for k in range(blocks)]
-    md5 = hashlib.md5
-    return np.frombuffer(b"".join([md5(start + end).digest() for start in (("" if k is None else k).encode() for k in keys) for end in ends]), np.uint8).reshape(len(keys), blocks, BITS // 8)
+    width = max(map(len, ends)) + 1
+    tail = np.frombuffer(b"".join([(e + b"\x80").ljust(width, b"\0") for e in ends]), np.uint8).reshape(blocks, width)
+    size = np.array([len(e) for e in ends])
+    out = np.empty((len(keys), blocks, BITS // 8), np.uint8)
+    own = [("" if k is None else k).encode() for k in keys]
+    for n in {len(k) for k in own}:
+        these = [i for i, k in enumerate(own) if len(k) == n]
+        if n + width > 56:
+            for i in these:
+                out[i] = np.frombuffer(b"".join([hashlib.md5(own[i] + e).digest() for e in ends]), np.uint8).reshape(blocks, -1)
+            continue
+        step = max(1, MESSAGES // blocks)
+        for at in range(0, len(these), step):
+            part = these[at : at + step]
+            text = np.zeros((len(part), blocks, 64), np.uint8)
+            text[:, :, :n] = np.frombuffer(b"".join([own[i] for i in part]), np.uint8).reshape(len(part), 1, n)
+            text[:, :, n : n + width] = tail
+            text[:, :, 56:58] = ((size + n) * 8).astype("<u2").view(np.uint8).reshape(blocks, 2)
+            words = np.ascontiguousarray(text.reshape(-1, 64).view("<u4").T).astype(np.uint32, copy=False)
+            out[part] = np.ascontiguousarray(md5(words).T.astype("<u4")).view(np.uint8).reshape(len(part), blocks, -1)
+    return out
 
 
 def draws(keys: Sequence[str | None], resamples: int, seed: int) -> np.ndarray:
     """How often (keys x resamples) each cluster is drawn."""
     own = digests(keys, -(-resamples // DRAWS), seed).view(">u4").reshape(len(keys), -1)[:, :resamples].astype(np.uint32)
-    times = np.zeros(own.shape)
+    times = np.zeros(own.shape, np.uint8)
     for p in POISSON:
-        times += own >= math.ceil(p * (1 << 32))
-    return times
+        times += own >= np.uint32(math.ceil(p * (1 << 32)))
+    return times.astype(float)
 
 
 def signs(keys: Sequence[str | None], flips: int, seed: int) -> np.ndarray:

@@ -47,7 +47,7 @@ def test_grid_copies_no_rows(spark):
 
 
 def test_statistics_share_the_digests_of_a_cluster(spark):
-    own = [(f"c{i}" if i else None, float(i % 5 - 2), (i % 3) / 2, 1 + i % 4) for i in range(90)]
+    own = [(f"c{i}" * (1 + 19 * (i == 7)) if i else None, float(i % 5 - 2), (i % 3) / 2, 1 + i % 4) for i in range(90)]
     df = spark.createDataFrame(own, "key string, u double, v double, n long")
     md5 = lambda key, block, seed: hashlib.md5(f"{key or ''}|{block}|{seed}".encode()).hexdigest()
     plan = stats.resampled(df, ["u", "v"], 50, 7)

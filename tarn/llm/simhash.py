@@ -48,12 +48,21 @@ PAIRS = 1 << 18
 MIXERS = (1, 0x9E3779B97F4A7C15)
 #: Rows of keys that a task looks at together.
 ROWS = 1 << 16
+#: Texts whose sets a task holds at once, besides the sets themselves.
+TEXTS = 512
 #: Sets, and bytes of sets, of each of the two parts of a crowded key that one tile holds, on average.
 TILE_SETS, TILE_BYTES = 1024, 16 << 20
 #: The bitmap that finds the documents of the sets that are needed; BITMAP bits are one row of it.
 BITS_PER_NODE, MOST_BITS, BITMAP = 16, 1 << 30, 1 << 15
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in batches of at most so many."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     """Hashes of the shingles in their order. Fewer words than the width are one shingle; none give none."""
     words = (text or "").encode().lower().split()
@@ -237,7 +246,7 @@ def set_rows(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, TEXTS):
             fp, node, n, keys, mins = [], [], [], [], []
             for t in batch["text"]:
                 hashes = shingle_hashes(t.as_py(), width)
@@ -427,7 +436,7 @@ def open_links(rows: DataFrame, docs: DataFrame, named: DataFrame, width: int, s
             a, b = Tile(at[0], at[1] == at[2], held).links(similarity)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        for batch in batches:
+        for batch in sliced(batches, TEXTS):
             for tile, row in zip(zip(*(batch[c].to_pylist() for c in by)), batch.select(names).to_pylist()):
                 if tile != at:
                     if at is not None:
@@ -470,10 +479,12 @@ def sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, TEXTS):
             null = batch["doc_id"].is_null().to_numpy(zero_copy_only=False)
             i = np.mod(batch["doc_id"].cast(pa.int64()).fill_null(0).to_numpy(), size)
             keep = null | (shared.value[i >> 3] >> (i & 7) & 1).astype(bool)
+            if not keep.any():
+                continue
             own = [np.unique(shingle_hashes(t.as_py(), width)) for t in batch["text"].filter(pa.array(keep))]
             yield pa.RecordBatch.from_arrays([pa.array(np.array([set_id(x) for x in own], np.uint64).view(np.int64)), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "own"])
 

@@ -253,3 +253,9 @@ def test_html_held_out_pages_without_names():
     block = np.concatenate([p.kind for p in pages]) == 1
     right = (single[:, 1] > 0.5) == np.concatenate([p.labels for p in pages])
     assert right[block].mean() > 0.95
+
+
+def test_sets_leave_a_task_in_small_batches():
+    batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(n))}) for n in (0, 5, 12)]
+    got = [b["doc_id"].to_pylist() for b in simhash.sliced(iter(batches), 5)]
+    assert got == [[0, 1, 2, 3, 4], [0, 1, 2, 3, 4], [5, 6, 7, 8, 9], [10, 11]]

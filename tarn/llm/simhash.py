@@ -4,8 +4,8 @@ Fingerprints that differ in few bits agree on whole blocks of bits: with m block
 at least m - d blocks are the same. Each choice of m - d blocks is a table; fingerprints that share a key in a
 table are compared, and the groups follow from the links that hold.
 
-Groups by similarity (Jaccard, of the sets of shingles) take such links as a first guess only, each of them checked on
-the sets. All other pairs come by pigeonhole on the sets: in any one order of all shingles, two sets of a similarity t
+Groups by similarity (Jaccard, of the sets of shingles) take such links of all texts, each of them checked on the
+sets. Pairs that fingerprints miss come by pigeonhole on the sets: in any one order of all shingles, two sets of a similarity t
 share l of the first n - ceil(t n) + l of each. So no pair is missed, whatever its fingerprints.
 """
 
@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint, connected_components, star_forest, table
@@ -35,11 +35,12 @@ CHUNK = 1 << 16
 TILE = 4096
 #: Distinct fingerprints that share a key by chance, at most, on average; tables get longer keys beyond.
 CHANCE = 16
-#: Bits in which fingerprints of the first guesses may differ, where groups are by similarity.
-GUESS = 6
-#: Texts, on average, that are looked at for shingles that many texts have (one in SAMPLE_OF, within the two bounds), and
-#: the most such shingles. Only the order of the shingles depends on them: common ones come last, so that few texts share a key.
-SAMPLE, SAMPLE_OF, COMMON, MOST_COMMON = (4_000, 20_000), 16, 3, 500_000
+#: Bits in which fingerprints of the SimHash links may differ, where groups are by similarity.
+GUESS = DISTANCE
+#: Texts, on average, that are looked at for shingles that many texts have (one in SAMPLE_OF, and SAMPLE at least: a share of
+#: a larger table that shrinks with it would miss shingles of ever more texts), and the most such shingles. Only the order of
+#: the shingles depends on them: common ones come last, so that few texts share a key.
+SAMPLE, SAMPLE_OF, COMMON, MOST_COMMON = 4_000, 16, 3, 1_000_000
 #: Sets that share a key, up to which all their pairs are checked at once. Sets of larger keys are first put in groups.
 FEW = 64
 #: Pairs compared by size and place, or kept to drop repeats, at once.
@@ -192,8 +193,9 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (ascending) of shingles that several texts of a sample have, and in how many of them."""
     n = docs.count()
-    share = min(1.0, min(max(n / SAMPLE_OF, SAMPLE[0]), SAMPLE[1]) / max(1, n))
-    some = docs.select("text").where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    share = min(1.0, max(n / SAMPLE_OF, SAMPLE) / max(1, n))
+    # copies of a text have its shingles in one set
+    some = docs.select("text").where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 20)) < int(share * (1 << 20))).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,6 +221,10 @@ def least_shared(n: int | np.ndarray) -> int | np.ndarray:
     return 1 + n // 16
 
 
+def least_shared_column(n: Column) -> Column:
+    return 1 + F.floor(n / 16)
+
+
 def prefix(own: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The first shingles of a set (ascending hashes), rare ones first: a set at least so similar has least_shared of the smaller one among its own first."""
     n = len(own)
@@ -358,8 +364,8 @@ class Tile:
         rows = list({r["node"]: r for r in rows}.values())
         self.node, self.n, self.place, self.root, self.part = (np.array([r[c] for r in rows], np.int64) for c in ("node", "n", "place", "root", "part"))
         self.keys, self.key_starts, self.key_count = self.numbered([np.array(r["keys"], np.int64) for r in rows])
-        lower = np.concatenate([np.array(r["keys"], np.int64) < key for r in rows])
-        self.lower = lower
+        # which keys come before this one in the order of the set
+        self.lower = np.concatenate([np.cumsum(np.array(r["keys"], np.int64) == key) == 0 for r in rows])
         self.sets, self.set_starts, self.set_count = self.numbered([np.frombuffer(r["own"], np.int64) for r in rows])
         self.same = same
 
@@ -379,8 +385,9 @@ class Tile:
     def links(self, similarity: float) -> tuple[list[int], list[int]]:
         """Pairs of nodes at least so similar that connect what wasn't connected.
 
-        A pair is looked at if it shares no smaller crowded key (there it is looked at too), enough crowded keys
-        for what it may have in common, and if its sizes and places allow the similarity; then its sets are compared.
+        A pair is looked at if it shares no crowded key before this one (there it is looked at too; the order is that of all sets,
+        as the places are those of the first shingle in common), enough crowded keys for what it may have in common, and if its
+        sizes and places allow the similarity; then its sets are compared.
         """
         found_a: list[int] = []
         found_b: list[int] = []
@@ -416,13 +423,16 @@ def open_links(rows: DataFrame, docs: DataFrame, named: DataFrame, width: int, s
 
     rows: key, node, n, place, root of the crowded keys. Only keys of several groups matter. The sets themselves are dealt to
     tiles of such a key, each set once to a tile, and compared there; what comes out is what connects groups, and no pairs.
+    Similar sets share least_shared keys, so the first one is never among the last of a set's: those are left out.
     """
     mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m"), F.sum("n").alias("total")).where("low <> high")
     mixed = mixed.select("key", F.greatest(F.ceil(F.col("m") / TILE_SETS), F.ceil(8 * F.col("total") / TILE_BYTES)).cast("int").alias("parts"))
     rows = checkpoint(rows.join(mixed, "key"))
-    keys = checkpoint(rows.groupBy("node").agg(F.collect_list("key").alias("keys")))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "key"))), lambda k: k["key"])
+    keys = checkpoint(rows.groupBy("node").agg(ordered.alias("keys")))
     sets = sets_of(docs, named.join(keys.select("node"), "node", "left_semi"), width)
-    rows = rows.join(keys.join(sets, "node"), "node").withColumn("part", F.expr("cast(pmod(xxhash64(node), parts) as int)"))
+    first = F.array_position("keys", F.col("key")) <= F.size("keys") - least_shared_column(F.ceil(similarity * F.col("n") - 1e-6)) + 1
+    rows = rows.join(keys, "node").where(first).join(sets, "node").withColumn("part", F.expr("cast(pmod(xxhash64(node), parts) as int)"))
     tiles = F.explode(F.expr("transform(sequence(0, parts - 1), o -> named_struct('p', least(part, o), 'q', greatest(part, o)))")).alias("o")
     by = ["key", "p", "q"]
     names = ["node", "n", "place", "root", "part", "keys", "own"]
@@ -494,17 +504,17 @@ def sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 def similar_components(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """doc_id, fp, component_id of every row of docs; links are all pairs whose sets of shingles are at least so similar.
 
-    Equal sets are one node from the start. Every pair that shares a key of its prefixes is checked, save pairs of sets
-    with a crowded key (more than FEW have it): there links of close fingerprints and of equal least shingles are checked
-    first, and then the pairs that are not in one group by now.
+    Equal sets are one node from the start. The links of close fingerprints (SimHash) of all sets are checked on the sets. So is
+    every pair that shares a key of its prefixes, as fingerprints alone miss similar sets; where a key is crowded (more than FEW
+    have it), links of equal least shingles are checked first, and then the pairs that are not in one group by now.
     """
     rows = checkpoint(set_rows(docs, width, similarity))
     named = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("mins").alias("mins")))
     shared = checkpoint(shared_keys(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")), similarity))
     rows = rows.select("doc_id", "fp", "node")
     crowded = named.join(shared.where("key is not null").select(F.col("a").alias("node")).distinct(), "node", "left_semi")
-    first = crowded.groupBy("fp").agg(F.min("node").alias("first"))
-    equal = crowded.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    first = named.groupBy("fp").agg(F.min("node").alias("first"))
+    equal = named.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     near = links(checkpoint(first.select("fp")), GUESS).join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
     mixed = crowded.select("node", F.posexplode("mins").alias("j", "m"))
     centre = mixed.groupBy("j", "m").agg(F.min("node").alias("first")).repartition(F.xxhash64("j", "m"))

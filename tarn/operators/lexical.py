@@ -7,6 +7,11 @@ join, so the wide token table is never shuffled whole for BM25.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +19,10 @@ from ..functions import text as T
 from ..functions import words
 
 KEY = ["sample_id", "pos"]
+#: Texts, and characters of them, of a pool whose TF-IDF one row takes; larger pools are dealt to tasks by text and term.
+POOL_TEXTS, POOL_CHARS = 256, 1 << 18
+#: Pools of an Arrow batch, as each may have so many characters; characters of a task, as its texts are short and their terms are not.
+POOLS, TASK_CHARS = 64, 1 << 21
 
 
 def query_terms(samples: DataFrame) -> DataFrame:
@@ -73,6 +82,61 @@ def tfidf(samples: DataFrame, candidates: DataFrame, analyzer: str = "word", nam
     """sample_id, pos and the cosine of comment and candidate, fitted on the pool with its comment; 0 without common terms."""
     query = samples.join(candidates.select("sample_id").distinct(), "sample_id", "left_semi")
     texts = candidates.select(*KEY, T.none_if_null(F.col("text")).alias("text")).unionByName(query.select("sample_id", F.lit(-1).cast(dict(candidates.dtypes)["pos"]).alias("pos"), T.none_if_null(F.col("comment")).alias("text")))
+    size = texts.groupBy("sample_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    sized = texts.join(size, "sample_id")
+    small = (F.col("n") <= POOL_TEXTS) & (F.col("chars") <= POOL_CHARS)
+    cos = pool_cosines(sized.where(small), analyzer, name).unionByName(cosines(sized.where(~small).select(*KEY, "text"), analyzer, name))
+    return candidates.select(*KEY).join(cos, KEY, "left").select(*KEY, F.coalesce(name, F.lit(0.0)).alias(name))
+
+
+def pool_cosines(texts: DataFrame, analyzer: str, name: str) -> DataFrame:
+    """sample_id, pos, cosine of the pools of bounded size: each is one row, whose terms are never dealt out."""
+    if analyzer not in ("word", "char_wb"):
+        raise ValueError(f"Unsupported analyzer: {analyzer}")
+    parts = word_grams(F.col("text")) if analyzer == "word" else T.split_words(F.lower("text"))
+    one = texts.where("pos is not null").select("sample_id", F.struct("pos", parts.alias("parts")).alias("t"))
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    tasks = max(texts.sparkSession.sparkContext.defaultParallelism, -(-chars // TASK_CHARS))
+    pools = one.repartition(tasks, "sample_id").groupBy("sample_id").agg(F.collect_list("t").alias("texts"))
+    kind = dict(texts.dtypes)
+
+    def terms(found: list[str]) -> Counter:
+        if analyzer == "word":
+            return Counter(found)
+        out: Counter = Counter()
+        for word, times in Counter(found).items():
+            w = f" {word} "
+            for g in (w[i : i + k] for k in (3, 4, 5) for i in range(len(w) - k + 1)):
+                out[g] += times
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, POOLS):
+                batch = whole.slice(at, POOLS)
+                rows, places, out = [], [], []
+                for i, texts in enumerate(batch["texts"].to_pylist()):
+                    counts: dict[int, Counter] = {}
+                    for t in texts:
+                        counts.setdefault(t["pos"], Counter()).update(terms(t["parts"]))
+                    n, df = len(texts), Counter(g for c in counts.values() for g in c)
+                    idf = {g: math.log((1 + n) / (1 + k)) + 1 for g, k in df.items()}
+                    asked = {g: k * idf[g] for g, k in counts.get(-1, Counter()).items()}
+                    length = math.sqrt(sum(v * v for v in asked.values()))
+                    for pos, c in counts.items():
+                        norm = math.sqrt(sum((k * idf[g]) ** 2 for g, k in c.items()))
+                        dot = sum(v * c[g] * idf[g] for g, v in asked.items() if g in c)
+                        rows.append(i)
+                        places.append(pos)
+                        out.append(dot / (norm * length) if norm * length else None)
+                pos_type = batch["texts"].type.value_type.field("pos").type
+                yield pa.RecordBatch.from_arrays([batch["sample_id"].take(pa.array(rows, pa.int64())), pa.array(places, pos_type), pa.array(out, pa.float64())], ["sample_id", "pos", name])
+
+    return pools.mapInArrow(run, f"sample_id {kind['sample_id']}, pos {kind['pos']}, {name} double")
+
+
+def cosines(texts: DataFrame, analyzer: str, name: str) -> DataFrame:
+    """sample_id, pos, cosine of pools of any size, by text and term."""
     n = texts.groupBy("sample_id").agg(F.count("*").alias("n"))
     # keys without nulls here, as the joins ask for it on one side only: both uses of the counts then share one exchange
     counts = term_counts(texts.where("sample_id is not null and pos is not null"), analyzer).where("term is not null")
@@ -83,8 +147,7 @@ def tfidf(samples: DataFrame, candidates: DataFrame, analyzer: str = "word", nam
     w = counts.join(terms, ["sample_id", "term"]).withColumn("w", F.col("tf") * F.col("idf"))
     sums = w.groupBy(*KEY).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum(F.col("w") * F.coalesce("qw", F.lit(0.0))).alias("dot"))
     q = terms.groupBy("sample_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    cos = sums.join(q, "sample_id").select(*KEY, F.try_divide(F.col("dot"), F.col("norm") * F.col("qnorm")).alias(name))
-    return candidates.select(*KEY).join(cos, KEY, "left").select(*KEY, F.coalesce(name, F.lit(0.0)).alias(name))
+    return sums.join(q, "sample_id").select(*KEY, F.try_divide(F.col("dot"), F.col("norm") * F.col("qnorm")).alias(name))
 
 
 def overlap_features(samples: DataFrame, candidates: DataFrame) -> DataFrame:

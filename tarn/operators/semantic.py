@@ -16,6 +16,8 @@ from ..functions import words
 from . import lexical
 from . import scores as S
 
+#: Tasks of a pass over the weights: each gives a vector for every term, so their number may not grow with the texts.
+PASSES = 16
 MAX_FEATURES, MIN_DF, MAX_DF, RANK = 40_000, 2, 0.98, 128
 
 
@@ -40,7 +42,7 @@ class Model:
 def fit(texts: DataFrame, analyzer: str = "word", rank: int = RANK, max_features: int = MAX_FEATURES, min_df: int = MIN_DF, max_df: float = MAX_DF, seed: int = 42, rounds: int = 6) -> Model:
     """Terms by document frequency, with sublinear weights, and their vectors in the space of the largest singular values.
 
-    The subspace is found by orthogonal iteration: the weights are dealt out by text once, and each round is one pass
+    The subspace is found by orthogonal iteration: the weights are dealt out by text once, to PASSES tasks, and each round is one pass
     in which a partition multiplies by its part of the weights and their transpose. The terms' vectors, at most
     max_features of them, are broadcast, and orthogonalized on the driver.
     """
@@ -53,7 +55,7 @@ def fit(texts: DataFrame, analyzer: str = "word", rank: int = RANK, max_features
     k = min(rank, len(vocab) - 1)
     spark = texts.sparkSession
     terms = spark.createDataFrame(vocab.assign(i=range(len(vocab))), "term string, idf double, i int")
-    weights = weighted(counts, terms).join(F.broadcast(terms.select("term", "i")), "term").select("h", "i", "w").repartition("h").cache()
+    weights = weighted(counts, terms).join(F.broadcast(terms.select("term", "i")), "term").select("h", "i", "w").repartition(PASSES, "h").sortWithinPartitions("h").cache()
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(vocab), k)))[0]
     for _ in range(rounds):
         basis = np.linalg.qr(gram_times(weights, basis))[0]
@@ -63,21 +65,34 @@ def fit(texts: DataFrame, analyzer: str = "word", rank: int = RANK, max_features
 
 
 def gram_times(weights: DataFrame, basis: np.ndarray) -> np.ndarray:
-    """The weights' transpose times the weights times the basis; rows (h, i, w) with all of a text's in one partition."""
+    """The weights' transpose times the weights times the basis; rows (h, i, w) by h, with all of a text's in one partition.
+
+    A partition holds no more than a vector for each term, and a batch of rows."""
     shared = weights.sparkSession.sparkContext.broadcast(basis)
 
     def run(frames):
-        own = [f for f in frames if len(f)]
-        if own:
-            f = pd.concat(own)
+        total, held = np.zeros_like(shared.value), None
+        for f in frames:
+            f = f if held is None else pd.concat([held, f], ignore_index=True)
+            if len(f):
+                # the last text may go on in the next batch
+                last = (f["h"] == f["h"].iloc[-1]).to_numpy()
+                held = f[last]
+                add_texts(total, f[~last])
+        if held is not None:
+            add_texts(total, held)
+            terms = np.flatnonzero(total.any(axis=1))
+            for at in range(0, len(terms), 1000):
+                some = terms[at : at + 1000]
+                yield pd.DataFrame({"i": some.astype(np.int32), "v": [x.tobytes() for x in total[some]]})
+
+    def add_texts(total, f):
+        if len(f):
             _, text = np.unique(f["h"].to_numpy(), return_inverse=True)
             i, w = f["i"].to_numpy(), f["w"].to_numpy()[:, None]
-            folded = np.zeros((text.max() + 1, shared.value.shape[1]))
+            folded = np.zeros((text.max() + 1, total.shape[1]))
             np.add.at(folded, text, w * shared.value[i])
-            terms, at = np.unique(i, return_inverse=True)
-            back = np.zeros((len(terms), shared.value.shape[1]))
-            np.add.at(back, at, w * folded[text])
-            yield pd.DataFrame({"i": terms, "v": [x.tobytes() for x in back]})
+            np.add.at(total, i, w * folded[text])
 
     def add(frames):
         total: dict[int, np.ndarray] = {}
@@ -100,23 +115,34 @@ def weighted(counts: DataFrame, idf: DataFrame) -> DataFrame:
 
 
 def dot_sum(rows: DataFrame, by: str, k: int) -> DataFrame:
-    """by, v: the sum of w * v over the rows, summed inside each partition first."""
+    """by, v: the sum of w * v over the rows; those of equal `by` are in one partition already, so nothing is shuffled."""
+
+    def sums(f: pd.DataFrame) -> pd.DataFrame:
+        keys, at = np.unique(f[by].to_numpy(), return_inverse=True)
+        total = np.zeros((len(keys), k))
+        np.add.at(total, at, f["w"].to_numpy()[:, None] * np.stack(f["v"].to_numpy()))
+        return pd.DataFrame({by: keys, "v": list(total)})
 
     def run(frames):
+        held = None
         for f in frames:
+            f = f if held is None else pd.concat([held, f], ignore_index=True)
             if len(f):
-                keys, at = np.unique(f[by].to_numpy(), return_inverse=True)
-                total = np.zeros((len(keys), k))
-                np.add.at(total, at, f["w"].to_numpy()[:, None] * np.stack(f["v"].to_numpy()))
-                yield pd.DataFrame({by: keys, "v": list(total)})
+                # the last key may go on in the next batch
+                last = (f[by] == f[by].iloc[-1]).to_numpy()
+                held = f[last]
+                if not last.all():
+                    yield sums(f[~last])
+        if held is not None:
+            yield sums(held)
 
-    part = rows.select(by, "w", "v").mapInPandas(run, f"{by} string, v array<double>")
-    return part.select(by, F.posexplode("v").alias("i", "x")).groupBy(by, "i").agg(F.sum("x").alias("x")).groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]).alias("v"))
+    return rows.select(by, "w", "v").sortWithinPartitions(by).mapInPandas(run, f"{by} string, v array<double>")
 
 
 def encode(texts: DataFrame, model: Model) -> DataFrame:
     """h, v: unit vectors of texts(text); texts without a known term are not in the result."""
     k = len(model.vocabulary.select("v").head()["v"])
+    # the weights are by text: their norm is a window over it
     w = weighted(counted(texts, model.analyzer), model.vocabulary)
     return unit(dot_sum(w.join(F.broadcast(model.vocabulary.select("term", "v")), "term"), "h", k))
 

@@ -2,36 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
 
 
+def _sections(body: Column) -> Column:
+    """path and hunks of each section of a patch, a file's lines up to the next one's. Every step is a transform, so nothing is computed twice."""
+    cut = F.transform(F.split(body, r"(?<=\n)(?=diff --git )", -1), lambda s: F.split(s, r"(?<=\n)(?=@@ )", -1))
+    # the file headers are in the first piece, unless a hunk opens the patch
+    apart = F.transform(cut, lambda p: F.when(p[0].startswith("@@ "), F.struct(F.array(F.lit("")).alias("heads"), p.alias("hunks"))).otherwise(F.struct(F.split(p[0], "\n", -1).alias("heads"), F.slice(p, 2, F.size(p)).alias("hunks"))))
+    marks = lambda lines: F.filter(F.transform(F.filter(lines, lambda x: x.startswith("--- ") | x.startswith("+++ ")), lambda x: T.strip(F.substring(x, 5, 1 << 30))), lambda m: m != "/dev/null")
+    named = F.transform(apart, lambda x: F.struct(F.when(x["heads"][0].startswith("diff --git "), T.split_words(x["heads"][0])).alias("words"), F.try_element_at(marks(x["heads"]), F.lit(-1)).alias("mark"), x["hunks"].alias("hunks")))
+    paths = F.transform(named, lambda x: F.struct(T.normalize_path(F.when(F.size(x["words"]) >= 4, F.try_element_at(x["words"], F.lit(-1)))).alias("diff"), T.normalize_path(x["mark"]).alias("mark"), x["hunks"].alias("hunks")))
+    filled = lambda c: F.when(c != "", c)
+    return F.transform(paths, lambda x: F.struct(F.coalesce(filled(x["mark"]), filled(x["diff"]), F.lit("unknown")).alias("path"), x["hunks"].alias("hunks")))
+
+
 def hunks(patches: DataFrame, numbering: str = "file") -> DataFrame:
     """instance_id, ord, path, header, old_start, old_count, new_start, new_count, context_id, source, text of every hunk.
 
     patches: instance_id, patch. Lines that begin with --- or +++ are file headers only outside a hunk. A malformed
     hunk header has zeros. numbering: ids count hunks within their file ('file') or within the patch ('patch').
     """
-    body = F.regexp_replace(F.regexp_replace(T.none_if_null(F.col("patch")), "\r\n", "\n"), "\r", "\n")
-    x = patches.select("instance_id", F.posexplode(T.lines(body)).alias("at", "line"))
-    line = F.col("line")
-    diff, head = line.startswith("diff --git "), line.startswith("@@ ")
-    before = Window.partitionBy("instance_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("instance_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = x.withColumn("inside", F.coalesce(F.last(F.when(diff, F.lit(False)).when(head, F.lit(True)), ignorenulls=True).over(before), F.lit(False)))
-    parts = T.split_words(line)
-    from_diff = F.when(F.size(parts) >= 4, T.normalize_path(F.element_at(parts, -1)))
-    mark = T.strip(F.substring(line, 5, 1 << 30))
-    is_mark = ~F.col("inside") & (line.startswith("--- ") | line.startswith("+++ ")) & (mark != "/dev/null")
-    x = x.withColumn("sets", F.when(diff, F.struct(from_diff.alias("p"))).when(is_mark, F.struct(T.normalize_path(mark).alias("p"))))
-    x = x.withColumn("file", F.last("sets", ignorenulls=True).over(upto)).withColumn("pending", F.last(F.when(diff, F.struct(from_diff.alias("p"))), ignorenulls=True).over(upto))
-    x = x.withColumn("hunk", F.sum(head.cast("int")).over(upto)).withColumn("path", F.coalesce(F.when(F.col("file.p") != "", F.col("file.p")), F.when(F.col("pending.p") != "", F.col("pending.p")), F.lit("unknown")))
-    x = x.where(head | (F.col("inside") & ~diff))
-    text = F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda r: r["line"])
-    h = x.groupBy("instance_id", F.col("hunk").alias("ord")).agg(F.min_by("path", "at").alias("path"), F.min_by("line", "at").alias("header"), T.strip(F.array_join(text, "\n")).alias("body"))
+    # a patch stays one row: it is cut at the lines that open a file, and these sections at their hunk headers
+    body = F.regexp_replace(T.none_if_null(F.col("patch")), T.LINE_END, "\n")
+    found = F.flatten(F.transform(_sections(body), lambda x: F.transform(x["hunks"], lambda h: F.struct(x["path"].alias("path"), h.alias("h")))))
+    h = patches.select("instance_id", F.posexplode(found).alias("at", "x"))
+    h = h.select("instance_id", (F.col("at") + 1).cast("long").alias("ord"), "x.path", F.substring_index("x.h", "\n", 1).alias("header"), T.strip(F.col("x.h")).alias("body"))
     p = T.hunk_header(F.col("header"))
     number = F.row_number().over(Window.partitionBy("instance_id", "path").orderBy("ord")) if numbering == "file" else F.col("ord")
     fields = [F.coalesce(p[c], F.lit(0)).alias(c) for c in ("old_start", "old_count", "new_start", "new_count")]

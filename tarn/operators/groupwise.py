@@ -123,6 +123,20 @@ def top_stats(scores: DataFrame, single: str = "repeat") -> DataFrame:
     """sample_id, top_id, top, second, margin. A pool of one has its own score as the second ('repeat') or 0 ('zero')."""
     s = F.col("score")
     ranked = scores.withColumn("r", rank(s)).where("r <= 2")
-    out = ranked.groupBy("sample_id").agg(F.max(F.when(F.col("r") == 1, F.col("context_id"))).alias("top_id"), F.max(F.when(F.col("r") == 1, s)).alias("top"), F.max(F.when(F.col("r") == 2, s)).alias("second"))
-    second = F.coalesce("second", "top" if single == "repeat" else F.lit(0.0))
-    return out.select("sample_id", "top_id", "top", second.alias("second"), (F.col("top") - second).alias("margin"))
+    out = ranked.groupBy("sample_id").agg(*lead_columns(F.col("r")))
+    second = second_score(single)
+    return out.select("sample_id", "top_id", "top", second.alias("second"), margin(single).alias("margin"))
+
+
+def lead_columns(r: Column) -> list[Column]:
+    """Aggregates top_id, top and second of candidates with the rank r."""
+    s = F.col("score")
+    return [F.max(F.when(r == 1, F.col("context_id"))).alias("top_id"), F.max(F.when(r == 1, s)).alias("top"), F.max(F.when(r == 2, s)).alias("second")]
+
+
+def second_score(single: str) -> Column:
+    return F.coalesce("second", "top" if single == "repeat" else F.lit(0.0))
+
+
+def margin(single: str) -> Column:
+    return F.col("top") - second_score(single)

@@ -13,6 +13,10 @@ def ranked(scores: DataFrame) -> DataFrame:
     return scores.withColumn("rank", G.rank(F.col("score")))
 
 
+def ranked_by(scores: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    return scores.withColumn("rank", G.rank(F.col("score"), (*by, "sample_id")))
+
+
 def rankings(scores: DataFrame, k: int | None = None) -> DataFrame:
     """sample_id, ranked_context_ids in order, all of them or the first k."""
     r = ranked(scores)
@@ -23,7 +27,7 @@ def rankings(scores: DataFrame, k: int | None = None) -> DataFrame:
 def outcomes(scores: DataFrame, k: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
     """Per sample: first_rank of a gold candidate (0: none), hit_1, hit_k, rr, rr_k. scores has sample_id, pos, score, is_gold."""
     keys = [*by, "sample_id"]
-    r = scores.withColumn("rank", G.rank(F.col("score"), tuple(keys)))
+    r = ranked_by(scores, by)
     first = r.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("is_gold"), F.col("rank"))), F.lit(0)).alias("first_rank"), F.count("*").alias("candidates"))
     return first.select(*keys, "candidates", *outcome_columns(k))
 

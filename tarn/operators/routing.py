@@ -101,17 +101,27 @@ def tag_rules(samples: DataFrame, column: str) -> DataFrame:
 def model_features(scores: DataFrame, models: list[str]) -> DataFrame:
     """sample_id and, per ranker, its best score and margin, and for each ordered pair of two the differences of both and
     whether they agree on the best candidate. scores: model, sample_id, pos, context_id, score."""
-    out = None
-    for m in models:
-        t = G.top_stats(scores.where(F.col("model") == m), "zero").select("sample_id", F.col("top").alias(f"{m}_top1_score"), F.col("margin").alias(f"{m}_margin"), F.col("top_id").alias(f"{m}_top_id"))
-        out = t if out is None else out.join(t, "sample_id")
+    ranked = M.ranked_by(scores.where(F.col("model").isin(*models)), ("model",)).where("rank <= 2")
+    each = ranked.groupBy("model", "sample_id").agg(*G.lead_columns(F.col("rank"))).select("sample_id", "model", F.struct("top_id", "top", G.margin("zero").alias("margin")).alias("lead"))
+    leads = each.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("model", "lead"))).alias("leads"))
+    return leads.where(all_led(models)).select("sample_id", *lead_features(models))
+
+
+def all_led(models: list[str]) -> Column:
+    """Whether leads holds every ranker."""
+    return F.forall(F.array(*map(F.lit, models)), lambda m: F.array_contains(F.map_keys("leads"), m))
+
+
+def lead_features(models: list[str]) -> list[Column]:
+    """The columns of model_features out of leads, a map from ranker to struct<top_id, top, margin>."""
+    lead = lambda m, v: F.col("leads")[m][{"top1_score": "top"}.get(v, v)]
     pairs = []
     for a in models:
         for b in models:
             if a != b:
-                pairs += [(F.col(f"{a}_{v}") - F.col(f"{b}_{v}")).alias(f"{a}_minus_{b}_{v}") for v in ("top1_score", "margin")]
-                pairs.append((F.col(f"{a}_top_id") == F.col(f"{b}_top_id")).cast("double").alias(f"{a}_same_top1_as_{b}"))
-    return out.select("sample_id", *[f"{m}_{v}" for m in models for v in ("top1_score", "margin")], *pairs)
+                pairs += [(lead(a, v) - lead(b, v)).alias(f"{a}_minus_{b}_{v}") for v in ("top1_score", "margin")]
+                pairs.append((lead(a, "top_id") == lead(b, "top_id")).cast("double").alias(f"{a}_same_top1_as_{b}"))
+    return [*[lead(m, v).alias(f"{m}_{v}") for m in models for v in ("top1_score", "margin")], *pairs]
 
 
 def sample_router(pairs: DataFrame, norms: tuple[str, ...], conditions: dict[str, Column], thresholds: tuple[float, ...], k: int = 3, digits: int | None = None) -> DataFrame:

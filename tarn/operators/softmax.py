@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import groupwise as G
 from . import metrics as M
 from . import ranker, routing
 
@@ -127,11 +128,16 @@ def router_table(meta: DataFrame, scores: DataFrame, models: list[str], k: int =
 
     meta: sample_id and numbers. scores: model, sample_id, pos, context_id, score, is_gold, every ranker for every sample."""
     own = F.struct("hit_1", "hit_k", "rr", "rr_k")
-    each = M.outcomes(scores, k, ("model",)).groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("model", own))).alias("outcomes"))
+    # one sort of the scores gives both the outcomes and the leads
+    ranked = M.ranked_by(scores.select("model", "sample_id", "pos", "context_id", "score", "is_gold"), ("model",))
+    first = ranked.groupBy("model", "sample_id").agg(F.coalesce(F.min(F.when(F.col("is_gold"), F.col("rank"))), F.lit(0)).alias("first_rank"), *G.lead_columns(F.col("rank")))
+    lead = F.struct("top_id", "top", G.margin("zero").alias("margin"))
+    both = first.select("model", "sample_id", *M.outcome_columns(k), lead.alias("lead")).groupBy("sample_id")
+    found = both.agg(F.map_from_entries(F.collect_list(F.struct("model", own))).alias("outcomes"), F.map_from_entries(F.collect_list(F.struct("model", "lead"))).alias("leads"))
     order = F.array(*[F.struct(F.col("outcomes")[m]["hit_1"].alias("a"), F.col("outcomes")[m]["rr"].alias("b"), F.col("outcomes")[m]["hit_k"].alias("c"), F.lit(-i).alias("i"), F.lit(m).alias("m")) for i, m in enumerate(models)])
-    pairs = routing.model_features(scores, models)
-    names = sorted([c for c in (*meta.columns, *pairs.columns) if c != "sample_id"])
-    table = meta.join(pairs, "sample_id").join(each, "sample_id").withColumn("label", F.array_max(order)["m"])
+    pairs = found.where(routing.all_led(models)).select("sample_id", "outcomes", *routing.lead_features(models))
+    names = sorted([c for c in (*meta.columns, *pairs.columns) if c not in ("sample_id", "outcomes")])
+    table = meta.join(pairs, "sample_id").withColumn("label", F.array_max(order)["m"])
     return table.select("sample_id", "label", "outcomes", *[F.col(f"`{n}`").cast("double").alias(n) for n in names]), names
 
 

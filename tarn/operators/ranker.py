@@ -60,11 +60,13 @@ def add_up(partials: DataFrame, size: int) -> np.ndarray:
 class Design:
     """The rows of a fit: their features in the scale of all rows with a column of ones, their labels, datasets and folds."""
 
-    def __init__(self, rows: DataFrame, names: list[str], label: str):
+    def __init__(self, rows: DataFrame, names: list[str], label: str, cached: bool = False):
         self.mean, self.scale = scaling(rows, names)
         keys = [c for c in ("target", "fold") if c in rows.columns]
-        # one array instead of as many columns; kept for the passes of the fit and let go behind it
-        self.rows = rows.select(F.array(*[F.col(f"`{n}`").cast("double") for n in names]).alias("x"), F.col(label).cast("double").alias("y"), *keys).persist()
+        # one array instead of as many columns; kept for the passes of the fit and let go behind it, unless the caller keeps the rows
+        self.rows = rows.select(F.array(*[F.col(f"`{n}`").cast("double") for n in names]).alias("x"), F.col(label).cast("double").alias("y"), *keys)
+        if not cached:
+            self.rows.persist()
         self.size = len(names) + 1
 
     def sums(self, fits: list[Fit], per_model: int, part) -> np.ndarray:
@@ -121,19 +123,21 @@ def lasso_step(g: np.ndarray, h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_many(rows: DataFrame, names: list[str], fits: list[Fit], label: str = "label", balanced: bool = True, penalty: str = "l2", steps: int = 50) -> list[dict]:
+def fit_many(rows: DataFrame, names: list[str], fits: list[Fit], label: str = "label", balanced: bool = True, penalty: str = "l2", steps: int = 50, cached: bool = False) -> list[dict]:
     """The model of each entry of fits: the weights that minimize the penalty (|w|^2 / 2, or |w|_1) + c * (sum of weighted log losses).
 
     Features are standardized over the model's own rows. rows: the names, the label, and the columns target and fold where fits name them.
     Every step is one pass for all models that still move (MODELS of them at a time); a step that makes a model worse is halved.
+    cached: the rows come from a persisted table, so they need not be kept again.
     """
     if penalty not in ("l1", "l2"):
         raise ValueError(f"Unsupported penalty: {penalty}")
-    design = Design(rows, names, label)
+    design = Design(rows, names, label, cached)
     try:
         return [m for at in range(0, len(fits), MODELS) for m in _fit_block(design, names, fits[at : at + MODELS], balanced, penalty, steps)]
     finally:
-        design.rows.unpersist()
+        if not cached:
+            design.rows.unpersist()
 
 
 def _fit_block(design: Design, names: list[str], fits: list[Fit], balanced: bool, penalty: str, steps: int) -> list[dict]:
@@ -204,6 +208,18 @@ def linear_score(model: dict) -> Column:
     return out
 
 
+def score_by(models: list[dict], which: Column) -> Column:
+    """The decision value by the model with the number that `which` gives, as one expression. The models have the same features."""
+    names = models[0]["feature_names"]
+    weights = [[k / (s or 1.0) for k, s in zip(m["coefficients"], m["scaler_scale"])] for m in models]
+    base = [m["intercept"] - sum(k * x for k, x in zip(w, m["scaler_mean"])) for m, w in zip(models, weights)]
+    one = lambda values: F.get(F.array(*[F.lit(float(v)) for v in values]), which)
+    out = one(base)
+    for j, n in enumerate(names):
+        out = out + F.coalesce(F.col(f"`{n}`").cast("double"), F.lit(0.0)) * one([w[j] for w in weights])
+    return out
+
+
 def scored(rows: DataFrame, models: list[dict], applies: list[Column], keys: list[str]) -> DataFrame:
     """keys, model (its number) and score of every row by each model that applies to it, in one pass. The models have the same features."""
     names = models[0]["feature_names"]

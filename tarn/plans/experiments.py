@@ -7,7 +7,7 @@ from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -111,11 +111,16 @@ def refit_holdout(samples: DataFrame, candidates: DataFrame, column: str, target
     return holdout(canonical_features(own_s, own_c, train), samples, column, target, **options)
 
 
-def dataset_uses(samples: DataFrame, column: str, targets: list[str]) -> DataFrame:
-    """sample_id, split, fold, target: the holdouts (numbers of targets) that use a sample: its target's for testing, all others for training and dev."""
-    inside = [F.col(column).eqNullSafe(F.lit(v)) for v in targets]
+def uses(column: Column, targets: list[str]) -> Column:
+    """The holdouts (numbers of targets) that use a sample: its target's for testing, all others for training and dev."""
+    inside = [column.eqNullSafe(F.lit(v)) for v in targets]
     used = F.array(*[F.when(F.when(F.col("split") == "test", own).otherwise(~own), F.lit(i)) for i, own in enumerate(inside)])
-    return samples.select("sample_id", "split", "fold", F.explode(F.filter(used, lambda t: t.isNotNull())).alias("target"))
+    return F.filter(used, lambda t: t.isNotNull())
+
+
+def dataset_uses(samples: DataFrame, column: str, targets: list[str]) -> DataFrame:
+    """sample_id, split, fold, target: a row for each holdout that uses a sample."""
+    return samples.select("sample_id", "split", "fold", F.explode(uses(F.col(column), targets)).alias("target"))
 
 
 def nested_holdout(
@@ -133,39 +138,48 @@ def nested_holdout(
     Gives anchor (target, sample_id, pos, split, fold, score), scores (of the test samples), summary (target, n, hit_1, hit_k,
     mrr, mrr_k) and models and anchors, one per target.
     """
-    own = features.join(dataset_uses(samples, column, targets), "sample_id")
-    if per_target is not None:
-        parts = [per_target(v).withColumn("target", F.lit(i)) for i, v in enumerate(targets)]
-        own = own.join(reduce(DataFrame.unionByName, parts), ["target", "sample_id", "pos"])
-    own = own.withColumn("of", F.col("sample_id")).withColumn("sample_id", F.concat_ws("|", F.col("target").cast("string"), "of"))
-    keys = ["target", "of", "split", "fold", "label"]
     n = len(targets)
 
     def matrix(rows: DataFrame, used: tuple[str, ...]) -> DataFrame:
-        return groupwise.feature_matrix(rows, list(used), transform).join(rows.select("sample_id", "pos", *keys), ["sample_id", "pos"]).persist()
+        """The rows with the matrix's columns in place of those that it was made of."""
+        if not groupwise.TRANSFORMS[transform]:
+            return rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in used})
+        made = groupwise.feature_matrix(rows, list(used), transform)
+        return made.join(rows.drop(*[c for c in made.columns if c not in ("sample_id", "pos")]), ["sample_id", "pos"])
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """A row for each holdout, each with pools of its own."""
+        return rows.withColumn("of", F.col("sample_id")).withColumn("sample_id", F.concat_ws("|", F.col("target").cast("string"), "of"))
 
-    def selected(m: DataFrame, used: tuple[str, ...]) -> list[dict]:
+    def selected(m: DataFrame, used: tuple[str, ...], cached: bool) -> list[dict]:
         fits = [ranker.Fit(c, t) for t in range(n) for c in c_values]
-        models = ranker.fit_many(m.where("split = 'train'"), groupwise.column_names(list(used), transform), fits)
+        models = ranker.fit_many(m.where("split = 'train'"), groupwise.column_names(list(used), transform), fits, cached=cached)
         found = ranker.dev_metrics(m.where("split = 'dev'"), models, [F.col("target") == f.within for f in fits], k)
         none = {"hit_1": 0.0, "mrr": 0.0}
         return [models[ranker.best_of([(i, found.get(i, none)) for i, f in enumerate(fits) if f.within == t])] for t in range(n)]
 
-    m = matrix(own, anchor_names)
-    outer = selected(m, anchor_names)
+    # the rows that all passes read are kept once, where they are the same in every holdout; no score is joined back to them
+    if per_target is None:
+        own = features.join(samples.select("sample_id", "split", "fold", F.col(column).alias("holdout_value")), "sample_id")
+        kept = matrix(own, anchor_names).persist()
+        m = dealt(kept.withColumn("target", F.explode(uses(F.col("holdout_value"), targets))).drop("holdout_value"))
+    else:
+        parts = [per_target(v).withColumn("target", F.lit(i)) for i, v in enumerate(targets)]
+        own = features.join(dataset_uses(samples, column, targets), "sample_id").join(reduce(DataFrame.unionByName, parts), ["target", "sample_id", "pos"])
+        m = matrix(dealt(own), anchor_names).persist()
+    outer = selected(m, anchor_names, True)
     fits = [ranker.Fit(outer[t]["C"], t, f) for t in range(n) for f in range(folds)]
-    inner = ranker.fit_many(m.where("split = 'train'"), outer[0]["feature_names"], fits)
-    train, at = F.col("split") == "train", F.col("target")
-    applies = [(at == t) & ~train for t in range(n)] + [(at == f.within) & train & (F.col("fold") == f.fold) for f in fits]
-    anchor = ranker.scored(m, outer + inner, applies, ["target", "of", "sample_id", "pos", "split", "fold"]).persist()
-    final = matrix(own.join(anchor.select("sample_id", "pos", F.col("score").alias("anchor_score")), ["sample_id", "pos"]), (*names, "anchor_score"))
-    models = selected(final, (*names, "anchor_score"))
-    m.unpersist()
-    test = ranker.scored(final.where("split = 'test'"), models, [at == t for t in range(n)], ["target", "of", "sample_id", "pos", "label"]).persist()
+    inner = ranker.fit_many(m.where("split = 'train'"), outer[0]["feature_names"], fits, cached=True)
+    at = F.col("target")
+    which = F.when(F.col("split") == "train", n + at * folds + F.col("fold")).otherwise(at)
+    anchor = m.withColumn("anchor_score", ranker.score_by(outer + inner, which))
+    final = matrix(anchor, (*names, "anchor_score"))
+    models = selected(final, (*names, "anchor_score"), False)
+    test = ranker.scored(final.where("split = 'test'"), models, [at == t for t in range(n)], ["target", "of", "sample_id", "pos", "label"])
     value = F.element_at(F.array(*map(F.lit, targets)), at + 1).alias("target")
     judged = test.select(value, F.col("of").alias("sample_id"), "pos", "score", (F.col("label") > 0).alias("is_gold"))
     summary = metrics.summary(metrics.outcomes(judged, k, ("target",)), ("target",))
-    named = anchor.select(value, F.col("of").alias("sample_id"), "pos", "split", "fold", "score")
+    named = anchor.select(value, F.col("of").alias("sample_id"), "pos", "split", "fold", F.col("anchor_score").alias("score"))
     return {"anchor": named, "scores": judged, "summary": summary, "models": dict(zip(targets, models)), "anchors": dict(zip(targets, outer))}
 
 

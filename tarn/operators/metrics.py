@@ -24,6 +24,13 @@ def rankings(scores: DataFrame, k: int | None = None) -> DataFrame:
     return r.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "context_id"))), lambda x: x["context_id"]).alias("ranked_context_ids"))
 
 
+def first_contexts(scores: DataFrame, columns: tuple[str, ...], k: int) -> DataFrame:
+    """sample_id and for each score column the first k context_ids by it, in order; one pass over the pools for all of them."""
+    r = scores.select("sample_id", "context_id", *[G.rank(F.col(c)).alias(c) for c in columns]).where(" or ".join(f"`{c}` <= {int(k)}" for c in columns))
+    firsts = [F.transform(F.array_sort(F.collect_list(F.when(F.col(c) <= k, F.struct(c, "context_id")))), lambda x: x["context_id"]).alias(c) for c in columns]
+    return r.groupBy("sample_id").agg(*firsts)
+
+
 def outcomes(scores: DataFrame, k: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
     """Per sample: first_rank of a gold candidate (0: none), hit_1, hit_k, rr, rr_k. scores has sample_id, pos, score, is_gold."""
     keys = [*by, "sample_id"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -64,7 +64,11 @@ def incomplete_rankings(candidates: DataFrame, rankings: DataFrame) -> DataFrame
 
 def stale_predictions(rankings: DataFrame, predictions: DataFrame, k: int) -> DataFrame:
     """sample_id of predictions that are not the first k of their ranking."""
-    return predictions.join(rankings, "sample_id", "left").where(~F.slice("ranked_context_ids", 1, k).eqNullSafe(F.col("predicted_context_ids_topk"))).select("sample_id")
+    return predictions.join(rankings, "sample_id", "left").where(is_stale(F.col("ranked_context_ids"), F.col("predicted_context_ids_topk"), k)).select("sample_id")
+
+
+def is_stale(ranking: Column, prediction: Column, k: int) -> Column:
+    return ~F.slice(ranking, 1, k).eqNullSafe(prediction)
 
 
 def split_overlap(samples: DataFrame, key: str, split: str = "split") -> DataFrame:

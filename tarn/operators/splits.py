@@ -39,17 +39,27 @@ def split_by_group(samples: DataFrame, dev_fraction: float, seed: int, key: str
     return samples.join(names.select(key, F.when(F.col("offset") + F.col("inside") < target, "dev").otherwise("train").alias("split")), key)
 
 
+#: Slices of the draw by which the rows of one label are numbered.
+SLICES = 4096
+
+
 def stratified_split(samples: DataFrame, label: str, seed: int, order: str = "sample_id") -> DataFrame:
     """samples with split: 70 % of each label go to train, 10 % to dev (one at least of both), the others to test.
 
     A label too rare for that gives one row to dev and all but one of the others to train.
     """
-    w = Window.partitionBy(label)
-    k, n = F.row_number().over(w.orderBy(draw(seed, order), order)), F.count("*").over(w)
+    # a label's rows are numbered in slices of the draw, behind the number of rows in the slices before: no task holds a label
+    rows = samples.withColumns({"draw_": draw(seed, order), "slice_": F.floor(draw(seed, order) * SLICES).cast("int")})
+    each = rows.groupBy(F.col(label).alias("of_"), F.col("slice_").alias("at_")).agg(F.count("*").alias("m_"))
+    w = Window.partitionBy("of_")
+    before = F.sum("m_").over(w.orderBy("at_")) - F.col("m_")
+    sizes = each.select("of_", "at_", before.alias("before_"), F.sum("m_").over(w).alias("n_"))
+    rows = rows.join(sizes, F.col(label).eqNullSafe(F.col("of_")) & (F.col("slice_") == F.col("at_")))
+    k, n = F.row_number().over(Window.partitionBy(label, "slice_").orderBy("draw_", order)) + F.col("before_"), F.col("n_")
     train, dev = F.greatest(F.lit(1), F.floor(n * 0.7)), F.greatest(F.lit(1), F.floor(n * 0.1))
     rare = train + dev >= n
     train, dev = F.when(rare, F.greatest(F.lit(1), n - 2)).otherwise(train), F.when(rare, 1).otherwise(dev)
-    return samples.withColumn("split", F.when(k <= train, "train").when(k <= train + dev, "dev").otherwise("test"))
+    return rows.select(*samples.columns, F.when(k <= train, "train").when(k <= train + dev, "dev").otherwise("test").alias("split"))
 
 
 def stratified_sample(samples: DataFrame, by: str, fraction: float, seed: int, order: str = "sample_id") -> DataFrame:

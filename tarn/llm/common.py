@@ -19,6 +19,8 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints/tarn"
 ARROW_BYTES = 64 << 20
 #: Edges that a task holds at a time to reduce them to stars.
 EDGES = 1 << 18
+#: Rows of a few numbers that one task reads, about, where a table of them is packed.
+PACKED = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +47,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def packed(df: DataFrame, rows: int = PACKED) -> DataFrame:
+    """The checkpoint of df, a table of a few numbers in a row, in no more tasks than one for each `rows` rows: every task in front of a shuffle leaves files."""
+    kept = checkpoint(df)
+    n = kept.coalesce(df.sparkSession.sparkContext.defaultParallelism).count()
+    return kept.coalesce(max(1, -(-n // rows)))
+
+
 def star_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, root) for the links (a, b): the least node that each reaches, without the roots themselves."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -97,14 +106,14 @@ def are_stars(edges: DataFrame) -> bool:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node (long) of the edges (a, b): component is the least node that it reaches.
 
-    Each task first reduces its edges to stars, before any shuffle. Then the large-star and small-star steps alternate until
-    all that is left are stars. Each step first takes a minimum per node, which combines before the shuffle, so a hub with
+    Each task first reduces its edges to stars, before any shuffle; few edges in one task (see packed) are stars behind that. Then the
+    large-star and small-star steps alternate until all that is left are stars. Each step first takes a minimum per node, which combines before the shuffle, so a hub with
     very many edges costs one row per task. The minima are dealt out anew, so that the rows of a hub meet its minimum in a
     join of two plain shuffles, whose large partitions Spark splits.
     Nodes without edges are not in the result; null nodes are ignored. An empty input gives an empty result.
     """
     pairs = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
-    cur = checkpoint(pairs.mapInArrow(forests, "a long, b long").distinct())
+    cur = packed(pairs.mapInArrow(forests, "a long, b long").distinct())
     rounds = 0
     while not are_stars(cur):
         if rounds == max_rounds:
@@ -117,5 +126,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small_min = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).repartition(F.xxhash64("n"))
         joined = large.join(small_min, large["a"] == small_min["n"])
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(joined.select("a", F.col("m").alias("b"))).distinct()
-        cur = checkpoint(small)
+        cur = packed(small)
     return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

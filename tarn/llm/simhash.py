@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, star_forest, table
+from .common import checkpoint, connected_components, packed, star_forest, table
 
 BITS = 64
 DISTANCE = 4
@@ -427,7 +427,7 @@ def open_links(rows: DataFrame, docs: DataFrame, named: DataFrame, width: int, s
     """
     mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m"), F.sum("n").alias("total")).where("low <> high")
     mixed = mixed.select("key", F.greatest(F.ceil(F.col("m") / TILE_SETS), F.ceil(8 * F.col("total") / TILE_BYTES)).cast("int").alias("parts"))
-    rows = checkpoint(rows.join(mixed, "key"))
+    rows = packed(rows.join(mixed, "key"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "key"))), lambda k: k["key"])
     keys = checkpoint(rows.groupBy("node").agg(ordered.alias("keys")))
     sets = sets_of(docs, named.join(keys.select("node"), "node", "left_semi"), width)
@@ -509,13 +509,13 @@ def similar_components(docs: DataFrame, width: int, similarity: float) -> DataFr
     have it), links of equal least shingles are checked first, and then the pairs that are not in one group by now.
     """
     rows = checkpoint(set_rows(docs, width, similarity))
-    named = checkpoint(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("mins").alias("mins")))
+    named = packed(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("mins").alias("mins")))
     shared = checkpoint(shared_keys(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")), similarity))
     rows = rows.select("doc_id", "fp", "node")
     crowded = named.join(shared.where("key is not null").select(F.col("a").alias("node")).distinct(), "node", "left_semi")
     first = named.groupBy("fp").agg(F.min("node").alias("first"))
     equal = named.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    near = links(checkpoint(first.select("fp")), GUESS).join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    near = links(packed(first.select("fp")), GUESS).join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
     mixed = crowded.select("node", F.posexplode("mins").alias("j", "m"))
     centre = mixed.groupBy("j", "m").agg(F.min("node").alias("first")).repartition(F.xxhash64("j", "m"))
     alike = mixed.join(centre, ["j", "m"]).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
@@ -523,15 +523,15 @@ def similar_components(docs: DataFrame, width: int, similarity: float) -> DataFr
     # two sets that both have crowded keys may share more than was seen
     seen = shared.where("key is null").groupBy("a", "b").agg(F.sum("seen").alias("seen"), F.first("need").alias("need"))
     seen = seen.join(crowded.select(F.col("node").alias("a"), F.lit(True).alias("x")), "a", "left").join(crowded.select(F.col("node").alias("b"), F.lit(True).alias("y")), "b", "left")
-    pairs = checkpoint(seen.where("seen >= need or x and y").select("a", "b").unionByName(guesses).distinct())
-    sure = checkpoint(verified(pairs, docs, named, width, similarity))
+    pairs = packed(seen.where("seen >= need or x and y").select("a", "b").unionByName(guesses).distinct())
+    sure = packed(verified(pairs, docs, named, width, similarity))
     known = connected_components(sure).select("node", F.col("component").alias("root"))
     open_rows = shared.where("key is not null").select("key", F.col("a").alias("node"), F.shiftright("b", 32).alias("n"), F.expr("b & 4294967295").alias("place"))
     open_rows = open_rows.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    left = checkpoint(open_links(open_rows, docs, named, width, similarity))
+    left = packed(open_links(open_rows, docs, named, width, similarity))
     if not left.isEmpty():
         grouped = known.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        known = connected_components(grouped.unionByName(left)).select("node", F.col("component").alias("root"))
+        known = connected_components(packed(grouped.unionByName(left))).select("node", F.col("component").alias("root"))
     rooted = named.join(known, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id")).repartition(F.xxhash64("root"))
     return rows.join(rooted.join(least, "root").select("node", "component_id"), "node").select("doc_id", "fp", "component_id")
@@ -550,8 +550,8 @@ def components(docs: DataFrame, width: int = SHINGLE, distance: int | float = DI
     if isinstance(distance, float):
         return similar_components(docs, width, 1 - distance)
     rows = checkpoint(fingerprints(docs, width))
-    distinct = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    groups = connected_components(links(distinct.select("fp"), distance)).alias("g")
+    distinct = packed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    groups = connected_components(packed(links(distinct.select("fp"), distance))).alias("g")
     nodes = distinct.join(groups, F.col("fp") == F.col("g.node"), "left").select("fp", "least", F.coalesce("g.component", "fp").alias("root"))
     # dealt out anew, so that the join with the nodes of a large group can be split
     named = nodes.groupBy("root").agg(F.min("least").alias("component_id")).repartition(F.xxhash64("root"))

@@ -15,6 +15,10 @@ from ..functions import text as T
 from ..functions import words
 
 LETTERS = 128
+#: Length from which SequenceMatcher leaves out characters that are frequent in the second text.
+POPULAR = 200
+#: Steps by which counts of letters are compared, the rest letter by letter; pairs of tokens compared at once.
+STEPS, PAIRS = 8, 1 << 20
 
 
 def kept(a: Column, least: int) -> Column:
@@ -36,9 +40,31 @@ def candidate_tokens(c: Column, least: int = 3, plain: bool = False) -> Column:
     return kept(F.concat(T.path_parts(T.context_path(c)), T.tokens_of_lines(body)), least)
 
 
+def matching(a: str, b: str) -> int:
+    """Characters in the blocks that SequenceMatcher finds: the longest common one, the first of them in a and then in b, and so on at both its sides."""
+    total, todo = 0, [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        at = n = 0
+        for i in range(len(a)):
+            if i + n >= len(a):
+                break
+            while i + n < len(a) and a[i : i + n + 1] in b:
+                at, n = i, n + 1
+        if n:
+            j = b.index(a[at : at + n])
+            total += n
+            if at and j:
+                todo.append((a[:at], b[:j]))
+            if at + n < len(a) and j + n < len(b):
+                todo.append((a[at + n :], b[j + n :]))
+    return total
+
+
 @lru_cache(maxsize=200_000)
 def ratio(a: str, b: str) -> float:
-    return SequenceMatcher(None, a, b).ratio()
+    """SequenceMatcher's ratio."""
+    return SequenceMatcher(None, a, b).ratio() if len(b) >= POPULAR or not b else 2.0 * matching(a, b) / (len(a) + len(b))
 
 
 def worth(a: str, b: str) -> bool:
@@ -56,25 +82,56 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) % LETTERS
 
 
+def letters(tokens: list[str], sizes: np.ndarray) -> np.ndarray:
+    """How often each token has each letter."""
+    at = np.repeat(np.arange(len(tokens)), sizes) * LETTERS + codes("".join(tokens))
+    return np.bincount(at, minlength=len(tokens) * LETTERS).reshape(-1, LETTERS)
+
+
 class Tokens:
     """Tokens to compare with, and how often each has each letter."""
 
     def __init__(self, tokens: list[str]):
         self.tokens, self.sizes = tokens, np.array([len(t) for t in tokens], int)
-        at = np.repeat(np.arange(len(tokens)), self.sizes) * LETTERS + codes("".join(tokens))
-        self.counts = np.bincount(at, minlength=len(tokens) * LETTERS).reshape(-1, LETTERS)
+        self.counts = letters(tokens, self.sizes)
+
+    def shared(self, counts: np.ndarray) -> np.ndarray:
+        """How many letters each of the rows of counts has in common with each token: the least of both counts is the number of steps that both reach."""
+        out = np.zeros((len(counts), len(self.tokens)), np.float32)
+        for step in range(1, min(STEPS, int(counts.max(initial=0)), int(self.counts.max(initial=0))) + 1):
+            own, known = counts >= step, self.counts >= step
+            some = own.any(0) & known.any(0)
+            out += own[:, some].astype(np.float32) @ known[:, some].T.astype(np.float32)
+        for letter in np.flatnonzero((counts > STEPS).any(0) & (self.counts > STEPS).any(0)):
+            out += np.maximum(np.minimum.outer(counts[:, letter], self.counts[:, letter]) - STEPS, 0)
+        return out.astype(int)
+
+    def bests(self, queries: list[str]) -> list[float]:
+        """For each query the largest ratio with a token that is worth it; those that can reach most come first, until none can reach more."""
+        if not self.tokens:
+            return [0.0] * len(queries)
+        step = max(1, PAIRS // len(self.tokens))
+        return [x for at in range(0, len(queries), step) for x in self._bests(queries[at : at + step])]
+
+    def _bests(self, queries: list[str]) -> list[float]:
+        sizes = np.array([len(a) for a in queries], int)
+        bound = 2.0 * self.shared(letters(queries, sizes)) / np.maximum(self.sizes + sizes[:, None], 1)
+        # see worth: those of other lengths don't count
+        bound[np.abs(self.sizes - sizes[:, None]) > np.maximum(2, sizes // 2)[:, None]] = 0.0
+        order = np.argsort(-bound, axis=1, kind="stable")
+        out = []
+        for a, row, reach in zip(queries, order.tolist(), np.take_along_axis(bound, order, 1).tolist()):
+            best = 0.0
+            for j, most in zip(row, reach):
+                if most <= best:
+                    break
+                if worth(a, self.tokens[j]):
+                    best = max(best, ratio(a, self.tokens[j]))
+            out.append(best)
+        return out
 
     def best(self, a: str) -> float:
-        """The largest ratio of a with a token that is worth it; those that can reach most come first, until none can reach more."""
-        own, n = np.unique(codes(a), return_counts=True)
-        bound = 2.0 * np.minimum(self.counts[:, own], n).sum(1) / np.maximum(self.sizes + len(a), 1)
-        best = 0.0
-        for j in np.argsort(-bound, kind="stable"):
-            if bound[j] <= best:
-                break
-            if worth(a, self.tokens[j]):
-                best = max(best, ratio(a, self.tokens[j]))
-        return best
+        return self.bests([a])[0]
 
 
 def best_similarity(a: str, tokens: list[str]) -> float:
@@ -86,8 +143,10 @@ def best_similarities(query: pd.Series, doc: pd.Series) -> pd.Series:
     """Per query token the best similarity among the document's tokens; an equal token is 1."""
 
     def one(q, d) -> list[float]:
-        have, tokens = set(d), Tokens(list(d))
-        return [1.0 if a in have else tokens.best(a) for a in q]
+        have = set(d)
+        others = [a for a in q if a not in have]
+        found = iter(Tokens(list(d)).bests(others)) if others else iter(())
+        return [1.0 if a in have else next(found) for a in q]
 
     return pd.Series([one(q, d) for q, d in zip(query, doc)])
 

@@ -31,7 +31,7 @@ RUN = 64
 #: Bytes of text whose keys one bucket holds, about.
 BUCKET_BYTES = 1 << 24
 #: Shards of segments for each bucket of keys.
-SHARDS = 4
+SHARDS = 1
 #: Bytes of text whose segments are numbered together.
 LOT_BYTES = 1 << 22
 #: Leading bytes of a key that decide whether it is repeated; two keys of a bucket that agree by chance cost a comparison.
@@ -39,22 +39,29 @@ KEY_BYTES = 5
 #: Segments whose least id a task keeps in mind, and bytes of segments that it sends on at once.
 REMEMBERED = 150_000
 SENT_BYTES = 1 << 23
+#: Bytes of segments whose windows are hashed at a time, in arrays that a core's cache holds.
+HASHED_BYTES = 1 << 18
 NONE = np.iinfo(np.int64).max
 
 
-def window_keys(data: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """The key of the window that starts at each position, as int64; empty for a text shorter than a window."""
-    if len(data) < width:
-        return np.zeros(0, np.int64)
-    gram = min(GRAM, width)
+def hashes(data: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n bytes from each position on; data has n bytes at least."""
     with np.errstate(over="ignore"):
         h, have = data.astype(np.uint64) + np.uint64(1), 1
-        while have < gram:
-            step = min(have, gram - have)
+        while have < n:
+            step = min(have, n - have)
             mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
             h = h[: len(h) - step] * np.uint64(0x9E3779B97F4A7C15) + mixed[step:]
             have += step
-        h ^= h >> np.uint64(32)
+    return h ^ (h >> np.uint64(32))
+
+
+def window_keys(data: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """The key of the window that starts at each position, as int64; empty for a text shorter than a window."""
+    if len(data) < width:
+        return np.zeros(0, np.int64)
+    gram = min(GRAM, width)
+    h = hashes(data, gram)
     span, low, have = width - gram + 1, h, 1
     while have < span:
         step = min(have, span - have)
@@ -340,6 +347,34 @@ def least_ids(sizes: np.ndarray, owner: np.ndarray, starts: np.ndarray, text: np
     return out
 
 
+def sharing(text: np.ndarray, bytes_of: np.ndarray, width: int) -> np.ndarray:
+    """Per segment, whether a window of it may be in another one too; text: the segments' bytes, one segment behind the other.
+
+    Equal windows have equal hashes, so a segment that is not marked has no window in common with any other. What is kept of
+    a window is one number, its hash above its segment, so that sorting brings those of one hash together."""
+    n = len(bytes_of)
+    bits = np.uint64(max(1, (n - 1).bit_length()))
+    ends = np.cumsum(bytes_of)
+    found = np.empty(int((bytes_of - (width - 1)).sum()), np.uint64)
+    first = at = 0
+    while first < n:
+        begin = int(ends[first] - bytes_of[first])
+        last = max(first + 1, int(np.searchsorted(ends, begin + HASHED_BYTES, side="right")))
+        own = bytes_of[first:last] - (width - 1)
+        starts = np.repeat(ends[first:last] - bytes_of[first:last] - begin - (np.cumsum(own) - own), own) + np.arange(own.sum())
+        h = hashes(text[begin : int(ends[last - 1])], width)[starts]
+        found[at : at + len(h)] = (h >> bits << bits) | np.repeat(np.arange(first, last, dtype=np.uint64), own)
+        first, at = last, at + len(h)
+    found.sort()
+    near = found[1:] ^ found[:-1]
+    both = np.flatnonzero((near != 0) & (near >> bits == 0))
+    out = np.zeros(n, bool)
+    mask = (np.uint64(1) << bits) - np.uint64(1)
+    out[found[both] & mask] = True
+    out[found[both + 1] & mask] = True
+    return out
+
+
 def stretches_of(blobs: list[bytes], width: int) -> Iterator[tuple[np.ndarray, ...]]:
     """ids, marks, starts, stops of the removed stretches of one shard, from the segments of its blobs."""
     number: dict[bytes, int] = {}
@@ -365,18 +400,16 @@ def stretches_of(blobs: list[bytes], width: int) -> Iterator[tuple[np.ndarray, .
     sizes = bytes_of - (width - 1)
     offsets = np.cumsum(sizes) - sizes
     least = np.repeat(owners, sizes)
-    # equal windows have one key: where a key has one distinct segment, its owner is known to be the least
-    _, of_key, per_key = np.unique(window_keys(whole, width)[np.cumsum(bytes_of) - bytes_of], return_inverse=True, return_counts=True)
-    open_ = np.flatnonzero(per_key[of_key] > 1)
-    if len(open_):
+    # of a segment that shares no window with another one, its owner is known to be the least
+    open_ = sharing(whole, bytes_of, width)
+    if open_.any():
         with tempfile.TemporaryDirectory() as name:
             folder = Path(name)
-            inside = np.repeat(per_key[of_key] > 1, bytes_of)
             with (folder / "text").open("wb") as f:
-                f.write((whole[inside] + np.uint8(1)).tobytes() + b"\0")
+                f.write((whole[np.repeat(open_, bytes_of)] + np.uint8(1)).tobytes() + b"\0")
             own, begin = sizes[open_], np.cumsum(bytes_of[open_]) - bytes_of[open_]
             starts = np.repeat(begin - (np.cumsum(own) - own), own) + np.arange(own.sum())
-            least[np.repeat(per_key[of_key] > 1, sizes)] = least_ids(own, owners[open_], starts, np.memmap(folder / "text", np.uint8, "r"), folder, width)
+            least[np.repeat(open_, sizes)] = least_ids(own, owners[open_], starts, np.memmap(folder / "text", np.uint8, "r"), folder, width)
     for ids, marks, places, windows, of in members:
         within = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
         gone = least[np.repeat(offsets[of], windows) + within] < np.repeat(ids, windows)

@@ -78,6 +78,25 @@ def term_counts(texts: DataFrame, analyzer: str) -> DataFrame:
     return found.select(*KEY, "n", F.explode(char_grams(F.col("word"))).alias("term")).groupBy(*KEY, "term").agg(F.sum("n").alias("tf"))
 
 
+def parts(c: Column, analyzer: str) -> Column:
+    """What terms_of makes the terms of a text of: the terms themselves, or words to be cut."""
+    if analyzer not in ("word", "char_wb"):
+        raise ValueError(f"Unsupported analyzer: {analyzer}")
+    return word_grams(c) if analyzer == "word" else T.split_words(F.lower(c))
+
+
+def terms_of(found: list[str], analyzer: str) -> Counter:
+    """How often each term is in a text with these parts."""
+    if analyzer == "word":
+        return Counter(found)
+    out: Counter = Counter()
+    for word, times in Counter(found).items():
+        w = f" {word} "
+        for g in (w[i : i + k] for k in (3, 4, 5) for i in range(len(w) - k + 1)):
+            out[g] += times
+    return out
+
+
 def tfidf(samples: DataFrame, candidates: DataFrame, analyzer: str = "word", name: str = "word_tfidf") -> DataFrame:
     """sample_id, pos and the cosine of comment and candidate, fitted on the pool with its comment; 0 without common terms."""
     query = samples.join(candidates.select("sample_id").distinct(), "sample_id", "left_semi")
@@ -91,25 +110,12 @@ def tfidf(samples: DataFrame, candidates: DataFrame, analyzer: str = "word", nam
 
 def pool_cosines(texts: DataFrame, analyzer: str, name: str) -> DataFrame:
     """sample_id, pos, cosine of the pools of bounded size: each is one row, whose terms are never dealt out."""
-    if analyzer not in ("word", "char_wb"):
-        raise ValueError(f"Unsupported analyzer: {analyzer}")
-    parts = word_grams(F.col("text")) if analyzer == "word" else T.split_words(F.lower("text"))
-    one = texts.where("pos is not null").select("sample_id", F.struct("pos", parts.alias("parts")).alias("t"))
+    one = texts.where("pos is not null").select("sample_id", F.struct("pos", parts(F.col("text"), analyzer).alias("parts")).alias("t"))
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     tasks = max(texts.sparkSession.sparkContext.defaultParallelism, -(-chars // TASK_CHARS))
     pools = one.repartition(tasks, "sample_id").groupBy("sample_id").agg(F.collect_list("t").alias("texts"))
     kind = dict(texts.dtypes)
 
-    def terms(found: list[str]) -> Counter:
-        if analyzer == "word":
-            return Counter(found)
-        out: Counter = Counter()
-        for word, times in Counter(found).items():
-            w = f" {word} "
-            for g in (w[i : i + k] for k in (3, 4, 5) for i in range(len(w) - k + 1)):
-                out[g] += times
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, POOLS):
@@ -118,7 +124,7 @@ def pool_cosines(texts: DataFrame, analyzer: str, name: str) -> DataFrame:
                 for i, texts in enumerate(batch["texts"].to_pylist()):
                     counts: dict[int, Counter] = {}
                     for t in texts:
-                        counts.setdefault(t["pos"], Counter()).update(terms(t["parts"]))
+                        counts.setdefault(t["pos"], Counter()).update(terms_of(t["parts"], analyzer))
                     n, df = len(texts), Counter(g for c in counts.values() for g in c)
                     idf = {g: math.log((1 + n) / (1 + k)) + 1 for g, k in df.items()}
                     asked = {g: k * idf[g] for g, k in counts.get(-1, Counter()).items()}

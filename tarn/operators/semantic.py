@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +20,8 @@ from . import scores as S
 
 #: Tasks of a pass over the weights: each gives a vector for every term, so their number may not grow with the texts.
 PASSES = 16
+#: Texts whose vectors are in memory together.
+ENCODED = 1000
 MAX_FEATURES, MIN_DF, MAX_DF, RANK = 40_000, 2, 0.98, 128
 
 
@@ -27,10 +31,41 @@ def corpus(samples: DataFrame, candidates: DataFrame, query_mode: str = "normali
     return q.unionByName(candidates.select(T.context_text(T.none_if_null(F.col("text")), context_mode).alias("text"))).distinct()
 
 
-def counted(texts: DataFrame, analyzer: str) -> DataFrame:
-    """h, term, tf of texts(text); h is the text's digest, so equal texts are counted once."""
-    rows = texts.select(F.sha2("text", 256).alias("sample_id"), F.lit(0).alias("pos"), "text")
-    return lexical.term_counts(rows, analyzer).select(F.col("sample_id").alias("h"), "term", "tf")
+def counted(texts: pa.RecordBatch, analyzer: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """text, term, tf, terms: how often each term is in each text, by text; text and term are numbers of rows and of `terms`. texts: parts (see lexical.parts)."""
+    parts = texts["parts"]
+    if analyzer == "char_wb":
+        parts = pa.array([list(lexical.terms_of(x, analyzer).elements()) for x in parts.to_pylist()], pa.list_(pa.string()))
+    flat = parts.flatten().dictionary_encode()
+    lengths = pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False)
+    terms = max(len(flat.dictionary), 1)
+    key, tf = np.unique(np.repeat(np.arange(len(parts)), lengths) * terms + flat.indices.to_numpy().astype(np.int64), return_counts=True)
+    return key // terms, key % terms, tf, flat.dictionary
+
+
+def with_parts(texts: DataFrame, analyzer: str, *keys: str | Column) -> DataFrame:
+    return texts.where("text is not null").select(*keys, lexical.parts(F.col("text"), analyzer).alias("parts"))
+
+
+def frequencies(texts: DataFrame, analyzer: str) -> DataFrame:
+    """term, df, tf: texts that have the term, and how often they do; a batch of texts gives a row for each of its terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, term, tf, terms = counted(batch, analyzer)
+            sums = np.bincount(term, tf, len(terms)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([terms, pa.array(np.bincount(term, minlength=len(terms))), pa.array(sums)], ["term", "df", "tf"])
+
+    return with_parts(texts, analyzer).mapInArrow(run, "term string, df long, tf long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+
+
+@dataclass
+class Terms:
+    """A vocabulary as tasks hold it, by number of the term."""
+
+    terms: pa.Array
+    idf: np.ndarray
+    vectors: np.ndarray | None = None
 
 
 @dataclass
@@ -38,61 +73,94 @@ class Model:
     vocabulary: DataFrame  # term, idf, vector
     analyzer: str
 
+    def terms(self) -> Terms:
+        rows = self.vocabulary.select("term", "idf", "v").toArrow().combine_chunks()
+        vectors = pc.list_flatten(rows["v"]).to_numpy().reshape(rows.num_rows, -1)
+        return Terms(pa.array(rows["term"].to_pylist(), pa.string()), rows["idf"].to_numpy(), vectors)
+
+
+def weights_of(batch: pa.RecordBatch, analyzer: str, known: Terms) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """text, i, w of the known terms, by text: (1 + log tf) * idf, each text of length 1."""
+    text, term, tf, terms = counted(batch, analyzer)
+    place = pc.fill_null(pc.index_in(terms, value_set=known.terms), -1).to_numpy().astype(np.int64)
+    i = place[term]
+    text, i, tf = text[i >= 0], i[i >= 0], tf[i >= 0]
+    w = (1 + np.log(tf)) * known.idf[i]
+    norm = np.sqrt(np.bincount(text, w * w, batch.num_rows))
+    return text, i, w / norm[text]
+
 
 def fit(texts: DataFrame, analyzer: str = "word", rank: int = RANK, max_features: int = MAX_FEATURES, min_df: int = MIN_DF, max_df: float = MAX_DF, seed: int = 42, rounds: int = 6) -> Model:
     """Terms by document frequency, with sublinear weights, and their vectors in the space of the largest singular values.
 
-    The subspace is found by orthogonal iteration: the weights are dealt out by text once, to PASSES tasks, and each round is one pass
-    in which a partition multiplies by its part of the weights and their transpose. The terms' vectors, at most
-    max_features of them, are broadcast, and orthogonalized on the driver.
+    The subspace is found by orthogonal iteration: the texts are dealt out once, to PASSES tasks, which keep their weights, and each round is one pass
+    in which a partition multiplies by its part of the weights and their transpose. The vocabulary and the terms' vectors, at most
+    max_features of them, are broadcast, and orthogonalized on the driver. A text's terms never leave its task but to be counted.
     """
-    counts = counted(texts, analyzer).cache()
-    n = texts.count()
-    df = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
+    spark = texts.sparkSession
+    own = texts.distinct().cache()
+    n = own.count()
+    df = frequencies(own, analyzer).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
     vocab = df.orderBy(F.col("tf").desc(), "term").limit(max_features).select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")).orderBy("term").toPandas()
     if len(vocab) < 2:
+        own.unpersist()
         raise ValueError("fewer than two terms are left")
     k = min(rank, len(vocab) - 1)
-    spark = texts.sparkSession
-    terms = spark.createDataFrame(vocab.assign(i=range(len(vocab))), "term string, idf double, i int")
-    weights = weighted(counts, terms).join(F.broadcast(terms.select("term", "i")), "term").select("h", "i", "w").repartition(PASSES, "h").sortWithinPartitions("h").cache()
+    shared = spark.sparkContext.broadcast(Terms(pa.array(vocab["term"], pa.string()), vocab["idf"].to_numpy()))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for batch in batches:
+            text, i, w = weights_of(batch, analyzer, shared.value)
+            yield pa.RecordBatch.from_arrays([pa.array(seen + text), pa.array(i.astype(np.int32)), pa.array(w)], ["h", "i", "w"])
+            seen += batch.num_rows
+
+    # parts are made behind the shuffle, which moves texts alone; h is the text's number in its task
+    weights = with_parts(own.repartition(PASSES, F.xxhash64("text")), analyzer).mapInArrow(weigh, "h long, i int, w double").cache()
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(vocab), k)))[0]
     for _ in range(rounds):
         basis = np.linalg.qr(gram_times(weights, basis))[0]
     weights.unpersist()
-    counts.unpersist()
-    return Model(spark.createDataFrame(vocab.assign(v=basis.tolist()), "term string, idf double, v array<double>"), analyzer)
+    own.unpersist()
+    vectors = pa.ListArray.from_arrays(np.arange(0, basis.size + 1, k, dtype=np.int32), basis.ravel())
+    rows = pa.table({"term": pa.array(vocab["term"], pa.string()), "idf": vocab["idf"].to_numpy(), "v": vectors})
+    return Model(spark.createDataFrame(rows, "term string, idf double, v array<double>"), analyzer)
 
 
 def gram_times(weights: DataFrame, basis: np.ndarray) -> np.ndarray:
-    """The weights' transpose times the weights times the basis; rows (h, i, w) by h, with all of a text's in one partition.
+    """The weights' transpose times the weights times the basis; rows (h, i, w), with all of a text's behind one another in one partition.
 
-    A partition holds no more than a vector for each term, and a batch of rows."""
+    A partition holds no more than a vector for each term, and a batch of rows; a text's vectors are few enough for a core's cache."""
     shared = weights.sparkSession.sparkContext.broadcast(basis)
 
-    def run(frames):
-        total, held = np.zeros_like(shared.value), None
-        for f in frames:
-            f = f if held is None else pd.concat([held, f], ignore_index=True)
-            if len(f):
-                # the last text may go on in the next batch
-                last = (f["h"] == f["h"].iloc[-1]).to_numpy()
-                held = f[last]
-                add_texts(total, f[~last])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        basis, held = shared.value, None
+        total = np.zeros_like(basis)
+
+        def add_text(i: np.ndarray, w: np.ndarray) -> None:
+            total[i] += w[:, None] * (w @ basis[i])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, i, w = (batch[c].to_numpy(zero_copy_only=False) for c in ("h", "i", "w"))
+            ends = np.flatnonzero(h[1:] != h[:-1]) + 1
+            bounds = [0, *ends.tolist(), len(h)]
+            # the last text may go on in the next batch
+            for a, z in zip(bounds, bounds[1:]):
+                if held is not None and a == 0 and held[0] == h[0]:
+                    own = h[0], np.concatenate([held[1], i[:z]]), np.concatenate([held[2], w[:z]])
+                else:
+                    if held is not None:
+                        add_text(*held[1:])
+                    own = h[a], i[a:z], w[a:z]
+                held = own
         if held is not None:
-            add_texts(total, held)
+            add_text(*held[1:])
             terms = np.flatnonzero(total.any(axis=1))
             for at in range(0, len(terms), 1000):
                 some = terms[at : at + 1000]
-                yield pd.DataFrame({"i": some.astype(np.int32), "v": [x.tobytes() for x in total[some]]})
-
-    def add_texts(total, f):
-        if len(f):
-            _, text = np.unique(f["h"].to_numpy(), return_inverse=True)
-            i, w = f["i"].to_numpy(), f["w"].to_numpy()[:, None]
-            folded = np.zeros((text.max() + 1, total.shape[1]))
-            np.add.at(folded, text, w * shared.value[i])
-            np.add.at(total, i, w * folded[text])
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([x.tobytes() for x in total[some]], pa.binary())], ["i", "v"])
 
     def add(frames):
         total: dict[int, np.ndarray] = {}
@@ -102,49 +170,34 @@ def gram_times(weights: DataFrame, basis: np.ndarray) -> np.ndarray:
         yield pd.DataFrame({"i": list(total), "v": [x.tobytes() for x in total.values()]}, columns=["i", "v"])
 
     out = np.zeros_like(basis)
-    for r in weights.mapInPandas(run, "i int, v binary").repartition("i").mapInPandas(add, "i int, v binary").collect():
+    for r in weights.mapInArrow(run, "i int, v binary").repartition("i").mapInPandas(add, "i int, v binary").collect():
         out[r["i"]] = np.frombuffer(r["v"])
+    shared.unpersist()
     return out
 
 
-def weighted(counts: DataFrame, idf: DataFrame) -> DataFrame:
-    """h, term, w: (1 + log tf) * idf, each text of length 1."""
-    w = counts.join(F.broadcast(idf.select("term", "idf")), "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("h")))
-    return w.select("h", "term", (F.col("w") / norm).alias("w"))
-
-
-def dot_sum(rows: DataFrame, by: str, k: int) -> DataFrame:
-    """by, v: the sum of w * v over the rows; those of equal `by` are in one partition already, so nothing is shuffled."""
-
-    def sums(f: pd.DataFrame) -> pd.DataFrame:
-        keys, at = np.unique(f[by].to_numpy(), return_inverse=True)
-        total = np.zeros((len(keys), k))
-        np.add.at(total, at, f["w"].to_numpy()[:, None] * np.stack(f["v"].to_numpy()))
-        return pd.DataFrame({by: keys, "v": list(total)})
-
-    def run(frames):
-        held = None
-        for f in frames:
-            f = f if held is None else pd.concat([held, f], ignore_index=True)
-            if len(f):
-                # the last key may go on in the next batch
-                last = (f[by] == f[by].iloc[-1]).to_numpy()
-                held = f[last]
-                if not last.all():
-                    yield sums(f[~last])
-        if held is not None:
-            yield sums(held)
-
-    return rows.select(by, "w", "v").sortWithinPartitions(by).mapInPandas(run, f"{by} string, v array<double>")
-
-
 def encode(texts: DataFrame, model: Model) -> DataFrame:
-    """h, v: unit vectors of texts(text); texts without a known term are not in the result."""
-    k = len(model.vocabulary.select("v").head()["v"])
-    # the weights are by text: their norm is a window over it
-    w = weighted(counted(texts, model.analyzer), model.vocabulary)
-    return unit(dot_sum(w.join(F.broadcast(model.vocabulary.select("term", "v")), "term"), "h", k))
+    """h, v: unit vectors of texts(text), the digest of each; texts without a known term are not in the result.
+
+    The vocabulary is broadcast; a text's terms and weights stay in its task, and only its vector comes out."""
+    shared, analyzer = texts.sparkSession.sparkContext.broadcast(model.terms()), model.analyzer
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors = shared.value.vectors
+        for whole in batches:
+            for at in range(0, whole.num_rows, ENCODED):
+                batch = whole.slice(at, ENCODED)
+                text, i, w = weights_of(batch, analyzer, shared.value)
+                rows, starts = np.unique(text, return_index=True)
+                out = np.zeros((len(rows), vectors.shape[1]))
+                for k, (a, z) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(text)])):
+                    out[k] = w[a:z] @ vectors[i[a:z]]
+                norm = np.sqrt((out * out).sum(axis=1))
+                out /= np.where(norm > 1e-12, norm, 1.0)[:, None]
+                v = pa.ListArray.from_arrays(np.arange(0, out.size + 1, vectors.shape[1], dtype=np.int32), out.ravel())
+                yield pa.RecordBatch.from_arrays([batch["h"].take(pa.array(rows)), v], ["h", "v"])
+
+    return with_parts(texts, analyzer, F.sha2("text", 256).alias("h")).mapInArrow(run, "h string, v array<double>")
 
 
 def unit(vectors: DataFrame) -> DataFrame:

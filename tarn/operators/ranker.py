@@ -7,11 +7,12 @@ they learn from: those of one holdout dataset, less one fold. The intercept is p
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ C_VALUES = (0.1, 0.25, 0.5, 1.0, 2.0)
 PARTS = 16
 #: Models whose sums one pass takes; more of them take more passes.
 MODELS = 64
+#: Features of which all products of two are made once for all models.
+PRODUCTS = 16
 #: A column that varies less than this share of its variance over all rows is constant for a model.
 CONSTANT = 1e-12
 #: Weights settle when no step is larger.
@@ -29,11 +32,23 @@ SETTLED = 1e-8
 
 
 class Fit(NamedTuple):
-    """One model: its C, the dataset (value of column target) and the fold (value of column fold) that it doesn't see."""
+    """One model: its C, the dataset (value of column target), and the fold and group (values of the columns fold and holdout) that it doesn't see."""
 
     c: float = 1.0
     within: int | None = None
     fold: int | None = None
+    without: int | None = None
+
+    def uses(self, keys: dict[str, np.ndarray], n: int) -> np.ndarray:
+        """Which of n rows with these keys it learns from."""
+        keep = np.ones(n, bool)
+        if self.within is not None:
+            keep &= keys["target"] == self.within
+        if self.fold is not None:
+            keep &= keys["fold"] != self.fold
+        if self.without is not None:
+            keep &= keys["holdout"] != self.without
+        return keep
 
 
 def scaling(rows: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,48 +75,72 @@ def add_up(partials: DataFrame, size: int) -> np.ndarray:
 class Design:
     """The rows of a fit: their features in the scale of all rows with a column of ones, their labels, datasets and folds."""
 
-    def __init__(self, rows: DataFrame, names: list[str], label: str, cached: bool = False):
-        self.mean, self.scale = scaling(rows, names)
-        keys = [c for c in ("target", "fold") if c in rows.columns]
+    def __init__(self, rows: DataFrame, names: list[str], label: str, cached: bool = False, each: int = 0):
+        # each: the last feature is an array, with a value for each group that a model may do without
+        last = F.col(names[-1]) if each else None
+        self.mean, self.scale = scaling(rows.withColumn(names[-1], F.get(last, 0)) if each else rows, names)
+        keys = [c for c in ("target", "fold", "holdout") if c in rows.columns]
         # one array instead of as many columns; kept for the passes of the fit and let go behind it, unless the caller keeps the rows
-        self.rows = rows.select(F.array(*[F.col(f"`{n}`").cast("double") for n in names]).alias("x"), F.col(label).cast("double").alias("y"), *keys)
+        single = F.array(*[F.col(f"`{n}`").cast("double") for n in (names[:-1] if each else names)])
+        self.rows = rows.select((F.concat(single, last) if each else single).alias("x"), F.col(label).cast("double").alias("y"), *keys)
         if not cached:
             self.rows.persist()
-        self.size = len(names) + 1
+        self.size, self.each = len(names) + 1, each
 
     def sums(self, fits: list[Fit], per_model: int, part) -> np.ndarray:
-        """For each model the sum over its rows of part(a, y, k): a the features, y the labels, k the model's number; `per_model` numbers."""
-        mean, scale, known = self.mean, self.scale, self.rows.columns
+        """For each model the sum over its rows of part(a, y, k, used): a the features, y the labels, k the models' numbers, used the rows of
+        each model among them; a row of `per_model` numbers for each. Models that share most of the rows are taken together."""
+        mean, scale, keys, d, each = self.mean, self.scale, self.rows.columns[2:], self.size - 1, self.each
+        # models with the same features, and the columns of x that those are
+        alike = [(np.array([k for k, m in enumerate(fits) if m.without == t], int), [*range(d - 1), d - 1 + t]) for t in range(each)] if each else [(np.arange(len(fits)), list(range(d)))]
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, seen = np.zeros((len(fits), per_model)), 0
-            for f in frames:
-                if not len(f):
+            for f in batches:
+                n = f.num_rows
+                if not n:
                     continue
-                seen += len(f)
-                a = np.hstack([(np.stack(f["x"].to_numpy()) - mean) / scale, np.ones((len(f), 1))])
-                y = f["y"].to_numpy(float)
-                target = f["target"].to_numpy() if "target" in known else None
-                fold = f["fold"].to_numpy() if "fold" in known else None
-                for k, m in enumerate(fits):
-                    keep = np.ones(len(f), bool)
-                    if m.within is not None:
-                        keep &= target == m.within
-                    if m.fold is not None:
-                        keep &= fold != m.fold
-                    if keep.all():
-                        total[k] += part(a, y, k)
-                    elif keep.any():
-                        total[k] += part(a[keep], y[keep], k)
+                seen += n
+                # an array column is one flat vector of numbers in Arrow
+                x = f["x"].flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+                y = f["y"].to_numpy(zero_copy_only=False)
+                own = {c: f[c].to_numpy(zero_copy_only=False) for c in keys}
+                used = np.stack([m.uses(own, n) for m in fits], 1)
+                shares = used.mean(0)
+                for models, columns in alike:
+                    if not len(models):
+                        continue
+                    a = np.hstack([((x[:, columns] if each else x) - mean) / scale, np.ones((n, 1))])
+                    if len(some := models[shares[models] >= 0.5]):
+                        total[some] += part(a, y, some, used[:, some])
+                    for k in models[(shares[models] > 0) & (shares[models] < 0.5)]:
+                        total[k] += part(a[used[:, k]], y[used[:, k]], np.array([k]), np.ones((1, 1), bool))[0]
             if seen:
-                yield pd.DataFrame({"part": [seen], "v": [total.tobytes()]})
+                yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([total.tobytes()], pa.binary())], ["part", "v"])
 
-        return add_up(self.rows.mapInPandas(run, "part long, v binary"), len(fits) * per_model).reshape(len(fits), per_model)
+        return add_up(self.rows.mapInArrow(run, "part long, v binary"), len(fits) * per_model).reshape(len(fits), per_model)
 
 
-def moments(a: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+def moments(a: np.ndarray, y: np.ndarray, k: np.ndarray, used: np.ndarray) -> np.ndarray:
     x = a[:, :-1]
-    return np.concatenate([[len(y), (y > 0).sum()], x.sum(0), (x * x).sum(0)])
+    rows = np.column_stack([np.ones(len(y)), y > 0, x, x * x])
+    return np.broadcast_to(used, (len(y), len(k))).astype(float).T @ rows
+
+
+def one_by_one(part: Callable[[np.ndarray, np.ndarray, int], np.ndarray]) -> Callable[..., np.ndarray]:
+    """For Design.sums, part(a, y, k) of one model's own rows."""
+    return lambda a, y, ks, used: np.stack([part(a, y, k) if own.all() else part(a[own], y[own], k) for k, own in zip(ks.tolist(), np.broadcast_to(used, (len(y), len(ks))).T)])
+
+
+def curvature(a: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For each column of q, a.T @ diag(q) @ a as one row."""
+    d = a.shape[1]
+    if d > PRODUCTS:
+        return np.stack([((a * v[:, None]).T @ a).ravel() for v in q.T])
+    i, j = np.triu_indices(d)
+    out = np.empty((q.shape[1], d, d))
+    out[:, i, j] = out[:, j, i] = q.T @ (a[:, i] * a[:, j])
+    return out.reshape(len(out), -1)
 
 
 def lasso_step(g: np.ndarray, h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -123,16 +162,17 @@ def lasso_step(g: np.ndarray, h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_many(rows: DataFrame, names: list[str], fits: list[Fit], label: str = "label", balanced: bool = True, penalty: str = "l2", steps: int = 50, cached: bool = False) -> list[dict]:
+def fit_many(rows: DataFrame, names: list[str], fits: list[Fit], label: str = "label", balanced: bool = True, penalty: str = "l2", steps: int = 50, cached: bool = False, each: int = 0) -> list[dict]:
     """The model of each entry of fits: the weights that minimize the penalty (|w|^2 / 2, or |w|_1) + c * (sum of weighted log losses).
 
     Features are standardized over the model's own rows. rows: the names, the label, and the columns target and fold where fits name them.
     Every step is one pass for all models that still move (MODELS of them at a time); a step that makes a model worse is halved.
-    cached: the rows come from a persisted table, so they need not be kept again.
+    cached: the rows come from a persisted table, so they need not be kept again. each: the last feature is an array, of which a model takes
+    the value at the place of its group `without`.
     """
     if penalty not in ("l1", "l2"):
         raise ValueError(f"Unsupported penalty: {penalty}")
-    design = Design(rows, names, label, cached)
+    design = Design(rows, names, label, cached, each)
     try:
         return [m for at in range(0, len(fits), MODELS) for m in _fit_block(design, names, fits[at : at + MODELS], balanced, penalty, steps)]
     finally:
@@ -159,15 +199,16 @@ def _fit_block(design: Design, names: list[str], fits: list[Fit], balanced: bool
     best, reached = w.copy(), np.full(len(fits), np.inf)
     moving = list(range(len(fits)))
     for _ in range(steps):
-        own = [into[k] @ w[k] for k in moving]
-        weights = [balance[k] for k in moving]
-
-        def newton(a: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
-            z = a @ own[k]
-            p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            of = np.where(y > 0, weights[k][1], weights[k][0])
-            loss = of * (np.logaddexp(0, z) - np.where(y > 0, z, 0))
-            return np.concatenate([[loss.sum()], a.T @ (of * (p - (y > 0))), ((a * (of * p * (1 - p))[:, None]).T @ a).ravel()])
+        own = np.stack([into[k] @ w[k] for k in moving])
+        weights = balance[moving]
+
+        def newton(a: np.ndarray, y: np.ndarray, k: np.ndarray, used: np.ndarray) -> np.ndarray:
+            z, one = a @ own[k].T, (y > 0)[:, None]
+            e = np.exp(-np.abs(z))
+            p = np.where(z >= 0, 1.0, e) / (1 + e)
+            of = np.where(one, weights[k, 1], weights[k, 0]) * used
+            loss = of * (np.log1p(e) + np.maximum(z, 0) - np.where(one, z, 0))
+            return np.hstack([loss.sum(0)[:, None], (of * (p - one)).T @ a, curvature(a, of * p * (1 - p))])
 
         sums = design.sums([fits[k] for k in moving], 1 + d + d * d, newton)
         left = []

@@ -41,7 +41,7 @@ def fit_many(rows: DataFrame, names: list[str], classes: list[str], c_values: tu
 
 
 def _fit(design: ranker.Design, names: list[str], classes: list[str], c_values: tuple[float, ...], balanced: bool, steps: int) -> list[dict]:
-    counted = design.sums([ranker.Fit()], len(classes), lambda a, y, _: np.bincount(y.astype(int), minlength=len(classes)).astype(float))[0]
+    counted = design.sums([ranker.Fit()], len(classes), ranker.one_by_one(lambda a, y, _: np.bincount(y.astype(int), minlength=len(classes)).astype(float)))[0]
     seen = [i for i, n in enumerate(counted) if n > 0]
     if len(seen) < 2:
         raise ValueError("at least two classes need rows")
@@ -74,7 +74,7 @@ def _fit(design: ranker.Design, names: list[str], classes: list[str], c_values:
             return np.concatenate([[loss], ((of[:, None] * (p - hit)).T @ a).ravel(), h.ravel()])
 
         left = []
-        for m, s in zip(moving, design.sums([ranker.Fit()] * len(moving), 1 + k * d + (k * d) ** 2, newton)):
+        for m, s in zip(moving, design.sums([ranker.Fit()] * len(moving), 1 + k * d + (k * d) ** 2, ranker.one_by_one(newton))):
             c = c_values[m]
             value = c * s[0] + (ridge * w[m] ** 2).sum() / 2
             if value > reached[m] + 1e-10 * max(1.0, abs(reached[m])) and np.abs(w[m] - best[m]).max() > SETTLED:

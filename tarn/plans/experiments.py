@@ -151,30 +151,42 @@ def nested_holdout(
         """A row for each holdout, each with pools of its own."""
         return rows.withColumn("of", F.col("sample_id")).withColumn("sample_id", F.concat_ws("|", F.col("target").cast("string"), "of"))
 
-    def selected(m: DataFrame, used: tuple[str, ...], cached: bool) -> list[dict]:
-        fits = [ranker.Fit(c, t) for t in range(n) for c in c_values]
-        models = ranker.fit_many(m.where("split = 'train'"), groupwise.column_names(list(used), transform), fits, cached=cached)
-        found = ranker.dev_metrics(m.where("split = 'dev'"), models, [F.col("target") == f.within for f in fits], k)
+    def selected(train: DataFrame, dev: DataFrame, used: tuple[str, ...], fit: Callable[[float, int], ranker.Fit], cached: bool, each: int = 0) -> list[dict]:
+        fits = [fit(c, t) for t in range(n) for c in c_values]
+        models = ranker.fit_many(train, groupwise.column_names(list(used), transform), fits, cached=cached, each=each)
+        of = [t for t in range(n) for _ in c_values]
+        found = ranker.dev_metrics(dev, models, [F.col("target") == t for t in of], k)
         none = {"hit_1": 0.0, "mrr": 0.0}
-        return [models[ranker.best_of([(i, found.get(i, none)) for i, f in enumerate(fits) if f.within == t])] for t in range(n)]
+        return [models[ranker.best_of([(i, found.get(i, none)) for i in range(len(fits)) if of[i] == t])] for t in range(n)]
 
     # the rows that all passes read are kept once, where they are the same in every holdout; no score is joined back to them
     if per_target is None:
-        own = features.join(samples.select("sample_id", "split", "fold", F.col(column).alias("holdout_value")), "sample_id")
+        value = F.col(column)
+        place = F.coalesce(*[F.when(value.eqNullSafe(F.lit(v)), F.lit(i)) for i, v in enumerate(targets)], F.lit(-1))
+        own = features.join(samples.select("sample_id", "split", "fold", value.alias("holdout_value"), place.alias("holdout")), "sample_id")
         kept = matrix(own, anchor_names).persist()
-        m = dealt(kept.withColumn("target", F.explode(uses(F.col("holdout_value"), targets))).drop("holdout_value"))
+        m = dealt(kept.withColumn("target", F.explode(uses(F.col("holdout_value"), targets))).drop("holdout_value", "holdout"))
+        # a training row is the same for all anchors but its own value's, so it is read once for all of them
+        train, fit = kept.where("split = 'train'"), lambda c, t, f=None: ranker.Fit(c, fold=f, without=t)
     else:
         parts = [per_target(v).withColumn("target", F.lit(i)) for i, v in enumerate(targets)]
         own = features.join(dataset_uses(samples, column, targets), "sample_id").join(reduce(DataFrame.unionByName, parts), ["target", "sample_id", "pos"])
         m = matrix(dealt(own), anchor_names).persist()
-    outer = selected(m, anchor_names, True)
-    fits = [ranker.Fit(outer[t]["C"], t, f) for t in range(n) for f in range(folds)]
-    inner = ranker.fit_many(m.where("split = 'train'"), outer[0]["feature_names"], fits, cached=True)
+        train, fit = m.where("split = 'train'"), lambda c, t, f=None: ranker.Fit(c, t, f)
+    outer = selected(train, m.where("split = 'dev'"), anchor_names, fit, True)
+    fits = [fit(outer[t]["C"], t, f) for t in range(n) for f in range(folds)]
+    inner = ranker.fit_many(train, outer[0]["feature_names"], fits, cached=True)
     at = F.col("target")
     which = F.when(F.col("split") == "train", n + at * folds + F.col("fold")).otherwise(at)
     anchor = m.withColumn("anchor_score", ranker.score_by(outer + inner, which))
     final = matrix(anchor, (*names, "anchor_score"))
-    models = selected(final, (*names, "anchor_score"), False)
+    if per_target is None and not groupwise.TRANSFORMS[transform]:
+        # no feature needs the holdout's pools: a training row carries its anchor score for each target, and is read once for all of them
+        scores = F.array(*[ranker.score_by(outer + inner, F.lit(n + t * folds) + F.col("fold")) for t in range(n)])
+        train, fit, each = matrix(train.withColumn("anchor_score", scores), names), (lambda c, t: ranker.Fit(c, without=t)), n
+    else:
+        train, fit, each = final.where("split = 'train'"), ranker.Fit, 0
+    models = selected(train, final.where("split = 'dev'"), (*names, "anchor_score"), fit, each > 0, each)
     test = ranker.scored(final.where("split = 'test'"), models, [at == t for t in range(n)], ["target", "of", "sample_id", "pos", "label"])
     value = F.element_at(F.array(*map(F.lit, targets)), at + 1).alias("target")
     judged = test.select(value, F.col("of").alias("sample_id"), "pos", "score", (F.col("label") > 0).alias("is_gold"))
@@ -184,12 +196,24 @@ def nested_holdout(
 
 
 def anchor_coverage(anchor: DataFrame, candidates: DataFrame, samples: DataFrame, column: str, targets: list[str]) -> DataFrame:
-    """target, split, samples, candidates, missing, repeated: whether every candidate that a holdout uses has exactly one anchor score."""
+    """target, split, samples, candidates, missing, repeated: whether every candidate that a holdout uses has exactly one anchor score.
+
+    A holdout's pool is one row with its positions, on either side, so no row of a candidate is dealt out for each holdout. Scores of
+    candidates that the holdout doesn't use are in rows without a split. (sample_id, pos) is unique in candidates."""
     value = F.element_at(F.array(*map(F.lit, targets)), F.col("target") + 1).alias("target")
-    due = candidates.select("sample_id", "pos").join(dataset_uses(samples, column, targets), "sample_id").select(value, "split", "sample_id", "pos")
-    got = anchor.groupBy("target", "sample_id", "pos").agg(F.count("score").alias("times"))
-    both = due.join(got, ["target", "sample_id", "pos"], "full")
-    return both.groupBy("target", "split").agg(F.count_distinct("sample_id").alias("samples"), F.count("*").alias("candidates"), F.count_if(F.coalesce("times", F.lit(0)) == 0).alias("missing"), F.count_if((F.col("times") > 1) | F.col("split").isNull()).alias("repeated"))
+    pos = F.col("pos").cast("long")
+    pools = candidates.where("pos is not null").groupBy("sample_id").agg(F.collect_list(pos).alias("due"))
+    due = pools.join(dataset_uses(samples, column, targets), "sample_id").select(value, "split", "sample_id", "due")
+    got = anchor.where("pos is not null").groupBy("target", "sample_id").agg(F.array_sort(F.collect_list(F.when(F.col("score").isNotNull(), pos))).alias("got"), F.collect_list(F.when(F.col("score").isNull(), pos)).alias("without"))
+    none = F.array().cast("array<bigint>")
+    both = due.join(got, ["target", "sample_id"], "full").select("target", "split", "sample_id", *[F.coalesce(c, none).alias(c) for c in ("due", "got", "without")])
+    twice = F.filter("got", lambda x, i: (i > 0) & (F.get("got", i - 1) == x))
+    more = both.withColumns({"twice": twice, "extra": F.array_except(F.concat("got", "without"), "due")})
+    counts = lambda split, places, repeated: F.struct(split.alias("split"), F.size(places).alias("n"), F.size(F.array_except(places, "got")).alias("missing"), repeated.alias("repeated"))
+    own = counts(F.col("split"), F.col("due"), F.size(F.array_intersect("due", "twice")))
+    other = counts(F.lit(None).cast("string"), F.col("extra"), F.size("extra"))
+    rows = more.select("target", "sample_id", F.explode(F.filter(F.array(own, other), lambda x: x["n"] > 0)).alias("x")).select("target", "sample_id", "x.*")
+    return rows.groupBy("target", "split").agg(F.count_distinct("sample_id").alias("samples"), *[F.sum(c).alias(d) for c, d in (("n", "candidates"), ("missing", "missing"), ("repeated", "repeated"))])
 
 
 def save_holdout(result: dict, path: str) -> None:
